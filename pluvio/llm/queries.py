@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pluvio.llm.exact_dedup import exact_dedup
+from pluvio.llm.language_id import fit_language_model, identify_language
 from pluvio.llm.runtime import table
 
 
+def _fold(n: int) -> Column:
+    """The remainder that deals documents into folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(_fold(4) != 2))
+    found = identify_language(docs, model)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 SQL = {
     "op2_exact_dedup": """
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm, length(coalesce(text, '')) as n_points from documents)
@@ -26,7 +40,7 @@ from n""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {f.__name__: f for f in (op2_exact_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

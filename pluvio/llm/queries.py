@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvio.llm.exact_dedup import exact_dedup
 from pluvio.llm.language_id import fit_language_model, identify_language
+from pluvio.llm.near_dedup import near_dedup
 from pluvio.llm.runtime import table
 
 
@@ -21,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(_fold(4) != 2))
@@ -40,7 +45,7 @@ from n""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_minhash_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -123,3 +123,30 @@ def per_piece(f: Callable[[Piece, pa.RecordBatch], pa.RecordBatch | None], text_
                     yield out
 
     return run
+
+
+def per_group(f: Callable[[pa.Table], pa.RecordBatch | None], key: str, rows: int = 4096) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows sorted by ``key``: ``f`` on tables of whole groups, of about ``rows`` rows or one group."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            if held and n >= rows and held[-1].column(key)[-1] != batch.column(key)[0]:
+                done, held, n = pa.Table.from_batches(held), [], 0
+                if (out := f(done)) is not None and out.num_rows:
+                    yield out
+            elif held and n >= rows:
+                keys = batch.column(key).to_numpy(zero_copy_only=False)
+                cut = int(np.searchsorted(keys != keys[0], True))
+                if cut < len(keys):
+                    done, held, n = pa.Table.from_batches([*held, batch.slice(0, cut)]), [], 0
+                    batch = batch.slice(cut)
+                    if (out := f(done)) is not None and out.num_rows:
+                        yield out
+            held.append(batch)
+            n += batch.num_rows
+        if held and (out := f(pa.Table.from_batches(held))) is not None and out.num_rows:
+            yield out
+
+    return run

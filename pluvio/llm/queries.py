@@ -11,6 +11,7 @@ from pluvio.llm.exact_dedup import exact_dedup
 from pluvio.llm.language_id import fit_language_model, identify_language
 from pluvio.llm.near_dedup import near_dedup
 from pluvio.llm.runtime import table
+from pluvio.llm.substring_dedup import substring_dedup
 
 
 def _fold(n: int) -> Column:
@@ -22,6 +23,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ from n""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_minhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

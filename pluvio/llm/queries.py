@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.llm.decontaminate import judge_documents
 from pluvio.llm.exact_dedup import exact_dedup
 from pluvio.llm.language_id import fit_language_model, identify_language
+from pluvio.llm.mixing import mix_sources
 from pluvio.llm.near_dedup import near_dedup
 from pluvio.llm.runtime import table
+from pluvio.llm.sharding import assign_shards
 from pluvio.llm.substring_dedup import substring_dedup
 
 
@@ -32,6 +35,19 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "shard", F.octet_length("text").cast("long").alias("n_bytes"), "shard_bytes", "shard_rows")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(_fold(4) != 2))
@@ -51,7 +67,7 @@ from n""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_mix_sources, op7_sharding, op8_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

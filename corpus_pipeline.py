@@ -1,7 +1,65 @@
-"""The stages of the corpus pipeline."""
+"""The corpus pipeline: five stages from documents to shards, each on all that the one before kept."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pluvio.llm.decontaminate import contaminated
+from pluvio.llm.language_id import UNKNOWN, fit_language_model, label_language
+from pluvio.llm.mixing import mix_sources
+from pluvio.llm.near_dedup import near_dedup
+from pluvio.llm.runtime import shared_folder, table
+from pluvio.llm.sharding import assign_shards
+
+#: SQL cannot express the language model, so that the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
+
+#: A text whose best language has less than this share of the probability is in no language that was learned.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones among them teach; texts without letters go."""
+    labelled = label_language(docs, fit_language_model(docs))
+    return labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id; rows of one id go together, rows without id stay."""
+    kept = near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as it enters the mix, as repeated rows; rows of one id enter as the first of them does."""
+    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    copies = copies.where("copies > 0").withColumnRenamed("doc_id", "of")
+    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of")))
+    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with the shard that each belongs to."""
+    return assign_shards(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents. What a stage keeps is written to the shared folder for the next one."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pluvio.llm.words import STEP, Piece, mix, per_piece, powers
 
@@ -162,25 +163,30 @@ def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, leas
     return LanguageModel(langs, tables)
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of each text by ``model``.
+def label_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the language of each text by ``model``; columns of these names are replaced.
 
     Words are runs of letters in lower case. A known word adds its log frequency in each language;
     an unknown one the mean log frequency of its known n-grams of the greatest length that has any.
     Texts that are null, empty or without letters are ``und`` with score 0, as are all texts under
-    a model that learned no language. Repeated rows give repeated results.
-
-    Returns ``doc_id, lang_pred, score``.
+    a model that learned no language. Repeated rows give repeated results, an empty table none.
     """
     names = np.array([*model.langs, UNKNOWN], dtype=object)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
         if shared.value.langs:
             best, score = shared.value.score(piece)
         else:
             best, score = np.full(piece.n, -1), np.zeros(piece.n)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(per_piece(run, text_col), schema)
 
+
+def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score`` of each row of ``docs``, by ``label_language``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(per_piece(run), rows.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
+    return label_language(rows, model).select("doc_id", "lang_pred", "score")

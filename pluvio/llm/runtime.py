@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that what follows neither
-    recomputes it nor depends on an executor that may be lost.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the session
-    is local, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share. Only where that is unset
+    and the session is local, as in tests, a temporary folder takes its place."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local["):
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="pluvio-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows neither recomputes
+    it nor depends on an executor that may be lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,6 +13,7 @@ from pluvio.llm.exact_dedup import exact_dedup
 from pluvio.llm.language_id import fit_language_model, identify_language
 from pluvio.llm.mixing import mix_sources
 from pluvio.llm.near_dedup import near_dedup
+from pluvio.llm.quality import fit_quality_model, sample_labels, score_quality
 from pluvio.llm.runtime import table
 from pluvio.llm.sharding import assign_shards
 from pluvio.llm.substring_dedup import substring_dedup
@@ -23,6 +24,15 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # At most 12,000 ids and labels: small enough to broadcast whatever the tables' size.
+    labels = sample_labels(table(spark, sf_dir, "labels").where(_fold(3) != 1), "quality", 12_000)
+    model = fit_quality_model(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").limit(12_000), 12_000)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -84,7 +94,7 @@ from e group by conv_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from pluvio.llm.exact_dedup import exact_dedup
 from pluvio.llm.language_id import fit_language_model, identify_language
 from pluvio.llm.mixing import mix_sources
 from pluvio.llm.near_dedup import near_dedup
+from pluvio.llm.pii import BASE, find_pii
 from pluvio.llm.quality import fit_quality_model, sample_labels, score_quality
 from pluvio.llm.runtime import table
 from pluvio.llm.sharding import assign_shards
@@ -46,6 +47,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -94,7 +103,7 @@ from e group by conv_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op5_pii, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

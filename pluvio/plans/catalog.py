@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from pluvio.plans import geo_queries, grid_queries  # noqa: F401  they register themselves
+from pluvio.plans.fixtures import Scene
+from pluvio.plans.registry import QUERIES, SQL
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, f=f: f(Scene(spark, sf_dir)) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -16,7 +16,7 @@ SHINGLE = 5
 N_TOKENS = 128
 TREES = 12
 #: Nodes of up to so many documents are compared exhaustively.
-LEAF = 1000
+LEAF = 2500
 #: Children of a document in a larger node. With links at 0.85, more than one expected child keeps both ends.
 BRANCHES = 2
 DEPTH = 4
@@ -68,7 +68,7 @@ def _sign(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _candidates(tokens: np.ndarray, size: np.ndarray, least: int, same: np.ndarray):
-    """Row pairs of one group (``same``: the group of each row, ascending) with ``least`` equal tokens and sizes that allow a link: by distance, (rows, equal tokens)."""
+    """Row pairs of one group (``same``: the group of each row, ascending) with ``least`` equal tokens and sizes that allow a link: by distance, the rows and which of their first tokens are equal."""
     for d in range(1, len(same)):
         i = np.flatnonzero(same[:-d] == same[d:])
         if not len(i):
@@ -76,32 +76,40 @@ def _candidates(tokens: np.ndarray, size: np.ndarray, least: int, same: np.ndarr
         i = i[100 * np.minimum(size[i], size[i + d]) >= 85 * np.maximum(size[i], size[i + d])]
         for part in np.array_split(i, len(i) // 4096 + 1):
             equal = tokens[part] == tokens[part + d]
-            n = equal.sum(axis=1)
-            hit = n >= least
+            hit = equal.sum(axis=1) >= least
             if hit.any():
-                yield d, part[hit], n[hit], equal[hit, :TREES]
+                yield d, part[hit], equal[hit, :TREES]
 
 
 def _tokens(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, N_TOKENS)
 
 
+def _elsewhere(tree: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """For each row the trees whose small nodes have its pairs first: those before its own, or all if its own node was large."""
+    own_small = (small >> tree) & 1
+    trees = np.arange(TREES)
+    return (((small[:, None] >> trees) & 1) == 1) & ((trees < tree[:, None]) | (own_small == 0)[:, None])
+
+
+def _pairs(path: np.ndarray, tree: np.ndarray, small: np.ndarray, tokens: np.ndarray, size: np.ndarray, least: int):
+    """Candidate pairs of rows that no small node of another tree has first: distance and rows."""
+    first = _elsewhere(tree, small)
+    for d, i, heads in _candidates(tokens, size, least, path):
+        yield d, i[~(heads & first[i]).any(axis=1)]
+
+
 def _leaf_members(least: int):
-    """Of each leaf the documents with a pair that is worth a look at the full sets; a pair that a small node of an earlier tree has too is left to that one."""
+    """Of each leaf the documents with a pair that is worth a look at the full sets."""
 
     def run(rows: pa.Table) -> pa.RecordBatch:
-        path, tree = rows.column("path").to_numpy(), rows.column("tree").to_numpy()
-        tokens, small = _tokens(rows.column("tokens")), rows.column("small").to_numpy()
-        size = rows.column("n_shingles").to_numpy()
+        path, tree, small, size = (rows.column(c).to_numpy() for c in ("path", "tree", "small", "n_shingles"))
         wanted = np.zeros(len(path), dtype=bool)
-        # Trees whose small nodes go first: those before the row's own, or all if the row's own node was large.
-        own_small = (small >> tree) & 1
-        first = (small[:, None] >> np.arange(TREES)) & 1 & ((np.arange(TREES) < tree[:, None]) | (own_small == 0)[:, None])
-        for d, i, _, heads in _candidates(tokens, size, least, path):
-            own = ~(heads & first[i].astype(bool)).any(axis=1)
-            wanted[i[own]] = wanted[i[own] + d] = True
-        at = np.flatnonzero(wanted)
-        return pa.RecordBatch.from_arrays([pa.array(path[at]), rows.column("doc_id").take(pa.array(at)).combine_chunks()], names=["path", "doc_id"])
+        for d, i in _pairs(path, tree, small, _tokens(rows.column("tokens")), size, least):
+            wanted[i] = wanted[i + d] = True
+        at = pa.array(np.flatnonzero(wanted))
+        names = ["path", "tree", "small", "doc_id"]
+        return pa.RecordBatch.from_arrays([rows.column(c).take(at).combine_chunks() for c in names], names=names)
 
     return per_group(run, "path")
 
@@ -114,15 +122,17 @@ def _confirm(least: int, percent: int):
         for piece in pieces(rows.column("text")):
             x, bounds = shingle_sets(piece)
             sets += [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-        size = np.diff(bounds)
-        tokens = minwise(np.concatenate(sets), bounds)
-        found = list(_candidates(tokens, size, least, rows.column("path").to_numpy()))
+        size = np.array([len(x) for x in sets])
+        flat, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
+        path, tree, small = (rows.column(c).to_numpy() for c in ("path", "tree", "small"))
+        found = [(d, i) for d, i in _pairs(path, tree, small, minwise(flat, bounds), size, least) if len(i)]
         if not found:
             return None
-        a = np.concatenate([i for _, i, _, _ in found])
-        b = np.concatenate([i + d for d, i, _, _ in found])
-        order = np.argsort(-np.concatenate([n for _, _, n, _ in found]), kind="stable")
+        a, b = np.concatenate([i for _, i in found]), np.concatenate([i + d for d, i in found])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        distinct, place = np.unique(flat, return_inverse=True)
+        mark = np.zeros(len(distinct), dtype=bool)
         root = list(range(len(sets)))
 
         def top(x: int) -> int:
@@ -132,16 +142,22 @@ def _confirm(least: int, percent: int):
             return x
 
         links = []
-        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            x, y = top(i), top(j)
-            if x != y:
-                few, many = sorted((sets[i], sets[j]), key=len)
-                at = np.searchsorted(many, few)
-                at[at == len(many)] = 0
-                common = int((many[at] == few).sum())
-                if 100 * common >= percent * (len(few) + len(many) - common):
-                    root[x] = y
-                    links.append((i, j))
+        cuts = np.flatnonzero(np.diff(a)) + 1
+        for i, others in zip(a[np.concatenate(([0], cuts))].tolist(), np.split(b, cuts), strict=True):
+            # One set against its candidates at once: its shingles are marked, and theirs looked up.
+            own = place[bounds[i] : bounds[i + 1]]
+            mark[own] = True
+            for part in np.array_split(others, len(others) // 256 + 1):
+                length = size[part]
+                begin = np.cumsum(length) - length
+                at = np.repeat(bounds[part] - begin, length) + np.arange(int(length.sum()))
+                common = np.add.reduceat(mark[place[at]].astype(np.int64), begin)
+                for j in part[100 * common >= percent * (size[i] + length - common)].tolist():
+                    x, y = top(i), top(j)
+                    if x != y:
+                        root[x] = y
+                        links.append((i, j))
+            mark[own] = False
         if not links:
             return None
         ids = rows.column("doc_id")
@@ -196,7 +212,7 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
         leaves = leaves.unionByName(pairs.withColumn("path", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks"))).drop("own", "other"))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = leaves.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_leaf_members(least), "path long, doc_id long").distinct()
+    members = leaves.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_leaf_members(least), "path long, tree int, small int, doc_id long").distinct()
     with_text = cut(members).join(source, "doc_id")
     links = with_text.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
     return rows, links

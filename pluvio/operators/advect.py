@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +47,37 @@ def motion_at(lat: Column, lon: Column, km: float = NCC_CELL_KM) -> Column:
     return F.coalesce(idw(F.col("anchors"), at_lat, at_lon), F.col("background"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+def carried_to(lat: Column, lon: Column, m: Column, minutes: Column, back: bool = False) -> Column:
+    """``lat, lon`` of a place moved by ``m`` (u, v) for some minutes, or, if ``m`` is under 0.1 km/h or null, null."""
+
+    def go(way: Column) -> Column:
+        turn = F.pmod(way["turn"] + (180.0 if back else 0.0), F.lit(360.0))
+        to_lat, to_lon = geo.destination(lat, lon, turn, way["speed"] * minutes / 60.0)
+        return F.when(way["speed"] >= 0.1, F.struct(to_lat.alias("lat"), to_lon.alias("lon")))
+
+    def way(v: Column) -> Column:
+        turn, speed = geo.from_uv(v["u"], v["v"])
+        return bound(F.struct(turn.alias("turn"), speed.alias("speed")), go)
+
+    return bound(m, way)
+
+
 def departures(rows: DataFrame, steps: int = 3) -> DataFrame:
     """``rows`` (pin_lat, pin_lon, anchors, background, t) with ``at_lat, at_lon``, whence the air over the pin left ``t`` minutes ago; three fixed-point steps, fewer where it stands still."""
-    out = rows.withColumns({"at_lat": F.col("pin_lat"), "at_lon": F.col("pin_lon"), "go": F.col("t") > 0})
-    for _ in range(steps):
-        out = out.withColumn("m", motion_at(F.col("at_lat"), F.col("at_lon")))
-        turn, speed = geo.from_uv(F.col("m.u"), F.col("m.v"))
-        out = out.withColumns({"turn": turn, "speed": speed}).withColumn("go", F.col("go") & F.coalesce(F.col("speed") >= 0.1, F.lit(False)))
-        lat, lon = geo.destination("pin_lat", "pin_lon", F.pmod(F.col("turn") + 180.0, F.lit(360.0)), F.col("speed") * F.col("t") / 60.0)
-        out = out.withColumns({"n_lat": lat, "n_lon": lon}).withColumns({"at_lat": F.when(F.col("go"), F.col("n_lat")).otherwise(F.col("at_lat")), "at_lon": F.when(F.col("go"), F.col("n_lon")).otherwise(F.col("at_lon"))})
-    return out.drop("go", "m", "turn", "speed", "n_lat", "n_lon")
+
+    def step(s: Column, _: Column) -> Column:
+        to = carried_to(F.col("pin_lat"), F.col("pin_lon"), motion_at(s["lat"], s["lon"]), F.col("t"), back=True)
+        went = lambda x: F.when(x.isNotNull(), F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), F.lit(True).alias("go"))).otherwise(F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"), F.lit(False).alias("go")))
+        return F.when(s["go"], bound(to, went)).otherwise(s)
+
+    begin = F.struct(F.col("pin_lat").cast("double").alias("lat"), F.col("pin_lon").cast("double").alias("lon"), (F.col("t") > 0).alias("go"))
+    found = rows.withColumn("__at", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step))
+    return found.withColumns({"at_lat": F.col("__at.lat"), "at_lon": F.col("__at.lon")}).drop("__at")
 
 
 def timeline(samples: DataFrame, pins: DataFrame) -> DataFrame:
@@ -70,13 +93,12 @@ def timeline(samples: DataFrame, pins: DataFrame) -> DataFrame:
     away = F.when(F.col("moving") & (F.col("t") > 0), geo.haversine("pin_lat", "pin_lon", "at_lat", "at_lon")).otherwise(0.0)
     at = at.withColumns({"reach": OVER_KM * 0.75 + F.least(0.15 * away, F.lit(6.0)), "known": geo.covered("at_lat", "at_lon")}).drop("anchors", "background")
     near = within(samples, pins.select("pin_id", "pin_lat", "pin_lon", "anchors", "background", F.col("pin_lat").alias("lat"), F.col("pin_lon").alias("lon")), TRACK_KM + OVER_KM)
-    turn, speed = geo.from_uv(F.col("m.u"), F.col("m.v"))
-    near = near.withColumn("m", motion_at(F.col("s_lat"), F.col("s_lon"))).select("pin_id", "s_lat", "s_lon", rate_of_sample(F.col("rate"), F.col("level")).alias("r"), turn.alias("turn"), speed.alias("speed"))
-    carried = near.join(at, "pin_id")
-    to_lat, to_lon = geo.destination("s_lat", "s_lon", "turn", F.col("speed") * F.col("t") / 60.0)
-    goes = F.coalesce(F.col("speed") >= 0.1, F.lit(False)) & F.col("moving") & (F.col("t") > 0)
-    d = F.when(goes, geo.haversine(to_lat, to_lon, "pin_lat", "pin_lon")).otherwise(geo.haversine("s_lat", "s_lon", "at_lat", "at_lon"))
-    mean = carried.where(d <= F.col("reach")).groupBy("pin_id", "t").agg(F.avg("r").alias("r"))
+    near = near.withColumn("m", motion_at(F.col("s_lat"), F.col("s_lon"))).select("pin_id", "s_lat", "s_lon", rate_of_sample(F.col("rate"), F.col("level")).alias("r"), "m")
+    joined = near.join(at, "pin_id")
+    to = F.when(F.col("moving") & (F.col("t") > 0), carried_to(F.col("s_lat"), F.col("s_lon"), F.col("m"), F.col("t")))
+    d = bound(to, lambda x: F.when(x.isNotNull(), geo.haversine(x["lat"], x["lon"], "pin_lat", "pin_lon")).otherwise(geo.haversine("s_lat", "s_lon", "at_lat", "at_lon")))
+    carried = joined.withColumn("d", d)
+    mean = carried.where("d <= reach").groupBy("pin_id", "t").agg(F.avg("r").alias("r"))
     found = at.join(mean, ["pin_id", "t"], "left")
     lost = ~F.col("known") & (F.col("r").isNull() | ~F.col("moving") | (F.col("t") == 0))
     rate = F.when(lost, 0.0).otherwise(F.coalesce("r", F.lit(0.0)))

@@ -75,3 +75,13 @@ def nearest_city(points: DataFrame, cities: DataFrame, km: float = 30.0) -> Data
 def opacity(age_min: Column) -> Column:
     """How a strike fades over 15 minutes."""
     return F.when(age_min < 0, 0.95).when(age_min > 15, 0.0).otherwise(0.95 - 0.8 * age_min / 15.0)
+
+
+def county_features(counties: DataFrame, degrees: DataFrame) -> DataFrame:
+    """``t, feature``: each county (``t, n, g``: polygons of rings of points) with a degree, as GeoJSON; one polygon alone is a ``Polygon``."""
+    found = counties.join(degrees.where("degree > 0"), F.col("t") == F.col("teryt"))
+    properties = F.struct("t", "n", "degree")
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.element_at("g", 1).alias("coordinates")))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("g").alias("coordinates")))
+    geometry = F.when(F.size("g") == 1, one).otherwise(many)
+    return found.select("t", F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))

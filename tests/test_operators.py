@@ -1,0 +1,73 @@
+"""Alert episodes, their stream, feeds and matched cells on small scenes."""
+
+from __future__ import annotations
+
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from pluvio.operators import growth
+from pluvio.plans.fixtures import Scene
+from pluvio.sources import feeds, wire
+from pluvio.streaming import alerts
+
+OVER = {"radar_time": 0, "eta": 0, "nearest_km": 3.0, "pin_level": 2, "level": 2, "will_hit": True, "approaching": False, "receding": False, "chance": 90}
+COMING = {**OVER, "eta": 20, "nearest_km": 30.0, "pin_level": 0, "approaching": True}
+CLEAR = {**OVER, "eta": None, "nearest_km": None, "pin_level": 0, "level": 0, "will_hit": False, "chance": 10}
+
+
+def fired(*looks):
+    memory, out = alerts.Memory(), []
+    for threat, minute in looks:
+        kind, memory, _ = alerts.step({**threat, "radar_time": minute * 60}, alerts.Settings(), memory, minute * 60)
+        out.append(kind)
+    return out
+
+
+def test_an_episode_tells_each_stage_once():
+    assert fired((COMING, 0), (COMING, 5), (OVER, 10), (OVER, 15), (CLEAR, 20), (CLEAR, 22), (CLEAR, 24), (CLEAR, 30)) == ["incoming", None, "now", None, None, None, "allclear", None]
+
+
+def test_old_radar_changes_nothing():
+    memory = alerts.Memory(episode=1.0, stage="incoming", qualified_at=1.0)
+    assert alerts.step({**OVER, "radar_time": 0}, alerts.Settings(), memory, 31 * 60) == (None, memory, "stale")
+
+
+def test_an_episode_fades_without_a_word():
+    assert fired((COMING, 0), ({**CLEAR, "approaching": True}, 46), (COMING, 50)) == ["incoming", None, "incoming"]
+
+
+def test_the_stream_fires_what_the_replay_fires(spark, tmp_path):
+    trace = Scene(spark, f"{DATA}/sf0.001").threats().withColumn("ts", F.col("ts").cast("timestamp"))
+    trace.repartition(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(trace.schema).parquet(str(tmp_path / "in"))
+    run = alerts.stream(source).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spark.table("fired")) == rows(alerts.replay(trace)) != []
+
+
+def test_rate_limit_counts_allowed_calls_alone(spark):
+    calls = spark.createDataFrame([(1, s) for s in (0, 10, 20, 61, 65, 71)] + [(2, 0)], "client long, s long").select("client", F.timestamp_seconds("s").alias("ts"))
+    got = {(r["client"], r["ts"].second + 60 * r["ts"].minute): r["allowed"] for r in alerts.rate_limited(calls, 2, 60).collect()}
+    assert got == {(1, 0): True, (1, 10): True, (1, 20): False, (1, 61): True, (1, 65): False, (1, 71): True, (2, 0): True}
+
+
+def test_strike_files_of_any_shape(spark):
+    files = [("2026.08.31.12.51.ld.csv", "Szer;Dług;Czas\n52.1;21.5;2026-08-31 12:50:01\n99;1;x"), ("2026.08.31.12.52.ld.csv", "21.5,52.1\r\n\r\n"), ("2026.08.31.12.53.ld.csv", "<html>"), ("2026.08.31.12.54.ld.csv", None), ("odd", "52,21")]
+    got = [(r["lat"], r["lon"], r["at"].strftime("%H:%M:%S")) for r in feeds.strikes(spark.createDataFrame(files, "name string, body string")).orderBy("at").collect()]
+    assert got == [(52.1, 21.5, "12:50:01"), (52.1, 21.5, "12:52:00")]
+
+
+def test_packed_frames_end_with_a_partial_record(spark):
+    whole = spark.createDataFrame([(1, 52.123, 10.0, 3, 4.26), (1, 48.0, 20.0, 1, None)], "frame_time long, lat double, lon double, level int, rate double")
+    packed = wire.pack(whole).withColumn("packed", F.base64(F.concat(F.unbase64("packed"), F.lit(b"abc"))))
+    got = [tuple(round(x, 3) for x in r) for r in packed.select(F.inline(wire.unpack(F.col("packed")))).collect()]
+    assert got == [(52.123, 11.0, 3, 4.3), (48.0, 20.0, 1, 0.0)]
+    assert spark.range(1).select(F.size(wire.unpack(F.lit(None).cast("string"))).alias("n")).first()["n"] == 0
+
+
+def test_cells_match_one_to_one(spark):
+    trails = spark.createDataFrame([(1, 0, 1), (1, 300, 2)], "trail_id long, frame_time long, mass_id long")
+    members = spark.createDataFrame([(0, 1, 52.0, 20.0, 1, 1.0), (0, 1, 52.0, 20.05, 1, 2.0), (300, 2, 52.1, 20.1, 1, 3.0), (300, 2, 52.1, 20.15, 1, 5.0)], "frame_time long, mass_id long, lat double, lon double, level int, rate double")
+    got = sorted((r["i"], r["j"], r["change"]) for r in growth.matched_cells(trails, members).collect())
+    assert got == [(1, 1, 2.0), (2, 2, 3.0)]

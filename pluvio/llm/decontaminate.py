@@ -20,6 +20,8 @@ UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg ton to
 gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh""".split()
 NUMBER, UNIT, NAME = 1, 2, 3
 SLOT = mix(np.arange(100, 104, dtype=np.uint64))
+#: Keeps hashes of words apart from those of templates.
+VERBATIM = np.uint64(1 << 32)
 
 _IS_DIGIT = np.zeros(256, dtype=bool)
 _IS_DIGIT[48:58] = True
@@ -76,6 +78,7 @@ class Template:
             follows[self.bounds[:-1][self.bounds[:-1] < n]] = False
             kind[follows & np.isin(word, _UNIT_HASHES)] = UNIT
         self.kind = kind
+        self.literal = word
         self.word = np.where(kind > 0, SLOT[kind], word)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +90,11 @@ class Template:
         at = np.flatnonzero(ok & (2 * (slots[length:] - slots[:-length]) <= length))
         return at, mix(hash_runs(self.word, length)[at] + np.uint64(length))
 
+    def verbatim(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of ``length`` tokens within one text, by their words in lower case."""
+        at = np.flatnonzero(inside(self.bounds, self.n, length))
+        return at, mix(hash_runs(self.literal, length)[at] + VERBATIM + np.uint64(length))
+
     def slots(self, start: int, length: int) -> list[str]:
         """What stands in the slots of a window."""
         return [self.low[self.starts[i] : self.stops[i]].tobytes().decode("utf-8", "replace") for i in range(start, start + length) if self.kind[i]]
@@ -112,8 +120,8 @@ def _windows(lengths: list[int], wanted, whole: bool):
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
         t = Template(piece)
         ids, out = rows.column(0).to_pylist(), []
-        for length in lengths:
-            at, h = t.windows(length)
+        for length, literal in [(n, x) for n in lengths for x in (False, True)]:
+            at, h = t.verbatim(length) if literal else t.windows(length)
             if wanted is not None:
                 hit = wanted.value[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                 at, h = at[hit], h[hit]
@@ -121,23 +129,27 @@ def _windows(lengths: list[int], wanted, whole: bool):
             for i, key, k in zip(at.tolist(), h.view(np.int64).tolist(), text.tolist(), strict=True):
                 if whole and length < WINDOW and t.bounds[k + 1] - t.bounds[k] != length:
                     continue
-                out.append((ids[k], i - int(t.bounds[k]), key, t.slots(i, length)))
+                out.append((ids[k], i - int(t.bounds[k]), key, literal, [] if literal else t.slots(i, length)))
         if not out:
             return None
-        a, b, c, d = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.string()))], names=["id", "at", "h", "slots"])
+        a, b, c, d, e = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.bool_()), pa.array(e, pa.list_(pa.string()))], names=["id", "at", "h", "literal", "slots"])
 
     return per_piece(run)
 
 
+_COLUMNS = "id long, at long, h long, literal boolean, slots array<string>"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The benchmark items that each document repeats, with other numbers, names or units or with the same.
 
     Texts become templates (``Template``). Windows of ``WINDOW`` tokens of documents and items are
     joined by hash; an item shorter than that, of ``SHORTEST`` tokens at least, is one window. Of
     all windows of a document and an item at one distance, the slots must map one to one: equal
-    values to equal values, unequal ones to unequal ones. Windows with more slots than words count
-    for nothing.
+    values to equal values, unequal ones to unequal ones. Windows with more slots than words have
+    no template. Every window is looked up by its words in lower case too, and one that is the same
+    word for word counts whatever its slots and its case.
 
     A null or empty text repeats nothing, nor does an item without text. Documents of one id are
     judged together; rows without id are left out. Repeated items, and items under one id, count
@@ -148,21 +160,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     short = items.select("text").mapInArrow(per_piece(_lengths), "n long").where(f"n >= {SHORTEST} and n < {WINDOW}").distinct()
     lengths = [WINDOW, *(r.n for r in short.orderBy("n").collect())]  # at most WINDOW - SHORTEST rows
-    wanted = cut(items.mapInArrow(_windows(lengths, None, True), "id long, at long, h long, slots array<string>").distinct())
+    wanted = cut(items.mapInArrow(_windows(lengths, None, True), _COLUMNS).distinct())
     found = wanted.select(F.shiftrightunsigned("h", 64 - BITS).alias("p")).distinct().toArrow().column("p").to_numpy()  # at most 2**BITS rows
     table = np.zeros(1 << BITS, dtype=bool)
     table[found] = True
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    near = rows.mapInArrow(_windows(lengths, shared, False), "id long, at long, h long, slots array<string>")
+    near = rows.mapInArrow(_windows(lengths, shared, False), _COLUMNS)
     item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     if wanted.count() <= BROADCAST_WINDOWS:
         item = F.broadcast(item)
     pairs = near.join(item, "h").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(F.countDistinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
+    pairs = pairs.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "literal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
     one_to_one = (F.size(F.array_distinct("slots.item_slots")) == F.size("slots")) & (F.size(F.array_distinct("slots.slots")) == F.size("slots"))
     other = F.exists("slots", lambda x: x["item_slots"] != x["slots"])
-    return pairs.where(one_to_one).groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.sum("n_windows").alias("n_windows"), F.min(other).alias("reparameterised"))
+    at_once = pairs.where(one_to_one).groupBy("id", "item_id", "distance").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_windows"), F.max(other).alias("other"))
+    return at_once.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.sum("n_windows").alias("n_windows"), F.min("other").alias("reparameterised"))
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -230,6 +230,17 @@ def test_templates_catch_other_numbers_and_names(spark):
     assert got == {(1, 7): False, (2, 7): True}
 
 
+def test_windows_of_slots_count_word_for_word(spark):
+    item = "a train leaves the old station in the morning and travels far before it stops to wait"
+    names = "Anna Bert Carl Dora Emil Fred Gina Hans Inge Jack Kurt Lena Mark"
+    sums = "12 34 56 78 90 11 22 33 44 55 66 77 88"
+    texts = [f"X {item.upper()} X", f"x {item.title()} x", f"x {names} x", f"x {sums} x", f"x {sums.replace('55', '54')} x", f"x {names[::-1].title()} x"]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(7, item), (8, names), (9, sums)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["reparameterised"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(0, 7): (6, False), (1, 7): (6, False), (2, 8): (2, False), (3, 9): (2, False)}
+
+
 def test_chat_parts_and_round_trip(spark):
     parts = [("text", "look <|im_end|>", None, None, None, None, None), ("image", None, "pic.png", 56, 57, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", "plain", None, None, None, None, None)]
     turns = spark.createDataFrame([(1, 0, "user", None, parts), (1, 1, "assistant", "fine <\\| <|x|>", None), (2, None, None, None, None)], f"conv_id long, turn long, role string, text string, parts {PARTS}")

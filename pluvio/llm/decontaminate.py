@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pluvio.llm.runtime import cut
 from pluvio.llm.words import IS_BLANK, LOWER, Piece, hash_runs, hash_words, inside, mix, per_piece
@@ -119,7 +120,7 @@ def _windows(lengths: list[int], wanted, whole: bool):
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
         t = Template(piece)
-        ids, out = rows.column(0).to_pylist(), []
+        ids, of, out = rows.column("id").to_pylist(), rows.column("of").to_pylist(), []
         for length, literal in [(n, x) for n in lengths for x in (False, True)]:
             at, h = t.verbatim(length) if literal else t.windows(length)
             if wanted is not None:
@@ -129,16 +130,16 @@ def _windows(lengths: list[int], wanted, whole: bool):
             for i, key, k in zip(at.tolist(), h.view(np.int64).tolist(), text.tolist(), strict=True):
                 if whole and length < WINDOW and t.bounds[k + 1] - t.bounds[k] != length:
                     continue
-                out.append((ids[k], i - int(t.bounds[k]), key, literal, [] if literal else t.slots(i, length)))
+                out.append((ids[k], of[k], i - int(t.bounds[k]), key, literal, [] if literal else t.slots(i, length)))
         if not out:
             return None
-        a, b, c, d, e = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.bool_()), pa.array(e, pa.list_(pa.string()))], names=["id", "at", "h", "literal", "slots"])
+        types = {"id": pa.int64(), "of": pa.int64(), "at": pa.int64(), "h": pa.int64(), "literal": pa.bool_(), "slots": pa.list_(pa.string())}
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
 
     return per_piece(run)
 
 
-_COLUMNS = "id long, at long, h long, literal boolean, slots array<string>"
+_COLUMNS = "id long, of long, at long, h long, literal boolean, slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -146,18 +147,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Texts become templates (``Template``). Windows of ``WINDOW`` tokens of documents and items are
     joined by hash; an item shorter than that, of ``SHORTEST`` tokens at least, is one window. Of
-    all windows of a document and an item at one distance, the slots must map one to one: equal
-    values to equal values, unequal ones to unequal ones. Windows with more slots than words have
+    each run of adjoining windows of one text and one item's text at one distance, the slots must
+    map one to one: equal values to equal values, unequal ones to unequal ones. Windows with more slots than words have
     no template. Every window is looked up by its words in lower case too, and one that is the same
     word for word counts whatever its slots and its case.
 
     A null or empty text repeats nothing, nor does an item without text. Documents of one id are
-    judged together; rows without id are left out. Repeated items, and items under one id, count
-    once. Tables may be empty; other columns are ignored.
+    judged text by text, and what is found counts together; rows without id are left out. Repeated
+    items, and items under one id, count once. Tables may be empty; other columns are ignored.
 
-    Returns ``doc_id, item_id, n_windows, reparameterised`` (whether some slot holds another value).
+    Returns ``doc_id, item_id, n_windows, reparameterised`` (whether, wherever the item is
+    found, some slot beside it holds another value).
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").withColumn("of", F.xxhash64("text"))
     short = items.select("text").mapInArrow(per_piece(_lengths), "n long").where(f"n >= {SHORTEST} and n < {WINDOW}").distinct()
     lengths = [WINDOW, *(r.n for r in short.orderBy("n").collect())]  # at most WINDOW - SHORTEST rows
     wanted = cut(items.mapInArrow(_windows(lengths, None, True), _COLUMNS).distinct())
@@ -166,16 +168,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     table[found] = True
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    near = rows.mapInArrow(_windows(lengths, shared, False), _COLUMNS)
-    item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
+    near = rows.withColumn("of", F.xxhash64("text")).mapInArrow(_windows(lengths, shared, False), _COLUMNS)
+    item = wanted.select(F.col("id").alias("item_id"), F.col("of").alias("item_of"), F.col("at").alias("item_at"), "h", F.col("literal").alias("item_literal"), F.col("slots").alias("item_slots"))
     if wanted.count() <= BROADCAST_WINDOWS:
         item = F.broadcast(item)
-    pairs = near.join(item, "h").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "literal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
+    pairs = near.join(item, "h").where((F.col("literal") == F.col("item_literal")) & (F.size("slots") == F.size("item_slots"))).withColumn("distance", F.col("at") - F.col("item_at"))
+    place = ["id", "of", "item_id", "item_of", "distance"]
+    # Windows that adjoin rise together with their rank; those of repeated rows have one rank.
+    pairs = pairs.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*place, "literal").orderBy("at")))
+    runs = pairs.groupBy(*place, "literal", "run").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
     one_to_one = (F.size(F.array_distinct("slots.item_slots")) == F.size("slots")) & (F.size(F.array_distinct("slots.slots")) == F.size("slots"))
     other = F.exists("slots", lambda x: x["item_slots"] != x["slots"])
-    at_once = pairs.where(one_to_one).groupBy("id", "item_id", "distance").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_windows"), F.max(other).alias("other"))
-    return at_once.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.sum("n_windows").alias("n_windows"), F.min("other").alias("reparameterised"))
+    ats = F.array_distinct(F.flatten(F.collect_list(F.when(one_to_one, F.col("ats")))))
+    aligned = runs.groupBy(*place).agg(ats.alias("ats"), F.max(other).alias("other")).where(F.size("ats") > 0)
+    windows = F.array_distinct(F.flatten(F.collect_list(F.transform("ats", lambda x: F.struct("distance", x.alias("at"))))))
+    return aligned.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.size(windows).cast("long").alias("n_windows"), F.min("other").alias("reparameterised"))
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -241,6 +241,18 @@ def test_windows_of_slots_count_word_for_word(spark):
     assert got == {(0, 7): (6, False), (1, 7): (6, False), (2, 8): (2, False), (3, 9): (2, False)}
 
 
+def test_one_conflict_leaves_the_other_windows(spark):
+    gap = "and then we walked along the river until the market was open again for all of us"
+    item = f"there were 5 boats on the shore {gap} while 5 birds sat near"
+    swap = "a boy named Anna gave 3 red apples to the man called Bert before noon"
+    docs = [(1, item.replace("5 boats", "6 boats")), (2, swap.replace("Anna", "Carl")), (2, swap.replace("Anna", "Dora")), (3, swap.replace("Anna", "Carl").replace("Bert", "Carl"))]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(7, item), (8, swap)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["reparameterised"]) for r in contaminated(docs, bench).collect()}
+    # Three of the windows of item 7 hold the number that was changed.
+    assert got == {(1, 7): (len(item.split()) - 11 - 3, True), (2, 8): (len(swap.split()) - 11, True)}
+
+
 def test_chat_parts_and_round_trip(spark):
     parts = [("text", "look <|im_end|>", None, None, None, None, None), ("image", None, "pic.png", 56, 57, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", "plain", None, None, None, None, None)]
     turns = spark.createDataFrame([(1, 0, "user", None, parts), (1, 1, "assistant", "fine <\\| <|x|>", None), (2, None, None, None, None)], f"conv_id long, turn long, role string, text string, parts {PARTS}")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pluvio.llm.runtime import cut
-from pluvio.llm.words import IS_BLANK, LOWER, Piece, hash_runs, hash_words, inside, mix, per_piece
+from pluvio.llm.words import GOLDEN, IS_BLANK, LOWER, Piece, hash_runs, hash_words, inside, mix, per_piece
 
 WINDOW = 12
+#: Items of fewer tokens are looked for as whole sentences or lines.
 SHORTEST = 5
 #: Bits of a window's hash by which documents' windows are looked up before the join: a table of 2 MB whatever the benchmark's size.
 BITS = 24
@@ -32,6 +33,10 @@ _IS_MARK = np.zeros(256, dtype=bool)
 _IS_MARK[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:"]] = True
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[ord(c) for c in "\n\r.!?"]] = True
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[ord(c) for c in ":\"'"]] = True
 
 
 class Template:
@@ -79,25 +84,46 @@ class Template:
             follows[self.bounds[:-1][self.bounds[:-1] < n]] = False
             kind[follows & np.isin(word, _UNIT_HASHES)] = UNIT
         self.kind = kind
+        self.first, self.last = first, np.flatnonzero(keep)[stops - 1]
         self.literal = word
         self.word = np.where(kind > 0, SLOT[kind], word)
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of ``length`` tokens within one text, half of them words at least."""
+    def windows(self, length: int) -> list[tuple[np.ndarray, np.ndarray, int | None]]:
+        """Windows of ``length`` tokens within one text: starts, hashes, and from which of their tokens slots count, None for windows by their words.
+
+        All windows by their words in lower case, or, of fewer than ``SHORTEST`` tokens, those that
+        are whole sentences or lines. Otherwise also those with a template, half of them words at
+        least; one that begins with a name has another in which its first token is a word, as it is
+        where it opens a text.
+        """
         ok = inside(self.bounds, self.n, length)
         if not len(ok):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return []
+        size = np.uint64(length)
+        at = np.flatnonzero(ok & self._whole(length) if length < SHORTEST else ok)
+        out = [(at, mix(hash_runs(self.literal, length)[at] + VERBATIM + size), None)]
+        if length < SHORTEST:
+            return out
         slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
-        at = np.flatnonzero(ok & (2 * (slots[length:] - slots[:-length]) <= length))
-        return at, mix(hash_runs(self.word, length)[at] + np.uint64(length))
-
-    def verbatim(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of all windows of ``length`` tokens within one text, by their words in lower case."""
-        at = np.flatnonzero(inside(self.bounds, self.n, length))
-        return at, mix(hash_runs(self.literal, length)[at] + VERBATIM + np.uint64(length))
+        n_slots = slots[length:] - slots[:-length]
+        rest = hash_runs(self.word[1:], length - 1)
+        for skip, first, fits in ((0, self.word, 2 * n_slots <= length), (1, self.literal, (self.kind[: len(ok)] == NAME) & (2 * (n_slots - 1) <= length))):
+            at = np.flatnonzero(ok & fits)
+            out.append((at, mix(first[at] * GOLDEN + rest[at] + size), skip))
+        return out
+
+    def _whole(self, length: int) -> np.ndarray:
+        """Which runs of ``length`` tokens begin and end as a sentence, a quotation or a line does."""
+        gap = np.concatenate(([0], self.last + 1)), np.concatenate((self.first, [len(self.raw)]))
+        edge = np.zeros(self.n + 1, dtype=bool)
+        edge[self.bounds] = True
+        within = lambda marks: (c := np.concatenate(([0], np.cumsum(marks[self.raw]))))[gap[1]] > c[gap[0]]
+        ends = edge | within(_STOPS)
+        begins = ends | within(_LEADS)
+        return begins[: self.n - length + 1] & ends[length:]
 
     def slots(self, start: int, length: int) -> list[str]:
-        """What stands in the slots of a window."""
+        """What stands in the slots of a run of tokens."""
         return [self.low[self.starts[i] : self.stops[i]].tobytes().decode("utf-8", "replace") for i in range(start, start + length) if self.kind[i]]
 
 
@@ -121,8 +147,7 @@ def _windows(lengths: list[int], wanted, whole: bool):
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
         t = Template(piece)
         ids, of, out = rows.column("id").to_pylist(), rows.column("of").to_pylist(), []
-        for length, literal in [(n, x) for n in lengths for x in (False, True)]:
-            at, h = t.verbatim(length) if literal else t.windows(length)
+        for length, (at, h, skip) in ((n, w) for n in lengths for w in t.windows(n)):
             if wanted is not None:
                 hit = wanted.value[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                 at, h = at[hit], h[hit]
@@ -130,7 +155,7 @@ def _windows(lengths: list[int], wanted, whole: bool):
             for i, key, k in zip(at.tolist(), h.view(np.int64).tolist(), text.tolist(), strict=True):
                 if whole and length < WINDOW and t.bounds[k + 1] - t.bounds[k] != length:
                     continue
-                out.append((ids[k], of[k], i - int(t.bounds[k]), key, literal, [] if literal else t.slots(i, length)))
+                out.append((ids[k], of[k], i - int(t.bounds[k]), key, skip is None, [] if skip is None else t.slots(i + skip, length - skip)))
         if not out:
             return None
         types = {"id": pa.int64(), "of": pa.int64(), "at": pa.int64(), "h": pa.int64(), "literal": pa.bool_(), "slots": pa.list_(pa.string())}
@@ -146,7 +171,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The benchmark items that each document repeats, with other numbers, names or units or with the same.
 
     Texts become templates (``Template``). Windows of ``WINDOW`` tokens of documents and items are
-    joined by hash; an item shorter than that, of ``SHORTEST`` tokens at least, is one window. Of
+    joined by hash; an item shorter than that is one window, and one of fewer than ``SHORTEST``
+    tokens counts word for word alone, where it is a whole sentence, quotation or line. A name that
+    begins a window is looked up as a word too, for it may have opened the item. Of
     each run of adjoining windows of one text and one item's text at one distance, the slots must
     map one to one: equal values to equal values, unequal ones to unequal ones. Windows with more slots than words have
     no template. Every window is looked up by its words in lower case too, and one that is the same
@@ -160,8 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found, some slot beside it holds another value).
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").withColumn("of", F.xxhash64("text"))
-    short = items.select("text").mapInArrow(per_piece(_lengths), "n long").where(f"n >= {SHORTEST} and n < {WINDOW}").distinct()
-    lengths = [WINDOW, *(r.n for r in short.orderBy("n").collect())]  # at most WINDOW - SHORTEST rows
+    short = items.select("text").mapInArrow(per_piece(_lengths), "n long").where(f"n > 0 and n < {WINDOW}").distinct()
+    lengths = [WINDOW, *(r.n for r in short.orderBy("n").collect())]  # at most WINDOW - 1 rows
     wanted = cut(items.mapInArrow(_windows(lengths, None, True), _COLUMNS).distinct())
     found = wanted.select(F.shiftrightunsigned("h", 64 - BITS).alias("p")).distinct().toArrow().column("p").to_numpy()  # at most 2**BITS rows
     table = np.zeros(1 << BITS, dtype=bool)

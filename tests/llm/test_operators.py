@@ -253,6 +253,17 @@ def test_one_conflict_leaves_the_other_windows(spark):
     assert got == {(1, 7): (len(item.split()) - 11 - 3, True), (2, 8): (len(swap.split()) - 11, True)}
 
 
+def test_short_items_are_found(spark):
+    texts = [
+        'He asked, "Which river flows through Boston?" and left.', "They say Which river flows through Denver these days", "which river flows slowly through Boston", "Well: who am I?\nNobody.", 'He said "Who am I?" twice', "tell me who am I to say", "who\nam I", "so 2 + 2 = 4\n2 + 2 = 4\n", "Yes.", "yes of course",
+        "it goes Every day the boats leave from this old port early here",
+    ]
+    items = [(1, "Which river flows through Boston?"), (2, "Who am I?"), (3, "2 + 2 = 4"), (4, "yes"), (5, "Every day the boats leave from this old port early"), (6, "?")]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["reparameterised"]) for r in contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): (1, False), (1, 1): (1, True), (3, 2): (1, False), (4, 2): (1, False), (6, 2): (1, False), (7, 3): (1, False), (8, 4): (1, False), (10, 5): (1, False)}
+
+
 def test_chat_parts_and_round_trip(spark):
     parts = [("text", "look <|im_end|>", None, None, None, None, None), ("image", None, "pic.png", 56, 57, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", "plain", None, None, None, None, None)]
     turns = spark.createDataFrame([(1, 0, "user", None, parts), (1, 1, "assistant", "fine <\\| <|x|>", None), (2, None, None, None, None)], f"conv_id long, turn long, role string, text string, parts {PARTS}")

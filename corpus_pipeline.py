@@ -20,6 +20,9 @@ ORACLE_SQL = None
 #: A text whose best language has less than this share of the probability is in no language that was learned.
 LEAST_SCORE = 0.3
 
+#: Sets of five-word shingles are near-duplicates from this similarity on.
+NEAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones among them teach; texts without letters go."""
@@ -29,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id; rows of one id go together, rows without id stay."""
-    kept = near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -17,7 +17,7 @@ N_TOKENS = 128
 TREES = 12
 #: Nodes of up to so many documents are compared exhaustively.
 LEAF = 2500
-#: Children of a document in a larger node. With links at 0.85, more than one expected child keeps both ends.
+#: Children of a document in a larger node. With links at 0.8 or 0.85, more than one expected child keeps both ends.
 BRANCHES = 2
 DEPTH = 4
 
@@ -67,13 +67,13 @@ def _sign(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), heads, packed], names=["doc_id", "n_shingles", "k1", "k2", "heads", "tokens"])
 
 
-def _candidates(tokens: np.ndarray, size: np.ndarray, least: int, same: np.ndarray):
+def _candidates(tokens: np.ndarray, size: np.ndarray, least: int, percent: int, same: np.ndarray):
     """Row pairs of one group (``same``: the group of each row, ascending) with ``least`` equal tokens and sizes that allow a link: by distance, the rows and which of their first tokens are equal."""
     for d in range(1, len(same)):
         i = np.flatnonzero(same[:-d] == same[d:])
         if not len(i):
             return
-        i = i[100 * np.minimum(size[i], size[i + d]) >= 85 * np.maximum(size[i], size[i + d])]
+        i = i[100 * np.minimum(size[i], size[i + d]) >= percent * np.maximum(size[i], size[i + d])]
         for part in np.array_split(i, len(i) // 4096 + 1):
             equal = tokens[part] == tokens[part + d]
             hit = equal.sum(axis=1) >= least
@@ -92,20 +92,20 @@ def _elsewhere(tree: np.ndarray, small: np.ndarray) -> np.ndarray:
     return (((small[:, None] >> trees) & 1) == 1) & ((trees < tree[:, None]) | (own_small == 0)[:, None])
 
 
-def _pairs(path: np.ndarray, tree: np.ndarray, small: np.ndarray, tokens: np.ndarray, size: np.ndarray, least: int):
+def _pairs(path: np.ndarray, tree: np.ndarray, small: np.ndarray, tokens: np.ndarray, size: np.ndarray, least: int, percent: int):
     """Candidate pairs of rows that no small node of another tree has first: distance and rows."""
     first = _elsewhere(tree, small)
-    for d, i, heads in _candidates(tokens, size, least, path):
+    for d, i, heads in _candidates(tokens, size, least, percent, path):
         yield d, i[~(heads & first[i]).any(axis=1)]
 
 
-def _leaf_members(least: int):
+def _leaf_members(least: int, percent: int):
     """Of each leaf the documents with a pair that is worth a look at the full sets."""
 
     def run(rows: pa.Table) -> pa.RecordBatch:
         path, tree, small, size = (rows.column(c).to_numpy() for c in ("path", "tree", "small", "n_shingles"))
         wanted = np.zeros(len(path), dtype=bool)
-        for d, i in _pairs(path, tree, small, _tokens(rows.column("tokens")), size, least):
+        for d, i in _pairs(path, tree, small, _tokens(rows.column("tokens")), size, least, percent):
             wanted[i] = wanted[i + d] = True
         at = pa.array(np.flatnonzero(wanted))
         names = ["path", "tree", "small", "doc_id"]
@@ -125,7 +125,7 @@ def _confirm(least: int, percent: int):
         size = np.array([len(x) for x in sets])
         flat, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
         path, tree, small = (rows.column(c).to_numpy() for c in ("path", "tree", "small"))
-        found = [(d, i) for d, i in _pairs(path, tree, small, minwise(flat, bounds), size, least) if len(i)]
+        found = [(d, i) for d, i in _pairs(path, tree, small, minwise(flat, bounds), size, least, percent) if len(i)]
         if not found:
             return None
         a, b = np.concatenate([i for _, i in found]), np.concatenate([i + d for d, i in found])
@@ -178,7 +178,9 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     ``LEAF`` documents branches on, ``BRANCHES`` tokens a level that hashing its path selects, up
     to ``DEPTH`` levels; what is still large then is compared block against block, which is slow
     but whole. Leaves compare tokens exhaustively. A linked pair meets in no small node with
-    probability 0.15**12, and agrees in fewer than 90 of 128 tokens with probability below 1e-5.
+    probability ``(1 - percent / 100) ** TREES`` at most, below 1e-8 from 79 percent on, and agrees
+    in fewer tokens than ``least``, 4.6 standard deviations below the mean, with probability of
+    about 1e-5.
     Every link that counts is confirmed on the full sets.
     """
     least = max(1, int(N_TOKENS * (percent / 100 - 4.6 * (percent / 100 * (1 - percent / 100) / N_TOKENS) ** 0.5)))
@@ -212,7 +214,7 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
         leaves = leaves.unionByName(pairs.withColumn("path", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks"))).drop("own", "other"))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = leaves.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_leaf_members(least), "path long, tree int, small int, doc_id long").distinct()
+    members = leaves.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_leaf_members(least, percent), "path long, tree int, small int, doc_id long").distinct()
     with_text = cut(members).join(source, "doc_id")
     links = with_text.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
     return rows, links

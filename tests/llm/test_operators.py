@@ -131,6 +131,23 @@ def test_near_equals_brute_force(spark):
     assert got == brute_near([tuple(r) for r in docs.collect()])
 
 
+def test_pipeline_near_duplicates_from_four_fifths(spark):
+    """Against brute force at 0.8: pairs at and just above it, below it, and sets whose sizes alone are under 0.85."""
+    rows = [(100 * g + n, " ".join(f"g{g}w{i}" for i in range(n))) for g, sizes in enumerate([(84, 104), (84, 105), (85, 104), (60, 72, 86)], 1) for n in sizes]
+    rows += [(900 + k, " ".join([f"e{i}" for i in range(60)][:k] + ["z"] + [f"e{i}" for i in range(k + 1, 60)])) for k in (20, 40)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], DOCS)
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
+    assert got == set(root.values()) and len(got) < len(rows)
+    assert {r["doc_id"] for r in near_dedup(docs).where("kept").collect()} == set(sets)
+
+
 def test_near_with_large_nodes(spark, monkeypatch):
     """Leaves so small that nodes branch, and what stays large is compared block by block."""
     from pluvio.llm import near_dedup as module

@@ -82,6 +82,13 @@ def best_ncc(s: Scene) -> DataFrame:
     return best.select("frame_time", "dx", "dy", near(F.col("score"), 5).alias("score"))
 
 
+@query(f"{_shifted(_ALL)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
+def ncc_shift_all(s: Scene) -> DataFrame:
+    """The score of each of the 49 shifts in reach."""
+    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in range(-3, 4) for y in range(-3, 4)])
+    return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
+
+
 @query()
 def pair_motion(s: Scene) -> DataFrame:
     """Motion between each two consecutive frames around one point, by the array kernel."""
@@ -168,18 +175,32 @@ def idw_motion(s: Scene) -> DataFrame:
     return rows.select("pin_id", near(F.col("m.u"), 6).alias("u"), near(F.col("m.v"), 6).alias("v"))
 
 
-@query(f"""with {ANCHORS}, x as (select pin_id, cast(i as int) as ix, cast(j as int) as iy, lat + 0.2e0 + (j - 20) * (3 / 111e0) as plat, lon + 0.2e0 + (i - 20) * (3 / (111 * greatest(cos(radians(lat + 0.2e0)), 0.25e0))) as plon from ({PIN_SQL}) p, range(40) r(i), range(40) q(j) where pin_id < 3 and i % 4 = 0 and j % 4 = 0),
-m as ({_idw('pin_id, ix, iy', 'x.plat', 'x.plon')}) select pin_id, ix, iy, {near_sql('coalesce(u, 5)', 5)} as u, {near_sql('coalesce(v, 7)', 5)} as v from x left join m using (pin_id, ix, iy)""")
-def motion_field(s: Scene) -> DataFrame:
-    """Every fourth cell of the field around three pins; (5, 7) in the background."""
-    rows = _anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2).where("pin_id < 3").withColumn("background", F.struct(F.lit(5.0).alias("u"), F.lit(7.0).alias("v")))
-    four = F.sequence(F.lit(0), F.lit(36), F.lit(4))
-    rows = rows.withColumn("ix", F.explode(four)).withColumn("iy", F.explode(four))
+def _field_sql(where: str) -> str:
+    return f"""with {ANCHORS}, x as (select pin_id, cast(i as int) as ix, cast(j as int) as iy, lat + 0.2e0 + (j - 20) * (3 / 111e0) as plat, lon + 0.2e0 + (i - 20) * (3 / (111 * greatest(cos(radians(lat + 0.2e0)), 0.25e0))) as plon from ({PIN_SQL}) p, range(40) r(i), range(40) q(j){where}),
+m as ({_idw('pin_id, ix, iy', 'x.plat', 'x.plon')}) select pin_id, ix, iy, {near_sql('coalesce(u, 5)', 5)} as u, {near_sql('coalesce(v, 7)', 5)} as v from x left join m using (pin_id, ix, iy)"""
+
+
+def _field(rows: DataFrame, step: int) -> DataFrame:
+    rows = rows.withColumn("background", F.struct(F.lit(5.0).alias("u"), F.lit(7.0).alias("v")))
+    cells = F.sequence(F.lit(0), F.lit(39), F.lit(step))
+    rows = rows.withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells))
     lat, lon = F.col("pin_lat") + (F.col("iy") - 20) * geo.lat_degrees(3.0), F.col("pin_lon") + (F.col("ix") - 20) * geo.lon_degrees(3.0, "pin_lat")
     m = A.motion_at(lat, lon)
     return rows.withColumn("m", m).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
 
 
+@query(_field_sql(" where pin_id < 3 and i % 4 = 0 and j % 4 = 0"))
+def motion_field(s: Scene) -> DataFrame:
+    """Every fourth cell of the field around three pins; (5, 7) in the background."""
+    return _field(_anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2).where("pin_id < 3"), 4)
+
+
+@query(_field_sql(""))
+def motion_field_whole(s: Scene) -> DataFrame:
+    """All 1,600 cells of the field around every pin; (5, 7) in the background."""
+    return _field(_anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2), 1)
+
+
 #: One motion for all: 40 km/h toward 70 degrees.
 _BACK = S.dest("p.lat", "p.lon", "250e0", "(40e0 * t / 60e0)")
 

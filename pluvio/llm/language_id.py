@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ UNKNOWN = "und"
 N_CODES = 0x3000
 WORD, LONGEST = 9, 5
 GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Texts by languages that are scored at once.
+CELLS = 1 << 21
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Of the code points below N_CODES: which are letters, and their lower case. All code points above count as letters if they are."""
+    """Of the code points below N_CODES: which are letters, and their lower case. Those above have no case and are looked up as they occur."""
     codes = [chr(i) for i in range(N_CODES)]
     is_letter = np.array([unicodedata.category(c)[0] == "L" for c in codes])
     lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(codes)], dtype=np.uint32)
@@ -38,8 +41,8 @@ def _words(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     low = code < N_CODES
     at = np.where(low, code, 0)
     letter = np.where(low, IS_LETTER[at], False)
-    for i in np.flatnonzero(~low):
-        letter[i] = unicodedata.category(chr(code[i]))[0] == "L"
+    high, which = np.unique(code[~low], return_inverse=True)
+    letter[~low] = np.array([unicodedata.category(chr(c))[0] == "L" for c in high.tolist()], dtype=bool)[which]
     code = np.where(low, LOWER[at], code)
     edge = np.zeros(len(code) + 1, dtype=bool)
     edge[ends] = True
@@ -72,12 +75,12 @@ def _grams(code: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int) -> t
     return mix(h + np.uint64(n)), word
 
 
-def _counts(langs: list[str]):
-    order = {x: i for i, x in enumerate(langs)}
+def _counts() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For texts with the number of their language, ``of``: how often each word and n-gram occurs."""
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
         code, starts, stops, text = _words(piece)
-        lang = np.array([order[x] for x in rows.column("lang").to_pylist()], dtype=np.int64)
+        lang = rows.column("of").to_numpy()
         kinds, keys, langs_of = [], [], []
         for n in (WORD, *range(LONGEST, 0, -1)):
             h, word = (_spans(code, starts, stops, WORD), np.arange(len(starts))) if n == WORD else _grams(code, starts, stops, n)
@@ -85,8 +88,8 @@ def _counts(langs: list[str]):
             keys.append(h)
             langs_of.append(lang[text[word]])
         kind, key, of = np.concatenate(kinds), np.concatenate(keys), np.concatenate(langs_of)
-        order_ = np.lexsort((of, key, kind))
-        kind, key, of = kind[order_], key[order_], of[order_]
+        order = np.lexsort((of, key, kind))
+        kind, key, of = kind[order], key[order], of[order]
         new = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (of[1:] != of[:-1])))) if len(key) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate((new, [len(key)])))
         return pa.RecordBatch.from_arrays([pa.array(kind[new].astype(np.int32)), pa.array(key[new].view(np.int64)), pa.array(of[new].astype(np.int32)), pa.array(n)], names=["kind", "key", "lang", "n"])
@@ -95,71 +98,100 @@ def _counts(langs: list[str]):
 
 
 class LanguageModel:
-    """For each kind (word, n-gram of each length): sorted keys and a row of log frequencies by language."""
+    """For each kind (word, n-gram of each length) its sorted keys, and for each key the languages that have it.
 
-    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+    A key that a language has n times scores ``base[language] + log(2 n + 1)`` in it, and ``base``
+    in the languages that lack it: so only what was seen is held, whatever the number of languages.
+    """
+
+    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         self.langs, self.tables = langs, tables
 
-    def look_up(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, rows = self.tables[kind]
+    def look_up(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are known; and of the languages that have them: place of the key, language, gain."""
+        keys, starts, lang, gain, _ = self.tables[kind]
         if not len(keys):
-            return np.zeros(len(key), bool), np.zeros((len(key), len(self.langs)), np.float32)
+            none = np.zeros(0, np.int64)
+            return np.zeros(len(key), bool), none, none, np.zeros(0)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return keys[at] == key, rows[at]
+        known = keys[at] == key
+        place = np.flatnonzero(known)
+        begin, n = starts[at[place]], starts[at[place] + 1] - starts[at[place]]
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return known, np.repeat(place, n), lang[entry], gain[entry]
 
     def score(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Best language of each text (-1: no letter) and its share of the probability."""
         code, starts, stops, text = _words(piece)
-        total = np.zeros((piece.n, len(self.langs)))
-        known, rows = self.look_up(WORD, _spans(code, starts, stops, WORD))
+        used: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        known, word, lang, gain = self.look_up(WORD, _spans(code, starts, stops, WORD))
+        used.append((WORD, text[known], text[word], lang, gain))
         left = np.flatnonzero(~known)
-        rows = np.where(known[:, None], rows, 0)
         for n in range(LONGEST, 0, -1):
             if not len(left):
                 break
-            h, word = _grams(code, starts[left], stops[left], n)
-            hit, gram = self.look_up(n, h)
-            some = np.bincount(word[hit], minlength=len(left))
-            for k in range(len(self.langs)):
-                rows[left, k] += np.bincount(word[hit], weights=gram[hit, k], minlength=len(left)) / np.maximum(some, 1)
+            h, of = _grams(code, starts[left], stops[left], n)
+            hit, gram, lang, gain = self.look_up(n, h)
+            some = np.bincount(of[hit], minlength=len(left))
+            word = of[gram]
+            used.append((n, text[left[some > 0]], text[left[word]], lang, gain / some[word]))
             left = left[some == 0]
         n_words = np.bincount(text, minlength=piece.n)
-        for k in range(len(self.langs)):
-            total[:, k] = np.bincount(text, weights=rows[:, k], minlength=piece.n)
-        # The words of a text are not independent: their mean counts as ten words at most.
-        total *= (np.minimum(n_words, 10) / np.maximum(n_words, 1))[:, None]
-        share = np.exp(total - total.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        best = np.where(n_words > 0, share.argmax(axis=1), -1)
-        return best, np.where(n_words > 0, share.max(axis=1), 0.0)
-
-
-def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, least_count: int = 2, id_col: str = "doc_id") -> LanguageModel:
+        best, share, n_langs = np.full(piece.n, -1), np.zeros(piece.n), len(self.langs)
+        # As many texts at once as the table of texts by languages allows.
+        some = max(1, CELLS // n_langs)
+        for a in range(0, piece.n, some):
+            b = min(piece.n, a + some)
+            total = np.zeros((b - a, n_langs))
+            for kind, of, at, lang, gain in used:
+                i, j = np.searchsorted(of, (a, b))
+                total += np.bincount(of[i:j] - a, minlength=b - a)[:, None] * self.tables[kind][4]
+                own = slice(*np.searchsorted(at, (a, b)))
+                total += np.bincount((at[own] - a) * n_langs + lang[own], weights=gain[own], minlength=(b - a) * n_langs).reshape(b - a, n_langs)
+            # The words of a text are not independent: their mean counts as ten words at most.
+            total *= (np.minimum(n_words[a:b], 10) / np.maximum(n_words[a:b], 1))[:, None]
+            best[a:b] = total.argmax(axis=1)
+            share[a:b] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return np.where(n_words > 0, best, -1), np.where(n_words > 0, share, 0.0)
+
+
+def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, most_texts: int = 100_000, least_count: int = 2, most_languages: int = 100_000, id_col: str = "doc_id") -> LanguageModel:
     """Counts words and letter n-grams of ``labelled`` (id, text, lang), on Spark.
 
-    ``texts_per_language`` bounds the sample: texts are taken by the hash of their id, with the
-    chance that gives about as many of each language; languages with fewer are taken whole. The
-    model, which goes to every task, is bounded by it. Words and n-grams seen fewer than
-    ``least_count`` times are unknown. Rows without text or language are ignored; a tie between
-    languages goes to the first by name.
+    ``texts_per_language`` and ``most_texts`` bound the sample: texts are taken by the hash of their
+    id, with the chance that gives about as many of each language, the lesser of the first and an
+    even part of the second; languages with fewer are taken whole. The model, which goes to every
+    task, is bounded by it and holds what was seen alone. Every language is learned; more than
+    ``most_languages`` values raise an error, for such a column names no languages. Words and
+    n-grams seen fewer than ``least_count`` times are unknown. Rows without text or language are
+    ignored; a tie between languages goes to the first by name.
     """
     rows = labelled.select(F.col(id_col).alias("id"), "text", "lang").dropna(subset=["text", "lang"])
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
-    langs = sorted(sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(most_languages + 1).collect())
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    langs = [x for x, _ in sizes]
+    nothing = np.zeros(0, np.int64)
     if not langs:
-        return LanguageModel([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in (WORD, *range(1, LONGEST + 1))})
-    chance = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, texts_per_language / n))])
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < chance[F.col("lang")] * 1_000_000)
-    counts = picked.select("text", "lang").mapInArrow(_counts(langs), "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    found = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))]).where(F.col("total") >= least_count).toArrow()
+        return LanguageModel([], {n: (np.zeros(0, np.uint64), np.zeros(1, np.int64), nothing, np.zeros(0), np.zeros(0)) for n in (WORD, *range(1, LONGEST + 1))})
+    part = min(texts_per_language, most_texts / len(langs))
+    numbers = labelled.sparkSession.createDataFrame([(x, i, min(1.0, part / n)) for i, (x, n) in enumerate(sizes)], "lang string, of int, chance double")
+    picked = rows.join(F.broadcast(numbers), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("chance") * 1_000_000)
+    counts = picked.select("text", "of").mapInArrow(_counts(), "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("has")).where(F.col("total") >= least_count).select("kind", "key", "has").toArrow()
     kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
-    n = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+    has = pa.chunked_array(found.column("has")).combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.struct([("lang", pa.int32()), ("n", pa.int64())])))
+    length, flat = has.value_lengths().to_numpy().astype(np.int64), has.flatten()
+    begin, lang, n = np.cumsum(length) - length, flat.field("lang").to_numpy(), flat.field("n").to_numpy()
     tables = {}
     for k in (WORD, *range(1, LONGEST + 1)):
         own = np.flatnonzero(kind == k)
         own = own[np.argsort(key[own])]
-        size = n[own].sum(axis=0)
-        tables[k] = (key[own], np.log((n[own] + 0.5) / (size + 0.5 * (len(own) + 1))).astype(np.float32))
+        many = length[own]
+        starts = np.concatenate(([0], np.cumsum(many)))
+        entry = np.repeat(begin[own] - starts[:-1], many) + np.arange(int(many.sum()))
+        size = np.bincount(lang[entry], weights=n[entry], minlength=len(langs))
+        tables[k] = (key[own], starts, lang[entry], np.log(2.0 * n[entry] + 1), np.log(0.5 / (size + 0.5 * (len(own) + 1))))
     return LanguageModel(langs, tables)
 
 

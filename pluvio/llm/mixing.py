@@ -12,6 +12,8 @@ from pluvio.llm.runtime import cut
 BROADCAST_SOURCES = 100_000
 #: Bisection steps that one job takes, and jobs.
 STEPS, JOBS = 5, 6
+#: Blocks of a source that one task orders.
+BLOCKS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -19,8 +21,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def find_exponent(sources: DataFrame, budget: int, entropy: float | None, most_repeats: float | None) -> float:
-    """The largest exponent in 0 to 1 that meets both limits, by bisection; 0 if none does.
+def find_exponent(sources: DataFrame, budget: int, entropy: float | None, most_repeats: float | None, greatest: float = 1.0) -> float:
+    """The largest exponent in 0 to ``greatest`` that meets both limits, by bisection; 0 if none does, and 1 without limits.
 
     ``sources`` has ``share`` and ``tokens``. The entropy of the weights, as a part of the greatest
     possible one, falls as the exponent grows, from 1 at 0; how often the most repeated source is
@@ -43,23 +45,26 @@ def find_exponent(sources: DataFrame, budget: int, entropy: float | None, most_r
         sums = at.groupBy("a").agg(F.sum("x").alias("z"), F.sum(F.col("x") * F.log("share")).alias("s"), F.max(F.col("x") / F.col("tokens")).alias("m"), F.count("*").alias("n"))
         return sums.select("a", (F.log("z") - F.col("a") * F.col("s") / F.col("z")).alias("entropy"), (F.lit(float(budget)) * F.col("m") / F.col("z")).alias("repeats"), F.log("n").alias("greatest")).collect()
 
-    even, natural = sorted(measure([0.0, 1.0]), key=lambda r: r["a"]) or (None, None)
-    if even is None:
+    measured = {r["a"]: r for r in measure([0.0, 1.0, float(greatest)])}
+    if not measured:
         return 1.0
+    even, natural = measured[0.0], measured[float(greatest) if entropy is not None else 1.0]
     flat = lambda r: r["entropy"] >= entropy * r["greatest"] - 1e-12
-    found = 1.0
+    found = natural["a"]
     if entropy is not None and not flat(natural):
-        found = search(0.0, 1.0, flat)[0]
+        found = search(0.0, found, flat)[0]
     often = lambda r: r["repeats"] > most_repeats
     if most_repeats is not None and often(even):
-        found = max(found, 1.0 if often(natural) else search(0.0, 1.0, often)[1])
+        found = max(found, 1.0 if often(measured[1.0]) else search(0.0, 1.0, often)[1])
     return found
 
 
-def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | None = 0.95, most_repeats: float | None = 4.0, block_tokens: int = 1_000_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | None = 0.95, most_repeats: float | None = 4.0, greatest: float = 1.0, block_tokens: int = 1_000_000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document enters the mix.
 
-    A source of token share p has weight p**a over the sum of these; ``find_exponent`` sets a.
+    A source of token share p has weight p**a over the sum of these; ``find_exponent`` sets a, from
+    0 (all alike) to ``greatest``: 1 leaves the shares as they are where these meet the limits, and
+    more sharpens shares that are flatter than the target entropy until they meet it.
     ``budget`` tokens (all there are, if None) are dealt by weight. A source passes over its
     documents as often as its part allows; of the last pass it takes what comes first in a
     permutation: documents are dealt into blocks of about ``block_tokens`` by hash, blocks are
@@ -77,7 +82,7 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     total, n_sources = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     budget = int(total if budget is None else budget)
     sources = cut(sources.withColumn("share", F.col("tokens") / F.lit(float(max(1, total)))))
-    exponent = find_exponent(sources, budget, entropy, most_repeats)
+    exponent = find_exponent(sources, budget, entropy, most_repeats, greatest)
     part = F.when(F.col("tokens") > 0, F.pow("share", F.lit(exponent))).otherwise(0.0)
     whole = sources.agg(F.sum(part)).first()[0] or 1.0
     plan = sources.select(F.col("source").alias("of"), "tokens", (part / F.lit(whole)).alias("weight"))
@@ -89,8 +94,15 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     key = F.xxhash64(F.lit(seed), "doc_id")
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(key, F.col("blocks")))
     sums = placed.groupBy("of", "block").agg(F.sum("n_tokens").alias("size"))
-    order = Window.partitionBy("of").orderBy(F.xxhash64(F.lit(seed), "of", "block"), "block")
-    sums = sums.select(F.col("of").alias("of_"), F.col("block").alias("block_"), (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
+    # A permutation in two levels: groups of blocks, in their order, and blocks within a group.
+    sums = sums.join(plan.select(F.col("of").alias("__of"), F.ceil(F.col("blocks") / BLOCKS).alias("groups")), F.col("of").eqNullSafe(F.col("__of"))).drop("__of")
+    sums = cut(sums.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + 2), "of", "block"), F.col("groups"))))
+    above = Window.partitionBy("of").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    groups = sums.groupBy("of", "group").agg(F.sum("size").alias("whole"))
+    groups = groups.select(F.col("of").alias("__of"), F.col("group").alias("__group"), (F.sum("whole").over(above) - F.col("whole")).alias("start"))
+    order = Window.partitionBy("of", "group").orderBy(F.xxhash64(F.lit(seed), "of", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.join(groups, F.col("of").eqNullSafe(F.col("__of")) & (F.col("group") == F.col("__group")))
+    sums = sums.select(F.col("of").alias("of_"), F.col("block").alias("block_"), (F.col("start") + F.sum("size").over(order) - F.col("size")).alias("before"))
     placed = placed.join(sums, F.col("of").eqNullSafe(F.col("of_")) & (F.col("block") == F.col("block_")))
     inside = Window.partitionBy("of", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     last = (F.col("before") + F.sum("n_tokens").over(inside) <= F.col("rest")) & (F.col("rest") > 0)

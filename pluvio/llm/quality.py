@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from pluvio.llm.runtime import cut
 from pluvio.llm.words import LOWER, STEP, Piece, hash_runs, hash_words, inside, mix, per_piece
 
 #: Bits of a feature's number; n-grams that share a number share a weight.
@@ -71,7 +73,7 @@ def indicators(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
 def _labelled(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
     feature, bounds = indicators(piece)
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(feature.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([rows.column("label"), lists], names=["label", "features"])
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), lists], names=["doc_id", "label", "features"])
 
 
 class QualityModel:
@@ -88,22 +90,26 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin, -30, 30)))
 
 
-def fit_quality_model(labelled: DataFrame, most_rows: int = 12_000, alpha: float = 1.0, cost: float = 4.0, epochs: int = 12, seed: int = 5) -> QualityModel:
+def fit_quality_model(labelled: DataFrame, most_rows: int = 12_000, most_features: int = 16_000_000, alpha: float = 1.0, cost: float = 4.0, epochs: int = 12, seed: int = 5) -> QualityModel:
     """Fits on ``labelled`` (``doc_id, text, label``): label 1 is good, 0 is not.
 
     Features are indicators of word n-grams (to ``WORDS``) and word-shape n-grams (to ``SHAPES``),
     hashed to ``BITS`` bits. Each is scaled by the log ratio of its class shares, smoothed by
     ``alpha``; vectors have length one. The hinge loss with L2 regularisation is minimised by dual
-    coordinate descent, ``epochs`` passes in seeded order, the classes weighed evenly. Features of
-    at most ``most_rows`` rows reach the driver; the caller's sample keeps to that bound
-    (``sample_labels``), and an excess raises an error. A single class, or no row, gives a model
-    that scores that class, or 0.5.
+    coordinate descent, ``epochs`` passes in seeded order, the classes weighed evenly. The sample
+    that reaches the driver has at most ``most_rows`` rows and ``most_features`` features in all:
+    ids are taken in the order of their hash, with all their rows, as long as both bounds hold;
+    callers draw ids by the same order first (``sample_labels``), so that few texts are read in
+    vain. Rows without id or label are ignored. A single class, or no row, gives a model that scores that class, or 0.5.
     """
-    found = labelled.where("label is not null").select("text", "doc_id", F.col("label").cast("int").alias("label"))
-    got = found.orderBy("doc_id", "label").select("text", "label").mapInArrow(per_piece(_labelled), "label int, features array<int>").limit(most_rows + 1).toArrow()
-    if got.num_rows > most_rows:
-        raise ValueError(f"more than {most_rows} labelled rows; draw them with sample_labels")
-    lists = got.column("features").combine_chunks()
+    found = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = cut(found.mapInArrow(per_piece(_labelled), f"doc_id {dict(labelled.dtypes)['doc_id']}, label int, features array<int>"))
+    each = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("features")).alias("size"))
+    each = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # most_rows rows
+    taken = each.withColumns({"n": F.sum("n").over(so_far), "size": F.sum("size").over(so_far)}).where((F.col("n") <= most_rows) & (F.col("size") <= most_features))
+    got = rows.join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id", "label", "features").select("label", "features").toArrow()
+    lists = pa.chunked_array(got.column("features").chunks, pa.list_(pa.int32())).combine_chunks()
     feature, bounds = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
     y = np.where(got.column("label").to_numpy() > 0, 1.0, -1.0)
     size = 1 << BITS

@@ -29,7 +29,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # At most 12,000 ids and labels: small enough to broadcast whatever the tables' size.
     labels = sample_labels(table(spark, sf_dir, "labels").where(_fold(3) != 1), "quality", 12_000)
-    model = fit_quality_model(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").limit(12_000), 12_000)
+    model = fit_quality_model(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
     scored = score_quality(docs, model)
     return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -56,11 +56,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    # Flatter sources are sharpened to the entropy, more uneven ones flattened, by at most four repeats of a source.
+    return mix_sources(table(spark, sf_dir, "documents"), entropy=0.99, most_repeats=4.0, greatest=8.0)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = assign_shards(table(spark, sf_dir, "documents"))
+    # Shards of 64 MiB, and of a 64th of the table where that is less.
+    placed = assign_shards(table(spark, sf_dir, "documents"), 64 << 20, least_shards=64)
     return placed.select("doc_id", "shard", F.octet_length("text").cast("long").alias("n_bytes"), "shard_bytes", "shard_rows")
 
 

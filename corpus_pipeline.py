@@ -17,8 +17,8 @@ from pluvio.llm.sharding import assign_shards
 #: SQL cannot express the language model, so that the stages are tested against brute force instead.
 ORACLE_SQL = None
 
-#: A text whose best language has less than this share of the probability is in no language that was learned.
-LEAST_SCORE = 0.3
+#: A text whose best language has less than so many times an even share of the probability is in no language that was learned.
+LEAST_OVER_EVEN = 1.2
 
 #: Sets of five-word shingles are near-duplicates from this similarity on.
 NEAR_PERCENT = 80
@@ -26,8 +26,9 @@ NEAR_PERCENT = 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones among them teach; texts without letters go."""
-    labelled = label_language(docs, fit_language_model(docs))
-    return labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = fit_language_model(docs)
+    least = LEAST_OVER_EVEN / max(2, len(model.langs))
+    return label_language(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

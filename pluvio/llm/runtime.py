@@ -29,5 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """``df`` without Spark's knowledge of how its rows are dealt. No row moves, but a join then
+    shuffles both sides, which is what lets adaptive execution split the partition of a hot key."""
+    return df.coalesce(1 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

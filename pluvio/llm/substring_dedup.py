@@ -1,28 +1,35 @@
-"""Removing passages that stood earlier in the corpus: seeds from winnowing, extended both ways."""
+"""Removing passages that stood earlier in the corpus: anchors from winnowing, extended both ways."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvio.llm.runtime import cut
+from pluvio.llm.runtime import cut, dealt_anew
 from pluvio.llm.words import GOLDEN, STEP, Piece, hash_runs, hash_words, inside, mix, per_piece, powers
 
 #: Words of a winnowed gram. A passage of ``length`` words holds ``length - GRAM + 1`` of them, and its anchor is the least.
 GRAM = 6
+#: Up to so many ids are broadcast to pick texts before these are shuffled.
+BROADCAST_IDS = 500_000
 
 
 class Spans:
     """The words of a piece, hashed so that any span of them has a hash at once."""
 
-    def __init__(self, piece: Piece) -> None:
+    def __init__(self, word: np.ndarray, bounds: np.ndarray) -> None:
+        self.word, self.bounds, self.n = word, bounds, len(word)
+        self.sums: dict[np.uint64, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, piece: Piece) -> Spans:
         piece.words()
-        self.bounds, self.n = piece.bounds, len(piece.starts)
-        self.word = hash_words(piece.data, piece.starts, piece.stops)
-        self.sums = {}
+        return cls(hash_words(piece.data, piece.starts, piece.stops), piece.bounds)
 
     def hashes(self, starts: np.ndarray, stops: np.ndarray, base: np.uint64 = GOLDEN) -> np.ndarray:
         """Hashes of the words ``starts[i]:stops[i]``, alike for like words wherever they stand."""
@@ -54,7 +61,7 @@ def _runs(length: int):
     """Runs of windows with one anchor: start, number of windows, anchor, and the hash of all their words."""
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        spans = Spans(piece)
+        spans = Spans.of(piece)
         at = spans.windows(length)
         if not len(at):
             return None
@@ -80,35 +87,94 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]
     return np.repeat(np.arange(len(column)), length), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _windows(length: int):
-    """The single windows of the runs listed with each text."""
+def _contexts(length: int):
+    """The words of the runs listed with each text, as hashes, and where in them the anchor stands."""
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        if rows.column("runs").null_count == piece.n:
-            return None
-        spans = Spans(piece)
-        text, (start, size, content) = _lists(rows.column("runs"), "start", "size", "content")
-        start = start.astype(np.int64) + spans.bounds[text]
+        spans = Spans.of(piece)
+        text, (start, size, anchor, content) = _lists(rows.column("runs"), "start", "size", "anchor", "content")
+        start, size = start.astype(np.int64) + spans.bounds[text], size.astype(np.int64)
         ok = start + size + length - 1 <= spans.bounds[text + 1]
-        text, start, size, content = text[ok], start[ok], size[ok].astype(np.int64), content[ok]
+        text, start, size, anchor, content = text[ok], start[ok], size[ok], anchor[ok], content[ok]
+        # Rows of one id may hold other texts.
         ok = spans.hashes(start, start + size + length - 1).view(np.int64) == content
-        text, start, size = text[ok], start[ok], size[ok]
-        at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        text = np.repeat(text, size)
-        first, second = spans.hashes(at, at + length), spans.hashes(at, at + length, STEP)
+        text, start, size, anchor = text[ok], start[ok], size[ok], anchor[ok]
+        if not len(text):
+            return None
+        gram, at = hash_runs(spans.word, GRAM).view(np.int64), start + size - 1
+        for _ in range(length - GRAM):
+            at = at + (gram[at] != anchor)
+        words = [spans.word[a:b].tobytes() for a, b in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(text)), pa.array((at - spans.bounds[text]).astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))],
-            names=["doc_id", "start", "first", "second"],
+            [rows.column("doc_id").take(pa.array(text)), pa.array((start - spans.bounds[text]).astype(np.int32)), pa.array(anchor), pa.array((at - start).astype(np.int32)), pa.array(words, pa.binary())],
+            names=["doc_id", "start", "anchor", "at", "words"],
         )
 
     return per_piece(run)
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, one after the other, and how many a row has."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), dtype=np.uint64), np.fromiter((len(w) // 8 for w in held), np.int64, len(held))
+
+
+def _aligned(flat: np.ndarray, n: np.ndarray, at: np.ndarray, wide: int, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words in rows of ``wide``, each shifted so that its anchor, word ``at``, stands in column ``left``; and which are filled."""
+    row = np.repeat(np.arange(len(n)), n)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) - np.repeat(at, n) + left
+    ok = (column >= 0) & (column < wide)  # runs over a text that repeats itself may be longer
+    out, filled = np.zeros((len(n), wide), np.uint64), np.zeros((len(n), wide), bool)
+    out[row[ok], column[ok]], filled[row[ok], column[ok]] = flat[ok], True
+    return out, filled
+
+
+def _extend(length: int):
+    """Each occurrence of an anchor against the anchor's first: the match extended to the left and to the right, and the windows that it leaves, as hashes."""
+    left, wide = length - GRAM, 2 * length - GRAM
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            doc, start, at = column("doc_id"), column("start").astype(np.int64), column("at").astype(np.int64)
+            flat, n = _words(batch.column("words"))
+            own, filled = _aligned(flat, n, at, wide, left)
+            other, there = _aligned(*_words(batch.column("r_words")), column("r_at").astype(np.int64), wide, left)
+            equal = (own == other) & filled & there
+            low = left - np.cumprod(equal[:, :left][:, ::-1], axis=1).sum(axis=1)
+            high = left + np.cumprod(equal[:, left:], axis=1).sum(axis=1)
+            origin = left - at
+            match = (high - low >= length) & (high > left) & (column("r_doc") < doc)
+            words = Spans(flat, np.concatenate(([0], np.cumsum(n))))
+            base = words.bounds[:-1]
+            windows = n - length + 1
+            row = np.repeat(np.arange(len(n)), windows)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            alone = ~(match[row] & (k + origin[row] >= low[row]) & (k + origin[row] + length <= high[row]))
+            row, k = row[alone], k[alone]
+            hit = np.flatnonzero(match)
+            a, b = (low - origin)[hit], (high - origin)[hit]
+            content = words.hashes(base[hit] + a, base[hit] + b)
+            first, second = words.hashes(base[row] + k, base[row] + k + length), words.hashes(base[row] + k, base[row] + k + length, STEP)
+            none = pa.nulls(len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((doc[hit], doc[row]))), pa.array(np.concatenate((start[hit] + a, start[row] + k)).astype(np.int32)), pa.array(np.concatenate((start[hit] + b, start[row] + k + length)).astype(np.int32)),
+                    pa.array(np.concatenate((content, first)).view(np.int64)), pa.concat_arrays([none, pa.array(second.view(np.int64))]),
+                ],
+                names=["doc_id", "start", "stop", "content", "second"],
+            )
+
+    return run
+
+
 def _cover(length: int):
     """What is left of each text without the listed spans and without windows that stood earlier in the text itself."""
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
-        spans = Spans(piece)
+        spans = Spans.of(piece)
         covered = np.zeros(spans.n + 1, dtype=np.int64)
         text, (start, stop, content) = _lists(rows.column("spans"), "start", "stop", "content")
         start, stop = start.astype(np.int64) + spans.bounds[text], stop.astype(np.int64) + spans.bounds[text]
@@ -145,12 +211,13 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
     """Removes every word that a window of ``length`` words covers whose words start earlier too, in a smaller id or earlier in the same text.
 
     Each window has an anchor, the least hash of its grams, so that equal windows have equal
-    anchors (winnowing). Anchors that only one id has are dropped. Where all runs of windows with
-    an anchor hold the same words, extending each both ways ends alike, and all but the first are
-    repeats. Where they differ, the first run of each kind is taken apart into windows, and these
-    are compared; each other run is a repeat of the first of its kind. What repeats within a text
-    is found there. So no pair of occurrences is formed, whatever their number, and nothing is lost.
-    Hashes of 128 bits in all stand for words.
+    anchors (winnowing). Anchors that only one id has are dropped. A run is all windows of one
+    occurrence of an anchor; runs of the same words are of one kind, and all but the first of a kind
+    are repeats. Where an anchor has several kinds, the first run of each is extended from the
+    anchor to the left and to the right against the anchor's first occurrence, and the maximal match
+    is a repeat if it holds ``length`` words. Windows that this leaves may still repeat each other;
+    these are compared by hashes of 128 bits. What repeats within a text is found there. So no pair
+    of occurrences is formed but with the first, whatever their number, and nothing is lost.
 
     A null text has no words. A row without id removes nothing elsewhere and is judged by itself.
     Rows with the same id count as one place: neither removes the other's words. An empty table
@@ -164,18 +231,25 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
     runs = rows.where("doc_id is not null").mapInArrow(_runs(length), "doc_id long, start int, size int, anchor long, content long")
     seeds = runs.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("content").alias("low"), F.max("content").alias("high"))
     seeds = cut(seeds.where("first < last").select("anchor", "first", (F.col("low") != F.col("high")).alias("mixed")))
-    members = cut(runs.join(seeds, "anchor").where("mixed or doc_id > first"))
+    members = dealt_anew(cut(runs.join(dealt_anew(seeds), "anchor").where("mixed or doc_id > first")))
 
     stop = (F.col("start") + F.col("size") + (length - 1)).alias("stop")
     plain = members.where("not mixed").select("doc_id", "start", stop, "content")
     kinds = members.where("mixed").groupBy("anchor", "content", "size").agg(F.min("doc_id").alias("kind_first"))
-    mixed = members.where("mixed").join(cut(kinds), ["anchor", "content", "size"])
+    mixed = dealt_anew(cut(members.where("mixed").join(dealt_anew(cut(kinds)), ["anchor", "content", "size"])))
     later = mixed.where("doc_id > kind_first").select("doc_id", "start", stop, "content")
-    apart = mixed.where("doc_id = kind_first").select("doc_id", "start", "size", "content").distinct()
-    apart = apart.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "content")).alias("runs"))
-    windows = rows.join(apart, "doc_id", "left").mapInArrow(_windows(length), "doc_id long, start int, first long, second long")
-    repeated = windows.groupBy("first", "second").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
-    single = windows.join(repeated, ["first", "second"]).where("doc_id > lowest").select("doc_id", "start", (F.col("start") + length).alias("stop"), F.col("first").alias("content"))
-
-    spans = plain.unionByName(later).unionByName(single).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "content")).alias("spans"))
+    apart = mixed.where("doc_id = kind_first").groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "anchor", "content")).alias("runs"))
+    apart = cut(apart)
+    texts = rows
+    if apart.count() <= BROADCAST_IDS:
+        texts = rows.join(F.broadcast(apart.select("doc_id")), "doc_id", "left_semi")
+    contexts = dealt_anew(cut(texts.join(apart, "doc_id").mapInArrow(_contexts(length), "doc_id long, start int, anchor long, at int, words binary")))
+    first = contexts.groupBy("anchor").agg(F.min(F.struct("doc_id", "start", "at", "words")).alias("r"))
+    first = dealt_anew(cut(first.select("anchor", F.col("r.doc_id").alias("r_doc"), F.col("r.at").alias("r_at"), F.col("r.words").alias("r_words"))))
+    extended = dealt_anew(cut(contexts.join(first, "anchor").mapInArrow(_extend(length), "doc_id long, start int, stop int, content long, second long")))
+    matched, windows = extended.where("second is null").drop("second"), extended.where("second is not null")
+    repeated = windows.groupBy("content", "second").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
+    single = windows.join(dealt_anew(cut(repeated)), ["content", "second"]).where("doc_id > lowest").select("doc_id", "start", "stop", "content")
+
+    spans = plain.unionByName(later).unionByName(matched).unionByName(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "content")).alias("spans"))
     return rows.join(spans, "doc_id", "left").mapInArrow(_cover(length), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -15,6 +15,8 @@ from pluvio.llm.words import GOLDEN, STEP, Piece, hash_runs, hash_words, inside,
 
 #: Words of a winnowed gram. A passage of ``length`` words holds ``length - GRAM + 1`` of them, and its anchor is the least.
 GRAM = 6
+#: Runs of one anchor that are compared with its first one in a group.
+GROUP = 4000
 #: Up to so many ids are broadcast to pick texts before these are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -88,31 +90,40 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]
 
 
 def _contexts(length: int):
-    """The words of the runs listed with each text, as hashes, and where in them the anchor stands."""
+    """The words of the runs listed with each text, as hashes, where in them the anchor stands, and whether it stands there once. Of an anchor's first run a copy goes to each of its groups (``salts``)."""
 
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch | None:
         spans = Spans.of(piece)
-        text, (start, size, anchor, content) = _lists(rows.column("runs"), "start", "size", "anchor", "content")
+        text, (start, size, anchor, content, n, lead, salt, salts) = _lists(rows.column("runs"), "start", "size", "anchor", "content", "n", "lead", "salt", "salts")
         start, size = start.astype(np.int64) + spans.bounds[text], size.astype(np.int64)
         ok = start + size + length - 1 <= spans.bounds[text + 1]
-        text, start, size, anchor, content = text[ok], start[ok], size[ok], anchor[ok], content[ok]
         # Rows of one id may hold other texts.
-        ok = spans.hashes(start, start + size + length - 1).view(np.int64) == content
-        text, start, size, anchor = text[ok], start[ok], size[ok], anchor[ok]
+        ok[ok] = spans.hashes(start[ok], (start + size + length - 1)[ok]).view(np.int64) == content[ok]
+        text, start, size, anchor, n, lead, salt, salts = (x[ok] for x in (text, start, size, anchor, n, lead, salt, salts))
         if not len(text):
             return None
         gram, at = hash_runs(spans.word, GRAM).view(np.int64), start + size - 1
         for _ in range(length - GRAM):
             at = at + (gram[at] != anchor)
+        grams = size + length - GRAM
+        inside_ = np.repeat(start - np.cumsum(grams) + grams, grams) + np.arange(int(grams.sum()))
+        once = np.add.reduceat((gram[inside_] == np.repeat(anchor, grams)).astype(np.int64), np.cumsum(grams) - grams) == 1
+        copies = np.where(lead, salts, 1)
+        row = np.repeat(np.arange(len(text)), copies)
+        salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies), salt[row])
         words = [spans.word[a:b].tobytes() for a, b in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(text)), pa.array((start - spans.bounds[text]).astype(np.int32)), pa.array(anchor), pa.array((at - start).astype(np.int32)), pa.array(words, pa.binary())],
-            names=["doc_id", "start", "anchor", "at", "words"],
-        )
+        out = {
+            "doc_id": rows.column("doc_id").take(pa.array(text[row])), "start": pa.array((start - spans.bounds[text])[row].astype(np.int32)), "anchor": pa.array(anchor[row]), "salt": pa.array(salt.astype(np.int32)), "lead": pa.array(lead[row]),
+            "n": pa.array(n[row]), "at": pa.array((at - start)[row].astype(np.int32)), "once": pa.array(once[row]), "words": pa.array(words, pa.binary()).take(pa.array(row)),
+        }
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return per_piece(run)
 
 
+CONTEXT = "doc_id long, start int, anchor long, salt int, lead boolean, n long, at int, once boolean, words binary"
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all rows, one after the other, and how many a row has."""
     held = column.to_pylist()
@@ -130,39 +141,44 @@ def _aligned(flat: np.ndarray, n: np.ndarray, at: np.ndarray, wide: int, left: i
 
 
 def _extend(length: int):
-    """Each occurrence of an anchor against the anchor's first: the match extended to the left and to the right, and the windows that it leaves, as hashes."""
+    """Each run against the first of its group, which goes before it: the match extended to the left and to the right of the anchor, and the windows that it leaves, as hashes."""
     left, wide = length - GRAM, 2 * length - GRAM
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-            doc, start, at = column("doc_id"), column("start").astype(np.int64), column("at").astype(np.int64)
-            flat, n = _words(batch.column("words"))
+        held = None
+        for batch in (b.slice(i, 8192) for b in batches for i in range(0, b.num_rows, 8192)):
+            fresh = 0 if held is None else 1
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            column = lambda c: table.column(c).to_numpy()
+            doc, start, at, lead, anchor = column("doc_id"), column("start").astype(np.int64), column("at").astype(np.int64), column("lead"), column("anchor")
+            flat, n = _words(table.column("words"))
             own, filled = _aligned(flat, n, at, wide, left)
-            other, there = _aligned(*_words(batch.column("r_words")), column("r_at").astype(np.int64), wide, left)
-            equal = (own == other) & filled & there
+            first = np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))
+            beside = lead[first] & (anchor[first] == anchor)
+            equal = (own == own[first]) & filled & filled[first]
             low = left - np.cumprod(equal[:, :left][:, ::-1], axis=1).sum(axis=1)
             high = left + np.cumprod(equal[:, left:], axis=1).sum(axis=1)
-            origin = left - at
-            match = (high - low >= length) & (high > left) & (column("r_doc") < doc)
+            match = beside & (high - low >= length) & (high > left) & (doc[first] < doc)
+            # Of two runs whose anchors stand at one place each, the match says all.
+            settled = beside & (column("n") == 2) & column("once") & column("once")[first]
+            held = table.slice(int(first[-1]), 1).combine_chunks().to_batches()[0] if lead[first[-1]] else None
             words = Spans(flat, np.concatenate(([0], np.cumsum(n))))
-            base = words.bounds[:-1]
-            windows = n - length + 1
+            base, origin = words.bounds[:-1], left - at
+            windows = np.where(settled, 0, n - length + 1)
+            windows[:fresh] = 0
             row = np.repeat(np.arange(len(n)), windows)
             k = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
             alone = ~(match[row] & (k + origin[row] >= low[row]) & (k + origin[row] + length <= high[row]))
             row, k = row[alone], k[alone]
+            match[:fresh] = False
             hit = np.flatnonzero(match)
             a, b = (low - origin)[hit], (high - origin)[hit]
             content = words.hashes(base[hit] + a, base[hit] + b)
-            first, second = words.hashes(base[row] + k, base[row] + k + length), words.hashes(base[row] + k, base[row] + k + length, STEP)
-            none = pa.nulls(len(hit), pa.int64())
+            whole, second = words.hashes(base[row] + k, base[row] + k + length), words.hashes(base[row] + k, base[row] + k + length, STEP)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((doc[hit], doc[row]))), pa.array(np.concatenate((start[hit] + a, start[row] + k)).astype(np.int32)), pa.array(np.concatenate((start[hit] + b, start[row] + k + length)).astype(np.int32)),
-                    pa.array(np.concatenate((content, first)).view(np.int64)), pa.concat_arrays([none, pa.array(second.view(np.int64))]),
+                    pa.array(np.concatenate((content, whole)).view(np.int64)), pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(second.view(np.int64))]),
                 ],
                 names=["doc_id", "start", "stop", "content", "second"],
             )
@@ -238,15 +254,20 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
     kinds = members.where("mixed").groupBy("anchor", "content", "size").agg(F.min("doc_id").alias("kind_first"))
     mixed = dealt_anew(cut(members.where("mixed").join(dealt_anew(cut(kinds)), ["anchor", "content", "size"])))
     later = mixed.where("doc_id > kind_first").select("doc_id", "start", stop, "content")
-    apart = mixed.where("doc_id = kind_first").groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "anchor", "content")).alias("runs"))
-    apart = cut(apart)
+    apart = mixed.where("doc_id = kind_first").select("anchor", "doc_id", "start", "size", "content", "first").distinct()
+    groups = apart.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id") == F.col("first"), F.col("start"))).alias("lead_start"))
+    groups = groups.withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
+    apart = dealt_anew(cut(apart)).join(dealt_anew(cut(groups)), "anchor")
+    lead, salt = (F.col("doc_id") == F.col("first")) & (F.col("start") == F.col("lead_start")), F.pmod(F.xxhash64("doc_id", "start"), "salts").cast("int")
+    listed = apart.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "anchor", "content", "n", lead.alias("lead"), salt.alias("salt"), "salts")).alias("runs"))
+    listed = cut(listed)
     texts = rows
-    if apart.count() <= BROADCAST_IDS:
-        texts = rows.join(F.broadcast(apart.select("doc_id")), "doc_id", "left_semi")
-    contexts = dealt_anew(cut(texts.join(apart, "doc_id").mapInArrow(_contexts(length), "doc_id long, start int, anchor long, at int, words binary")))
-    first = contexts.groupBy("anchor").agg(F.min(F.struct("doc_id", "start", "at", "words")).alias("r"))
-    first = dealt_anew(cut(first.select("anchor", F.col("r.doc_id").alias("r_doc"), F.col("r.at").alias("r_at"), F.col("r.words").alias("r_words"))))
-    extended = dealt_anew(cut(contexts.join(first, "anchor").mapInArrow(_extend(length), "doc_id long, start int, stop int, content long, second long")))
+    if listed.count() <= BROADCAST_IDS:
+        texts = rows.join(F.broadcast(listed.select("doc_id")), "doc_id", "left_semi")
+    contexts = texts.join(listed, "doc_id").mapInArrow(_contexts(length), CONTEXT)
+    # A group's first run comes before the others.
+    contexts = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("lead"))
+    extended = dealt_anew(cut(contexts.mapInArrow(_extend(length), "doc_id long, start int, stop int, content long, second long")))
     matched, windows = extended.where("second is null").drop("second"), extended.where("second is not null")
     repeated = windows.groupBy("content", "second").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
     single = windows.join(dealt_anew(cut(repeated)), ["content", "second"]).where("doc_id > lowest").select("doc_id", "start", "stop", "content")

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm.components import components
-from pluvio.llm.runtime import cut
+from pluvio.llm.runtime import cut, dealt_anew
 from pluvio.llm.words import GOLDEN, LOWER, STEP, Piece, hash_runs, hash_words, mix, per_group, per_piece, pieces
 
 SHINGLE = 5
 #: Minwise tokens of a document; tree t branches on token t first.
 N_TOKENS = 128
 TREES = 12
-#: Nodes of up to so many documents are compared exhaustively.
-LEAF = 2500
+#: Nodes of up to so many documents are compared exhaustively; their full sets are held for so many shingles at once.
+LEAF, MOST_SHINGLES = 400, 3_000_000
+#: Documents of a larger node that are compared with all of it before it branches.
+LEADERS = 2
 #: Children of a document in a larger node. With links at 0.8 or 0.85, more than one expected child keeps both ends.
 BRANCHES = 2
 DEPTH = 4
@@ -67,22 +72,65 @@ def _sign(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), heads, packed], names=["doc_id", "n_shingles", "k1", "k2", "heads", "tokens"])
 
 
-def _candidates(tokens: np.ndarray, size: np.ndarray, least: int, percent: int, same: np.ndarray):
-    """Row pairs of one group (``same``: the group of each row, ascending) with ``least`` equal tokens and sizes that allow a link: by distance, the rows and which of their first tokens are equal."""
-    for d in range(1, len(same)):
-        i = np.flatnonzero(same[:-d] == same[d:])
-        if not len(i):
-            return
-        i = i[100 * np.minimum(size[i], size[i + d]) >= percent * np.maximum(size[i], size[i + d])]
-        for part in np.array_split(i, len(i) // 4096 + 1):
-            equal = tokens[part] == tokens[part + d]
-            hit = equal.sum(axis=1) >= least
-            if hit.any():
-                yield d, part[hit], equal[hit, :TREES]
+def _tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, N_TOKENS)
 
 
-def _tokens(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, N_TOKENS)
+def _near_leader(least: int, percent: int):
+    """The documents that agree with their node's leader in ``least`` tokens and have a size that allows a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, other = (batch.column(c).to_numpy() for c in ("n_shingles", "l_size"))
+            equal = (_tokens(batch.column("tokens")) == _tokens(batch.column("l_tokens"))).sum(axis=1)
+            at = pa.array(np.flatnonzero((equal >= least) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other))))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leader", "doc_id")], names=["leader", "doc_id"])
+
+    return run
+
+
+def _verify(percent: int):
+    """Which texts are linked with the leader's text beside them, on the full sets."""
+
+    def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
+        sets, bounds = shingle_sets(piece)
+        beside = rows.column("l_text").dictionary_encode()
+        which = beside.indices.to_numpy()
+        linked = np.zeros(piece.n, dtype=bool)
+        for other in pieces(beside.dictionary):
+            leader, ends = shingle_sets(other)
+            for k in range(other.n):
+                own = leader[ends[k] : ends[k + 1]]
+                for i in np.flatnonzero(which == other.first + k).tolist():
+                    x = sets[bounds[i] : bounds[i + 1]]
+                    common = int(np.isin(x, own, assume_unique=True).sum())
+                    linked[i] = 100 * common >= percent * (len(x) + len(own) - common)
+        at = pa.array(np.flatnonzero(linked))
+        return pa.RecordBatch.from_arrays([rows.column(c).take(at) for c in ("leader", "doc_id")], names=["a", "b"])
+
+    return per_piece(run)
+
+
+def _led(large: DataFrame, source: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents of large nodes, labelled by a leader that they are linked with, and these links.
+
+    The least id of each node that has no label yet leads: all documents of the node are compared
+    with it, by tokens and then on the full sets. So a large group of near copies is linked in as
+    many comparisons as it has documents. Documents of one label need no comparison any more; all
+    other pairs still do.
+    """
+    found = []
+    for _ in range(LEADERS):
+        lead = large.where("label is null").groupBy("path").agg(F.min(F.struct("doc_id", "n_shingles", "tokens")).alias("l"))
+        lead = dealt_anew(cut(lead.select("path", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("l_size"), F.col("l.tokens").alias("l_tokens"))))
+        near = cut(dealt_anew(large).join(lead, "path").where("doc_id <> leader").mapInArrow(_near_leader(least, percent), "leader long, doc_id long").distinct())
+        texts = source.join(lead.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("leader"), F.col("text").alias("l_text"))
+        links = cut(dealt_anew(near).join(source, "doc_id").join(texts, "leader").mapInArrow(_verify(percent), "a long, b long"))
+        found.append(links)
+        own = links.select(F.col("b").alias("doc_id"), F.col("a").alias("new")).unionByName(lead.select(F.col("leader").alias("doc_id"), F.col("leader").alias("new")))
+        large = large.join(own.groupBy("doc_id").agg(F.min("new").alias("new")), "doc_id", "left")
+        large = cut(large.withColumn("label", F.coalesce("label", "new")).drop("new"))
+    return large.withColumn("label", F.coalesce("label", "doc_id")), functools.reduce(DataFrame.unionByName, found)
 
 
 def _elsewhere(tree: np.ndarray, small: np.ndarray) -> np.ndarray:
@@ -92,30 +140,40 @@ def _elsewhere(tree: np.ndarray, small: np.ndarray) -> np.ndarray:
     return (((small[:, None] >> trees) & 1) == 1) & ((trees < tree[:, None]) | (own_small == 0)[:, None])
 
 
-def _pairs(path: np.ndarray, tree: np.ndarray, small: np.ndarray, tokens: np.ndarray, size: np.ndarray, least: int, percent: int):
-    """Candidate pairs of rows that no small node of another tree has first: distance and rows."""
+def _pairs(rows: pa.Table, tokens: np.ndarray, size: np.ndarray, least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row pairs of one leaf (rows in the order of ``path``) with ``least`` equal tokens, sizes that allow a link, and labels that do not yet link them, which no small node of another tree has first: distance and rows."""
+    path, tree, small, label = (rows.column(c).to_numpy() for c in ("path", "tree", "small", "label"))
     first = _elsewhere(tree, small)
-    for d, i, heads in _candidates(tokens, size, least, percent, path):
-        yield d, i[~(heads & first[i]).any(axis=1)]
+    for d in range(1, len(path)):
+        i = np.flatnonzero(path[:-d] == path[d:])
+        if not len(i):
+            return
+        i = i[(label[i] != label[i + d]) & (100 * np.minimum(size[i], size[i + d]) >= percent * np.maximum(size[i], size[i + d]))]
+        for part in np.array_split(i, len(i) // 4096 + 1):
+            part = part[~((tokens[part, :TREES] == tokens[part + d, :TREES]) & first[part]).any(axis=1)]
+            part = part[(tokens[part] == tokens[part + d]).sum(axis=1) >= least]
+            if len(part):
+                yield d, part
 
 
 def _leaf_members(least: int, percent: int):
     """Of each leaf the documents with a pair that is worth a look at the full sets."""
 
     def run(rows: pa.Table) -> pa.RecordBatch:
-        path, tree, small, size = (rows.column(c).to_numpy() for c in ("path", "tree", "small", "n_shingles"))
-        wanted = np.zeros(len(path), dtype=bool)
-        for d, i in _pairs(path, tree, small, _tokens(rows.column("tokens")), size, least, percent):
+        wanted = np.zeros(rows.num_rows, dtype=bool)
+        for d, i in _pairs(rows, _tokens(rows.column("tokens")), rows.column("n_shingles").to_numpy(), least, percent):
             wanted[i] = wanted[i + d] = True
         at = pa.array(np.flatnonzero(wanted))
-        names = ["path", "tree", "small", "doc_id"]
-        return pa.RecordBatch.from_arrays([rows.column(c).take(at).combine_chunks() for c in names], names=names)
+        return pa.RecordBatch.from_arrays([rows.column(c).take(at).combine_chunks() for c in MEMBER], names=list(MEMBER))
 
     return per_group(run, "path")
 
 
+MEMBER = {"path": "long", "tree": "int", "small": "int", "label": "long", "n_shingles": "long", "doc_id": "long"}
+
+
 def _confirm(least: int, percent: int):
-    """A spanning forest of each leaf's links, each confirmed on the full sets."""
+    """A spanning forest of each leaf's links, each confirmed on the full sets. Documents that are connected already are not compared."""
 
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         sets = []
@@ -124,8 +182,8 @@ def _confirm(least: int, percent: int):
             sets += [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         size = np.array([len(x) for x in sets])
         flat, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
-        path, tree, small = (rows.column(c).to_numpy() for c in ("path", "tree", "small"))
-        found = [(d, i) for d, i in _pairs(path, tree, small, minwise(flat, bounds), size, least, percent) if len(i)]
+        del sets
+        found = list(_pairs(rows, minwise(flat, bounds), size, least, percent))
         if not found:
             return None
         a, b = np.concatenate([i for _, i in found]), np.concatenate([i + d for d, i in found])
@@ -133,17 +191,15 @@ def _confirm(least: int, percent: int):
         a, b = a[order], b[order]
         distinct, place = np.unique(flat, return_inverse=True)
         mark = np.zeros(len(distinct), dtype=bool)
-        root = list(range(len(sets)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        # One path's labels are others than the next one's.
+        _, group = np.unique(np.stack((rows.column("path").to_numpy(), rows.column("label").to_numpy())), axis=1, return_inverse=True)
+        group = group.ravel()
         links = []
         cuts = np.flatnonzero(np.diff(a)) + 1
         for i, others in zip(a[np.concatenate(([0], cuts))].tolist(), np.split(b, cuts), strict=True):
+            others = others[group[others] != group[i]]
+            if not len(others):
+                continue
             # One set against its candidates at once: its shingles are marked, and theirs looked up.
             own = place[bounds[i] : bounds[i + 1]]
             mark[own] = True
@@ -153,9 +209,8 @@ def _confirm(least: int, percent: int):
                 at = np.repeat(bounds[part] - begin, length) + np.arange(int(length.sum()))
                 common = np.add.reduceat(mark[place[at]].astype(np.int64), begin)
                 for j in part[100 * common >= percent * (size[i] + length - common)].tolist():
-                    x, y = top(i), top(j)
-                    if x != y:
-                        root[x] = y
+                    if group[j] != group[i]:
+                        group[group == group[j]] = group[i]
                         links.append((i, j))
             mark[own] = False
         if not links:
@@ -166,6 +221,15 @@ def _confirm(least: int, percent: int):
     return per_group(run, "path", rows=512)
 
 
+def _in_blocks(rows: DataFrame, blocks: Column, other_blocks: Column, odd: Column) -> DataFrame:
+    """Nodes that are too large as pairs of blocks: all documents in ``blocks``, and those that are ``odd`` in ``other_blocks``; so each pair with an odd document meets."""
+    one = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    two = F.pmod(F.xxhash64("doc_id", F.lit(1)), other_blocks).cast("int")
+    every = rows.withColumns({"__i": one, "__j": F.explode(F.sequence(F.lit(0), other_blocks.cast("int") - 1))})
+    some = rows.where(odd).withColumns({"__i": F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)), "__j": two})
+    return every.unionByName(some).withColumn("path", F.xxhash64("path", "__i", "__j", F.lit("blocks"))).drop("__i", "__j")
+
+
 def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and links between the classes.
 
@@ -174,13 +238,15 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     representatives, enough of them to connect what ``100 * intersection >= percent * union``
     connects.
 
-    ``TREES`` independent trees branch all representatives on a minwise token each. A node above
-    ``LEAF`` documents branches on, ``BRANCHES`` tokens a level that hashing its path selects, up
-    to ``DEPTH`` levels; what is still large then is compared block against block, which is slow
-    but whole. Leaves compare tokens exhaustively. A linked pair meets in no small node with
-    probability ``(1 - percent / 100) ** TREES`` at most, below 1e-8 from 79 percent on, and agrees
-    in fewer tokens than ``least``, 4.6 standard deviations below the mean, with probability of
-    about 1e-5.
+    ``TREES`` independent trees branch all representatives on a minwise token each. Of a node above
+    ``LEAF`` documents, ``LEADERS`` documents are compared with all others first (``_led``); what
+    they link is connected. Where that leaves more than one label, the node branches on,
+    ``BRANCHES`` tokens a level that hashing its path selects, up to ``DEPTH`` levels; of what is
+    still large then, the documents without the node's most frequent label are compared with all,
+    block by block. Leaves compare tokens exhaustively, and full sets a bounded number of shingles
+    at a time. A linked pair meets in no small node with probability ``(1 - percent / 100) ** TREES``
+    at most where nodes are small, below 1e-8 from 79 percent on, and agrees in fewer tokens than
+    ``least``, 4.6 standard deviations below the mean, with probability of about 1e-5.
     Every link that counts is confirmed on the full sets.
     """
     least = max(1, int(N_TOKENS * (percent / 100 - 4.6 * (percent / 100 * (1 - percent / 100) / N_TOKENS) ** 0.5)))
@@ -188,36 +254,46 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     signed = cut(source.mapInArrow(per_piece(_sign), "doc_id long, n_shingles long, k1 long, k2 long, heads array<long>, tokens binary"))
     full = signed.where("n_shingles > 0")
     classes = cut(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    rows = signed.drop("heads", "tokens").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
+    rows = signed.drop("heads", "tokens").join(dealt_anew(classes), ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi")
 
     heads = reps.select("doc_id", F.posexplode("heads").alias("tree", "head"))
     sizes = heads.groupBy("tree", "head").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = heads.join(cut(sizes), ["tree", "head"]).groupBy("doc_id").agg(F.collect_set(F.struct("tree", "head", "size")).alias("nodes"))
+    nodes = heads.join(dealt_anew(cut(sizes)), ["tree", "head"]).groupBy("doc_id").agg(F.collect_set(F.struct("tree", "head", "size")).alias("nodes"))
     small = F.aggregate(F.filter("nodes", lambda x: x["size"] <= LEAF), F.lit(0), lambda s, x: s.bitwiseOR(F.pow(F.lit(2), x["tree"]).cast("int")))
     placed = reps.select("doc_id", "n_shingles", "tokens").join(nodes, "doc_id").select("doc_id", "n_shingles", "tokens", small.alias("small"), F.explode("nodes").alias("node"))
-    placed = cut(placed.select("doc_id", "n_shingles", "tokens", "small", "node.tree", F.xxhash64("node.tree", "node.head").alias("path"), "node.size"))
+    label = F.when(F.col("node.size") <= LEAF, F.col("doc_id")).alias("label")
+    placed = cut(placed.select("doc_id", "n_shingles", "tokens", "small", label, "node.tree", F.xxhash64("node.tree", "node.head").alias("path"), "node.size"))
 
     leaves, large = placed.where(F.col("size") <= LEAF), placed.where(F.col("size") > LEAF)
-    for level in range(DEPTH):
-        if large.isEmpty():
-            break
-        branch = large.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-        chosen = F.pmod(F.xxhash64("path", "branch"), F.lit(N_TOKENS)).cast("int")
-        child = branch.withColumn("path", F.xxhash64("path", "branch", F.substring("tokens", chosen * 4 + 1, F.lit(4)), F.lit(level))).drop("branch", "size")
-        child = cut(child.join(cut(child.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")), "path").select(*placed.columns))
-        leaves, large = leaves.unionByName(child.where(F.col("size") <= LEAF)), child.where(F.col("size") > LEAF)
+    links = None
     if not large.isEmpty():
-        blocks = F.ceil(F.col("size") * 2 / LEAF).cast("int")
-        own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-        pairs = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        leaves = leaves.unionByName(pairs.withColumn("path", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks"))).drop("own", "other"))
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = leaves.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_leaf_members(least, percent), "path long, tree int, small int, doc_id long").distinct()
-    with_text = cut(members).join(source, "doc_id")
-    links = with_text.repartition(n, "path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
-    return rows, links
+        large, links = _led(large, source, least, percent)
+        open_paths = lambda df: dealt_anew(cut(df.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")))
+        large = cut(large.drop("size").join(open_paths(large), "path").select(*placed.columns))
+        for level in range(DEPTH):
+            if large.isEmpty():
+                break
+            branch = large.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+            chosen = F.pmod(F.xxhash64("path", "branch"), F.lit(N_TOKENS)).cast("int")
+            child = branch.withColumn("path", F.xxhash64("path", "branch", F.substring("tokens", chosen * 4 + 1, F.lit(4)), F.lit(level))).drop("branch", "size")
+            child = cut(child.join(open_paths(child), "path").select(*placed.columns))
+            leaves, large = leaves.unionByName(child.where(F.col("size") <= LEAF)), child.where(F.col("size") > LEAF)
+        if not large.isEmpty():
+            major = large.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+            wide = dealt_anew(large).join(dealt_anew(cut(major.select("path", F.col("m.label").alias("major"), (F.col("n") - F.col("m.n")).alias("rest")))), "path")
+            blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / LEAF))
+            leaves = leaves.unionByName(_in_blocks(wide, blocks(F.col("size")), blocks(F.col("rest")), F.col("label") != F.col("major")).select(*placed.columns))
+
+    schema = ", ".join(f"{c} {t}" for c, t in MEMBER.items())
+    members = cut(leaves.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_members(least, percent), schema).distinct())
+    heavy = cut(members.groupBy("path").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > MOST_SHINGLES))
+    if not heavy.isEmpty():
+        blocks = F.ceil(F.col("weight") * 2 / MOST_SHINGLES)
+        split = _in_blocks(members.join(heavy, "path"), blocks, blocks, F.lit(True)).select(*MEMBER).distinct()
+        members = members.join(heavy, "path", "left_anti").unionByName(split)
+    confirmed = members.join(source, "doc_id").repartition("path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
+    return rows, confirmed if links is None else confirmed.unionByName(links)
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

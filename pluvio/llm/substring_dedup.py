@@ -16,7 +16,7 @@ from pluvio.llm.words import GOLDEN, STEP, Piece, hash_runs, hash_words, inside,
 #: Words of a winnowed gram. A passage of ``length`` words holds ``length - GRAM + 1`` of them, and its anchor is the least.
 GRAM = 6
 #: Runs of one anchor that are compared with its first one in a group.
-GROUP = 4000
+GROUP = 500
 #: Up to so many ids are broadcast to pick texts before these are shuffled.
 BROADCAST_IDS = 500_000
 

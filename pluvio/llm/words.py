@@ -125,27 +125,34 @@ def per_piece(f: Callable[[Piece, pa.RecordBatch], pa.RecordBatch | None], text_
     return run
 
 
-def per_group(f: Callable[[pa.Table], pa.RecordBatch | None], key: str, rows: int = 4096) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow`` over rows sorted by ``key``: ``f`` on tables of whole groups, of about ``rows`` rows or one group."""
+def _slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``most`` bytes."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > most):
+        half = batch.num_rows // 2
+        yield from _slices(batch.slice(0, half), rows, most)
+        yield from _slices(batch.slice(half), rows, most)
+    elif batch.num_rows:
+        yield batch
+
+
+def per_group(f: Callable[[pa.Table], pa.RecordBatch | None], key: str, rows: int = 4096, most: int = 4 << 20) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows sorted by ``key``: ``f`` on tables of whole groups, of about ``rows`` rows, ``most`` bytes, or one group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
-            if held and n >= rows and held[-1].column(key)[-1] != batch.column(key)[0]:
-                done, held, n = pa.Table.from_batches(held), [], 0
-                if (out := f(done)) is not None and out.num_rows:
-                    yield out
-            elif held and n >= rows:
+        n = size = 0
+        for batch in (part for b in batches for part in _slices(b, rows, most)):
+            if held and (n >= rows or size >= most):
+                # A full table ends where a group does.
                 keys = batch.column(key).to_numpy(zero_copy_only=False)
-                cut = int(np.searchsorted(keys != keys[0], True))
-                if cut < len(keys):
-                    done, held, n = pa.Table.from_batches([*held, batch.slice(0, cut)]), [], 0
-                    batch = batch.slice(cut)
+                own = int((keys != held[-1].column(key)[-1].as_py()).argmax()) if keys[-1] != held[-1].column(key)[-1].as_py() else len(keys)
+                if own < len(keys):
+                    done, held, n, size = pa.Table.from_batches([*held, batch.slice(0, own)]), [], 0, 0
+                    batch = batch.slice(own)
                     if (out := f(done)) is not None and out.num_rows:
                         yield out
             held.append(batch)
-            n += batch.num_rows
+            n, size = n + batch.num_rows, size + batch.nbytes
         if held and (out := f(pa.Table.from_batches(held))) is not None and out.num_rows:
             yield out
 

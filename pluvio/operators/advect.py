@@ -11,21 +11,21 @@ from pluvio.functions import geo
 from pluvio.functions.classify import level_of_rate, rate_of_sample
 from pluvio.functions.const import FIELD_CELLS, HORIZON_MIN, IDW_CUTOFF_KM, NCC_CELL_KM, OVER_KM, TIMELINE_STEP, TRACK_KM
 from pluvio.operators.pins import within
+from pluvio.operators.spatial import range_join
 
 HALF = FIELD_CELLS // 2
-UV = "struct<u:double,v:double>"
 
 
-def idw(anchors: Column, lat: Column, lon: Column) -> Column:
-    """East and north motion at a place from anchors (lat, lon, u, v) within 80 km, by inverse squared distance; null if none."""
-    def add(s: Column, a: Column) -> Column:
-        d = geo.haversine(lat, lon, a["lat"], a["lon"])
-        w = F.when(d <= IDW_CUTOFF_KM, 1.0 / (d * d + 1.0)).otherwise(0.0)
-        return F.struct((s["u"] + w * a["u"]).alias("u"), (s["v"] + w * a["v"]).alias("v"), (s["w"] + w).alias("w"))
+def interpolated(points: DataFrame, anchors: DataFrame, at: tuple[str, str] = ("m_lat", "m_lon")) -> DataFrame:
+    """``points`` (frame_time, a place) with ``u, v``: the mean motion of the frame's anchors (frame_time, lat, lon, u, v) within 80 km, by inverse squared distance; null if none.
 
-    zero = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
-    mean = lambda s: F.when(s["w"] > 0, F.struct((s["u"] / s["w"]).alias("u"), (s["v"] / s["w"]).alias("v")))
-    return F.aggregate(anchors, zero, add, mean)
+    Each place is looked up once, however many points share it.
+    """
+    places = points.select("frame_time", *at).distinct()
+    near = range_join(places, anchors.select("frame_time", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "u", "v"), IDW_CUTOFF_KM, at, ("a_lat", "a_lon"), ("frame_time",))
+    w = 1.0 / (F.col("km") * F.col("km") + 1.0)
+    mean = near.groupBy("frame_time", *at).agg(*[(F.sum(w * F.col(x)) / F.sum(w)).alias(x) for x in ("u", "v")])
+    return points.join(mean, ["frame_time", *at], "left")
 
 
 def cell_of(lat: Column, lon: Column, pin_lat: Column, pin_lon: Column, km: float = NCC_CELL_KM) -> tuple[Column, Column]:
@@ -33,18 +33,21 @@ def cell_of(lat: Column, lon: Column, pin_lat: Column, pin_lon: Column, km: floa
     return geo.half_up((lon - pin_lon) / geo.lon_degrees(km, pin_lat)) + HALF, geo.half_up((lat - pin_lat) / geo.lat_degrees(km)) + HALF
 
 
-def motion_at(lat: Column, lon: Column, km: float = NCC_CELL_KM) -> Column:
-    """Motion at a place: that of its cell of the grid around the pin, or off the grid its own; the background where no anchor is near.
+def with_motion(rows: DataFrame, anchors: DataFrame | None, lat: Column, lon: Column, km: float = NCC_CELL_KM) -> DataFrame:
+    """``rows`` (frame_time, pin_lat, pin_lon, background) with ``m``, the motion (u, v) at a place: that of its cell of the grid around the pin, or off the grid its own; the background, which may be null, where no anchor is near.
 
-    Rows have ``pin_lat, pin_lon, anchors`` and ``background`` (u, v; may be null). The field is
-    never stored: a cell's motion is computed at its centre.
+    The field is never stored: a cell's motion is computed at its centre, for the cells that are asked for.
     """
+    if anchors is None:
+        return rows.withColumn("m", F.col("background"))
     pin_lat, pin_lon = F.col("pin_lat"), F.col("pin_lon")
     ix, iy = cell_of(lat, lon, pin_lat, pin_lon, km)
     inside = (ix >= 0) & (iy >= 0) & (ix < FIELD_CELLS) & (iy < FIELD_CELLS)
     at_lat = F.when(inside, pin_lat + (iy - HALF) * geo.lat_degrees(km)).otherwise(lat)
     at_lon = F.when(inside, pin_lon + (ix - HALF) * geo.lon_degrees(km, pin_lat)).otherwise(lon)
-    return F.coalesce(idw(F.col("anchors"), at_lat, at_lon), F.col("background"))
+    found = interpolated(rows.withColumns({"m_lat": at_lat, "m_lon": at_lon}), anchors)
+    own = F.when(F.col("u").isNotNull(), F.struct("u", "v"))
+    return found.withColumn("m", F.coalesce(own, F.col("background"))).drop("u", "v", "m_lat", "m_lon")
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -67,39 +70,38 @@ def carried_to(lat: Column, lon: Column, m: Column, minutes: Column, back: bool
     return bound(m, way)
 
 
-def departures(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """``rows`` (pin_lat, pin_lon, anchors, background, t) with ``at_lat, at_lon``, whence the air over the pin left ``t`` minutes ago; three fixed-point steps, fewer where it stands still."""
-
-    def step(s: Column, _: Column) -> Column:
-        to = carried_to(F.col("pin_lat"), F.col("pin_lon"), motion_at(s["lat"], s["lon"]), F.col("t"), back=True)
-        went = lambda x: F.when(x.isNotNull(), F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), F.lit(True).alias("go"))).otherwise(F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"), F.lit(False).alias("go")))
-        return F.when(s["go"], bound(to, went)).otherwise(s)
-
-    begin = F.struct(F.col("pin_lat").cast("double").alias("lat"), F.col("pin_lon").cast("double").alias("lon"), (F.col("t") > 0).alias("go"))
-    found = rows.withColumn("__at", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step))
-    return found.withColumns({"at_lat": F.col("__at.lat"), "at_lon": F.col("__at.lon")}).drop("__at")
+def departures(rows: DataFrame, anchors: DataFrame | None = None, steps: int = 3) -> DataFrame:
+    """``rows`` (frame_time, pin_lat, pin_lon, background, t) with ``at_lat, at_lon``, whence the air over the pin left ``t`` minutes ago; three fixed-point steps, fewer where it stands still."""
+    found = rows.withColumns({"at_lat": F.col("pin_lat").cast("double"), "at_lon": F.col("pin_lon").cast("double"), "go": F.col("t") > 0})
+    for _ in range(steps):
+        found = with_motion(found, anchors, F.col("at_lat"), F.col("at_lon"))
+        to = F.when(F.col("go"), carried_to(F.col("pin_lat"), F.col("pin_lon"), F.col("m"), F.col("t"), back=True))
+        found = found.withColumn("to", to).withColumns({"at_lat": F.coalesce("to.lat", "at_lat"), "at_lon": F.coalesce("to.lon", "at_lon"), "go": F.col("to").isNotNull()}).drop("to", "m")
+    return found.drop("go")
 
 
-def timeline(samples: DataFrame, pins: DataFrame) -> DataFrame:
-    """``pin_id, t, level, rate, unknown`` over 90 minutes, for ``pins`` (pin_id, pin_lat, pin_lon, anchors, background) and the samples of one frame.
+def timeline(samples: DataFrame, pins: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``frame_time, pin_id, t, level, rate, unknown`` over 90 minutes, for ``pins`` (frame_time, pin_id, pin_lat, pin_lon, background, moving) and the samples of their frames.
 
     Each sample within 108 km moves with the motion of its place; the mean rate of those that reach
-    the pin counts. Without motion, and now, it is the mean around the pin. Off the composite and
-    without arrivals a step is unknown.
+    the pin counts. Where nothing is ``moving``, and now, it is the mean around the pin. Off the
+    composite and without arrivals a step is unknown.
     """
-    moving = (F.size("anchors") > 0) | F.col("background").isNotNull()
+    key = ["frame_time", "pin_id"]
+    pins = pins.select(*key, "pin_lat", "pin_lon", "background", "moving")
     steps = F.explode(F.sequence(F.lit(0), F.lit(HORIZON_MIN), F.lit(TIMELINE_STEP))).alias("t")
-    at = departures(pins.select("pin_id", "pin_lat", "pin_lon", "anchors", "background", moving.alias("moving"), steps))
+    at = departures(pins.select("*", steps), anchors)
     away = F.when(F.col("moving") & (F.col("t") > 0), geo.haversine("pin_lat", "pin_lon", "at_lat", "at_lon")).otherwise(0.0)
-    at = at.withColumns({"reach": OVER_KM * 0.75 + F.least(0.15 * away, F.lit(6.0)), "known": geo.covered("at_lat", "at_lon")}).drop("anchors", "background")
-    near = within(samples, pins.select("pin_id", "pin_lat", "pin_lon", "anchors", "background", F.col("pin_lat").alias("lat"), F.col("pin_lon").alias("lon")), TRACK_KM + OVER_KM)
-    near = near.withColumn("m", motion_at(F.col("s_lat"), F.col("s_lon"))).select("pin_id", "s_lat", "s_lon", rate_of_sample(F.col("rate"), F.col("level")).alias("r"), "m")
-    joined = near.join(at, "pin_id")
+    at = at.withColumns({"reach": OVER_KM * 0.75 + F.least(0.15 * away, F.lit(6.0)), "known": geo.covered("at_lat", "at_lon")}).drop("background")
+    near = within(samples, pins.withColumns({"lat": F.col("pin_lat"), "lon": F.col("pin_lon")}), TRACK_KM + OVER_KM)
+    near = with_motion(near, anchors, F.col("s_lat"), F.col("s_lon")).select(*key, "s_lat", "s_lon", rate_of_sample(F.col("rate"), F.col("level")).alias("r"), "m", "km")
+    # A sample can only arrive at a step by which it may have come as far as it is.
+    fastest = F.coalesce(F.sqrt(F.pow("m.u", 2) + F.pow("m.v", 2)), F.lit(0.0))
+    joined = near.join(at, key).where(F.when(F.col("moving") & (F.col("t") > 0) & (fastest >= 0.1), F.col("km") <= fastest * F.col("t") / 60.0 + F.col("reach") + 0.01).otherwise(True))
     to = F.when(F.col("moving") & (F.col("t") > 0), carried_to(F.col("s_lat"), F.col("s_lon"), F.col("m"), F.col("t")))
     d = bound(to, lambda x: F.when(x.isNotNull(), geo.haversine(x["lat"], x["lon"], "pin_lat", "pin_lon")).otherwise(geo.haversine("s_lat", "s_lon", "at_lat", "at_lon")))
-    carried = joined.withColumn("d", d)
-    mean = carried.where("d <= reach").groupBy("pin_id", "t").agg(F.avg("r").alias("r"))
-    found = at.join(mean, ["pin_id", "t"], "left")
+    mean = joined.withColumn("d", d).where("d <= reach").groupBy(*key, "t").agg(F.avg("r").alias("r"))
+    found = at.join(mean, [*key, "t"], "left")
     lost = ~F.col("known") & (F.col("r").isNull() | ~F.col("moving") | (F.col("t") == 0))
     rate = F.when(lost, 0.0).otherwise(F.coalesce("r", F.lit(0.0)))
-    return found.select("pin_id", "t", level_of_rate(rate).alias("level"), geo.half_up(rate, 1).alias("rate"), lost.alias("unknown"))
+    return found.select(*key, "t", level_of_rate(rate).alias("level"), geo.half_up(rate, 1).alias("rate"), lost.alias("unknown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pluvio.functions.const import CHANCES, OVER_KM, PIN_KM, TRACK_KM
+from pluvio.functions.const import CHANCES, CITIES, OVER_KM, PIN_KM, TRACK_KM
 from pluvio.functions.geo import half_up
 
 
@@ -60,6 +60,9 @@ def threat_level(active: Column, upcoming: Column) -> Column:
     return rules.when(hit, "nearby").when(active | upcoming, "watch").otherwise("clear")
 
 
+# The words below are the answers themselves.
+
+
 def expect_words(level: Column, hail: Column) -> Column:
     heavy = F.when(hail, "silnej ulewy, porywów wiatru, możliwego gradu").otherwise("silnej ulewy, porywów wiatru")
     return F.when(level >= 4, heavy).when(level >= 3, "ulewy i porywistego wiatru").when(level >= 2, "deszczu i mokrej jezdni").when(level >= 1, "słabego deszczu")
@@ -75,3 +78,45 @@ def title(level: Column, lightning: Column) -> Column:
     now = F.concat(storm_noun(F.greatest(F.col("pin_level"), F.lit(2)), lightning), F.lit(" nad Tobą"))
     soon = F.concat(storm_noun(F.col("expect_level"), lightning), F.lit(" nadciąga"))
     return F.when(level == "now", now).when(level == "imminent", soon).when(level == "nearby", coming).when(level == "watch", "Ostrzeżenie IMGW").otherwise("Czysto")
+
+
+FORM_NOTE = "Komórka może też urosnąć na miejscu — tego radar nie zapowie."
+ISSUED = "Instytut wydał ostrzeżenie dla powiatu."
+
+
+def over_phrase(label: Column) -> Column:
+    """A place as what rain hangs over: a known city by its name, any other as the pin."""
+    names = F.create_map(*[F.lit(x) for _, _, city, over, _ in CITIES for x in (city, f"nad {over}")])
+    return F.coalesce(names[label], F.lit("nad Twoją pinezką"))
+
+
+def about_pin() -> Column:
+    """Whether what comes is about the pin at all: echo within 80 km, a hit, or something that comes by within 20 km."""
+    return F.coalesce(F.col("nearest_km") <= 80, F.lit(False)) | F.col("will_hit") | (F.col("approaching") & F.coalesce(F.col("miss_km") <= 20, F.lit(False)))
+
+
+def detail() -> Column:
+    """The text under the headline; the first case that holds.
+
+    Columns: label, level, eta, pin_level (the strongest echo over the pin), nearest_km, receding,
+    approaching, will_hit, miss_km, speed_kmh, coming_from, toward, chance, body.
+    """
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    whole = lambda x: half_up(x).cast("long").cast("string")
+    who, over, eta, near, miss = F.col("label"), over_phrase(F.col("label")), F.col("eta"), F.col("nearest_km"), F.col("miss_km")
+    came, chance_ = F.col("coming_from"), F.col("chance").cast("string")
+    dist = F.when(near.isNotNull(), say("ok. ", whole(near), " km od ", who)).otherwise(say("w okolicy ", who))
+    later = eta > 0
+    cases = (
+        ((eta == 0) & ((F.col("pin_level") >= 1) | (near <= PIN_KM)), say("Opad jest ", over, " teraz. ", FORM_NOTE)),
+        (F.col("receding") & about_pin(), say(F.coalesce(say("Idzie od ", came), F.lit("Komórka")), " (", dist, ") i odchodzi na ", F.coalesce(F.col("toward"), F.lit("bok")), ". Szansa ~", chance_, "%. ", FORM_NOTE)),
+        (F.col("will_hit") & came.isNotNull(), say("Idzie od ", came, F.when(F.col("speed_kmh") > 0, say(" (~", whole(F.col("speed_kmh")), " km/h)")).otherwise(""), ", echo ", dist, ".", F.when(later, say(" Dojście ", over, ": ok. ", eta.cast("string"), " min.")).otherwise(""), " Szansa ~", chance_, "%. To ruch echa, nie pewność. ", FORM_NOTE)),
+        (came.isNotNull() & (miss > PIN_KM) & (near.isNull() | (near > OVER_KM)), say("Idzie od ", came, ", echo ", dist, ". Tor minie ", who, " ok. ", whole(miss), " km obok", F.when(later, say(" za ~", eta.cast("string"), " min")).otherwise(""), ". Nad samym punktem szansa ~", chance_, "%. ", FORM_NOTE)),
+        (near.isNotNull(), say("Echo ", dist, F.coalesce(say(", od ", came), F.lit("")), ". Szansa ~", chance_, "%. ", FORM_NOTE)),
+        (F.col("level") == "watch", say(F.coalesce(F.col("body"), F.lit(ISSUED)), " Dla ", who, " szansa z radaru ~", chance_, "% na ~45 min.")),
+        (F.col("level") == "clear", say(F.upper(F.substring(over, 1, 1)), F.substring(over, 2, 1000), f" radar nie widzi groźnej komórki w promieniu {TRACK_KM:.0f} km. Szansa ~", chance_, "% na ok. 45 min. ", FORM_NOTE)),
+    )
+    out = say("Szansa ~", chance_, "% dla ", who, ". ", FORM_NOTE)
+    for holds, text in reversed(cases):
+        out = F.when(F.coalesce(holds, F.lit(False)), text).otherwise(out)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pluvio.functions import geo
-from pluvio.functions.const import CORE_LEVEL, CORE_RADIUS_KM, LINK_KM, MIN_MASS, TRACK_KM
+from pluvio.functions.const import CORE_LEVEL, CORE_RADIUS_KM, LINK_KM, MIN_MASS, ORIGIN_LAT, ORIGIN_LON, TRACK_KM
 from pluvio.operators.pins import first_by
 from pluvio.operators.spatial import links, range_join
 
@@ -106,11 +106,11 @@ def ranked(found: DataFrame, lat: float, lon: float) -> DataFrame:
 
 
 def pin_mass(members: DataFrame, found: DataFrame, pins: DataFrame) -> DataFrame:
-    """The mass nearest to each pin within 100 km, by its nearest sample; ``d``. Tables of one frame."""
-    points = members.select("mass_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    d = range_join(pins.select("pin_id", "lat", "lon"), points, TRACK_KM).groupBy("pin_id", "mass_id").agg(F.min("km").alias("d"))
-    place = ranked(found, 52.1, 19.35).select("mass_id", "place")
-    return first_by(d.join(place, "mass_id"), ["pin_id"], F.col("d"), F.col("place")).drop("place")
+    """The mass of each frame that is nearest to each pin within 100 km, by its nearest sample: ``frame_time, pin_id, mass_id, d``."""
+    points = members.select("frame_time", "mass_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    d = range_join(pins.select("pin_id", "lat", "lon"), points, TRACK_KM).groupBy("frame_time", "pin_id", "mass_id").agg(F.min("km").alias("d"))
+    place = ranked(found, ORIGIN_LAT, ORIGIN_LON).select("frame_time", "mass_id", "place")
+    return first_by(d.join(place, ["frame_time", "mass_id"]), ["frame_time", "pin_id"], F.col("d"), F.col("place")).drop("place")
 
 
 def overlap(members: DataFrame, times: DataFrame) -> DataFrame:

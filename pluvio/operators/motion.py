@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions import geo
@@ -183,20 +183,22 @@ def system_motion(frames: list[tuple[int, pd.DataFrame]], lat: float, lon: float
     return speed, _mean_turn(use), int(min(95.0, 40 + 40 * best + 8 * min(len(use), 3) + 5 * (agreed == len(parts))) + 0.5)
 
 
-def _of_group(key: str, km: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _of_group(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         frames = [(int(t), g) for t, g in rows.groupby("frame_time", sort=True)]
-        found = system_motion(frames, float(rows["c_lat"].iloc[0]), float(rows["c_lon"].iloc[0]), km)
-        names = [key, "speed", "bearing", "confidence"]
-        return pd.DataFrame([(rows[key].iloc[0], *found)] if found else [], columns=names)
+        first = rows.iloc[0]
+        found = system_motion(frames, float(first["c_lat"]), float(first["c_lon"]), float(first["km"]))
+        return pd.DataFrame([(*(first[k] for k in keys), *found)] if found else [], columns=[*keys, "speed", "bearing", "confidence"])
 
     return run
 
 
-def motions(samples: DataFrame, key: str, km: float = NCC_CELL_KM) -> DataFrame:
-    """``key, speed, bearing, confidence`` of each group of ``samples`` (key, frame_time, lat, lon, level, c_lat, c_lon: the centre).
+def motions(samples: DataFrame, keys: list[str], km: Column | float = NCC_CELL_KM) -> DataFrame:
+    """``keys, speed, bearing, confidence`` of each group of ``samples`` (keys, frame_time, lat, lon, level, c_lat, c_lon: the centre), on cells of ``km``, one size for a group.
 
     A group is a few frames of at most some thousand samples each, as the grid bounds them.
     """
-    kind = dict(samples.dtypes)[key]
-    return samples.groupBy(key).applyInPandas(_of_group(key, km), f"{key} {kind}, speed double, bearing double, confidence int")
+    kinds = dict(samples.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    rows = samples.withColumn("km", km if isinstance(km, Column) else F.lit(float(km)))
+    return rows.groupBy(*keys).applyInPandas(_of_group(keys), f"{schema}, speed double, bearing double, confidence int")

@@ -19,22 +19,23 @@ def newest(samples: DataFrame) -> DataFrame:
 
 
 def within(samples: DataFrame, pins: DataFrame, km: float) -> DataFrame:
-    """Each pin with each sample at most ``km`` away, and ``km``."""
+    """Each pin with each sample at most ``km`` away, and ``km``; of the pin's own frame where pins have a ``frame_time``."""
     points = samples.select("frame_time", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "level", "rate")
-    return range_join(pins, points, km, ("lat", "lon"), ("s_lat", "s_lon"))
+    return range_join(pins, points, km, ("lat", "lon"), ("s_lat", "s_lon"), ("frame_time",) if "frame_time" in pins.columns else ())
 
 
 def neighbourhood(samples: DataFrame, pins: DataFrame) -> DataFrame:
-    """What lies around each pin in one frame; a pin without echo within 100 km has zeros and no distance. The pin's class is that of the mean rate within 8 km."""
+    """What lies around each pin in each frame; a pin without echo within 100 km has zeros and no distance. The pin's class is that of the mean rate within 8 km."""
+    every = pins.crossJoin(samples.select("frame_time").distinct())  # the answer has a row for each pin and frame
     near = within(samples, pins.select("pin_id", "lat", "lon"), TRACK_KM)
     rate = rate_of_sample(F.col("rate"), F.col("level"))
     over, local = F.col("km") <= OVER_KM, F.col("km") <= LOCAL_KM
-    sums = near.groupBy("pin_id").agg(
+    sums = near.groupBy("frame_time", "pin_id").agg(
         F.max(F.when(local, F.col("level"))).alias("max_level"), F.max(F.when(over, F.col("level"))).alias("pin_max_level"), F.max(F.when(over, rate)).alias("pin_max_rate"),
         F.avg(F.when(over, rate)).alias("pin_rate"), F.min("km").alias("nearest_km"),
     )
     zero = {"max_level": 0, "pin_max_level": 0, "pin_max_rate": 0.0, "pin_rate": 0.0}
-    return pins.join(sums, "pin_id", "left").fillna(zero, list(zero)).withColumn("pin_level", level_of_rate(F.col("pin_rate")))
+    return every.join(sums, ["frame_time", "pin_id"], "left").fillna(zero, list(zero)).withColumn("pin_level", level_of_rate(F.col("pin_rate")))
 
 
 def observed(samples: DataFrame, pins: DataFrame) -> DataFrame:
@@ -52,17 +53,17 @@ def lattice(spark: SparkSession, lat: float, lon: float) -> DataFrame:
 
 
 def correlation_centre(samples: DataFrame, pins: DataFrame) -> DataFrame:
-    """The nearest echo to each pin, or, if farther than 25 km, the point 20 km behind it."""
+    """The nearest echo to each pin in each frame, or, if farther than 25 km, the point 20 km behind it."""
     near = within(samples, pins.select("pin_id", "lat", "lon"), TRACK_KM)
     order = F.struct("km", (-F.col("level")).alias("l"), "s_lat", "s_lon", "lat", "lon")
-    best = near.groupBy("pin_id").agg(F.min(order).alias("b")).select("pin_id", "b.*")
+    best = near.groupBy("frame_time", "pin_id").agg(F.min(order).alias("b")).select("frame_time", "pin_id", "b.*")
     lat, lon = geo.destination("s_lat", "s_lon", geo.bearing("lat", "lon", "s_lat", "s_lon"), 20.0)
     far = F.col("km") > 25
-    return best.select("pin_id", F.when(far, lat).otherwise(F.col("s_lat")).alias("lat"), F.when(far, lon).otherwise(F.col("s_lon")).alias("lon"))
+    return best.select("frame_time", "pin_id", F.when(far, lat).otherwise(F.col("s_lat")).alias("lat"), F.when(far, lon).otherwise(F.col("s_lon")).alias("lon"))
 
 
 def persistence(samples: DataFrame, pins: DataFrame) -> DataFrame:
-    """The timeline without motion: the mean rate within 6 km at every step, unknown off the composite."""
+    """The timeline without motion, from the samples of one frame: the mean rate within 6 km at every step, unknown off the composite."""
     near = within(samples, pins.select("pin_id", "lat", "lon"), OVER_KM * 0.75)
     rate = near.groupBy("pin_id").agg(F.avg(rate_of_sample(F.col("rate"), F.col("level"))).alias("r"))
     known = geo.covered("lat", "lon")

@@ -18,13 +18,15 @@ def _cells(km: float, top: float) -> tuple[float, float]:
 def range_join(left: DataFrame, right: DataFrame, km: float, at: tuple[str, str] = ("lat", "lon"), other: tuple[str, str] = ("s_lat", "s_lon"), on: tuple[str, ...] = (), top: float = 60.0) -> DataFrame:
     """Rows of both sides at most ``km`` apart, and equal in ``on``, with the distance as ``km``.
 
-    One width of cells serves all rows, sized for latitude ``top``; points beyond it are not for
-    this join. The left rows, which should be the fewer, are copied to the nine cells around them.
+    One width of cells serves all rows, sized for latitude ``top``; a point beyond it raises an
+    error. The left rows, which should be the fewer, are copied to the nine cells around them.
     """
     high, wide = _cells(km, top)
+    beyond = F.raise_error(F.lit(f"a point lies beyond latitude {top:g}; give range_join a higher one")).cast("double")
+    held = lambda lat: F.when(F.abs(F.col(lat)) > top, beyond).otherwise(F.col(lat))
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    spread = left.withColumn("__n", near).withColumn("__y", F.floor(F.col(at[0]) / high) + F.col("__n.a")).withColumn("__x", F.floor(F.col(at[1]) / wide) + F.col("__n.b")).drop("__n")
-    placed = right.withColumn("__y", F.floor(F.col(other[0]) / high)).withColumn("__x", F.floor(F.col(other[1]) / wide))
+    spread = left.withColumn("__n", near).withColumn("__y", F.floor(held(at[0]) / high) + F.col("__n.a")).withColumn("__x", F.floor(F.col(at[1]) / wide) + F.col("__n.b")).drop("__n")
+    placed = right.withColumn("__y", F.floor(held(other[0]) / high)).withColumn("__x", F.floor(F.col(other[1]) / wide))
     return spread.join(placed, ["__y", "__x", *on]).withColumn("km", geo.haversine(at[0], at[1], other[0], other[1])).where(F.col("km") <= km).drop("__y", "__x")
 
 

@@ -12,6 +12,30 @@ from pluvio.operators.masses import overlap
 from pluvio.operators.pins import first_by
 
 
+#: What a trail is known by: the scan, and the mass of the scan's newest frame.
+TRACK = ("scan_time", "trail_id")
+
+
+def one_scan(frames: DataFrame) -> DataFrame:
+    """``scan_time, frame_time``: all frames as one scan, named by the newest."""
+    times = frames.select("frame_time").distinct()
+    return times.crossJoin(F.broadcast(times.agg(F.max("frame_time").alias("scan_time"))))  # one row
+
+
+def rolling_scans(frames: DataFrame, n: int = 4) -> DataFrame:
+    """``scan_time, frame_time``: each frame that has ``n - 1`` before it, with these, as a scan."""
+    order = Window.orderBy("frame_time").rowsBetween(1 - n, 0)  # one row a frame
+    held = frames.select("frame_time").distinct().withColumn("held", F.collect_list("frame_time").over(order)).where(F.size("held") == n)
+    return held.select(F.col("frame_time").alias("scan_time"), F.explode("held").alias("frame_time"))
+
+
+def ends_of(scans: DataFrame, frames: DataFrame) -> DataFrame:
+    """``scan_time, since, last_time`` of each scan: its first frame, and the newest that has echo (``frames``)."""
+    usable = scans.join(frames.select("frame_time").distinct(), "frame_time", "left_semi")
+    since = scans.groupBy("scan_time").agg(F.min("frame_time").alias("since"))
+    return since.join(usable.groupBy("scan_time").agg(F.max("frame_time").alias("last_time")), "scan_time")
+
+
 def gate(km: float, seconds: Column) -> Column:
     """A distance for 30 minutes, scaled to other times."""
     return F.when(seconds > 0, F.lit(km) * seconds / float(GATE_SECONDS)).otherwise(0.0)
@@ -32,19 +56,21 @@ def matches(members: DataFrame, found: DataFrame, times: DataFrame) -> DataFrame
     return best.select("frame_time", "mass_id", "prev_time", "prev_id", "d", "dt", "score")
 
 
-def trails(found: DataFrame, matched: DataFrame, hops: int = 6) -> DataFrame:
-    """The trail of each mass of the newest frame: ``trail_id, frame_time, mass_id, lat, lon, n, max_level, mean_level``.
+def trails(found: DataFrame, matched: DataFrame, scans: DataFrame, hops: int = 6) -> DataFrame:
+    """The trail of each mass of each scan's newest frame: ``scan_time, trail_id, frame_time, mass_id, lat, lon, n, max_level, mean_level``.
 
-    Each hop is a join with the matches; a trail ends where there is none, or a hop is faster than 95 km/h.
+    Masses and matches are those of frames, so that scans which share frames share them. Each hop is
+    a join with the matches; a trail ends where there is none, where a hop is faster than 95 km/h,
+    or with the scan's first frame.
     """
-    newest = found.agg(F.max("frame_time").alias("frame_time"))
     good = matched.where(F.col("d") / (F.col("dt") / 3600.0) <= MAX_SPEED).select("frame_time", "mass_id", "prev_time", "prev_id")
-    way = found.select(F.col("frame_time").alias("t0"), F.col("mass_id").alias("m0")).join(F.broadcast(newest), F.col("t0") == F.col("frame_time"), "left_semi")  # one row
+    ends = ends_of(scans, found)
+    way = found.select(F.col("frame_time").alias("t0"), F.col("mass_id").alias("m0")).join(ends, F.col("t0") == F.col("last_time")).drop("last_time")
     for k in range(hops):
         step = good.toDF(f"t{k}", f"m{k}", f"t{k + 1}", f"m{k + 1}")
         way = way.join(step, [f"t{k}", f"m{k}"], "left")
     steps = F.explode(F.array(*[F.struct(F.col(f"t{k}").alias("frame_time"), F.col(f"m{k}").alias("mass_id")) for k in range(hops + 1)]))
-    out = way.select(F.col("m0").alias("trail_id"), steps.alias("s")).select("trail_id", "s.*").where("mass_id is not null")
+    out = way.select("scan_time", "since", F.col("m0").alias("trail_id"), steps.alias("s")).select("scan_time", "trail_id", "since", "s.*").where("mass_id is not null and frame_time >= since").drop("since")
     return out.join(found, ["frame_time", "mass_id"])
 
 
@@ -57,30 +83,30 @@ def circular_mean(degrees: Column, weight: Column) -> Column:
 
 def trail_motion(trail: DataFrame) -> DataFrame:
     """Speed between a trail's ends, and a bearing from all its hops and, weighed more, its ends."""
-    by = Window.partitionBy("trail_id").orderBy("frame_time")
-    whole = Window.partitionBy("trail_id").orderBy("frame_time").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = trail.select("trail_id", "frame_time", "lat", "lon").withColumns({"n": F.count("*").over(whole), "first": F.first(F.struct("frame_time", "lat", "lon")).over(whole), "last": F.last(F.struct("frame_time", "lat", "lon")).over(whole), "prev": F.lag(F.struct("frame_time", "lat", "lon")).over(by)})
+    by = Window.partitionBy(*TRACK).orderBy("frame_time")
+    whole = Window.partitionBy(*TRACK).orderBy("frame_time").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = trail.select(*TRACK, "frame_time", "lat", "lon").withColumns({"n": F.count("*").over(whole), "first": F.first(F.struct("frame_time", "lat", "lon")).over(whole), "last": F.last(F.struct("frame_time", "lat", "lon")).over(whole), "prev": F.lag(F.struct("frame_time", "lat", "lon")).over(by)})
     ends = geo.haversine("first.lat", "first.lon", "last.lat", "last.lon")
     rows = rows.withColumns({"moved": ends, "hours": (F.col("last.frame_time") - F.col("first.frame_time")) / 3600.0, "bearing_all": geo.bearing("first.lat", "first.lon", "last.lat", "last.lon")})
     hop = rows.where("prev is not null").withColumns({"step": geo.haversine("prev.lat", "prev.lon", "lat", "lon"), "turn": geo.bearing("prev.lat", "prev.lon", "lat", "lon"), "h": (F.col("frame_time") - F.col("prev.frame_time")) / 3600.0})
     wild = (F.col("n") >= 3) & (F.col("moved") > 8) & (geo.angle_between(F.col("turn"), F.col("bearing_all")) > 70)
-    hop = hop.where((F.col("step") / F.col("h") <= MAX_SPEED) & ~wild).select("trail_id", F.col("turn").alias("deg"), F.greatest("step", F.lit(0.5)).alias("w"))
-    head = rows.where("prev is null and n >= 2").select("trail_id", "n", "moved", "hours", F.col("bearing_all").alias("deg"), (F.greatest("moved", F.lit(1.0)) * F.when(F.col("n") >= 3, 2.0).otherwise(1.0)).alias("w"), F.col("first.lat").alias("from_lat"), F.col("first.lon").alias("from_lon"))
-    turns = hop.unionByName(head.select("trail_id", "deg", "w")).groupBy("trail_id").agg(circular_mean(F.col("deg"), F.col("w")).alias("bearing"))
+    hop = hop.where((F.col("step") / F.col("h") <= MAX_SPEED) & ~wild).select(*TRACK, F.col("turn").alias("deg"), F.greatest("step", F.lit(0.5)).alias("w"))
+    head = rows.where("prev is null and n >= 2").select(*TRACK, "n", "moved", "hours", F.col("bearing_all").alias("deg"), (F.greatest("moved", F.lit(1.0)) * F.when(F.col("n") >= 3, 2.0).otherwise(1.0)).alias("w"), F.col("first.lat").alias("from_lat"), F.col("first.lon").alias("from_lon"))
+    turns = hop.unionByName(head.select(*TRACK, "deg", "w")).groupBy(*TRACK).agg(circular_mean(F.col("deg"), F.col("w")).alias("bearing"))
     speed = F.col("moved") / F.col("hours")
-    return head.where(speed <= MAX_SPEED).join(turns, "trail_id").select("trail_id", "n", "moved", (F.col("hours") * 3600).alias("seconds"), speed.alias("speed"), "bearing", "from_lat", "from_lon")
+    return head.where(speed <= MAX_SPEED).join(turns, list(TRACK)).select(*TRACK, "n", "moved", (F.col("hours") * 3600).alias("seconds"), speed.alias("speed"), "bearing", "from_lat", "from_lon")
 
 
 def trend(trail: DataFrame) -> DataFrame:
     """``growing``, ``decaying`` or null for each trail: class and area vote, first snap against last."""
     snap = lambda f: f(F.struct("max_level", "mean_level", "n"), "frame_time")
-    ends = trail.groupBy("trail_id").agg(snap(F.min_by).alias("a"), snap(F.max_by).alias("b"), F.count("*").alias("snaps"))
+    ends = trail.groupBy(*TRACK).agg(snap(F.min_by).alias("a"), snap(F.max_by).alias("b"), F.count("*").alias("snaps"))
     top, mean, area = F.col("b.max_level") - F.col("a.max_level"), F.col("b.mean_level") - F.col("a.mean_level"), (F.col("b.n") - F.col("a.n")) / F.col("a.n")
     up, down, wider, smaller = (top >= 1) | (mean >= 0.35), (top <= -1) | (mean <= -0.35), area >= 0.25, area <= -0.25
     grow, decay = up.cast("int") + wider.cast("int"), down.cast("int") + smaller.cast("int")
     word = F.when(F.col("snaps") < 2, None).when((top >= 1) & ~down, "growing").when((top <= -1) & ~up, "decaying")
     word = word.when((grow > decay) & (up | (wider & (mean >= 0))), "growing").when((decay > grow) & (down | (smaller & (mean <= 0))), "decaying")
-    return ends.select("trail_id", word.alias("trend"))
+    return ends.select(*TRACK, word.alias("trend"))
 
 
 def track(lat: Column, lon: Column, bearing: Column, speed: Column) -> dict[str, Column]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from pluvio.operators.pins import first_by
 from pluvio.operators.spatial import range_join
 
@@ -85,3 +84,40 @@ def county_features(counties: DataFrame, degrees: DataFrame) -> DataFrame:
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("g").alias("coordinates")))
     geometry = F.when(F.size("g") == 1, one).otherwise(many)
     return found.select("t", F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
+
+
+# Short names of days from Sunday on, and of months.
+DAYS = ("niedz.", "pon.", "wt.", "śr.", "czw.", "pt.", "sob.")
+MONTHS = ("sty", "lut", "mar", "kwi", "maj", "cze", "lip", "sie", "wrz", "paź", "lis", "gru")
+
+
+def warning_time(raw: Column) -> Column:
+    """A Warsaw wall-clock string in words; as it is where it is no time."""
+    at = F.from_utc_timestamp(warsaw(raw), "Europe/Warsaw")
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i)
+    text = F.concat(name(DAYS, F.dayofweek(at)), F.lit(", "), F.dayofmonth(at).cast("string"), F.lit(" "), name(MONTHS, F.month(at)), F.lit(", "), F.date_format(at, "HH:mm"))
+    return F.coalesce(text, raw)
+
+
+def warning_range(starts: Column, ends: Column, now: Column) -> Column:
+    """From when to when a warning holds: by today and tomorrow where that will do. ``now`` is in UTC."""
+    local = lambda raw: F.from_utc_timestamp(warsaw(raw), "Europe/Warsaw")
+    today = F.to_date(F.from_utc_timestamp(now, "Europe/Warsaw"))
+
+    def day(raw: Column) -> Column:
+        off = F.datediff(F.to_date(local(raw)), today)
+        return F.when(off == 0, "dziś").when(off == 1, "jutro")
+
+    hour = lambda raw: F.date_format(local(raw), "HH:mm")
+    one = F.concat(day(starts), F.lit(" "), hour(starts), F.lit("–"), hour(ends))
+    two = F.concat(day(starts), F.lit(" "), hour(starts), F.lit(" – "), day(ends), F.lit(" "), hour(ends))
+    far = F.concat(warning_time(starts), F.lit(" – "), warning_time(ends))
+    return F.coalesce(F.when(day(starts) == day(ends), one), two, far)
+
+
+def strike_features(strikes: DataFrame, now: Column) -> DataFrame:
+    """``strike_id, feature`` of strikes (strike_id, ts, lat, lon) that have not faded yet, as GeoJSON points with their opacity."""
+    age = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 60e6
+    seen = strikes.withColumn("opacity", opacity(age)).where("opacity > 0")
+    shape = F.struct(F.lit("Feature").alias("type"), F.struct("opacity").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))
+    return seen.select("strike_id", F.to_json(shape).alias("feature"))

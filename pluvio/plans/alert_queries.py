@@ -11,7 +11,6 @@ from pluvio.operators import alert_rules as R
 from pluvio.operators import decision as D
 from pluvio.operators import growth as G
 from pluvio.operators import warnings as W
-from pluvio.operators.pins import first_by
 from pluvio.plans import mass_queries as MQ
 from pluvio.plans import sqltext as S
 from pluvio.plans.decision_queries import TH, _threats
@@ -149,8 +148,9 @@ def eta_resolve(s: Scene) -> DataFrame:
 
 @query()
 def alert_replay(s: Scene) -> DataFrame:
-    """The events that each pin's trace of threats fires."""
-    return alerts.replay(s.threats())
+    """The events that each pin's trace of threats fires, with their words; every second threat has a timeline, every third pin settings of its own."""
+    rows = _lines(s).withColumns({"timeline_advected": F.col("event_id") % 2 == 0, "label": F.when(F.col("pin_id") % 2 == 0, "Warszawa").otherwise("Dom"), "toward": F.when(F.col("event_id") % 3 == 0, "wschód")})
+    return alerts.replay(rows.withColumns({"lead_min": F.when(F.col("pin_id") % 3 == 0, 45), "min_level": F.when(F.col("pin_id") % 3 == 0, 1)}).withColumnRenamed("level", "cell_level"))
 
 
 @query()
@@ -159,10 +159,66 @@ def rate_limit(s: Scene) -> DataFrame:
     return alerts.rate_limited(s.table("events").select(F.col("user_id").alias("client"), "ts"), 2, 7200)
 
 
+def _pairs(s: Scene) -> DataFrame:
+    return G.matched_cells(MQ._trails(s), MQ._members(s))
+
+
 @query()
 def lagrangian_pairs(s: Scene) -> DataFrame:
     """Cells of each trail that are the same rain in consecutive frames, and how their rate changed."""
-    return G.matched_cells(MQ._trails(s), MQ._members(s))
+    return _pairs(s)
+
+
+@query()
+def lagrangian_growth(s: Scene) -> DataFrame:
+    """The sum of these changes by trail, and the change of the mean a minute."""
+    return G.growth(_pairs(s))
+
+
+_CASES = (
+    ("Idzie od zachodu, echo ok. 13 km od Dom. To ruch echa, nie pewność. Szansa ~50%. Komórka może urosnąć.", "To ruch echa, nie pewność. Komórka może urosnąć."), ("Opad jest nad Twoją pinezką teraz. Komórka może urosnąć.", "Komórka może urosnąć."),
+    ("Echo ok. 8 km od Dom.", None), ("Raz. Dwa. Trzy. Cztery.", "Raz. Cztery."),
+)
+_SAID = " ".join(f"when {i} then {'null' if b is None else repr(b)}" for i, (_, b) in enumerate(_CASES))
+_SHEET = f"with {TH}, x as (select *, 1704067200 + event_id * 60 as radar, event_id % 50 as age, event_id % 6 = 0 as down, event_id % 4 = 0 as now_, event_id % 3 = 0 as nol, event_id % 7 = 0 as off, event_id % 5 = 0 as lost from t)"
+_CLOCK_AT = _AT.format(x="0")
+_HELD = "case when not lost and age > 30 then ' · alert wstrzymany' else '' end"
+
+
+@query(f"""{_SHEET} select event_id, case when lost and not down and not off then null when off then case when lost then 'Bez sieci' else 'Bez sieci · ostatni radar ' || {_CLOCK_AT} end || {_HELD}
+ else case when lost then 'Radar ✕' else 'Radar ' || {_CLOCK_AT} || ' · ' || age || ' min' end || {_HELD} || ' · ' || case when now_ then 'IMGW ✕' else 'IMGW ✓' end || ' · ' || case when nol then 'wyładowania ✕' else 'wyładowania ✓' end end as status,
+ case when lost and not down and not off then null when (not lost and age > 30) or (down and not off) then 'warn' else 'mute' end as tone,
+ case when event_id % 8 = 0 then case when event_id % 16 = 0 then 'Skanuję radar…' else 'Brak danych' end when event_id % 8 = 1 then 'Czysto' else 'Burza' end as headline,
+ case when event_id % 9 > 0 then 'Idzie od zachodu' || case when event_id % 2 = 0 then ' na wschód' else '' end || coalesce(' · echo ' || cast(floor(nearest_km + 0.5e0) as bigint) || ' km', '') end as way,
+ {_CLOCK_AT} || ': ' || case when event_id % 5 = 0 then 'poza radarem' when event_id % 5 = 1 then 'sucho' else case event_id % 5 when 2 then 'słaby' when 3 then 'silny' else 'ulewny' end || ', ~' || case event_id % 5 when 2 then '0.5' when 3 then '4' else '12.5' end || ' mm/h' end as bar,
+ case event_id % 3 when 0 then 'Komórka rośnie' when 1 then 'Komórka słabnie' end as trend, case event_id % {len(_CASES)} {_SAID} end as caveat, event_id % 6 = 0 or event_id % 4 = 0 as offline from x""")
+def sheet_texts(s: Scene) -> DataFrame:
+    """The texts of the sheet: status, headline, direction, a bar, the trend, what else is said, and whether the network is gone."""
+    e = F.col("event_id")
+    radar = F.when(e % 5 > 0, 1704067200 + e * 60)
+    text, tone = R.status_row(radar, radar + e % 50 * 60, e % 6 == 0, e % 4 == 0, e % 3 == 0, e % 7 == 0)
+    level = F.when(e % 8 > 0, F.when(e % 8 == 1, "watch").otherwise("now"))
+    bar = R.bar_readout(F.lit(0), F.when(e % 5 == 1, 0).when(e % 5 == 2, 1).when(e % 5 == 3, 3).otherwise(4), F.when(e % 5 == 2, 0.5).when(e % 5 == 3, 4.0).otherwise(12.5), e % 5 == 0, 1704067200 + e * 60)
+    said = F.element_at(F.array(*[F.lit(a) for a, _ in _CASES]), (e % len(_CASES) + 1).cast("int"))
+    return s.threats().select(
+        "event_id", text.alias("status"), tone.alias("tone"), R.headline(level, F.lit("Burza"), e % 16 == 0).alias("headline"), R.way_line(F.when(e % 9 > 0, "zachodu"), F.when(e % 2 == 0, "wschód"), F.col("nearest_km")).alias("way"), bar.alias("bar"),
+        R.trend_line(F.when(e % 3 == 0, "growing").when(e % 3 == 1, "decaying")).alias("trend"), R.caveat(said).alias("caveat"), R.is_offline(F.when(e % 6 == 0, False), e % 4 == 0, F.lit("TypeError Failed to fetch")).alias("offline"),
+    )
+
+
+_DETAIL_AGE = "(event_id % 40 / 4e0)"
+
+
+@query(f"""with {TH}, x as (select event_id, eta, 'Dojście nad Twoją pinezką: ok. ' || eta || ' min. Tor minie za ~' || eta || ' min. Szansa na ok. 45 min.' as d, greatest(0, cast(floor(eta - {_DETAIL_AGE} + 0.5e0) as int)) as wall, event_id % 40 / 4e0 as age, 1704067200 + event_id * 60 as radar from t)
+select event_id, case when eta is null or eta = 0 or wall = eta then d when wall = 0 then 'Dojście nad Twoją pinezką: teraz. Tor minie teraz. Szansa na ok. 45 min.' else 'Dojście nad Twoją pinezką: ok. ' || wall || ' min. Tor minie za ~' || wall || ' min. Szansa na ok. 45 min.' end as detail,
+case event_id % 3 when 2 then 'Radar ' || {_AT.format(x='0')} || ' · poprzednia klatka' else case event_id % 3 when 0 then 'Radar IMGW ' else 'Radar ' end || {_AT.format(x='0')} || ' · sprzed ' || cast(floor(age + 0.5e0) as bigint) || ' min' end as caption,
+case event_id % 5 when 0 then 'słaby deszcz' when 1 then 'słaby deszcz' when 2 then 'deszcz' else 'ulewa / burza' end as setting, 'test:' || event_id as trial from x""")
+def alert_texts(s: Scene) -> DataFrame:
+    """Arrival counted from now in a text, the radar's caption, the name of a class in settings, and the trial event."""
+    e, eta = F.col("event_id"), F.col("eta").cast("string")
+    rows = s.threats().select("event_id", "eta", F.concat(F.lit("Dojście nad Twoją pinezką: ok. "), eta, F.lit(" min. Tor minie za ~"), eta, F.lit(" min. Szansa na ok. 45 min.")).alias("d"), (e % 40 / 4.0).alias("age"), (1704067200 + e * 60).alias("radar"))
+    source = F.when(e % 3 == 0, "sri").when(e % 3 == 1, "rainviewer").otherwise("placeholder")
+    return rows.select("event_id", R.arrival_from_now(F.col("d"), F.col("eta"), F.col("age")).alias("detail"), R.age_caption(F.col("radar"), F.col("radar") + F.col("age") * 60, source).alias("caption"), R.level_setting(e % 5).alias("setting"), R.trial_event(F.lit("Dom"), e)["event_id"].alias("trial"))
 
 
 @query(f"""with {samples_sql(peaked=True)}, p as ({PIN_SQL}), last as (select * from samples where frame_time = (select max(frame_time) from samples)) select pin_id, s.lat, s.lon, t from p cross join last s cross join (select unnest([30, 60, 90]) as t) k
@@ -176,16 +232,6 @@ def sample_arrives(s: Scene) -> DataFrame:
     return near.where(geo.haversine(*to, "lat", "lon") <= 30).select("pin_id", F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), "t")
 
 
-@query(f"""{MQ.FLAGS}, drawn as (select trail_id, row_number() over (order by n desc, max_level desc, trail_id) as place from moving), pinned as (select trail_id from (select trail_id, row_number() over (order by d_now, trail_id) as rn from flags where pin_id = 7) q where rn = 1)
-select trail_id, coalesce(pinned.trail_id is not null and place > 2, false) as pinned from drawn left join pinned using (trail_id) where place <= 2 or pinned.trail_id is not null""")
-def track_union(s: Scene) -> DataFrame:
-    """Two arrows of the scan, and that of the mass nearest to a pin if it is not one of them."""
-    rows = MQ._moving(s).join(MQ._trails(s).groupBy("trail_id").agg(F.count("*").alias("steps")), "trail_id")
-    drawn = rows.orderBy(F.desc("steps"), F.desc("max_level"), "trail_id").limit(2).select("trail_id", F.lit(False).alias("pinned"))
-    own = first_by(MQ._flags(s).where("pin_id = 7"), ["pin_id"], F.col("d_now"), F.col("trail_id")).select("trail_id", F.lit(True).alias("pinned"))
-    return drawn.unionByName(own.join(drawn, "trail_id", "left_anti"))
-
-
 @query("""with o as (select event_id, epoch(ts) as at from events where event_type = 'view'), p as (select event_id as path_id, epoch(ts) as at from events where event_type = 'click'),
 r as (select o.event_id, p.path_id, row_number() over (partition by o.event_id order by p.at, p.path_id) as rn from o join p on abs(p.at - o.at) < 360) select event_id, path_id from r where rn = 1""")
 def asof_overlay(s: Scene) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pluvio.functions import geo
-from pluvio.functions.const import CHANCES, CITIES, LEADS
+from pluvio.functions.const import CHANCES, CITIES, FROM_PL, LEADS, TOWARD_PL
 from pluvio.operators import decision as D
 from pluvio.operators import verify as V
 from pluvio.operators import warnings as W
+from pluvio.operators.stages import written
 from pluvio.plans import sqltext as S
 from pluvio.plans.fixtures import PINS, SKILL, STRIKES, THREATS, WARNINGS, Scene
 from pluvio.plans.grid_queries import samples, samples_sql
@@ -70,6 +71,34 @@ def threat_copy(s: Scene) -> DataFrame:
     return _threats(s).select("event_id", D.title(level, F.col("event_id") % 2 == 0).alias("title"), D.expect_words(F.col("expect_level"), F.col("event_id") % 3 == 0).alias("expect"))
 
 
+_FROM = S.pick(FROM_PL, "event_id % 8")
+_TOWARD = S.pick(TOWARD_PL, "event_id % 8")
+_ROUND = "cast(floor({x} + 0.5e0) as bigint)"
+_NOTE = "Komórka może też urosnąć na miejscu — tego radar nie zapowie."
+_DIST = f"(case when nearest_km is not null then 'ok. ' || {_ROUND.format(x='nearest_km')} || ' km od ' || label else 'w okolicy ' || label end)"
+
+
+@query(f"""with {TH}, a as (select *, coalesce(nearest_km <= 80, false) or will_hit or (approaching and coalesce(miss_km <= 20, false)) as about, case when event_id % 3 = 0 then 'Kraków' else 'Dom' end as label, case when event_id % 3 = 0 then 'nad Krakowem' else 'nad Twoją pinezką' end as above, event_id % 60 as speed, case when event_id % 4 = 0 then 'Uwaga.' end as body, {_LEVEL} as lv from t),
+l as (select *, case when event_id % 5 < 4 and about then {_FROM} end as came, case when event_id % 5 < 4 and about then {_TOWARD} end as gone from a)
+select event_id, about, case when about or level >= 1 or will_hit then case when expect_level >= 4 then 'silnej ulewy, porywów wiatru, możliwego gradu' when expect_level >= 3 then 'ulewy i porywistego wiatru' when expect_level >= 2 then 'deszczu i mokrej jezdni' when expect_level >= 1 then 'słabego deszczu' end end as expect,
+case when eta = 0 and (pin_level >= 1 or coalesce(nearest_km <= 5, false)) then 'Opad jest ' || above || ' teraz. {_NOTE}'
+ when receding and about then coalesce('Idzie od ' || came, 'Komórka') || ' (' || {_DIST} || ') i odchodzi na ' || coalesce(gone, 'bok') || '. Szansa ~' || chance || '%. {_NOTE}'
+ when will_hit and came is not null then 'Idzie od ' || came || case when speed > 0 then ' (~' || speed || ' km/h)' else '' end || ', echo ' || {_DIST} || '.' || case when eta > 0 then ' Dojście ' || above || ': ok. ' || eta || ' min.' else '' end || ' Szansa ~' || chance || '%. To ruch echa, nie pewność. {_NOTE}'
+ when came is not null and miss_km > 5 and (nearest_km is null or nearest_km > 8) then 'Idzie od ' || came || ', echo ' || {_DIST} || '. Tor minie ' || label || ' ok. ' || {_ROUND.format(x='miss_km')} || ' km obok' || case when eta > 0 then ' za ~' || eta || ' min' else '' end || '. Nad samym punktem szansa ~' || chance || '%. {_NOTE}'
+ when nearest_km is not null then 'Echo ' || {_DIST} || coalesce(', od ' || came, '') || '. Szansa ~' || chance || '%. {_NOTE}'
+ when lv = 'watch' then coalesce(body, 'Instytut wydał ostrzeżenie dla powiatu.') || ' Dla ' || label || ' szansa z radaru ~' || chance || '% na ~45 min.'
+ when lv = 'clear' then upper(above[1]) || above[2:] || ' radar nie widzi groźnej komórki w promieniu 100 km. Szansa ~' || chance || '% na ok. 45 min. {_NOTE}'
+ else 'Szansa ~' || chance || '% dla ' || label || '. {_NOTE}' end as detail from l""")
+def threat_detail(s: Scene) -> DataFrame:
+    """Whether a threat is about the pin, what to expect of it, hail included, and the text under its headline."""
+    e = F.col("event_id")
+    some = lambda names: F.when((e % 5 < 4) & F.col("about"), F.element_at(F.array(*map(F.lit, names)), (e % 8 + 1).cast("int")))
+    rows = _threats(s).withColumns({"label": F.when(e % 3 == 0, "Kraków").otherwise("Dom"), "speed_kmh": (e % 60).cast("double"), "body": F.when(e % 4 == 0, "Uwaga."), "about": D.about_pin()})
+    rows = rows.withColumns({"coming_from": some(FROM_PL), "toward": some(TOWARD_PL), "max_level": F.col("level"), "level": D.threat_level(F.col("degree").isNotNull(), F.lit(False))})
+    expect = F.when(F.col("about") | (F.col("max_level") >= 1) | F.col("will_hit"), D.expect_words(F.col("expect_level"), F.lit(True)))
+    return rows.select("event_id", "about", expect.alias("expect"), D.detail().alias("detail"))
+
+
 @query(f"with {TH} select user, event_id, chance, lv, cast(hh as double) as hour, case when q0 = q1 then false when q0 < q1 then hh >= q0 and hh < q1 else hh >= q0 or hh < q1 end as quiet from (select pin_id as user, event_id, chance, level as lv, hour(ts) + minute(ts) / 60e0 as hh, pin_id % 24 as q0, (pin_id * 7) % 24 as q1 from t) q")
 def quiet_hours(s: Scene) -> DataFrame:
     """Whether an alert falls into the user's quiet hours, which may pass midnight; equal bounds turn them off."""
@@ -95,12 +124,8 @@ def skill_report(s: Scene) -> DataFrame:
 
 @query(f"with {SK}, b as (select lead, list_sort(list(chance - 40)) as v from f group by lead) select lead, v[cast(floor(len(v) * 0.1e0) as bigint) + 1] as p10, v[cast(floor(len(v) * 0.5e0) as bigint) + 1] as p50, v[cast(floor(len(v) * 0.9e0) as bigint) + 1] as p90 from b")
 def eta_bias_percentiles(s: Scene) -> DataFrame:
-    """By counts of each bias, so that no list of all values forms: the value whose run holds the rank."""
-    counts = s.skill().groupBy("lead", (F.col("chance") - 40).alias("bias")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("lead").orderBy("bias")
-    runs = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("lead"))})
-    pick = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * p), F.col("bias")))
-    return runs.groupBy("lead").agg(pick(0.1).alias("p10"), pick(0.5).alias("p50"), pick(0.9).alias("p90"))
+    """Of the bias of each lead."""
+    return V.bias_percentiles(s.skill().withColumn("bias", F.col("chance") - 40), "lead").drop("n_bias")
 
 
 _BUCKETS = ", ".join(f"({a}, {b})" for a, b in V.BUCKETS)
@@ -112,20 +137,22 @@ def chance_calibration(s: Scene) -> DataFrame:
     return found.select("low", "high", "n", geo.half_up(F.col("mean"), 6).alias("mean"), geo.half_up(F.col("observed"), 6).alias("observed"))
 
 
-@query(f"with {TH}, k as (select case when level >= 2 then 'advected' when will_hit and eta > 0 then 'crude' else 'persist' end as kind from t) select count(*) as n, floor(100e0 * count(*) filter (kind = 'advected') / greatest(1, count(*)) * 10 + 0.5) / 10 as advected, floor(100e0 * count(*) filter (kind = 'crude') / greatest(1, count(*)) * 10 + 0.5) / 10 as crude, floor(100e0 * count(*) filter (kind = 'persist') / greatest(1, count(*)) * 10 + 0.5) / 10 as persist from k")
+_KIND = "case when event_id % 3 = 0 then 'advected' when will_hit and eta > 0 then 'crude' else 'persist' end"
+
+
+@query(f"with {TH}, k as (select {_KIND} as kind, nearest_km is not null as near from t), n as (select count(*) as n_all, count(*) filter (near) as n_echo, count(*) filter (near and kind = 'advected') as a, count(*) filter (near and kind = 'crude') as c, count(*) filter (near and kind = 'persist') as p from k) select n_all, n_echo, 100e0 * a / greatest(1, n_echo) as advected, 100e0 * c / greatest(1, n_echo) as crude, 100e0 * p / greatest(1, n_echo) as persist from n")
 def motion_mix(s: Scene) -> DataFrame:
-    kind = F.when(F.col("level") >= 2, "advected").when(F.col("will_hit") & (F.col("eta") > 0), "crude").otherwise("persist")
-    share = lambda k: geo.half_up(100.0 * F.count_if(F.coalesce(kind == k, F.lit(False))) / F.greatest(F.lit(1), F.count("*")), 1).alias(k)
-    return s.threats().agg(F.count("*").alias("n"), share("advected"), share("crude"), share("persist"))
+    """By what the motion of threats with echo within 100 km was found; here every third has a timeline that moves."""
+    return V.motion_mix(s.threats().withColumn("timeline_advected", F.col("event_id") % 3 == 0))
 
 
 _KM = S.km("s.lat", "s.lon", "p.lat", "p.lon")
-OBS = f"""with {samples_sql(frames=24, peaked=True)}, p as ({PIN_SQL}), fr as (select distinct frame_time from samples), tt as (select a.frame_time, lead, b.frame_time as valid from fr a, (select unnest([10, 20, 30, 40, 50, 60]) as lead) l join fr b on b.frame_time = a.frame_time + lead * 60),
+OBS = f"""with {samples_sql(frames=24, peaked=True)}, p as ({PIN_SQL}), every as (select distinct frame_time from samples), fr as (select frame_time from (select frame_time, row_number() over (order by frame_time) as place, max(frame_time) over () as final from every) z where place >= 4 and frame_time + 3600 <= final), tt as (select a.frame_time, lead, b.frame_time as valid from fr a, (select unnest([10, 20, 30, 40, 50, 60]) as lead) l join every b on b.frame_time = a.frame_time + lead * 60),
 obs as (select pin_id, tt.frame_time, lead, coalesce(max(level), 0) as obs from tt cross join p left join samples s on s.frame_time = valid and {_KM} <= 8 group by all)"""
 
 
 def _observed(s: Scene) -> DataFrame:
-    return V.observed_at_leads(samples(s, frames=24, peaked=True), s.pins(), LEADS)
+    return V.observed_at_leads(written(samples(s, frames=24, peaked=True)), s.pins(), LEADS)
 
 
 @query(f"{OBS} select * from obs")
@@ -146,16 +173,15 @@ def rolling_history(s: Scene) -> DataFrame:
     return counts.select("frame_time", F.collect_list("frame_time").over(w).alias("history"), F.sum("n").over(w).alias("samples"))
 
 
-@query(f"""{OBS}, now as (select pin_id, fr.frame_time, {S.level('coalesce(avg(rate), 0)')} as lv from fr cross join p left join samples s on s.frame_time = fr.frame_time and {_KM} <= 8 group by pin_id, fr.frame_time),
+@query(f"""{OBS}, now as (select pin_id, fr.frame_time, {S.level(f'coalesce(avg(rate) filter ({_KM} <= 8), 0)')} as lv from fr cross join p join samples s on s.frame_time = fr.frame_time and {_KM} <= 100 group by pin_id, fr.frame_time),
 f as (select lead, lv >= thr as pred, obs >= thr as obs, thr from obs join now using (pin_id, frame_time), (select unnest([1, 2]) as thr) h), c as (select thr, lead, {_COUNTS} from f group by thr, lead) select *, {_RATES} from c""")
 def hindcast_persistence(s: Scene) -> DataFrame:
-    """Skill of the class at the pin, taken to last."""
-    from pluvio.functions.classify import level_of_rate
-    from pluvio.operators.pins import within
+    """Skill of the class at the pin, taken to last, for pins with echo within 100 km."""
+    from pluvio.operators.pins import neighbourhood
 
-    wet = samples(s, frames=24, peaked=True)
-    now = within(wet, s.pins().select("pin_id", "lat", "lon"), 8.0).groupBy("pin_id", "frame_time").agg(level_of_rate(F.avg("rate")).alias("lv"))
-    facts = _observed(s).join(now, ["pin_id", "frame_time"], "left").fillna(0, ["lv"]).withColumn("thr", F.explode(F.array(F.lit(1), F.lit(2))))
+    wet = written(samples(s, frames=24, peaked=True))
+    now = neighbourhood(wet, s.pins()).where("nearest_km is not null").select("pin_id", "frame_time", F.col("pin_level").alias("lv"))
+    facts = V.observed_at_leads(wet, s.pins(), LEADS).join(now, ["pin_id", "frame_time"]).withColumn("thr", F.explode(F.array(F.lit(1), F.lit(2))))
     return V.skill(facts.select("thr", "lead", (F.col("lv") >= F.col("thr")).alias("pred"), (F.col("obs") >= F.col("thr")).alias("obs")), "thr", "lead")
 
 
@@ -172,11 +198,10 @@ def warnings_normalize(s: Scene) -> DataFrame:
     return _warnings(s).select("id", "degree", W.short_event(F.col("event")).alias("short"), "storm")
 
 
-@query(f"with {WARN} select id, starts - interval 30 minute <= {NOW} and {NOW} <= ends as active, {NOW} <= ends as live from w where starts between {NOW} - interval 60 day and {NOW} + interval 60 day")
+@query(f"with {WARN} select id, starts - interval 30 minute <= {NOW} and {NOW} <= ends as active, {NOW} <= ends as live from w")
 def warnings_active(s: Scene) -> DataFrame:
     now = F.expr(NOW)
-    rows = _warnings(s).where(F.col("starts").between(now - F.expr("interval 60 days"), now + F.expr("interval 60 days")))
-    return rows.select("id", W.is_active(F.col("starts"), F.col("ends"), now).alias("active"), W.is_live(F.col("ends"), now).alias("live"))
+    return _warnings(s).select("id", W.is_active(F.col("starts"), F.col("ends"), now).alias("active"), W.is_live(F.col("ends"), now).alias("live"))
 
 
 @query(f"with {WARN} select id, code_a = '0205' or code_b = '0205' as matches from w")
@@ -202,6 +227,21 @@ def warning_lane(s: Scene) -> DataFrame:
     return rows.select("id", F.concat(F.lit("Ostrzeżenie IMGW: "), W.short_event(F.col("event")), F.lit(" · powiat 0205")).alias("lane"))
 
 
+_WORD = "(case {d} when 0 then 'dziś' when 1 then 'jutro' end)"
+_WHEN = "(['niedz.', 'pon.', 'wt.', 'śr.', 'czw.', 'pt.', 'sob.'][dayofweek({t}) + 1] || ', ' || day({t}) || ' ' || ['sty', 'lut', 'mar', 'kwi', 'maj', 'cze', 'lip', 'sie', 'wrz', 'paź', 'lis', 'gru'][month({t})] || ', ' || strftime({t}, '%H:%M'))"
+_STARTS, _ENDS = "(date_trunc('day', o_orderdate) + interval 9 hour + to_hours(cast(24 * (o_orderkey % 3) as bigint)))", "(date_trunc('day', o_orderdate) + interval 21 hour + to_hours(cast(24 * (o_orderkey % 4) as bigint)))"
+
+
+@query(f"""with r as (select o_orderkey, {_STARTS} as a, {_ENDS} as b, o_orderkey % 3 as d0, o_orderkey % 4 as d1 from orders) select o_orderkey, case when o_orderkey % 10 = 0 then 'wkrótce – ' || {_WHEN.format(t='b')} when d0 < 2 and d0 = d1 then {_WORD.format(d='d0')} || ' 09:00–21:00'
+ when d0 < 2 and d1 < 2 then {_WORD.format(d='d0')} || ' 09:00 – ' || {_WORD.format(d='d1')} || ' 21:00' else {_WHEN.format(t='a')} || ' – ' || {_WHEN.format(t='b')} end as words from r""")
+def warning_ranges(s: Scene) -> DataFrame:
+    """From when to when warnings hold, as said on the day of the order at noon."""
+    k, day = F.col("o_orderkey"), F.date_trunc("day", "o_orderdate")
+    text = lambda hour, n: F.date_format(day + F.make_dt_interval(n.cast("int"), F.lit(hour)), "yyyy-MM-dd HH:mm:ss")
+    starts = F.when(k % 10 == 0, "wkrótce").otherwise(text(9, k % 3))
+    return s.table("orders").select("o_orderkey", W.warning_range(starts, text(21, k % 4), day + F.expr("interval 11 hours")).alias("words"))
+
+
 @query("select o_orderkey, (case when o_orderkey % 10 = 0 then null else o_orderdate at time zone 'Europe/Warsaw' end) at time zone 'UTC' as utc from orders")
 def warsaw_time(s: Scene) -> DataFrame:
     raw = F.when(F.col("o_orderkey") % 10 == 0, "bez terminu").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -226,6 +266,18 @@ def strike_opacity(s: Scene) -> DataFrame:
     return s.strikes().select("strike_id", geo.half_up(W.opacity(age), 6).alias("opacity"))
 
 
+_AGE = f"(epoch({_CLOCK}) - epoch(ts)) / 60e0"
+_FADED = f"(case when {_AGE} < 0 then 0.95e0 when {_AGE} > 15 then 0e0 else 0.95e0 - 0.8e0 * {_AGE} / 15 end)"
+
+
+@query(f"with {STR} select strike_id, {S.half_up(_FADED, 6)} as opacity, {S.half_up('lon', 3)} as lon, {S.half_up('lat', 3)} as lat from k where {_FADED} > 0")
+def strike_features(s: Scene) -> DataFrame:
+    """Strikes that have not faded, as features; here read back from their JSON."""
+    read = F.from_json("feature", "type string, properties struct<opacity:double>, geometry struct<type:string,coordinates:array<double>>")
+    found = W.strike_features(s.strikes(), F.expr(_CLOCK).cast("timestamp")).withColumn("f", read).where("f.type = 'Feature' and f.geometry.type = 'Point'")
+    return found.select("strike_id", geo.half_up(F.col("f.properties.opacity"), 6).alias("opacity"), geo.half_up(F.element_at("f.geometry.coordinates", 1), 3).alias("lon"), geo.half_up(F.element_at("f.geometry.coordinates", 2), 3).alias("lat"))
+
+
 @query(f"with {STR} select distinct ts, lat, lon from k where strike_id % 3 < 2 union select distinct ts, lat, lon from k where strike_id % 3 > 0")
 def strike_union(s: Scene) -> DataFrame:
     """Strikes of overlapping files, each once."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seven radar frames, five minutes apart, of four moving blobs.
@@ -37,11 +39,17 @@ def hits_sql(frames: int = 7, peaked: bool = False, events: str = "events") -> s
     return HITS.format(rate=PEAKED if peaked else FLAT, frames=frames, events=events)
 
 
+#: Motions of masses as given rows: scans by user, sure to some degree, arrows that begin on a coarse lattice.
+MOVES = """select user_id as scan_time, event_id as trail_id, 72 + cast(floor(value) as bigint) % 27 as confidence, 1 + event_id % 4 as max_level,
+ 50.0e0 + event_id % 5 * 0.5e0 as now_lat, 17.0e0 + event_id % 7 * 0.5e0 as now_lon from {events}"""
+
+
 class Scene:
-    """The scenes over the tables in one folder."""
+    """The scenes over the tables in one folder. ``stages`` holds what one query needs more than once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self.stages: dict[str, Any] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -64,5 +72,8 @@ class Scene:
     def threats(self) -> DataFrame:
         return self.sql(THREATS)
 
+    def moves(self) -> DataFrame:
+        return self.sql(MOVES)
+
     def skill(self) -> DataFrame:
         return self.sql(SKILL)

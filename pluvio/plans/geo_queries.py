@@ -19,7 +19,7 @@ BOTH = f"with h as ({HITS}), p as ({PIN_SQL}), x as (select h.event_id, p.pin_id
 
 def _both(s: Scene) -> DataFrame:
     pins = s.pins().select("pin_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    return s.hits().withColumn("pin_id", (F.col("event_id") % 25).cast("int")).join(F.broadcast(pins), "pin_id")  # nation has 25 rows
+    return s.hits().withColumn("pin_id", (F.col("event_id") % 25).cast("int")).join(pins, "pin_id")
 
 
 def _sql(columns: str) -> str:
@@ -231,3 +231,31 @@ def overlay_rgba_class(s: Scene) -> DataFrame:
     classes = F.create_map(*[F.lit(x) for row in OVERLAY for x in row])
     shown = F.when(F.col("a") > 0, F.coalesce(classes[F.col("rgb")], F.lit(0))).otherwise(0)
     return s.table("part").select("p_partkey", rgb.alias("rgb"), F.when(F.col("p_partkey") % 7 == 0, 0).otherwise(255).alias("a")).select("p_partkey", shown.alias("class"))
+
+
+@query(f"select event_id, {S.half_up('event_id % 50 / 111e0', 9)} as d_lat, {S.half_up('event_id % 50 / (111e0 * greatest(cos(radians(event_id % 90)), 0.25e0))', 9)} as d_lon from events")
+def geo_degrees(s: Scene) -> DataFrame:
+    """Kilometres as degrees, at latitudes from 0 to 89."""
+    k = F.col("event_id")
+    return s.table("events").select("event_id", geo.half_up(geo.lat_degrees(k % 50), 9).alias("d_lat"), geo.half_up(geo.lon_degrees(k % 50, (k % 90).cast("double")), 9).alias("d_lon"))
+
+
+@query("select event_id, least(abs(event_id % 720 - user_id % 360) % 360, 360 - abs(event_id % 720 - user_id % 360) % 360) as apart from events")
+def angle_difference(s: Scene) -> DataFrame:
+    return s.table("events").select("event_id", geo.angle_between(F.col("event_id") % 720, F.col("user_id") % 360).alias("apart"))
+
+
+@query("select event_id, case when event_id % 40 > 3 then 45e0 * ((event_id % 40 - 3) * 100) / 1800e0 else 0e0 end as gate from events")
+def gate_km(s: Scene) -> DataFrame:
+    """A gate of 45 km for half an hour at other times; none without time."""
+    from pluvio.functions.const import MATCH_KM
+    from pluvio.operators.trails import gate
+
+    return s.table("events").select("event_id", gate(MATCH_KM, (F.col("event_id") % 40 - 3) * 100).alias("gate"))
+
+
+@query("select event_id, case when event_id % 3 > 0 then floor(value * 10 + 0.5) / 100e0 else case event_id % 5 when 0 then 0 when 1 then 0.1e0 when 2 then 1 when 3 then 4 else 10 end end as rate from events")
+def sample_rate(s: Scene) -> DataFrame:
+    """The rate of a sample, or the least of its class where it has none."""
+    rate = F.when(F.col("event_id") % 3 > 0, F.floor(F.col("value") * 10 + 0.5) / 100.0)
+    return s.table("events").select("event_id", classify.rate_of_sample(rate, F.col("event_id") % 5).alias("rate"))

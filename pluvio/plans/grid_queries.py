@@ -41,11 +41,11 @@ def grid_coarsen(s: Scene) -> DataFrame:
     return samples(s, 60).groupBy("frame_time", "cell_km").agg(F.count("*").alias("n"), F.max("level").alias("max_level"))
 
 
-@query(f"with {samples_sql()}, o as (select *, row_number() over (partition by frame_time order by level desc, lat, lon) as place from samples) select frame_time, place, level, lat, lon from o where place <= 50")
+@query(f"with {samples_sql()}, o as (select *, row_number() over (partition by frame_time order by level desc, lat, lon) as place from samples) select frame_time, place, level, lat, lon from o")
 def sample_order(s: Scene) -> DataFrame:
-    """The first 50 samples of each frame in the order that settles ties."""
+    """The samples of each frame in the order that settles ties."""
     order = Window.partitionBy("frame_time").orderBy(F.desc("level"), "lat", "lon")
-    return samples(s).withColumn("place", F.row_number().over(order)).where("place <= 50").select("frame_time", "place", "level", "lat", "lon")
+    return samples(s).withColumn("place", F.row_number().over(order)).select("frame_time", "place", "level", "lat", "lon")
 
 
 @query(f"with {samples_sql(peaked=True)} select frame_time, count(*) filter (level >= 1) as wet from samples group by frame_time having count(*) filter (level >= 1) > 0")

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions import geo
-from pluvio.functions.const import PIN_KM
+from pluvio.functions.const import PIN_KM, TRACK_KM
 from pluvio.operators import masses as M
 from pluvio.operators import pins as P
+from pluvio.operators import threat as TH
 from pluvio.operators import trails as T
 from pluvio.operators.spatial import range_join
 from pluvio.operators.stages import written
 from pluvio.plans import sqltext as S
-from pluvio.plans.fixtures import PINS, STRIKES, Scene
+from pluvio.plans.fixtures import MOVES, PINS, STRIKES, Scene
 from pluvio.plans.grid_queries import samples, samples_sql
 from pluvio.plans.registry import query
 
@@ -53,23 +55,19 @@ turns as (select trail_id, (degrees(atan2(sum(w * sin(radians(deg))), sum(w * co
 motion as materialized (select te.trail_id, n, moved, hours, moved / hours as speed, bearing, a_lat as from_lat, a_lon as from_lon from te join turns using (trail_id) where p_t is null and n >= 2 and moved / hours <= 95)"""
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def kept(s: Scene, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage that is written once a scan and read by all that follows."""
-    key = (s.spark.sparkContext.applicationId, s.dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = written(make())
-    return _KEPT[key]
+def kept(s: Scene, name: str, make: Callable[[], Any]) -> Any:
+    """A stage that a query makes once, however often it reads it."""
+    if name not in s.stages:
+        s.stages[name] = make()
+    return s.stages[name]
 
 
 def _samples(s: Scene) -> DataFrame:
-    return kept(s, "samples", lambda: M.numbered(samples(s, peaked=True)))
+    return kept(s, "samples", lambda: written(M.numbered(samples(s, peaked=True))))
 
 
 def _members(s: Scene) -> DataFrame:
-    return kept(s, "members", lambda: M.masses(_samples(s)))
+    return kept(s, "members", lambda: written(M.masses(_samples(s))))
 
 
 def near(x: F.Column, digits: int) -> F.Column:
@@ -176,11 +174,11 @@ def frame_pairs(s: Scene) -> DataFrame:
 
 
 def _summary(s: Scene) -> DataFrame:
-    return kept(s, "summary", lambda: M.summary(_members(s)))
+    return kept(s, "summary", lambda: written(M.summary(_members(s))))
 
 
 def _matched(s: Scene) -> DataFrame:
-    return kept(s, "matched", lambda: T.matches(_members(s), _summary(s), T.frame_pairs(_members(s))))
+    return kept(s, "matched", lambda: written(T.matches(_members(s), _summary(s), T.frame_pairs(_members(s)))))
 
 
 @query(f"{MATCH} select frame_time, mass_id, prev_id, {_rs('d', 'score')} from matched")
@@ -189,7 +187,7 @@ def mass_match(s: Scene) -> DataFrame:
 
 
 def _trails(s: Scene) -> DataFrame:
-    return kept(s, "trails", lambda: T.trails(_summary(s), _matched(s)))
+    return kept(s, "trails", lambda: written(T.trails(_summary(s), _matched(s), T.one_scan(_samples(s)))))
 
 
 @query(f"{TRAIL} select trail_id, frame_time, mass_id from trail")
@@ -217,7 +215,7 @@ def circular_mean(s: Scene) -> DataFrame:
 v as (select *, m1 - m0 as dm, a1 - a0 as da, (n1 - n0) / n0 as dn, (m1 - m0 >= 1 or a1 - a0 >= 0.35e0) as up, (m1 - m0 <= -1 or a1 - a0 <= -0.35e0) as down from e)
 select trail_id, case when snaps < 2 then null when dm >= 1 and not down then 'growing' when dm <= -1 and not up then 'decaying' when up::int + (dn >= 0.25)::int > down::int + (dn <= -0.25)::int and (up or (dn >= 0.25 and da >= 0)) then 'growing' when up::int + (dn >= 0.25)::int < down::int + (dn <= -0.25)::int and (down or (dn <= -0.25 and da <= 0)) then 'decaying' end as trend from v""")
 def cell_trend(s: Scene) -> DataFrame:
-    return T.trend(_trails(s))
+    return T.trend(_trails(s)).drop("scan_time")
 
 
 _BK = S.dest("lat", "lon", "((bearing + 180) % 360)", "greatest(case when speed >= 4 then least(speed / 6, speed * 0.175e0) else 8 end, 4e0)")
@@ -226,7 +224,7 @@ MOVING = f"{MOTION}, moving as materialized (select m.*, s.lat, s.lon, s.max_lev
 
 
 def _moving(s: Scene) -> DataFrame:
-    return kept(s, "moving", lambda: P.newest(_summary(s)).join(T.trail_motion(_trails(s)).drop("n"), F.col("mass_id") == F.col("trail_id")))
+    return kept(s, "moving", lambda: written(P.newest(_summary(s)).join(T.trail_motion(_trails(s)).drop("n", "scan_time"), F.col("mass_id") == F.col("trail_id"))))
 
 
 @query(f"{MOVING} select trail_id, {S.half_up(_BK[0], 4)} as back_lat, {S.half_up(_BK[1], 4)} as back_lon, {S.half_up(f'case when speed >= 4 then {_SN[0]} else lat end', 4)} as soon_lat, {S.half_up(f'case when speed >= 4 then {_SN[1]} else lon end', 4)} as soon_lon from moving")
@@ -236,30 +234,32 @@ def cell_track(s: Scene) -> DataFrame:
 
 
 _WAY = S.dest("m.lat", "m.lon", "m.bearing", "(greatest(m.speed, 8e0) * t / 60e0)")
-APPROACH = f"""{MOVING}, p as ({PIN_SQL}), way as materialized (select pin_id, trail_id, t, {S.km('p.lat', 'p.lon', *_WAY)} as d from moving m, p, (select unnest(range(0, 91, 2)) as t) k), ca as materialized (select pin_id, trail_id, d as miss_km, t as miss_min from (select *, row_number() over (partition by pin_id, trail_id order by d, t) as rn from way) q where rn = 1)"""
+APPROACH = f"""{MOVING}, p as ({PIN_SQL}), way as materialized (select pin_id, trail_id, t, {S.km('p.lat', 'p.lon', *_WAY)} as d from moving m join p on {S.km('p.lat', 'p.lon', 'm.lat', 'm.lon')} <= 100 cross join (select unnest(range(0, 91, 2)) as t) k), ca as materialized (select pin_id, trail_id, d as miss_km, t as miss_min from (select *, row_number() over (partition by pin_id, trail_id order by d, t) as rn from way) q where rn = 1)"""
 
 
 def _near_pins(s: Scene) -> DataFrame:
-    """Moving masses by pins: the answer has a row for each."""
-    pins = s.pins().select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon"))
-    return _moving(s).crossJoin(F.broadcast(pins))  # nation has 25 rows
+    """Moving masses by pins within 100 km of their centre."""
+    centres = _moving(s).select("trail_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    near = range_join(s.pins().select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon")), centres, TRACK_KM, ("pin_lat", "pin_lon")).select("pin_id", "pin_lat", "pin_lon", "trail_id")
+    return near.join(_moving(s), "trail_id")
 
 
 @query(f"{APPROACH} select pin_id, trail_id, {_rs('miss_km', digits=4)}, cast(miss_min as int) as miss_min from ca")
 def closest_approach(s: Scene) -> DataFrame:
+    """How near each moving mass will pass each pin within 100 km of it."""
     return T.closest_approach(_near_pins(s)).select("pin_id", "trail_id", *_r("miss_km", digits=4), "miss_min")
 
 
 _AH = S.dest("m.lat", "m.lon", "m.bearing", "15e0")
 FLAGS = f"""{APPROACH}, nearest as (select pin_id, mass_id as trail_id, min({S.km('p.lat', 'p.lon', 'b.lat', 'b.lon')}) as dn from p, members b where frame_time = (select max(frame_time) from summ) group by all),
-geo_ as (select p.pin_id, m.trail_id, m.max_level, m.bearing, m.speed, case when dn <= 100 then dn else {S.km('p.lat', 'p.lon', 'm.lat', 'm.lon')} end as d_now, {S.km('p.lat', 'p.lon', *_AH)} as d_ahead, {S.km('p.lat', 'p.lon', 'm.from_lat', 'm.from_lon')} as d_then from moving m cross join p join nearest n on n.pin_id = p.pin_id and n.trail_id = m.trail_id),
+geo_ as (select p.pin_id, m.trail_id, m.max_level, m.bearing, m.speed, case when dn <= 100 then dn else {S.km('p.lat', 'p.lon', 'm.lat', 'm.lon')} end as d_now, {S.km('p.lat', 'p.lon', *_AH)} as d_ahead, {S.km('p.lat', 'p.lon', 'm.from_lat', 'm.from_lon')} as d_then from moving m cross join p join nearest n on n.pin_id = p.pin_id and n.trail_id = m.trail_id where {S.km('p.lat', 'p.lon', 'm.lat', 'm.lon')} <= 100),
 flags as materialized (select *, d_ahead < d_now - 0.4e0 or d_now < d_then - 0.6e0 as approaching, d_ahead > d_now + 0.4e0 and d_now > d_then + 0.6e0 as receding from geo_)"""
 
 
 def _flags(s: Scene) -> DataFrame:
     rows = _near_pins(s)
     members = P.newest(_members(s)).select("mass_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    near = range_join(s.pins().select("pin_id", "lat", "lon"), members, 100.0).groupBy("pin_id", "mass_id").agg(F.min("km").alias("dn"))
+    near = range_join(s.pins().select("pin_id", "lat", "lon"), members, TRACK_KM).groupBy("pin_id", "mass_id").agg(F.min("km").alias("dn"))
     lat, lon = geo.destination("lat", "lon", "bearing", 15.0)
     rows = rows.join(near, ["pin_id", "mass_id"], "left").withColumns({"d_now": F.coalesce("dn", geo.haversine("pin_lat", "pin_lon", "lat", "lon")), "d_ahead": geo.haversine("pin_lat", "pin_lon", lat, lon), "d_then": geo.haversine("pin_lat", "pin_lon", "from_lat", "from_lon")})
     now, ahead, then = F.col("d_now"), F.col("d_ahead"), F.col("d_then")
@@ -271,14 +271,25 @@ def approach_flags(s: Scene) -> DataFrame:
     return _flags(s).select("pin_id", "trail_id", *_r("d_now", digits=4), "approaching", "receding")
 
 
-@query(f"{MOVING} select trail_id, place, place = 1 as threatening from (select trail_id, row_number() over (order by n desc, max_level desc, trail_id) as place from moving) q where place <= 3")
+_MOVES = f"m as ({MOVES.format(events='events')}), drawn as (select * from (select *, row_number() over (partition by scan_time order by confidence desc, max_level desc, trail_id) as place from m) q where place <= 3)"
+
+
+@query(f"with {_MOVES} select scan_time, trail_id, place, place = 1 as threatening from drawn")
 def top_tracks(s: Scene) -> DataFrame:
-    """The three arrows drawn: longest trail, then highest class."""
-    rows = _moving(s)
-    steps = _trails(s).groupBy("trail_id").agg(F.count("*").alias("steps"))
-    best = rows.join(steps, "trail_id").orderBy(F.desc("steps"), F.desc("max_level"), "trail_id").limit(3)
-    place = F.row_number().over(P.Window.orderBy(F.desc("steps"), F.desc("max_level"), "trail_id"))
-    return best.select("trail_id", place.alias("place")).withColumn("threatening", F.col("place") == 1)
+    """The three arrows drawn for each scan: the surest masses, of equals the stronger."""
+    return TH.tracks(s.moves().withColumns({"bearing": F.lit(0.0), "speed": F.lit(10.0)})).select("scan_time", "trail_id", "place", "threatening")
+
+
+_OWN = "select scan_time, trail_id % 4 as pin_id, trail_id, now_lat, now_lon, row_number() over (partition by scan_time, trail_id % 4 order by trail_id) as rn from m"
+
+
+@query(f"""with {_MOVES}, own as (select * from ({_OWN}) q where rn = 1), extra as (select o.* from own o where not exists (select 1 from drawn d where d.scan_time = o.scan_time and abs(d.now_lat - o.now_lat) < 1e-5 and abs(d.now_lon - o.now_lon) < 1e-5))
+select scan_time, pin_id, d.trail_id, false as pinned from drawn d join (select distinct scan_time, pin_id from own) o using (scan_time) union all select scan_time, pin_id, trail_id, true from extra""")
+def track_union(s: Scene) -> DataFrame:
+    """The arrows of each scan, and for each pin that of its own mass where none of them begins there."""
+    moves = s.moves().withColumns({"bearing": F.lit(0.0), "speed": F.lit(10.0)})
+    own = P.first_by(moves.withColumn("pin_id", F.col("trail_id") % 4), ["scan_time", "pin_id"], F.col("trail_id"))
+    return TH.track_union(TH.tracks(moves), own.select("scan_time", "pin_id", "trail_id", "now_lat", "now_lon"))
 
 
 @query(f"""{FLAGS}, f as (select flags.*, miss_km, miss_min from flags join ca using (pin_id, trail_id) where d_now <= 100), r as (select *, row_number() over (partition by pin_id order by d_now, trail_id) as rn, min(miss_km) over (partition by pin_id) as least from f)

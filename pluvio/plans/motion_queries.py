@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pluvio.functions import geo
-from pluvio.functions.const import CONFIDENCE_MIN, MIN_SPEED, REGIONAL_MIN, TRAIL_SOLO_KM, TRAIL_TRUST_KM
 from pluvio.operators import advect as A
-from pluvio.operators import decision as D
+from pluvio.operators import growth as G
 from pluvio.operators import motion as N
 from pluvio.operators import pins as P
+from pluvio.operators import threat as TH
 from pluvio.operators import trails as T
-from pluvio.operators.spatial import range_join
+from pluvio.operators import verify as V
+from pluvio.operators import warnings as W
+from pluvio.operators.stages import written
 from pluvio.plans import mass_queries as MQ
 from pluvio.plans import sqltext as S
 from pluvio.plans.fixtures import PINS, Scene
@@ -62,33 +63,32 @@ def box_smooth(s: Scene) -> DataFrame:
     return N.smooth(_grid(s)).withColumn("v", near(F.col("v"), 6))
 
 
-_FEW = "select * from (values (0, 0), (1, 0), (0, -1), (2, 1)) v(dx, dy)"
+_ALL = "select cast(x as int) as dx, cast(y as int) as dy from range(-3, 4) a(x), range(-3, 4) b(y)"
 
 
-@query(f"{_shifted(_FEW)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
-def ncc_shift(s: Scene) -> DataFrame:
-    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(0, 0), (1, 0), (0, -1), (2, 1)])
-    return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
+_EVERY = 10
+_ALL = f"select cast(x as int) as dx, cast(y as int) as dy from range(-{_EVERY}, {_EVERY + 1}) a(x), range(-{_EVERY}, {_EVERY + 1}) b(y)"
 
 
-_ALL = "select cast(x as int) as dx, cast(y as int) as dy from range(-3, 4) a(x), range(-3, 4) b(y)"
+def _scores(s: Scene) -> DataFrame:
+    """Of two frames 5 minutes apart no echo comes farther than 8 km, three cells of 3 km; ten leave no shift in doubt."""
+    reach = range(-_EVERY, _EVERY + 1)
+    return N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in reach for y in reach])
+
+
+@query(f"{_shifted(_ALL)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
+def ncc_shift(s: Scene) -> DataFrame:
+    """The score of each of the 441 shifts of up to ten cells either way."""
+    return _scores(s).select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
 
 
 @query(f"{_shifted(_ALL)} select frame_time, dx, dy, {near_sql('score', 5)} as score from (select *, row_number() over (partition by frame_time order by {near_sql('score', 9)} desc, dy, dx) as rn from r where score >= 0.4e0) q where rn = 1")
 def best_ncc(s: Scene) -> DataFrame:
-    """The best of 49 shifts, all of them looked at."""
-    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in range(-3, 4) for y in range(-3, 4)])
-    best = P.first_by(scores.where("score >= 0.4"), ["frame_time"], near(F.col("score"), 9).desc(), F.col("dy"), F.col("dx"))
+    """The best of these shifts, all of them looked at."""
+    best = P.first_by(_scores(s).where("score >= 0.4"), ["frame_time"], near(F.col("score"), 9).desc(), F.col("dy"), F.col("dx"))
     return best.select("frame_time", "dx", "dy", near(F.col("score"), 5).alias("score"))
 
 
-@query(f"{_shifted(_ALL)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
-def ncc_shift_all(s: Scene) -> DataFrame:
-    """The score of each of the 49 shifts in reach."""
-    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in range(-3, 4) for y in range(-3, 4)])
-    return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
-
-
 @query()
 def pair_motion(s: Scene) -> DataFrame:
     """Motion between each two consecutive frames around one point, by the array kernel."""
@@ -96,72 +96,50 @@ def pair_motion(s: Scene) -> DataFrame:
     times = _times(s)
     later = rows.join(times, "frame_time").withColumn("pair", F.col("frame_time")).drop("prev_time")
     earlier = rows.join(times.select(F.col("prev_time").alias("frame_time"), F.col("frame_time").alias("pair")), "frame_time")
-    return N.motions(later.unionByName(earlier), "pair")
+    return N.motions(later.unionByName(earlier), ["pair"])
+
+
+def _echo(s: Scene) -> TH.Echo:
+    """The scene as one scan of seven frames; its cells are fine enough for motion on cells of 2 km."""
+    def make() -> TH.Echo:
+        rows = written(samples(s, peaked=True).withColumn("ncc_cell_km", F.when(F.col("cell_km") <= 3, 2.0)))
+        scans = written(T.one_scan(rows))
+        return TH.Echo(rows, scans, written(T.ends_of(scans, rows)), MQ._members(s), MQ._summary(s), MQ._matched(s), MQ._trails(s))
+
+    return kept(s, "echo", make)
 
 
 @query()
 def system_motion(s: Scene) -> DataFrame:
     """Motion of all echo around each pin."""
-    return _regional(s)
-
-
-def _regional(s: Scene) -> DataFrame:
-    def make() -> DataFrame:
-        rows = samples(s, peaked=True)
-        centre = P.correlation_centre(P.newest(rows), s.pins()).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
-        points = rows.select("frame_time", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "level")
-        near_ = range_join(centre, points, 90.0, ("c_lat", "c_lon")).select("pin_id", "frame_time", F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), "level", "c_lat", "c_lon")
-        return N.motions(near_, "pin_id")
-
-    return kept(s, "regional", make)
-
-
-def _mass_motion(s: Scene) -> DataFrame:
-    """``trail_id, speed, bearing, confidence, from_lat, from_lon``: the trail's motion and the correlation's, where they agree or one stands alone."""
-
-    def make() -> DataFrame:
-        members, trail = MQ._members(s), MQ._trails(s)
-        rows = trail.select("trail_id", "frame_time", "mass_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).join(members, ["frame_time", "mass_id"])
-        part = Window.partitionBy("trail_id", "frame_time")
-        rows = rows.withColumn("strong", F.count_if(F.col("level") >= 2).over(part)).where("strong < 12 or level >= 2")
-        rows = rows.withColumn("close", geo.haversine("t_lat", "t_lon", "lat", "lon") <= 40).withColumn("n_close", F.count_if(F.col("close")).over(part)).where("close or n_close < 5")
-        last = P.newest(MQ._summary(s)).select(F.col("mass_id").alias("trail_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-        field = N.motions(rows.join(last, "trail_id").select("trail_id", "frame_time", "lat", "lon", "level", "c_lat", "c_lon"), "trail_id")
-        field = field.select("trail_id", F.col("speed").alias("f_speed"), F.col("bearing").alias("f_bearing"), F.col("confidence").alias("fc"))
-        both = T.trail_motion(trail).join(field, "trail_id", "left")
-        trust = (F.col("speed") >= MIN_SPEED) & (F.col("moved") >= T.gate(TRAIL_TRUST_KM, F.col("seconds")))
-        sure = F.coalesce(F.col("f_speed") >= MIN_SPEED, F.lit(False))
-        agree = geo.angle_between(F.col("bearing"), F.col("f_bearing")) <= 40
-        hops = F.least("n", F.lit(4))
-        joint = F.least(F.lit(98), geo.half_up(58 + hops * 8 + F.least("moved", F.lit(40.0)) * 0.4 + (F.col("fc") - 40) * 0.35))
-        alone = F.least(F.lit(78), geo.half_up(50 + hops * 6 + F.least("moved", F.lit(35.0)) * 0.45))
-        x = 1.4 * F.cos(F.radians("bearing")) + F.cos(F.radians("f_bearing"))
-        y = 1.4 * F.sin(F.radians("bearing")) + F.sin(F.radians("f_bearing"))
-        mean = F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
-        solo = trust & ~sure & (F.col("n") >= 3) & (F.col("moved") >= T.gate(TRAIL_SOLO_KM, F.col("seconds")))
-        grid = sure & ~trust & (F.col("n") >= 3) & (F.col("fc") >= CONFIDENCE_MIN)
-        pick = lambda a, b, c: F.when(trust & sure & agree, a).when(solo, b).when(grid, c)
-        out = both.select("trail_id", pick((F.col("speed") + F.col("f_speed")) / 2, F.col("speed"), F.col("f_speed")).alias("speed"), pick(mean, F.col("bearing"), F.col("f_bearing")).alias("bearing"), pick(joint, alone, F.col("fc")).cast("int").alias("confidence"), "from_lat", "from_lon")
-        return out.where("speed is not null")
-
-    return kept(s, "mass_motion", make)
+    return TH.regional_motion(_echo(s), s.pins()).drop("scan_time")
 
 
 @query()
 def mass_motion(s: Scene) -> DataFrame:
     """Motion and confidence of the newest frame's masses."""
-    return _mass_motion(s).select("trail_id", "speed", "bearing", "confidence")
+    return TH.mass_motion(_echo(s)).select("trail_id", "speed", "bearing", "confidence")
+
+
+@query(f"with {samples_sql(peaked=True)} select max(cell_km) as cell_km, coalesce(max(case when cell_km <= 3 then 2e0 end), max(cell_km)) as motion_km from samples")
+def motion_cell(s: Scene) -> DataFrame:
+    """The size of cells of a scan, and of its motion grid."""
+    return TH.cell_km(_echo(s)).select("cell_km", "motion_km")
 
 
 ANCHORS = f"a as (select pin_id as k, lat, lon, (20e0 + 10 * pin_id) * sin(radians(40e0 * pin_id)) as u, (20e0 + 10 * pin_id) * cos(radians(40e0 * pin_id)) as v from ({PIN_SQL}) q where pin_id < 8)"
 
 
-def _anchored(s: Scene, lat: F.Column, lon: F.Column) -> DataFrame:
-    """Pins with the anchors of the scan: those of eight pins, as one array."""
+def _anchors(s: Scene) -> DataFrame:
+    """The anchors of the scan, those of eight pins; it is frame 0."""
     k = F.col("pin_id")
     u, v = geo.to_uv(40.0 * k, 20.0 + 10 * k)
-    anchors = s.pins().where("pin_id < 8").agg(F.collect_list(F.struct("lat", "lon", u.alias("u"), v.alias("v"))).alias("anchors"))  # eight
-    return s.pins().select("pin_id", lat.alias("pin_lat"), lon.alias("pin_lon")).crossJoin(F.broadcast(anchors))
+    return s.pins().where("pin_id < 8").select(F.lit(0).alias("frame_time"), "lat", "lon", u.alias("u"), v.alias("v"))
+
+
+def _beside(s: Scene) -> DataFrame:
+    """A place beside each pin."""
+    return s.pins().select(F.lit(0).alias("frame_time"), "pin_id", (F.col("lat") + 0.2).alias("pin_lat"), (F.col("lon") + 0.2).alias("pin_lon"))
 
 
 def _idw(point: str, lat: str, lon: str) -> str:
@@ -171,34 +149,22 @@ def _idw(point: str, lat: str, lon: str) -> str:
 
 @query(f"with {ANCHORS}, x as (select pin_id, lat + 0.2e0 as plat, lon + 0.2e0 as plon from ({PIN_SQL}) p), m as ({_idw('pin_id', 'x.plat', 'x.plon')}) select pin_id, {near_sql('u', 6)} as u, {near_sql('v', 6)} as v from x left join m using (pin_id)")
 def idw_motion(s: Scene) -> DataFrame:
-    rows = _anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2).withColumn("m", A.idw(F.col("anchors"), F.col("pin_lat"), F.col("pin_lon")))
-    return rows.select("pin_id", near(F.col("m.u"), 6).alias("u"), near(F.col("m.v"), 6).alias("v"))
+    rows = A.interpolated(_beside(s), _anchors(s), ("pin_lat", "pin_lon"))
+    return rows.select("pin_id", near(F.col("u"), 6).alias("u"), near(F.col("v"), 6).alias("v"))
 
 
-def _field_sql(where: str) -> str:
-    return f"""with {ANCHORS}, x as (select pin_id, cast(i as int) as ix, cast(j as int) as iy, lat + 0.2e0 + (j - 20) * (3 / 111e0) as plat, lon + 0.2e0 + (i - 20) * (3 / (111 * greatest(cos(radians(lat + 0.2e0)), 0.25e0))) as plon from ({PIN_SQL}) p, range(40) r(i), range(40) q(j){where}),
+_FIELD = f"""with {ANCHORS}, x as (select pin_id, cast(i as int) as ix, cast(j as int) as iy, lat + 0.2e0 + (j - 20) * (3 / 111e0) as plat, lon + 0.2e0 + (i - 20) * (3 / (111 * greatest(cos(radians(lat + 0.2e0)), 0.25e0))) as plon from ({PIN_SQL}) p, range(40) r(i), range(40) q(j)),
 m as ({_idw('pin_id, ix, iy', 'x.plat', 'x.plon')}) select pin_id, ix, iy, {near_sql('coalesce(u, 5)', 5)} as u, {near_sql('coalesce(v, 7)', 5)} as v from x left join m using (pin_id, ix, iy)"""
 
 
-def _field(rows: DataFrame, step: int) -> DataFrame:
-    rows = rows.withColumn("background", F.struct(F.lit(5.0).alias("u"), F.lit(7.0).alias("v")))
-    cells = F.sequence(F.lit(0), F.lit(39), F.lit(step))
-    rows = rows.withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells))
-    lat, lon = F.col("pin_lat") + (F.col("iy") - 20) * geo.lat_degrees(3.0), F.col("pin_lon") + (F.col("ix") - 20) * geo.lon_degrees(3.0, "pin_lat")
-    m = A.motion_at(lat, lon)
-    return rows.withColumn("m", m).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
-
-
-@query(_field_sql(" where pin_id < 3 and i % 4 = 0 and j % 4 = 0"))
+@query(_FIELD)
 def motion_field(s: Scene) -> DataFrame:
-    """Every fourth cell of the field around three pins; (5, 7) in the background."""
-    return _field(_anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2).where("pin_id < 3"), 4)
-
-
-@query(_field_sql(""))
-def motion_field_whole(s: Scene) -> DataFrame:
     """All 1,600 cells of the field around every pin; (5, 7) in the background."""
-    return _field(_anchored(s, F.col("lat") + 0.2, F.col("lon") + 0.2), 1)
+    rows = _beside(s).withColumn("background", F.struct(F.lit(5.0).alias("u"), F.lit(7.0).alias("v")))
+    cells = F.sequence(F.lit(0), F.lit(39))
+    rows = rows.withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells))
+    lat, lon = F.col("pin_lat") + (F.col("iy") - 20) * geo.lat_degrees(3.0), F.col("pin_lon") + (F.col("ix") - 20) * geo.lon_degrees(3.0, "pin_lat")
+    return A.with_motion(rows, _anchors(s), lat, lon).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
 
 
 #: One motion for all: 40 km/h toward 70 degrees.
@@ -207,13 +173,12 @@ _BACK = S.dest("p.lat", "p.lon", "250e0", "(40e0 * t / 60e0)")
 
 def _uniform(s: Scene) -> DataFrame:
     u, v = geo.to_uv(F.lit(70.0), F.lit(40.0))
-    none = F.array().cast("array<struct<lat:double,lon:double,u:double,v:double>>")
-    return s.pins().select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon"), none.alias("anchors"), F.struct(u.alias("u"), v.alias("v")).alias("background"))
+    return s.pins().select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon"), F.struct(u.alias("u"), v.alias("v")).alias("background"), F.lit(True).alias("moving"))
 
 
 @query(f"with p as ({PIN_SQL}), t as (select cast(unnest(range(0, 91, 5)) as int) as t) select pin_id, t, {S.half_up(_BACK[0], 5)} as lat, {S.half_up(_BACK[1], 5)} as lon from p, t")
 def back_trajectory(s: Scene) -> DataFrame:
-    rows = _uniform(s).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(90), F.lit(5))))
+    rows = _uniform(s).withColumns({"frame_time": F.lit(0), "t": F.explode(F.sequence(F.lit(0), F.lit(90), F.lit(5)))})
     return A.departures(rows).select("pin_id", "t", geo.half_up(F.col("at_lat"), 5).alias("lat"), geo.half_up(F.col("at_lon"), 5).alias("lon"))
 
 
@@ -228,7 +193,9 @@ timeline as (select pin_id, t, case when unknown then 0 else {S.level('r')} end
 
 
 def _timeline(s: Scene) -> DataFrame:
-    return A.timeline(P.newest(samples(s)), _uniform(s))
+    last = written(P.newest(samples(s)))
+    pins = _uniform(s).crossJoin(F.broadcast(last.agg(F.max("frame_time").alias("frame_time"))))  # one row
+    return A.timeline(last, pins).drop("frame_time")
 
 
 @query(f"{TIMELINE} select * from timeline")
@@ -246,61 +213,60 @@ def _reduced(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("pin_id").agg(F.max("level").alias("max_level"), F.min(F.when(wet, F.col("t"))).alias("first_wet"), F.bool_or("unknown").alias("left_coverage"))
 
 
-_GROW = "case when t <= 0 then 0 when t <= 18 then 0.02e0 * t else 0.02e0 * 18 * exp(-(t - 18) / 30e0) end"
+_SLOPE = "((pin_id % 5 - 2) / 50e0)"
+_GROW = f"(case when t <= 0 then 0 when t <= 18 then {_SLOPE} * t else {_SLOPE} * 18 * exp(-(t - 18) / 30e0) end)"
 _GREW = f"greatest(0, {S.half_up(f'rate + {_GROW}', 1)})"
 
 
-@query(f"{TIMELINE} select pin_id, t, case when unknown or rate <= 0 then level else {S.level(_GREW)} end as level, case when unknown or rate <= 0 then rate else {_GREW} end as rate from timeline")
+@query(f"{TIMELINE} select pin_id, t, case when unknown or rate <= 0 or {_GROW} = 0 then level else {S.level(_GREW)} end as level, case when unknown or rate <= 0 or {_GROW} = 0 then rate else {_GREW} end as rate from timeline")
 def growth_timeline(s: Scene) -> DataFrame:
-    """A timeline with a growth of 0.02 mm/h a minute, which fades after 18 minutes; off in the threat."""
-    from pluvio.functions.classify import level_of_rate
+    """Timelines with a trend of -0.04 to 0.04 mm/h a minute, by pin, which fades after 18 minutes; off in the threat unless asked for."""
+    return G.grown(_timeline(s), (F.col("pin_id") % 5 - 2) / 50.0).select("pin_id", "t", "level", "rate")
 
-    t = F.col("t")
-    extra = F.when(t <= 0, 0.0).when(t <= 18, 0.02 * t).otherwise(0.02 * 18 * F.exp(-(t - 18) / 30.0))
-    rate = F.greatest(F.lit(0.0), geo.half_up(F.col("rate") + extra, 1))
-    dry = F.col("unknown") | (F.col("rate") <= 0)
-    return _timeline(s).select("pin_id", "t", F.when(dry, F.col("level")).otherwise(level_of_rate(rate)).alias("level"), F.when(dry, F.col("rate")).otherwise(rate).alias("rate"))
+
+def _places(s: Scene) -> DataFrame:
+    """Pins with the code of their county, as the warnings name it."""
+    return s.pins().withColumn("terc", F.lpad((F.col("pin_id") + 200).cast("string"), 4, "0"))
+
+
+def _official(s: Scene, now: DataFrame) -> DataFrame:
+    """The warnings, moved to the time of the scan, a day apart at most."""
+    rows = s.warnings().crossJoin(F.broadcast(now)).withColumn("starts", F.timestamp_seconds(F.col("now") + (F.col("id") % 48 - 24) * 3600))
+    return rows.select("id", "degree", "starts", (F.col("starts") + F.expr("interval 8 hours")).alias("ends"), W.storm_related(F.col("event")).alias("storm"), F.array("code_a", "code_b").alias("teryt"), F.concat(F.lit("IMGW: "), F.col("event"), F.lit(".")).alias("body"))
 
 
 @query()
 def threat(s: Scene) -> DataFrame:
-    """What each pin has to expect: masses, motion and field once a scan, then all pins at once."""
-    rows, pins = samples(s, peaked=True), s.pins()
-    last = P.newest(rows)
-    around = P.neighbourhood(last, pins)
-    masses = P.newest(MQ._summary(s)).withColumnRenamed("mass_id", "trail_id")
-    moving = masses.join(_mass_motion(s), "trail_id").where((F.col("speed") >= MIN_SPEED) & (F.col("confidence") >= CONFIDENCE_MIN))
-    u, v = geo.to_uv(F.col("bearing"), F.col("speed"))
-    anchors = moving.agg(F.collect_list(F.struct("lat", "lon", u.alias("u"), v.alias("v"))).alias("anchors"))  # a frame has at most 9000 / 12 masses
-    members = P.newest(MQ._members(s)).select(F.col("mass_id").alias("trail_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    close = range_join(pins.select("pin_id", "lat", "lon"), members, 100.0).groupBy("pin_id", "trail_id").agg(F.min("km").alias("d_now"))
-    geometry = close.join(moving, "trail_id").join(pins.select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon")), "pin_id")
-    ahead = geo.destination("lat", "lon", "bearing", 15.0)
-    geometry = T.closest_approach(geometry).withColumns({"d_ahead": geo.haversine("pin_lat", "pin_lon", *ahead), "d_then": geo.haversine("pin_lat", "pin_lon", "from_lat", "from_lon")})
-    now, front, then = F.col("d_now"), F.col("d_ahead"), F.col("d_then")
-    geometry = geometry.withColumns({"approaching": (front < now - 0.4) | (now < then - 0.6), "receding": (front > now + 0.4) & (now > then + 0.6), "least_miss": F.min("miss_km").over(Window.partitionBy("pin_id"))})
-    primary = P.first_by(geometry, ["pin_id"], F.col("d_now"), F.desc("max_level"), F.col("trail_id"))
-    primary = primary.select("pin_id", "approaching", "receding", F.col("least_miss").alias("miss_km"), (F.col("miss_km") <= 5).alias("mass_hit"), F.col("miss_min").alias("mass_eta"), "speed", "bearing", F.col("max_level").alias("cell_level"))
-    regional = _regional(s).where((F.col("speed") >= MIN_SPEED) & (F.col("confidence") >= REGIONAL_MIN)).select("pin_id", F.col("speed").alias("r_speed"), F.col("bearing").alias("r_bearing"))
-    scene = around.join(primary, "pin_id", "left").join(regional, "pin_id", "left")
-    speed, turn = F.coalesce("r_speed", "speed"), F.coalesce("r_bearing", "bearing")
-    bu, bv = geo.to_uv(turn, speed)
-    scene = scene.withColumn("background", F.when(speed.isNotNull(), F.struct(bu.alias("u"), bv.alias("v")))).crossJoin(F.broadcast(anchors))
-    scene = kept(s, "threat_scene", lambda: scene)
-    line = A.timeline(last, scene.select("pin_id", F.col("lat").alias("pin_lat"), F.col("lon").alias("pin_lon"), "anchors", "background"))
-    full = scene.join(_reduced(line).withColumnRenamed("max_level", "tl_max"), "pin_id").fillna(False, ["approaching", "receding", "mass_hit"]).fillna(0, ["cell_level"])
-    over = F.coalesce(F.col("nearest_km") <= 8, F.lit(False)) & (F.col("pin_max_level") >= 1)
-    field = F.col("background").isNotNull() | (F.size("anchors") > 0)
-    wet = field & F.col("first_wet").isNotNull()
-    keep = ~field | F.col("left_coverage")
-    eta = F.when(over, 0).when(wet, F.col("first_wet")).when(keep & field & F.col("mass_hit"), F.col("mass_eta"))
-    full = full.withColumns({
-        "eta": eta, "will_hit": over | wet | (keep & F.col("mass_hit")), "receding": F.col("receding") & ~over & ~wet, "approaching": F.col("approaching") | (wet & ~over),
-        "cell_level": F.when(wet & ~over, F.greatest("cell_level", "tl_max")).otherwise(F.col("cell_level")), "degree": F.lit(None).cast("int"), "mean_level": F.col("pin_level"),
-    })
-    full = full.withColumn("expect_level", D.expect_level(F.col("cell_level"), F.col("tl_max")))
-    # The ladder and the cascade look at the strongest echo over the pin, words at the mean.
-    judged = full.withColumn("pin_level", F.col("pin_max_level"))
-    judged = judged.withColumns({"chance_pct": D.chance(), "level": D.threat_level(F.lit(False), F.lit(False))})
-    words = judged.withColumn("pin_level", F.col("mean_level")).withColumn("title", D.title(F.col("level"), F.lit(False)))
-    return words.select("pin_id", "label", "level", "title", "eta", "approaching", "receding", "nearest_km", F.col("mean_level").alias("pin_level"), "expect_level", "chance_pct", "will_hit", "miss_km")
+    """What each pin has to expect of the newest scan, with warnings and lightning; its timeline as JSON."""
+    e = _echo(s)
+    now = e.ends.select(F.col("scan_time").alias("now"))  # one row
+    strikes = s.strikes().where("strike_id % 7 = 0").crossJoin(F.broadcast(now.withColumnRenamed("now", "scan_time")))
+    found = TH.threats(e, _places(s), _official(s, now), strikes)
+    return found.withColumn("timeline", F.to_json("timeline")).drop("now_lat", "now_lon")
+
+
+@query()
+def threat_tracks(s: Scene) -> DataFrame:
+    """The arrows of the newest scan."""
+    return TH.tracks(TH.moving_masses(_echo(s))).drop("scan_time")
+
+
+def _hindcast(s: Scene) -> V.Hindcast:
+    """24 frames, scored from the fourth on as long as an hour follows; every scan is four frames."""
+    rows = written(samples(s, frames=24, peaked=True).withColumn("ncc_cell_km", F.when(F.col("cell_km") <= 3, 2.0)))
+    scored = V.scored_frames(rows)
+    scans = T.rolling_scans(rows).join(scored.withColumnRenamed("frame_time", "scan_time"), "scan_time", "left_semi")
+    found = written(TH.threats(TH.echo(rows, scans, hops=3), s.pins()))
+    return V.hindcast(found, written(V.observed_at_leads(rows, s.pins())))
+
+
+@query()
+def hindcast_skill(s: Scene) -> DataFrame:
+    """Nowcast, persistence, alerts, chances and motion held against what came."""
+    return V.long_form(_hindcast(s))
+
+
+@query()
+def hindcast_report(s: Scene) -> DataFrame:
+    """The same as lines of text."""
+    return V.report(_hindcast(s))

@@ -75,13 +75,79 @@ def history_degraded(s: Scene) -> DataFrame:
 @query(f"""with {samples_sql()}, {WARN}, k as ({STRIKES.format(events='events')}) select (select max(frame_time) from samples) as radar_time, (select count(*) from samples where frame_time = (select max(frame_time) from samples)) as n_samples,
 false as radar_unavailable, (select count(*) from w where storm and {NOW} <= ends) as n_warnings, false as warnings_unavailable, cast(0 as bigint) as n_strikes, true as lightning_unavailable""")
 def snapshot_assemble(s: Scene) -> DataFrame:
-    """One row from three sources, each of which may fail alone: here the lightning is down."""
-    frames = samples(s).groupBy("frame_time").agg(F.count("*").alias("n"))
-    radar = frames.agg(F.max("frame_time").alias("radar_time"), F.max_by("n", "frame_time").alias("n_samples"))
-    live = _warnings(s).where(F.col("storm") & W.is_live(F.col("ends"), F.expr(NOW))).agg(F.count("*").alias("n_warnings"))
-    lightning = s.strikes().where("false").agg(F.count("*").alias("n_strikes"))
-    up = {"radar_unavailable": F.col("radar_time").isNull(), "warnings_unavailable": F.lit(False), "lightning_unavailable": F.lit(True)}
-    return radar.crossJoin(live).crossJoin(lightning).withColumns(up).withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))  # one row each
+    """One row from three sources, each of which may fail alone: here the folder of lightning is not there."""
+    def radar_() -> DataFrame:
+        frames = samples(s).groupBy("frame_time").agg(F.count("*").alias("n"))
+        return frames.agg(F.max("frame_time").alias("radar_time"), F.max_by("n", "frame_time").alias("n_samples"))
+
+    radar = feeds.attempt(radar_)
+    live = feeds.attempt(lambda: _warnings(s).where(F.col("storm") & W.is_live(F.col("ends"), F.expr(NOW))).agg(F.count("*").alias("n_warnings")))
+    lightning = feeds.attempt(lambda: s.table("lightning").agg(F.count("*").alias("n_strikes")))
+    one = s.spark.range(1).select(F.lit(None).cast("long").alias("radar_time"), F.lit(0).cast("long").alias("n_samples"), F.lit(0).cast("long").alias("n_warnings"), F.lit(0).cast("long").alias("n_strikes"))
+    parts = [(found if found is not None else one.select(*names), found is None, flag) for found, names, flag in ((radar, ("radar_time", "n_samples"), "radar_unavailable"), (live, ("n_warnings",), "warnings_unavailable"), (lightning, ("n_strikes",), "lightning_unavailable"))]
+    row = parts[0][0].crossJoin(parts[1][0]).crossJoin(parts[2][0])  # one row each
+    return row.withColumns({flag: F.lit(down) for _, down, flag in parts}).withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
+
+
+@query(f"with l as ({_LOADS}), b as (select scan_id, bool_or(degraded) and scan_id % 3 = 0 as down from l group by scan_id) select event_id, scan_id from l join b using (scan_id) where not down")
+def trust_gate(s: Scene) -> DataFrame:
+    """Threats of scans whose radar was there; a third of the degraded ones counts as down."""
+    rows = _loads(s)
+    down = F.bool_or("degraded") & (F.col("scan_id") % 3 == 0)
+    return feeds.trusted(rows.select("event_id", "scan_id"), rows.groupBy("scan_id").agg(down.alias("radar_unavailable")))
+
+
+@query("""select cast(o_orderkey as varchar) as id, case when o_orderkey % 4 = 0 then 0 else o_orderkey % 3 + 1 end as degree, case when o_orderkey % 3 > 0 then o_orderkey % 90 + 0.5e0 end as probability, case when o_orderkey % 5 = 0 then 'IMGW-PIB' else 'Biuro ' || o_orderkey % 7 end as office,
+case when o_orderkey % 7 = 0 then 0 else 2 end as n_codes, case when o_orderkey % 6 = 0 then null else strftime(o_orderdate at time zone 'Europe/Warsaw' at time zone 'UTC', '%Y-%m-%d %H:%M') end as starts, o_orderkey % 2 = 0 as storm from orders""")
+def warnings_json(s: Scene) -> DataFrame:
+    """A feed of warnings in JSON, one page for each order, with fields that are absent, empty or no numbers."""
+    k = F.col("o_orderkey")
+    fields = F.struct(
+        k.cast("string").alias("id"), F.when(k % 2 == 0, "Burze z gradem").otherwise("Upał").alias("nazwa_zdarzenia"), F.when(k % 4 == 0, "x").otherwise((k % 3 + 1).cast("string")).alias("stopien"), F.when(k % 3 > 0, (k % 90 + 0.5).cast("string")).alias("prawdopodobienstwo"),
+        F.when(k % 6 == 0, "wkrótce").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("obowiazuje_od"), F.when(k % 5 > 0, F.concat(F.lit("Biuro "), (k % 7).cast("string"))).alias("biuro"), F.when(k % 7 > 0, F.array(F.lit("0205"), F.lit("0264"))).alias("teryt"),
+    )
+    found = feeds.official_warnings(s.table("orders").select(F.to_json(F.array(fields)).alias("body")))
+    return found.select("id", "degree", "probability", "office", F.size("teryt").alias("n_codes"), F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), "storm")
+
+
+@query(f"with p as (select pin_id, lpad(cast(200 + pin_id as varchar), 4, '0') as code, lat, lon from ({PIN_SQL}) x) select code, cast(ring as int) as ring, cast(count(*) as int) as n_edges, {S.half_up('min(x)', 3)} as west, {S.half_up('max(y)', 3)} as north from (select code, r as ring, lon + a * case when r = 0 then 1e0 else 0.25e0 end as x, lat + b * case when r = 0 then 0.5e0 else 0.25e0 end as y from p, (values (-1, -1), (1, -1), (1, 1), (-1, 1)) v(a, b), (values (0), (1)) w(r) where r <= pin_id % 2) q group by code, ring")
+def county_polygons(s: Scene) -> DataFrame:
+    """Counties in JSON, every second with a hole, read and taken apart into edges."""
+    ring = lambda w, h: F.array(*[F.array(F.col("lon") + a * w, F.col("lat") + b * h) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    outer, hole = ring(F.lit(1.0), F.lit(0.5)), ring(F.lit(0.25), F.lit(0.25))
+    box = F.array(F.col("lon") - 1.0, F.col("lat") - 0.5, F.col("lon") + 1.0, F.col("lat") + 0.5)
+    one = F.struct(F.lpad((F.col("pin_id") + 200).cast("string"), 4, "0").alias("t"), F.col("label").alias("n"), box.alias("b"), F.array(F.when(F.col("pin_id") % 2 == 1, F.array(outer, hole)).otherwise(F.array(outer))).alias("g"))
+    files = s.pins().select(F.to_json(F.struct(F.lit(1).alias("v"), F.array(one).alias("powiaty"))).alias("body"))
+    edges = feeds.county_edges(feeds.counties(files))
+    return edges.groupBy("code", "ring").agg(F.count("*").cast("int").alias("n_edges"), geo.half_up(F.min("x1"), 3).alias("west"), geo.half_up(F.max("y1"), 3).alias("north"))
+
+
+_TILES = "select event_id % 40 as frame_time, 35 + event_id % 3 as x, 20 + cast(floor(event_id / 40) as bigint) % 4 as y from events where event_id % 11 > 0"
+
+
+@query(f"with t as ({_TILES}), c as (select 35 + i as x, 20 + j as y from range(3) a(i), range(4) b(j) where j < 2), h as (select frame_time, count(*) as had from (select distinct frame_time, x, y from t join c using (x, y)) q group by frame_time) select frame_time, coalesce(had, 0) = 6 as complete from (select distinct frame_time from t) f left join h using (frame_time)")
+def frames_complete(s: Scene) -> DataFrame:
+    """Whether every tile of the cover came for a frame."""
+    cover = s.spark.range(6).select((35 + F.col("id") % 3).alias("x"), (20 + F.floor(F.col("id") / 3)).alias("y"))
+    return feeds.complete_frames(s.sql(_TILES.replace("from events", "from {events}")), cover)
+
+
+@query(f"""with e as (select event_id as k, 35 + event_id % 3 as x, 20 + event_id % 4 as y, event_id % 256 as px, (event_id * 7) % 256 as py, value from events), q as (select k, x, y, px, py from e where px % 2 = 0 and py % 2 = 0),
+g as (select k, degrees(atan(sinh(pi() * (1 - 2 * (y + py / 256e0) / 64e0)))) as lat, (x + px / 256e0) / 64e0 * 360 - 180 as lon from q) select k as frame_time, {S.half_up('lat', 5)} as lat, {S.half_up('lon', 5)} as lon, {S.half_up('pow(pow(10e0, 35 / 10e0) / 200e0, 1 / 1.6e0)', 4)} as rate from g where lat between {LAT_MIN} and {LAT_MAX} and lon between {LON_MIN} and {LON_MAX}""")
+def tile_stride(s: Scene) -> DataFrame:
+    """Every second pixel of tiles both ways, all of the colour of 35 dBZ."""
+    k = F.col("event_id")
+    pixels = s.table("events").select(k.alias("frame_time"), (35 + k % 3).alias("x"), (20 + k % 4).alias("y"), (k % 256).alias("px"), (k * 7 % 256).alias("py"), F.lit(0xFF).alias("r"), F.lit(0xEE).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a"))
+    return feeds.tile_hits(pixels).select("frame_time", geo.half_up(F.col("lat"), 5).alias("lat"), geo.half_up(F.col("lon"), 5).alias("lon"), geo.half_up(F.col("rate"), 4).alias("rate"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then '10.0.0.' || c_custkey % 250 when c_custkey % 2 = 0 then c_mktsegment else 'anon' end as client, case when c_custkey % 5 = 0 then null else lower(c_name) end as search from customer")
+def client_keys(s: Scene) -> DataFrame:
+    """By whom calls are counted, and how searches are looked up."""
+    k = F.col("c_custkey")
+    forwarded = F.when(k % 3 == 0, F.concat(F.lit(" 10.0.0."), (k % 250).cast("string"), F.lit(" , 8.8.8.8"))).when(k % 3 == 1, " ")
+    query_ = F.when(k % 5 == 0, " a ").otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
+    return s.table("customer").select("c_custkey", feeds.client_key(forwarded, F.when(k % 2 == 0, F.col("c_mktsegment"))).alias("client"), feeds.search_key(query_).alias("search"))
 
 
 _NAMES = "html || ' 2026090' || (1 + page_id % 9) || lpad(cast(page_id % 26 as varchar(2)), 2, '0') || lpad(cast(page_id * 5 % 60 as varchar(2)), 2, '0') || '0000dBR.sri.h5'"

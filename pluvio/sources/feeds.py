@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.functions import geo
+from pluvio.functions.classify import colours_to_dbz, rate_of_dbz
 from pluvio.functions.const import AEQD_LAT, AEQD_LON
+from pluvio.operators.grid import in_bbox
+from pluvio.operators.warnings import storm_related, warsaw
+
+log = logging.getLogger(__name__)
 
 # Names of files, and of a strike file's columns.
 RASTER_NAME = r"\d{16}dBR\.sri\.h5"
@@ -13,7 +23,8 @@ STRIKE_NAME = r"^(\d{4})\.(\d{2})\.(\d{2})\.(\d{2})\.(\d{2})\.ld\.csv$"
 LAT_NAMES = ("lat", "latitude", "szerokosc", "szerokość", "szer")
 LON_NAMES = ("lon", "lng", "longitude", "dlugosc", "długość", "dług")
 TIME_NAMES = ("time", "czas", "datetime", "timestamp", "data")
-SIGNED = r"^[+-]?\d+(\.\d+)?$"
+TIME_FORMATS = ("yyyy-MM-dd HH:mm[:ss][.SSS][XXX]", "yyyy-MM-dd'T'HH:mm[:ss][.SSS][XXX]")
+NOBODY, OFFICE = "anon", "IMGW-PIB"
 
 
 def raster_files(pages: DataFrame, text: str = "html") -> DataFrame:
@@ -46,8 +57,8 @@ def _cells(line: Column) -> Column:
 
 
 def _when(cell: Column) -> Column:
-    looks = cell.rlike("[-T:]") & ~cell.rlike(SIGNED)
-    return F.when(looks, cell.try_cast("timestamp"))
+    """A cell as a time, by the first format that fits; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in TIME_FORMATS])
 
 
 def _column(header: Column, names: tuple[str, ...]) -> Column:
@@ -101,3 +112,77 @@ def place_label(city: Column, town: Column, village: Column, name: Column, count
     """The first of these that is not empty; of the display name what stands before the first comma."""
     some = lambda x: F.when(x != "", x)
     return F.coalesce(*map(some, (city, town, village, name, county, F.substring_index(display, ",", 1))), F.lit("Wybrany punkt"))
+
+
+WARNING = "array<struct<id:string,nazwa_zdarzenia:string,stopien:string,prawdopodobienstwo:string,obowiazuje_od:string,obowiazuje_do:string,opublikowano:string,tresc:string,biuro:string,teryt:array<string>>>"
+COUNTY = "struct<powiaty:array<struct<t:string,n:string,b:array<double>,g:array<array<array<array<double>>>>>>>"
+
+
+def official_warnings(pages: DataFrame, text: str = "body") -> DataFrame:
+    """The warnings of feeds in JSON, each page an array: ``id, event, degree, probability, starts, ends, published, body, office, teryt, storm``.
+
+    A degree that is no number is 0, a missing probability null, a missing office the institute's
+    own, missing codes none. Times are Warsaw's; an unreadable one is null.
+    """
+    w = pages.select(F.explode(F.from_json(text, WARNING)).alias("w")).select("w.*")
+    return w.select(
+        "id", F.col("nazwa_zdarzenia").alias("event"), F.coalesce(F.col("stopien").try_cast("double"), F.lit(0.0)).cast("int").alias("degree"), F.when(F.col("prawdopodobienstwo") != "", F.col("prawdopodobienstwo").try_cast("double")).alias("probability"),
+        warsaw(F.col("obowiazuje_od")).alias("starts"), warsaw(F.col("obowiazuje_do")).alias("ends"), F.col("opublikowano").alias("published"), F.col("tresc").alias("body"), F.coalesce("biuro", F.lit(OFFICE)).alias("office"),
+        F.coalesce("teryt", F.array().cast("array<string>")).alias("teryt"), storm_related(F.col("nazwa_zdarzenia")).alias("storm"),
+    )
+
+
+def counties(files: DataFrame, text: str = "body") -> DataFrame:
+    """``t, n, b, g`` of the counties in files in JSON: code, name, box (west, south, east, north) and polygons of rings of points."""
+    return files.select(F.explode(F.from_json(text, COUNTY)["powiaty"]).alias("c")).select("c.*")
+
+
+def county_edges(found: DataFrame) -> DataFrame:
+    """Counties as the edges that ``in_polygon`` reads, one row for each edge of each ring; rings of one polygon after the first are holes, and each polygon is a county's part of its own."""
+    rings = found.select("t", "b", F.posexplode("g").alias("part", "rings")).select("t", "b", "part", F.posexplode("rings").alias("ring", "points"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("points")), lambda i: F.struct(F.element_at("points", i)[0].alias("x1"), F.element_at("points", i)[1].alias("y1"), F.element_at("points", i % F.size("points") + 1)[0].alias("x2"), F.element_at("points", i % F.size("points") + 1)[1].alias("y2")))
+    box = [F.col("b")[i].alias(n) for i, n in enumerate(("min_x", "min_y", "max_x", "max_y"))]
+    return rings.where(F.size("points") > 0).select(F.col("t").alias("code"), "part", "ring", *box, F.inline(ends))
+
+
+def tile_hits(pixels: DataFrame, stride: int = 2) -> DataFrame:
+    """Of decoded tiles' pixels (frame_time, x, y, px, py, r, g, b, a) every ``stride``-th both ways, as hits within the radar's box: ``frame_time, lat, lon, rate``."""
+    rows = colours_to_dbz(pixels.where((F.col("px") % stride == 0) & (F.col("py") % stride == 0))).where("dbz is not null")
+    lat, lon = geo.tile_pixel(6, F.col("x"), F.col("y"), F.col("px"), F.col("py"))
+    return in_bbox(rows.select("frame_time", lat.alias("lat"), lon.alias("lon"), rate_of_dbz(F.col("dbz")).alias("rate")))
+
+
+def complete_frames(tiles: DataFrame, cover: DataFrame) -> DataFrame:
+    """``frame_time, complete``: whether every tile of the ``cover`` (x, y) came (``tiles``: frame_time, x, y)."""
+    need = cover.distinct().agg(F.count("*").alias("need"))  # one row
+    had = tiles.join(cover.distinct(), ["x", "y"], "left_semi").select("frame_time", "x", "y").distinct().groupBy("frame_time").agg(F.count("*").alias("had"))
+    frames = tiles.select("frame_time").distinct().join(had, "frame_time", "left")
+    return frames.crossJoin(F.broadcast(need)).select("frame_time", (F.coalesce("had", F.lit(0)) == F.col("need")).alias("complete"))
+
+
+def client_key(forwarded: Column, real_ip: Column) -> Column:
+    """By whom a call is counted: the first address it was forwarded for, else its own, else nobody."""
+    some = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    return F.coalesce(some(F.substring_index(forwarded, ",", 1)), some(real_ip), F.lit(NOBODY))
+
+
+def search_key(query: Column) -> Column:
+    """A search as it is looked up; null under two characters."""
+    key = F.lower(F.trim(query))
+    return F.when(F.length(key) >= 2, key)
+
+
+def attempt(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What a source returns, or None if it fails, so that the others stand without it."""
+    try:
+        found = read()
+        found.isEmpty()
+    except (PySparkException, OSError) as error:
+        log.warning("a source failed: %s", str(error).splitlines()[0])
+        return None
+    return found
+
+
+def trusted(threats: DataFrame, snapshots: DataFrame, key: str = "scan_id") -> DataFrame:
+    """Threats of snapshots whose radar was there; without radar nothing is said."""
+    return threats.join(snapshots.where(~F.col("radar_unavailable")).select(key).distinct(), key, "left_semi")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.operators import alert_rules as R
+
 STALE_MIN, TTL_MIN, DEBOUNCE_MIN, DECAY_MIN, HOLD_MIN, HYSTERESIS_MIN = 30, 45, 3, 10, 15, 10
 CLEAR_KM, OVER_KM = 20.0, 8.0
 
@@ -35,62 +37,130 @@ class Memory:
     hit: bool = False
 
 
+@dataclass(frozen=True)
+class Look:
+    """What one threat means under a pin's settings. ``eta`` is from the frame, ``wall`` from now."""
+
+    over: bool
+    coming: bool
+    eta: float | None
+    wall: int | None
+    level: int
+    in_play: bool
+    far: bool
+    dry: bool
+
+
+#: What is told in a stage, by whether rain is over the pin; in between nothing is.
+TOLD = {("idle", True): "now", ("incoming", True): "now", ("idle", False): "incoming"}
+
+
 def _none(x: Any) -> Any:
     return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
 
 
-def step(threat: dict[str, Any], settings: Settings, memory: Memory, now: float) -> tuple[str | None, Memory, str]:
+def eta_to_level(threat: dict[str, Any], least: int) -> float | None:
+    """Minutes to the first step of the timeline of a class; the mass's own arrival where a step is unknown, or without a timeline."""
+    steps = threat.get("timeline")
+    own = _none(threat.get("eta")) if threat["will_hit"] and threat["cell_level"] >= least else None
+    if not threat.get("timeline_advected") or steps is None or not len(steps):
+        return own
+    known = [p["t"] for p in steps if not p["unknown"] and p["level"] >= least]
+    return known[0] if known else own if any(p["unknown"] for p in steps) else None
+
+
+def look(threat: dict[str, Any], settings: Settings, stage: str, age: float) -> Look:
+    near, pin, receding = _none(threat.get("nearest_km")), threat["pin_level"], bool(threat["receding"])
+    over = _none(threat.get("eta")) == 0 and near is not None and near <= OVER_KM and pin >= settings.min_level
+    eta = eta_to_level(threat, settings.min_level)
+    wall = None if eta is None else max(0, math.floor(eta - age + 0.5))
+    lead = settings.lead_min + (0 if stage == "idle" else HYSTERESIS_MIN)
+    coming = not over and not receding and wall is not None and eta > 0 and wall <= lead and threat["chance"] >= settings.min_chance
+    steps = threat.get("timeline") if eta is not None and threat.get("timeline_advected") else None
+    peak = max((p["level"] for p in (steps if steps is not None else ()) if eta <= p["t"] <= eta + 30), default=0)
+    return Look(
+        over, coming, eta, 0 if over else wall, pin if over else max(threat["cell_level"], pin, peak), (eta is not None and eta <= settings.lead_min + HOLD_MIN) or bool(threat["approaching"]),
+        near is None or near > CLEAR_KM or (receding and near > OVER_KM), pin < settings.min_level,
+    )
+
+
+def step(threat: dict[str, Any], settings: Settings, memory: Memory, now: float) -> tuple[dict[str, Any] | None, Memory, str]:
     """One look at a pin: the event to fire, if any, the memory after it, and why.
 
-    ``threat`` has ``radar_time, eta, nearest_km, pin_level, level, will_hit, approaching, receding,
-    chance``. Old radar changes nothing. An episode fires each of ``incoming``, ``now`` and
-    ``allclear`` once; it ends when rain has left for some minutes, or silently when nothing has
-    qualified for 45.
+    ``threat`` has ``radar_time, eta, nearest_km, pin_level, cell_level, will_hit, approaching,
+    receding, chance`` and may have ``timeline`` and ``timeline_advected``: what counts is when rain
+    of the class that was asked for comes, not the first drop. Old radar changes nothing. An episode
+    fires each of ``incoming``, ``now`` and ``allclear`` once; it ends when rain has left for some
+    minutes, or silently when nothing has qualified for 45.
     """
-    get = lambda k: _none(threat.get(k))
+    radar = _none(threat.get("radar_time"))
     if not settings.enabled:
         return None, memory, "disabled"
-    age = (now - get("radar_time")) / 60 if get("radar_time") is not None else None
-    if age is None or age > STALE_MIN:
+    if radar is None or now - radar > STALE_MIN * 60:
         return None, memory, "stale"
-    eta, nearest = get("eta"), get("nearest_km")
-    over = eta == 0 and nearest is not None and nearest <= OVER_KM and threat["pin_level"] >= settings.min_level
-    coming = eta if threat["will_hit"] and threat["level"] >= settings.min_level else None
-    wall = max(0, math.floor(coming - age + 0.5)) if coming is not None else None
-    lead = settings.lead_min + (HYSTERESIS_MIN if memory.stage != "idle" else 0)
-    incoming = not over and not threat["receding"] and coming is not None and coming > 0 and wall <= lead and threat["chance"] >= settings.min_chance
-    qualifies = over or incoming
-    if memory.stage != "idle" and memory.qualified_at is not None and now - memory.qualified_at > TTL_MIN * 60 and not qualifies:
+    seen = look(threat, settings, memory.stage, max(0.0, (now - radar) / 60))
+    told = {"eta": seen.wall, "level": seen.level, "chance": threat["chance"], "hit": memory.hit, "far": seen.far}
+    if seen.over or seen.coming:
+        episode = now if memory.stage == "idle" else memory.episode
+        kind = TOLD.get((memory.stage, seen.over))
+        after = replace(memory, episode=episode, stage=kind or memory.stage, qualified_at=now, clear_since=None, hit=memory.hit or kind == "now")
+        return ({**told, "kind": kind, "episode": episode} if kind else None), after, "fired" if kind else "told"
+    if memory.qualified_at is not None and now - memory.qualified_at > TTL_MIN * 60:
         memory = Memory()
-    if qualifies:
-        after = replace(memory, qualified_at=now, clear_since=None, episode=now if memory.stage == "idle" else memory.episode)
-        if over and memory.stage != "now":
-            return "now", replace(after, stage="now", hit=True), "over"
-        if incoming and memory.stage == "idle":
-            return "incoming", replace(after, stage="incoming"), "incoming"
-        return None, after, "told"
     if memory.stage == "idle":
         return None, memory, "idle"
-    in_play = not memory.hit and ((coming is not None and coming <= settings.lead_min + HOLD_MIN) or bool(threat["approaching"]))
-    far = nearest is None or nearest > CLEAR_KM or (threat["receding"] and nearest > OVER_KM)
-    decayed = memory.hit and threat["pin_level"] < settings.min_level
-    if in_play or not (far or decayed):
+    decayed = memory.hit and seen.dry
+    if (seen.in_play and not memory.hit) or not (seen.far or decayed):
         return None, replace(memory, clear_since=None), "held"
-    if memory.clear_since is None:
-        return None, replace(memory, clear_since=now), "clearing"
-    if now - memory.clear_since < (DECAY_MIN if decayed and not far else DEBOUNCE_MIN) * 60:
-        return None, memory, "clearing"
-    return ("allclear" if settings.all_clear else None), Memory(), "clear"
+    since = now if memory.clear_since is None else memory.clear_since
+    wait = DEBOUNCE_MIN if seen.far else DECAY_MIN
+    if memory.clear_since is None or now - since < wait * 60:
+        return None, replace(memory, clear_since=since), "clearing"
+    return ({**told, "kind": "allclear", "episode": memory.episode} if settings.all_clear else None), Memory(), "clear"
+
+
+#: What an event takes over from the threat for its words.
+TAKEN = {"label": "string", "coming_from": "string", "toward": "string", "speed_kmh": "double", "expect": "string", "lightning_near_cell": "boolean", "source": "string"}
+FIRED = "pin_id long, at timestamp, kind string, episode double, eta double, level int, chance int, hit boolean, far boolean, radar_time double, " + ", ".join(f"{c} {t}" for c, t in TAKEN.items())
+
+
+def _complete(threats: DataFrame, settings: Settings) -> DataFrame:
+    """``threats`` with what may be absent: words, timeline, the radar's time (that of the look), and settings, which a pin may have of its own."""
+    have = set(threats.columns)
+    absent = {c: F.lit(None).cast(t) for c, t in TAKEN.items()} | {"timeline": F.lit(None).cast("array<struct<t:int,level:int,rate:double,unknown:boolean>>"), "timeline_advected": F.lit(False), "event_id": F.lit(0), "cell_level": F.col("level")}
+    absent |= {k: F.lit(v) for k, v in asdict(settings).items()}
+    rows = threats.withColumn("ts", F.col("ts").cast("timestamp")).withColumns({c: v for c, v in absent.items() if c not in have})
+    rows = rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in asdict(settings).items()})
+    if "radar_time" not in have:
+        rows = rows.withColumn("radar_time", F.unix_micros("ts") / 1e6)
+    return rows.select("pin_id", "ts", "event_id", "radar_time", "eta", "nearest_km", "pin_level", "cell_level", "will_hit", "approaching", "receding", "chance", "timeline", "timeline_advected", *TAKEN, *asdict(settings))
+
+
+def _look_at(row: dict[str, Any], pin: Any, memory: Memory) -> tuple[tuple | None, Memory]:
+    at = row["ts"].timestamp()
+    settings = Settings(**{f.name: row[f.name] for f in fields(Settings)})
+    event, memory, _ = step(row, settings, memory, at)
+    if event is None:
+        return None, memory
+    return (pin, row["ts"], *(event[c] for c in ("kind", "episode", "eta", "level", "chance", "hit", "far")), row["radar_time"], *(_none(row[c]) for c in TAKEN)), memory
+
+
+NAMES = [c.split()[0] for c in FIRED.split(", ")]
 
 
-EVENTS = "pin_id long, at timestamp, kind string, episode double"
+def worded(events: DataFrame) -> DataFrame:
+    """``pin_id, at, kind, episode, event_id, eta, level, chance, title, body`` of fired events."""
+    return events.select(
+        "pin_id", "at", "kind", "episode", F.concat_ws(":", F.round(F.col("episode") * 1000).cast("long").cast("string"), "kind").alias("event_id"), F.col("eta").cast("int").alias("eta"), "level", "chance",
+        R.event_title().alias("title"), R.event_body().alias("body"),
+    )
 
 
 def replay(threats: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008  it is frozen
-    """Events of each pin's threats (``pin_id, ts, ...``) in the order of time.
+    """Events of each pin's threats (``pin_id, ts, ...``) in the order of time, with their words.
 
     Rows are dealt by pin, sorted, and stream through ``step`` with one memory at a time, so that a
-    pin may have any number of rows.
+    pin may have any number of rows. Columns named as a setting hold each pin's own.
     """
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,36 +170,35 @@ def replay(threats: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
             for row in part.to_dict("records"):
                 if row["pin_id"] != pin:
                     pin, memory = row["pin_id"], Memory()
-                at = row["ts"].timestamp()
-                kind, memory, _ = step({**row, "radar_time": at}, settings, memory, at)
-                if kind:
-                    out.append((pin, row["ts"], kind, memory.episode))
-            yield pd.DataFrame(out, columns=["pin_id", "at", "kind", "episode"])
+                event, memory = _look_at(row, pin, memory)
+                out += [event] if event else []
+            yield pd.DataFrame(out, columns=NAMES)
 
-    n = int(threats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = threats.withColumn("ts", F.col("ts").cast("timestamp")).repartition(n, "pin_id").sortWithinPartitions("pin_id", "ts", "event_id")
-    return dealt.mapInPandas(run, EVENTS)
+    dealt = _complete(threats, settings).repartition("pin_id").sortWithinPartitions("pin_id", "ts", "event_id")
+    return worded(dealt.mapInPandas(run, FIRED))
 
 
-def stream(threats: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """As ``replay``, on a stream: each pin's memory is state."""
+def stream(threats: DataFrame, settings: Settings = Settings(), forget_hours: float = 24.0) -> DataFrame:  # noqa: B008  it is frozen
+    """As ``replay``, on a stream: each pin's memory is state, which goes when nothing has come for ``forget_hours``."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else None
         memory = Memory(*(_none(x) for x in held)) if held else Memory()
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])  # one micro-batch of one pin
         out = []
         for row in rows.to_dict("records"):
-            at = row["ts"].timestamp()
-            kind, memory, _ = step({**row, "radar_time": at}, settings, memory, at)
-            if kind:
-                out.append((key[0], row["ts"], kind, memory.episode))
+            event, memory = _look_at(row, key[0], memory)
+            out += [event] if event else []
         state.update((memory.episode, memory.stage, memory.qualified_at, memory.clear_since, memory.hit))
-        yield pd.DataFrame(out, columns=["pin_id", "at", "kind", "episode"])
+        state.setTimeoutDuration(int(forget_hours * 3_600_000))
+        yield pd.DataFrame(out, columns=NAMES)
 
     kept = "episode double, stage string, qualified_at double, clear_since double, hit boolean"
-    return threats.groupBy("pin_id").applyInPandasWithState(run, EVENTS, kept, "append", GroupStateTimeout.NoTimeout)
+    return worded(_complete(threats, settings).groupBy("pin_id").applyInPandasWithState(run, FIRED, kept, "append", GroupStateTimeout.ProcessingTimeTimeout))
 
 
 def rate_limited(calls: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
@@ -151,6 +220,5 @@ def rate_limited(calls: DataFrame, most: int = 10, seconds: int = 60) -> DataFra
                     out.append((row.client, row.ts, False))
             yield pd.DataFrame(out, columns=["client", "ts", "allowed"])
 
-    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = calls.select("client", F.col("ts").cast("timestamp").alias("ts")).repartition(n, "client").sortWithinPartitions("client", "ts")
+    dealt = calls.select("client", F.col("ts").cast("timestamp").alias("ts")).repartition("client").sortWithinPartitions("client", "ts")
     return dealt.mapInPandas(run, "client long, ts timestamp, allowed boolean")

@@ -52,12 +52,47 @@ def scene(spark, *frames):
     return spark.createDataFrame(rows, "frame_time long, lat double, lon double, level int, rate double, cell_km double")
 
 
-def threat(spark, *frames, pin=CITY, **more):
-    rows = scene(spark, *frames)
-    e = TH.echo(rows, T.one_scan(rows))
-    pins = spark.createDataFrame([(1, "Dom", *pin, "1261")], "pin_id long, label string, lat double, lon double, terc string")
-    found = TH.threats(e, pins, **more).collect()
-    return found[0], TH.tracks(TH.moving_masses(e)).orderBy("place").collect()
+def two_motions():
+    """The nearer mass goes north, the other comes from the west."""
+    out = []
+    for i in range(4):
+        a, b = at(*CITY, 0, 20 + 4 * i), at(*CITY, 270, 60 - i * 20 / 3)
+        out.append((600 * i, blob(*a, step=0.025) + blob(*b, step=0.025)))
+    return out
+
+
+STORMS = ((20.55, 20.4), (20.68, 20.55), (20.82, 20.7), (20.95, 20.85))
+OVERHEAD = [(1000, blob(50.0, 20.95, 4)), (1600, blob(50.0, 21.0, 4))]
+FAR_RAIN = [(1000, blob(52.5, 16.0, 2)), (1600, blob(52.5, 16.1, 2))]
+#: Each scene's frames, and from when to when and of what kind a warning holds, in seconds of the scene.
+SCENES = {
+    "west": ([(1000, blob(50.0, 20.4)), (1600, blob(50.0, 20.55))], None), "over": ([(1000, blob(50.0, 21.0, 2)), (1600, blob(50.02, 21.03, 2))], None), "passing": ([(1000, blob(50.85, 20.5, 2)), (1600, blob(50.85, 20.65, 2))], None),
+    "far": ([(1000, blob(50.0, 25.3, 4)), (1600, blob(50.0, 25.45, 4))], None), "near_and_far": ([(1000, blob(50.0, 20.4, 2) + blob(50.0, 25.3, 4)), (1600, blob(50.0, 20.55, 2) + blob(50.0, 25.45, 4))], None),
+    "storms": ([(600 * i, blob(50.0, a) + blob(50.7, b)) for i, (a, b) in enumerate(STORMS)], None), "motions": (two_motions(), None), "lightning": (OVERHEAD, (0, 9000, True)), "plain": (OVERHEAD, None),
+    "warned": (FAR_RAIN, (0, 9000, True)), "later": (FAR_RAIN, (90_000, 99_000, True)), "heat": (FAR_RAIN, (0, 9000, False)),
+}
+
+
+@pytest.fixture(scope="module")
+def threats(spark):
+    """All scenes at once, as scans far apart in time: the threat of the one pin, and the arrows."""
+    base = {name: 1_000_000 * (i + 1) for i, name in enumerate(SCENES)}
+    rows = scene(spark, *[(base[name] + t, cells) for name, (frames, _) in SCENES.items() for t, cells in frames])
+    scans = spark.createDataFrame([(base[name] + frames[-1][0], base[name] + t) for name, (frames, _) in SCENES.items() for t, _ in frames], "scan_time long, frame_time long")
+    e = TH.echo(rows, scans)
+    pins = spark.createDataFrame([(1, "Dom", *CITY, "1261")], "pin_id long, label string, lat double, lon double, terc string")
+    # A pin of its own county for each scene would be the same; the windows are too far apart to touch another scene.
+    held = [(i, 3, base[name] + w[0], base[name] + w[1], w[2], ["1261"], "Burze.") for i, (name, (_, w)) in enumerate(SCENES.items()) if w]
+    warnings = spark.createDataFrame(held, "id long, degree int, a long, b long, storm boolean, teryt array<string>, body string").select("id", "degree", F.timestamp_seconds("a").alias("starts"), F.timestamp_seconds("b").alias("ends"), "storm", "teryt", "body")
+    strikes = spark.createDataFrame([(base["lightning"] + 1600, 50.05, 21.0)], "scan_time long, lat double, lon double")
+    of = {base[name] + frames[-1][0]: name for name, (frames, _) in SCENES.items()}
+    moving = TH.moving_masses(e)
+    found = {of[r["scan_time"]]: r for r in TH.threats(e, pins, strikes=strikes).collect()}
+    warned = {of[r["scan_time"]]: r for r in TH.threats(e, pins, warnings=warnings).collect()}
+    tracks = {}
+    for r in TH.tracks(moving).orderBy("scan_time", "place").collect():
+        tracks.setdefault(of[r["scan_time"]], []).append(r)
+    return found, warned, tracks
 
 
 # The array kernel, restated shift by shift and cell by cell.
@@ -188,70 +223,64 @@ def test_cells_match_greedily(spark):
 # Scenes
 
 
-def test_a_cell_from_the_west_arrives(spark):
-    t, tracks = threat(spark, (1000, blob(50.0, 20.4)), (1600, blob(50.0, 20.55)))
+def test_a_cell_from_the_west_arrives(threats):
+    t, tracks = threats[0]["west"], threats[2]["west"]
     assert tracks and tracks[0]["threatening"]
     assert (t["coming_from"], t["toward"], t["will_hit"]) == ("zachodu", "wschód", True) and 0 < t["eta"] <= 50
     assert "Idzie od zachodu" in t["detail"] and "Dojście nad Twoją pinezką" in t["detail"] and ("deszcz" in t["expect"] or "ulew" in t["expect"])
     assert t["timeline_advected"] and len(t["timeline"]) == 19
 
 
-def test_rain_over_the_pin_is_now(spark):
-    t, _ = threat(spark, (1000, blob(50.0, 21.0, 2)), (1600, blob(50.02, 21.03, 2)))
+def test_rain_over_the_pin_is_now(threats):
+    t = threats[0]["over"]
     assert (t["eta"], t["will_hit"], t["level"]) == (0, True, "now") and "teraz" in t["detail"]
 
 
-def test_a_cell_that_passes_is_no_hit(spark):
-    t, tracks = threat(spark, (1000, blob(50.85, 20.5, 2)), (1600, blob(50.85, 20.65, 2)))
-    assert tracks and not t["will_hit"] and t["nearest_km"] <= 100 and t["coming_from"] is None
+def test_a_cell_that_passes_is_no_hit(threats):
+    t = threats[0]["passing"]
+    assert threats[2]["passing"] and not t["will_hit"] and t["nearest_km"] <= 100 and t["coming_from"] is None
 
 
-def test_a_far_cell_is_no_threat(spark):
-    t, _ = threat(spark, (1000, blob(50.0, 25.3, 4)), (1600, blob(50.0, 25.45, 4)))
+def test_a_far_cell_is_no_threat(threats):
+    t = threats[0]["far"]
     assert (t["will_hit"], t["coming_from"], t["nearest_km"], t["expect"], t["level"]) == (False, None, None, None, "clear") and "100 km" in t["detail"]
 
 
-def test_the_near_cell_speaks_for_the_pin(spark):
-    t, tracks = threat(spark, (1000, blob(50.0, 20.4, 2) + blob(50.0, 25.3, 4)), (1600, blob(50.0, 20.55, 2) + blob(50.0, 25.45, 4)))
+def test_the_near_cell_speaks_for_the_pin(threats):
+    t, tracks = threats[0]["near_and_far"], threats[2]["near_and_far"]
     assert t["coming_from"] == "zachodu" and t["will_hit"] and t["nearest_km"] < 50 and km(t["now_lat"], t["now_lon"], *CITY) <= 105
     assert len(tracks) == 2 and [r["confidence"] for r in tracks] == sorted((r["confidence"] for r in tracks), reverse=True)
 
 
-def test_two_storms_have_two_arrows(spark):
-    places = ((20.55, 20.4), (20.68, 20.55), (20.82, 20.7), (20.95, 20.85))
-    _, tracks = threat(spark, *[(600 * i, blob(50.0, a) + blob(50.7, b)) for i, (a, b) in enumerate(places)])
+def test_two_storms_have_two_arrows(threats):
+    tracks = threats[2]["storms"]
     lats = sorted(r["now_lat"] for r in tracks)
     assert len(tracks) == 2 and lats[1] - lats[0] > 0.4 and [r["threatening"] for r in tracks] == [True, False]
 
 
-def test_two_motions_and_the_field_between(spark):
-    """The nearer mass goes north, the other comes from the west: what counts is the motion at each place."""
-    frames = []
-    for i in range(4):
-        a, b = at(*CITY, 0, 20 + 4 * i), at(*CITY, 270, 60 - i * 20 / 3)
-        frames.append((600 * i, blob(*a, step=0.025) + blob(*b, step=0.025)))
-    t, tracks = threat(spark, *frames)
-    assert len(tracks) == 2 and t["will_hit"] and 25 <= t["eta"] <= 70 and not t["receding"]
-
-
-def test_lightning_warnings_and_hail(spark):
-    frames = ((1000, blob(50.0, 20.95, 4)), (1600, blob(50.0, 21.0, 4)))
-    strikes = spark.createDataFrame([(1600, 50.05, 21.0)], "scan_time long, lat double, lon double")
-    kinds = "id long, degree int, starts timestamp, ends timestamp, storm boolean, teryt array<string>, body string"
-    warn = lambda a, b, storm=True: spark.createDataFrame([(1, 3, a, b, storm, ["1261"], "Burze.")], "id long, degree int, a long, b long, storm boolean, teryt array<string>, body string").select("id", "degree", F.timestamp_seconds("a").alias("starts"), F.timestamp_seconds("b").alias("ends"), "storm", "teryt", "body").to(spark.createDataFrame([], kinds).schema)
-    t, _ = threat(spark, *frames, strikes=strikes, warnings=warn(0, 9000))
-    assert t["lightning_near_cell"] and t["title"] == "Burza nad Tobą" and "gradu" not in t["expect"]
-    plain, _ = threat(spark, *frames)
-    assert not plain["lightning_near_cell"] and plain["title"] == "Ulewa nad Tobą"
-    hail = scene(spark, *frames).withColumn("rate", F.lit(120.0))
+def test_two_motions_and_the_field_between(threats):
+    """What counts is the motion at each place, not that of the nearest mass."""
+    t = threats[0]["motions"]
+    assert len(threats[2]["motions"]) == 2 and t["will_hit"] and 25 <= t["eta"] <= 70 and not t["receding"]
+
+
+def test_lightning_makes_a_storm(threats):
+    assert threats[0]["lightning"]["lightning_near_cell"] and threats[0]["lightning"]["title"] == "Burza nad Tobą" and "gradu" not in threats[0]["lightning"]["expect"]
+    assert not threats[0]["plain"]["lightning_near_cell"] and threats[0]["plain"]["title"] == "Ulewa nad Tobą"
+
+
+def test_warnings_watch(threats):
+    """Every warning of the pin's county counts in every scan: one that is over or to come as upcoming, one of heat not at all."""
+    warned = threats[1]
+    assert warned["warned"]["level"] == "watch" and warned["warned"]["detail"].startswith("Burze. Dla Dom") and warned["warned"]["chance"] == 45
+    assert warned["later"]["level"] == warned["heat"]["level"] == "watch" and warned["later"]["chance"] == warned["heat"]["chance"] == 10
+    assert all(threats[0][x]["level"] == "clear" for x in ("warned", "later", "heat"))
+
+
+def test_hail_at_the_pin(spark):
+    hail = scene(spark, *OVERHEAD).withColumn("rate", F.lit(120.0))
     pins = spark.createDataFrame([(1, "Dom", *CITY)], "pin_id long, label string, lat double, lon double")
     assert "gradu" in TH.threats(TH.echo(hail, T.one_scan(hail)), pins).first()["expect"]
-    dry = ((1000, blob(52.5, 16.0, 2)), (1600, blob(52.5, 16.1, 2)))
-    active, _ = threat(spark, *dry, warnings=warn(0, 9000))
-    assert active["level"] == "watch" and active["detail"].startswith("Burze. Dla Dom") and active["chance"] == 45
-    later, _ = threat(spark, *dry, warnings=warn(90_000, 99_000))
-    assert later["level"] == "watch" and later["chance"] == 10
-    assert threat(spark, *dry, warnings=warn(0, 9000, storm=False))[0]["level"] == "clear"
 
 
 def test_the_timeline_against_plain_loops(spark):

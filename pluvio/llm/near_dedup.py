@@ -19,9 +19,15 @@ SHINGLE = 5
 N_TOKENS = 128
 TREES = 12
 #: Nodes of up to so many documents are compared exhaustively; their full sets are held for so many shingles at once.
-LEAF, MOST_SHINGLES = 400, 3_000_000
-#: Documents of a larger node that are compared with all of it before it branches.
-LEADERS = 2
+LEAF, MOST_SHINGLES = 2500, 3_000_000
+#: Nodes above so many documents have leaders before they branch.
+LED_FROM = 10_000
+#: Documents that one copy of a leader's text serves.
+LED = 200
+#: Up to so many leaders' tokens (10 MB), and up to so many ids, are broadcast.
+BROADCAST_LEADERS, BROADCAST_IDS = 20_000, 500_000
+#: Documents outside a node's main group up to which these are compared with all of it, in blocks; with more the node branches.
+REST = 2500
 #: Children of a document in a larger node. With links at 0.8 or 0.85, more than one expected child keeps both ends.
 BRANCHES = 2
 DEPTH = 4
@@ -77,14 +83,14 @@ def _tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _near_leader(least: int, percent: int):
-    """The documents that agree with their node's leader in ``least`` tokens and have a size that allows a link."""
+    """The documents that agree with a leader in ``least`` tokens and have a size that allows a link; and whether they agree in as many as linked ones do in the mean."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, other = (batch.column(c).to_numpy() for c in ("n_shingles", "l_size"))
             equal = (_tokens(batch.column("tokens")) == _tokens(batch.column("l_tokens"))).sum(axis=1)
-            at = pa.array(np.flatnonzero((equal >= least) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other))))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("leader", "doc_id")], names=["leader", "doc_id"])
+            at = np.flatnonzero((equal >= least) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("leader", "doc_id")], pa.array(100 * equal[at] >= percent * N_TOKENS)], names=["leader", "doc_id", "sure"])
 
     return run
 
@@ -111,26 +117,50 @@ def _verify(percent: int):
     return per_piece(run)
 
 
-def _led(large: DataFrame, source: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents of large nodes, labelled by a leader that they are linked with, and these links.
+def _led(large: DataFrame, source: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links of documents of very large nodes with leaders.
 
-    The least id of each node that has no label yet leads: all documents of the node are compared
-    with it, by tokens and then on the full sets. So a large group of near copies is linked in as
-    many comparisons as it has documents. Documents of one label need no comparison any more; all
-    other pairs still do.
+    The least id of a node that no leader has reached leads: all documents of the node are compared
+    with it by tokens. So a large group of near copies is reached in a few times as many comparisons
+    as it has documents. A round is for the nodes of one tree that have more than ``LEAF`` documents
+    which were not reached; all candidates are then confirmed on the full sets, in one pass over
+    their texts. What is connected then needs no comparison any more; all other pairs still do.
     """
+    nodes = cut(large.select("path", "doc_id", "tree", F.lit(False).alias("reached")))
+    held = cut(large.select("doc_id", "n_shingles", "tokens").dropDuplicates(["doc_id"]))
     found = []
-    for _ in range(LEADERS):
-        lead = large.where("label is null").groupBy("path").agg(F.min(F.struct("doc_id", "n_shingles", "tokens")).alias("l"))
-        lead = dealt_anew(cut(lead.select("path", F.col("l.doc_id").alias("leader"), F.col("l.n_shingles").alias("l_size"), F.col("l.tokens").alias("l_tokens"))))
-        near = cut(dealt_anew(large).join(lead, "path").where("doc_id <> leader").mapInArrow(_near_leader(least, percent), "leader long, doc_id long").distinct())
-        texts = source.join(lead.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("leader"), F.col("text").alias("l_text"))
-        links = cut(dealt_anew(near).join(source, "doc_id").join(texts, "leader").mapInArrow(_verify(percent), "a long, b long"))
-        found.append(links)
-        own = links.select(F.col("b").alias("doc_id"), F.col("a").alias("new")).unionByName(lead.select(F.col("leader").alias("doc_id"), F.col("leader").alias("new")))
-        large = large.join(own.groupBy("doc_id").agg(F.min("new").alias("new")), "doc_id", "left")
-        large = cut(large.withColumn("label", F.coalesce("label", "new")).drop("new"))
-    return large.withColumn("label", F.coalesce("label", "doc_id")), functools.reduce(DataFrame.unionByName, found)
+    for tree in sorted(r["tree"] for r in nodes.select("tree").distinct().collect()):  # at most TREES
+        own_tree = nodes.where(F.col("tree") == tree)
+        lead = own_tree.where("not reached").groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") > LEAF).select("path", "leader")
+        pairs = cut(dealt_anew(own_tree).join(dealt_anew(cut(lead)), "path").where("doc_id <> leader").select("leader", "doc_id"))
+        if pairs.isEmpty():
+            continue
+        leaders = pairs.select("leader").distinct().join(held.select(F.col("doc_id").alias("leader"), F.col("n_shingles").alias("l_size"), F.col("tokens").alias("l_tokens")), "leader")
+        leaders = cut(leaders)
+        beside = F.broadcast(leaders) if leaders.count() <= BROADCAST_LEADERS else dealt_anew(leaders)
+        near = cut(pairs.join(held, "doc_id").join(beside, "leader").mapInArrow(_near_leader(least, percent), "leader long, doc_id long, sure boolean"))
+        found.append(near.select("leader", "doc_id"))
+        own = near.where("sure").select("doc_id").unionByName(leaders.select(F.col("leader").alias("doc_id"))).distinct().withColumn("hit", F.lit(True))
+        nodes = cut(nodes.join(dealt_anew(own), "doc_id", "left").select("path", "doc_id", "tree", (F.col("reached") | F.col("hit").isNotNull()).alias("reached")))
+    near = cut(functools.reduce(DataFrame.unionByName, found).distinct())
+    salts = cut(near.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("salts")))
+    texts = _only(source, salts.select(F.col("leader").alias("doc_id"))).select(F.col("doc_id").alias("leader"), F.col("text").alias("l_text"))
+    texts = texts.join(dealt_anew(salts), "leader").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    dealt = near.join(dealt_anew(salts), "leader").select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"))
+    return cut(dealt.join(_only(source, near.select("doc_id").distinct()), "doc_id").join(texts, ["leader", "salt"]).mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _only(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids; where these are few enough to broadcast, no other text is shuffled."""
+    ids = cut(ids)
+    return source.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else source.join(ids, "doc_id", "left_semi")
+
+
+def _open(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes that hold more than one label, with the node's ``size``, its most frequent label ``major``, and how many documents have another, ``rest``."""
+    each = nodes.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"))
+    each = each.select("path", F.col("m.label").alias("major"), (F.col("size") - F.col("m.n")).alias("rest"), "size").where("rest > 0")
+    return cut(nodes.join(dealt_anew(cut(each)), "path"))
 
 
 def _elsewhere(tree: np.ndarray, small: np.ndarray) -> np.ndarray:
@@ -239,11 +269,11 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     connects.
 
     ``TREES`` independent trees branch all representatives on a minwise token each. Of a node above
-    ``LEAF`` documents, ``LEADERS`` documents are compared with all others first (``_led``); what
-    they link is connected. Where that leaves more than one label, the node branches on,
-    ``BRANCHES`` tokens a level that hashing its path selects, up to ``DEPTH`` levels; of what is
-    still large then, the documents without the node's most frequent label are compared with all,
-    block by block. Leaves compare tokens exhaustively, and full sets a bounded number of shingles
+    ``LED_FROM`` documents, some are compared with all others first (``_led``); what they link is
+    connected. A node above ``LEAF`` documents branches on, ``BRANCHES`` tokens a level that hashing
+    its path selects, up to ``DEPTH`` levels; but where no more than ``REST`` documents, or after
+    the last level any, lie outside its main connected group, these are compared with all of the
+    node, block by block. Leaves compare tokens exhaustively, and full sets a bounded number of shingles
     at a time. A linked pair meets in no small node with probability ``(1 - percent / 100) ** TREES``
     at most where nodes are small, below 1e-8 from 79 percent on, and agrees in fewer tokens than
     ``least``, 4.6 standard deviations below the mean, with probability of about 1e-5.
@@ -262,28 +292,28 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     nodes = heads.join(dealt_anew(cut(sizes)), ["tree", "head"]).groupBy("doc_id").agg(F.collect_set(F.struct("tree", "head", "size")).alias("nodes"))
     small = F.aggregate(F.filter("nodes", lambda x: x["size"] <= LEAF), F.lit(0), lambda s, x: s.bitwiseOR(F.pow(F.lit(2), x["tree"]).cast("int")))
     placed = reps.select("doc_id", "n_shingles", "tokens").join(nodes, "doc_id").select("doc_id", "n_shingles", "tokens", small.alias("small"), F.explode("nodes").alias("node"))
-    label = F.when(F.col("node.size") <= LEAF, F.col("doc_id")).alias("label")
-    placed = cut(placed.select("doc_id", "n_shingles", "tokens", "small", label, "node.tree", F.xxhash64("node.tree", "node.head").alias("path"), "node.size"))
+    placed = cut(placed.select("doc_id", "n_shingles", "tokens", "small", F.col("doc_id").alias("label"), "node.tree", F.xxhash64("node.tree", "node.head").alias("path"), "node.size"))
 
-    leaves, large = placed.where(F.col("size") <= LEAF), placed.where(F.col("size") > LEAF)
+    columns = [c for c in placed.columns if c != "size"]
+    leaves, large = placed.where(F.col("size") <= LEAF).select(*columns), placed.where(F.col("size") > LEAF)
     links = None
     if not large.isEmpty():
-        large, links = _led(large, source, least, percent)
-        open_paths = lambda df: dealt_anew(cut(df.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")))
-        large = cut(large.drop("size").join(open_paths(large), "path").select(*placed.columns))
-        for level in range(DEPTH):
+        huge = large.where(F.col("size") > LED_FROM)
+        if not huge.isEmpty():
+            links = _led(huge, source, least, percent)
+            named = components(links).select(F.col("a").alias("doc_id"), F.col("b").alias("named"))
+            large = large.join(dealt_anew(named), "doc_id", "left").withColumn("label", F.coalesce("named", "label"))
+        large = _open(large.select(*columns))
+        for level in range(DEPTH + 1):
             if large.isEmpty():
                 break
-            branch = large.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-            chosen = F.pmod(F.xxhash64("path", "branch"), F.lit(N_TOKENS)).cast("int")
-            child = branch.withColumn("path", F.xxhash64("path", "branch", F.substring("tokens", chosen * 4 + 1, F.lit(4)), F.lit(level))).drop("branch", "size")
-            child = cut(child.join(open_paths(child), "path").select(*placed.columns))
-            leaves, large = leaves.unionByName(child.where(F.col("size") <= LEAF)), child.where(F.col("size") > LEAF)
-        if not large.isEmpty():
-            major = large.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-            wide = dealt_anew(large).join(dealt_anew(cut(major.select("path", F.col("m.label").alias("major"), (F.col("n") - F.col("m.n")).alias("rest")))), "path")
+            wide = (F.col("size") > LEAF) & F.lit(level < DEPTH) & (F.col("rest") > REST)
             blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / LEAF))
-            leaves = leaves.unionByName(_in_blocks(wide, blocks(F.col("size")), blocks(F.col("rest")), F.col("label") != F.col("major")).select(*placed.columns))
+            leaves = leaves.unionByName(large.where(F.col("size") <= LEAF).select(*columns))
+            leaves = leaves.unionByName(_in_blocks(large.where((F.col("size") > LEAF) & ~wide), blocks(F.col("size")), blocks(F.col("rest")), F.col("label") != F.col("major")).select(*columns))
+            branch = large.where(wide).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+            chosen = F.pmod(F.xxhash64("path", "branch"), F.lit(N_TOKENS)).cast("int")
+            large = _open(branch.withColumn("path", F.xxhash64("path", "branch", F.substring("tokens", chosen * 4 + 1, F.lit(4)), F.lit(level))).select(*columns))
 
     schema = ", ".join(f"{c} {t}" for c, t in MEMBER.items())
     members = cut(leaves.repartition("path").sortWithinPartitions("path").mapInArrow(_leaf_members(least, percent), schema).distinct())
@@ -292,7 +322,8 @@ def near_duplicate_links(docs: DataFrame, percent: int = 85, id_col: str = "doc_
         blocks = F.ceil(F.col("weight") * 2 / MOST_SHINGLES)
         split = _in_blocks(members.join(heavy, "path"), blocks, blocks, F.lit(True)).select(*MEMBER).distinct()
         members = members.join(heavy, "path", "left_anti").unionByName(split)
-    confirmed = members.join(source, "doc_id").repartition("path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
+    wanted = _only(source, members.select("doc_id").distinct())
+    confirmed = members.join(wanted, "doc_id").repartition("path").sortWithinPartitions("path").mapInArrow(_confirm(least, percent), "a long, b long")
     return rows, confirmed if links is None else confirmed.unionByName(links)
 
 

@@ -17,6 +17,8 @@ UNKNOWN = "und"
 N_CODES = 0x3000
 WORD, LONGEST = 9, 5
 GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of texts that are taken at once: n-grams of five lengths stand for each.
+PIECE = 1 << 20
 #: Texts by languages that are scored at once.
 CELLS = 1 << 21
 
@@ -81,20 +83,17 @@ def _counts() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
         code, starts, stops, text = _words(piece)
         lang = rows.column("of").to_numpy()
-        kinds, keys, langs_of = [], [], []
+        parts: list[list[np.ndarray]] = []
         for n in (WORD, *range(LONGEST, 0, -1)):
             h, word = (_spans(code, starts, stops, WORD), np.arange(len(starts))) if n == WORD else _grams(code, starts, stops, n)
-            kinds.append(np.full(len(h), n))
-            keys.append(h)
-            langs_of.append(lang[text[word]])
-        kind, key, of = np.concatenate(kinds), np.concatenate(keys), np.concatenate(langs_of)
-        order = np.lexsort((of, key, kind))
-        kind, key, of = kind[order], key[order], of[order]
-        new = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (of[1:] != of[:-1])))) if len(key) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate((new, [len(key)])))
-        return pa.RecordBatch.from_arrays([pa.array(kind[new].astype(np.int32)), pa.array(key[new].view(np.int64)), pa.array(of[new].astype(np.int32)), pa.array(n)], names=["kind", "key", "lang", "n"])
+            of = lang[text[word]].astype(np.int32)
+            order = np.lexsort((of, h))
+            h, of = h[order], of[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))) if len(h) else np.zeros(0, np.int64)
+            parts.append([np.full(len(new), n, np.int32), h[new].view(np.int64), of[new], np.diff(np.concatenate((new, [len(h)])))])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["kind", "key", "lang", "n"])
 
-    return per_piece(run)
+    return per_piece(run, most=PIECE)
 
 
 class LanguageModel:
@@ -215,7 +214,7 @@ def label_language(docs: DataFrame, model: LanguageModel, text_col: str = "text"
             best, score = np.full(piece.n, -1), np.zeros(piece.n)
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(per_piece(run, text_col), schema)
+    return docs.mapInArrow(per_piece(run, text_col, PIECE), schema)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,12 +112,12 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Itera
         i = j
 
 
-def per_piece(f: Callable[[Piece, pa.RecordBatch], pa.RecordBatch | None], text_col: str = "text") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow``: ``f(piece, rows)`` on each piece of the batches, with the piece's rows."""
+def per_piece(f: Callable[[Piece, pa.RecordBatch], pa.RecordBatch | None], text_col: str = "text", most: int = PIECE_BYTES) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: ``f(piece, rows)`` on each piece of the batches, with the piece's rows; pieces have about ``most`` bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(text_col)):
+            for piece in pieces(batch.column(text_col), most):
                 out = f(piece, batch.slice(piece.first, piece.n))
                 if out is not None and out.num_rows:
                     yield out

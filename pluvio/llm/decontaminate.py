@@ -14,12 +14,14 @@ from pluvio.llm.words import GOLDEN, IS_BLANK, LOWER, Piece, hash_runs, hash_wor
 WINDOW = 12
 #: Items of fewer tokens are looked for as whole sentences or lines.
 SHORTEST = 5
-#: Bits of a window's hash by which documents' windows are looked up before the join: a table of 2 MB whatever the benchmark's size.
+#: Bits of a window's hash by which documents' windows are looked up before the join: a table of 16 MB whatever the benchmark's size.
 BITS = 24
 #: Benchmarks of up to so many windows are broadcast to the join.
 BROADCAST_WINDOWS = 200_000
 UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces oz pound pounds lb lbs ml l liter liters litre litres gallon
 gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh""".split()
+NUMBER_WORDS = """two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy
+eighty ninety hundred thousand million dozen""".split()
 NUMBER, UNIT, NAME = 1, 2, 3
 SLOT = mix(np.arange(100, 104, dtype=np.uint64))
 #: Keeps hashes of words apart from those of templates.
@@ -42,9 +44,9 @@ _LEADS[[ord(c) for c in ":\"'"]] = True
 class Template:
     """Tokens of a piece: words in lower case without punctuation, or typed slots.
 
-    A number is a word of digits and punctuation, or one that begins with a digit (``5kg``); a unit
-    is one of ``UNITS`` after a number; a name begins with a capital that does not begin a line or
-    follow a full stop. Words of punctuation alone are no tokens.
+    A number is a word of digits and punctuation, one that begins with a digit (``5kg``), or one of
+    ``NUMBER_WORDS``; a unit is one of ``UNITS`` after a number; a name begins with a capital that
+    does not begin a line or follow a full stop. Words of punctuation alone are no tokens.
     """
 
     def __init__(self, piece: Piece) -> None:
@@ -68,7 +70,7 @@ class Template:
         self.bounds = np.searchsorted(self.begin, piece.ends)
         self.n = n
         first = np.flatnonzero(keep)[starts]
-        number = _IS_DIGIT[data[first]]
+        number = _IS_DIGIT[data[first]] | np.isin(word, _NUMBER_HASHES)
         line = np.concatenate(([0], np.cumsum(data == 0x0A)))
         opens = np.ones(n, dtype=bool)
         if n:
@@ -79,6 +81,7 @@ class Template:
             opens[self.bounds[:-1][self.bounds[:-1] < n]] = True
         capital = _IS_UPPER[data[first]] | ((data[first] == 0xC3) & accented[np.minimum(first + 1, max(0, len(data) - 1))])
         kind = np.where(number, NUMBER, np.where(capital & ~opens, NAME, 0))
+        self.opening = capital & opens & ~number
         follows = np.concatenate(([False], number[:-1])) if n else number
         if n:
             follows[self.bounds[:-1][self.bounds[:-1] < n]] = False
@@ -93,8 +96,9 @@ class Template:
 
         All windows by their words in lower case, or, of fewer than ``SHORTEST`` tokens, those that
         are whole sentences or lines. Otherwise also those with a template, half of them words at
-        least; one that begins with a name has another in which its first token is a word, as it is
-        where it opens a text.
+        least. One that begins with a name has another in which its first token is a word, as it is
+        where it opens a text; one that begins with a capital that opens a sentence has another in
+        which that is a name (-1).
         """
         ok = inside(self.bounds, self.n, length)
         if not len(ok):
@@ -107,7 +111,9 @@ class Template:
         slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
         n_slots = slots[length:] - slots[:-length]
         rest = hash_runs(self.word[1:], length - 1)
-        for skip, first, fits in ((0, self.word, 2 * n_slots <= length), (1, self.literal, (self.kind[: len(ok)] == NAME) & (2 * (n_slots - 1) <= length))):
+        named = np.full(self.n, SLOT[NAME])
+        begins = self.kind[: len(ok)] == NAME, self.opening[: len(ok)] & (self.kind[: len(ok)] == 0)
+        for skip, first, fits in ((0, self.word, 2 * n_slots <= length), (1, self.literal, begins[0] & (2 * (n_slots - 1) <= length)), (-1, named, begins[1] & (2 * (n_slots + 1) <= length))):
             at = np.flatnonzero(ok & fits)
             out.append((at, mix(first[at] * GOLDEN + rest[at] + size), skip))
         return out
@@ -122,19 +128,19 @@ class Template:
         begins = ends | within(_LEADS)
         return begins[: self.n - length + 1] & ends[length:]
 
-    def slots(self, start: int, length: int) -> list[str]:
-        """What stands in the slots of a run of tokens."""
-        return [self.low[self.starts[i] : self.stops[i]].tobytes().decode("utf-8", "replace") for i in range(start, start + length) if self.kind[i]]
+    def slots(self, start: int, length: int, skip: int) -> list[str]:
+        """What stands in the slots of a run of tokens; its first token is none if ``skip`` is 1, and one if it is -1."""
+        return [self.low[self.starts[i] : self.stops[i]].tobytes().decode("utf-8", "replace") for i in range(start, start + length) if (self.kind[i] if i > start or not skip else skip < 0)]
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), dtype=np.uint8)
+def _hashes(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
     piece = Piece(data, np.array([0, len(data)]), 0)
     piece.words()
     return hash_words(data, piece.starts, piece.stops)
 
 
-_UNIT_HASHES = _unit_hashes()
+_UNIT_HASHES, _NUMBER_HASHES = _hashes(UNITS), _hashes(NUMBER_WORDS)
 
 
 def _lengths(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,7 +161,7 @@ def _windows(lengths: list[int], wanted, whole: bool):
             for i, key, k in zip(at.tolist(), h.view(np.int64).tolist(), text.tolist(), strict=True):
                 if whole and length < WINDOW and t.bounds[k + 1] - t.bounds[k] != length:
                     continue
-                out.append((ids[k], of[k], i - int(t.bounds[k]), key, skip is None, [] if skip is None else t.slots(i + skip, length - skip)))
+                out.append((ids[k], of[k], i - int(t.bounds[k]), key, skip is None, [] if skip is None else t.slots(i, length, skip)))
         if not out:
             return None
         types = {"id": pa.int64(), "of": pa.int64(), "at": pa.int64(), "h": pa.int64(), "literal": pa.bool_(), "slots": pa.list_(pa.string())}
@@ -173,8 +179,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Texts become templates (``Template``). Windows of ``WINDOW`` tokens of documents and items are
     joined by hash; an item shorter than that is one window, and one of fewer than ``SHORTEST``
     tokens counts word for word alone, where it is a whole sentence, quotation or line. A name that
-    begins a window is looked up as a word too, for it may have opened the item. Of
-    each run of adjoining windows of one text and one item's text at one distance, the slots must
+    begins a window is looked up as a word too, for it may have opened the item, and a capital that
+    opens a sentence as a name. Of each run of adjoining windows of one text and one item's text at one distance, the slots must
     map one to one: equal values to equal values, unequal ones to unequal ones. Windows with more slots than words have
     no template. Every window is looked up by its words in lower case too, and one that is the same
     word for word counts whatever its slots and its case.

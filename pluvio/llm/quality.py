@@ -45,8 +45,10 @@ def _shapes(piece: Piece, word: np.ndarray) -> np.ndarray:
     again = np.zeros(n, dtype=np.int64)
     again[1:] += word[1:] == word[:-1]
     again[2:] += 2 * (word[2:] == word[:-2])
+    # Words of the text before do not count.
     first = piece.bounds[:-1]
     again[first[first < n]] = 0
+    again[first[piece.per_text >= 2] + 1] &= 1
     packed = ((((case * 256 + last) * 4 + marks) * 8 + size) * 2 + (digit > 0)) * 4 + again
     return mix(packed.astype(np.uint64) * STEP + np.uint64(7))
 

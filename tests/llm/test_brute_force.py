@@ -317,7 +317,7 @@ MARKS = {chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum()}
 
 
 def brute_tokens(text):
-    """Tokens of a text as (word, kind), by the rule in words."""
+    """Tokens of a text as (word, kind), by the rule in words; ``opening`` for a capital that opens a sentence."""
     out, last_end, number = [], None, False
     at = 0
     while at < len(text):
@@ -333,16 +333,30 @@ def brute_tokens(text):
             low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in kept)
             opens = last_end is None or text[last_end] in ".!?:" or "\n" in text[last_end:at]
             first = kept[0]
-            kind = "number" if first in "0123456789" else "name" if low[0] != first and not opens else ""
-            if number and low in D.UNITS:
+            was, number = number, first in "0123456789" or low in D.NUMBER_WORDS
+            kind = "number" if number else "unit" if was and low in D.UNITS else ("opening" if opens else "name") if low[0] != first else ""
+            if was and low in D.UNITS:
                 kind = "unit"
             out.append((low, kind))
-            number = first in "0123456789"
         last_end = end - 1
         at = end
     return out
 
 
+KINDS_OF_SLOTS = {("number",), ("unit",), ("name",)}
+
+
+def readings(side, length):
+    """A window as words and slots: plainly, with a first name as a word, and with a first capital that opens a sentence as a name."""
+    plain = [(k,) if k in ("number", "unit", "name") else w for w, k in side]
+    found = [plain]
+    if side[0][1] == "name":
+        found.append([side[0][0], *plain[1:]])
+    if side[0][1] == "opening":
+        found.append([("name",), *plain[1:]])
+    return [f for f in found if 2 * sum(x in KINDS_OF_SLOTS for x in f) <= length]
+
+
 def brute_contaminated(docs, items, length=12):
     found = {}
     for d, text in docs:
@@ -358,16 +372,10 @@ def brute_contaminated(docs, items, length=12):
                     a, b = doc[p : p + length], item[q : q + length]
                     if [w for w, _ in a] == [w for w, _ in b]:
                         hits[True].setdefault(p, set())
-                    for skip_a in (0, 1):
-                        for skip_b in (0, 1):
-                            forms = []
-                            for side, skip in ((a, skip_a), (b, skip_b)):
-                                n = sum(1 for _, k in side if k)
-                                if skip and side[0][1] != "name" or 2 * (n - skip) > length:
-                                    break
-                                forms.append([w if not k or (skip and not j) else k for j, (w, k) in enumerate(side)])
-                            if len(forms) == 2 and forms[0] == forms[1]:
-                                slots = {(y, x) for j, ((x, k), (y, _)) in enumerate(zip(a, b, strict=True)) if k and not (skip_a and not j)}
+                    for one in readings(a, length):
+                        for two in readings(b, length):
+                            if one == two:
+                                slots = {(y, x) for k, (x, _), (y, _) in zip(one, a, b, strict=True) if k in KINDS_OF_SLOTS}
                                 hits[False].setdefault(p, set()).update(slots)
                 good, other = set(), False
                 for own in hits.values():
@@ -389,7 +397,7 @@ def brute_contaminated(docs, items, length=12):
 
 def test_templates_equal_brute_force(spark):
     rng = random.Random(8)
-    plain = "train river market small green walks early before wait stop bread north quiet table glass".split()
+    plain = "train river market small green walks early before wait stop bread north quiet table glass seven twelve".split()
     names, sums = ["Anna", "Bert", "Carl", "Élise", "Dora"], [str(n) for n in range(3, 60)]
 
     def passage(k):
@@ -429,18 +437,19 @@ def test_near_with_hot_groups(spark, monkeypatch):
     rng = random.Random(6)
     base = [f"v{i}" for i in range(120)]
     texts = []
-    for _ in range(150):
+    for _ in range(80):
         own = list(base)
         for _ in range(rng.choice([0, 1, 1, 2, 4])):
             own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
         texts.append(own)
-    texts += [base[: rng.randint(90, 120)] + [f"y{k}"] for k in range(40)] + [[f"o{k}w{i}" for i in range(50)] for k in range(10)]
+    texts += [base[: rng.randint(90, 120)] + [f"y{k}"] for k in range(25)] + [[f"o{k}w{i}" for i in range(50)] for k in range(10)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
     want = {i: c for i, (_, c, _) in brute_near([(i, " ".join(t)) for i, t in enumerate(texts)]).items()}
-    for leaf, most, depth in ((400, 3_000_000, 4), (8, 3_000_000, 4), (8, 900, 4), (8, 900, 0)):
+    for leaf, most, rest in ((2500, 3_000_000, 2500), (8, 900, 2500), (8, 3_000_000, 5)):
         monkeypatch.setattr(near_dedup, "LEAF", leaf)
         monkeypatch.setattr(near_dedup, "MOST_SHINGLES", most)
-        monkeypatch.setattr(near_dedup, "DEPTH", depth)
+        monkeypatch.setattr(near_dedup, "REST", rest)
+        monkeypatch.setattr(near_dedup, "LED_FROM", 3 * leaf)
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == want
 
 

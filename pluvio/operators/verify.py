@@ -101,13 +101,14 @@ def hindcast(threats: DataFrame, observed: DataFrame) -> Hindcast:
     now = F.element_at(F.filter("timeline", lambda p: p["t"] == F.col("lead")), 1)["level"] >= F.col("thr")
     nowcast = skill(steps.select("thr", "lead", now.alias("pred"), "obs"), "thr", "lead")
     persistence = skill(steps.select("thr", "lead", (F.col("pin_level") >= F.col("thr")).alias("pred"), "obs"), "thr", "lead")
-    parts = []
-    for name, thr, (lead, chance) in (*(("research", t, RESEARCH) for t in THRESHOLDS), ("shipped", SHIPPED_LEVEL, SHIPPED)):
+    parts, configs = [], [*(("research", t, RESEARCH) for t in THRESHOLDS), ("shipped", SHIPPED_LEVEL, SHIPPED)]
+    for name, thr, (lead, chance) in configs:
         pred, eta = _incoming(F.lit(thr), lead, chance)
         seen = first(F.lit(thr), F.lit(lead))
         parts.append(cases.where(F.col("pin_level") < thr).select(F.lit(name).alias("config"), F.lit(thr).alias("thr"), pred.alias("pred"), seen.isNotNull().alias("obs"), F.when(pred, eta - seen).alias("bias")))
     facts = functools.reduce(DataFrame.unionByName, parts)
-    alerts = skill(facts, "config", "thr").join(bias_percentiles(facts.where("bias is not null"), "config", "thr"), ["config", "thr"], "left")
+    every = threats.sparkSession.createDataFrame([(name, thr) for name, thr, _ in configs], "config string, thr int")
+    alerts = every.join(skill(facts, "config", "thr"), ["config", "thr"], "left").fillna(0).join(bias_percentiles(facts.where("bias is not null"), "config", "thr"), ["config", "thr"], "left")
     rain = calibration(cases.select("chance", first(F.lit(1), F.lit(60)).isNotNull().alias("obs")))
     return Hindcast(nowcast, persistence, alerts, rain, motion_mix(threats))
 

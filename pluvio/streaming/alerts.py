@@ -178,8 +178,8 @@ def replay(threats: DataFrame, settings: Settings = Settings()) -> DataFrame:  #
     return worded(dealt.mapInPandas(run, FIRED))
 
 
-def stream(threats: DataFrame, settings: Settings = Settings(), forget_hours: float = 24.0) -> DataFrame:  # noqa: B008  it is frozen
-    """As ``replay``, on a stream: each pin's memory is state, which goes when nothing has come for ``forget_hours``."""
+def stream(threats: DataFrame, settings: Settings = Settings(), late: str = "1 hour", forget_hours: float = 24.0) -> DataFrame:  # noqa: B008  it is frozen
+    """As ``replay``, on a stream: each pin's memory is state, which goes when the stream's time has passed the pin's last threat by ``forget_hours``. Threats more than ``late`` behind the newest are dropped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -194,11 +194,12 @@ def stream(threats: DataFrame, settings: Settings = Settings(), forget_hours: fl
             event, memory = _look_at(row, key[0], memory)
             out += [event] if event else []
         state.update((memory.episode, memory.stage, memory.qualified_at, memory.clear_since, memory.hit))
-        state.setTimeoutDuration(int(forget_hours * 3_600_000))
+        state.setTimeoutTimestamp(int((rows["ts"].max().timestamp() + forget_hours * 3600) * 1000))
         yield pd.DataFrame(out, columns=NAMES)
 
     kept = "episode double, stage string, qualified_at double, clear_since double, hit boolean"
-    return worded(_complete(threats, settings).groupBy("pin_id").applyInPandasWithState(run, FIRED, kept, "append", GroupStateTimeout.ProcessingTimeTimeout))
+    rows = _complete(threats, settings).withWatermark("ts", late)
+    return worded(rows.groupBy("pin_id").applyInPandasWithState(run, FIRED, kept, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def rate_limited(calls: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:

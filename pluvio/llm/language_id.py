@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pluvio.llm.runtime import cut
 from pluvio.llm.words import STEP, Piece, mix, per_piece, powers
 
 UNKNOWN = "und"
@@ -176,21 +177,20 @@ def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, most
     part = min(texts_per_language, most_texts / len(langs))
     numbers = labelled.sparkSession.createDataFrame([(x, i, min(1.0, part / n)) for i, (x, n) in enumerate(sizes)], "lang string, of int, chance double")
     picked = rows.join(F.broadcast(numbers), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("chance") * 1_000_000)
-    counts = picked.select("text", "of").mapInArrow(_counts(), "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    found = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("has")).where(F.col("total") >= least_count).select("kind", "key", "has").toArrow()
-    kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
-    has = pa.chunked_array(found.column("has")).combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.struct([("lang", pa.int32()), ("n", pa.int64())])))
-    length, flat = has.value_lengths().to_numpy().astype(np.int64), has.flatten()
-    begin, lang, n = np.cumsum(length) - length, flat.field("lang").to_numpy(), flat.field("n").to_numpy()
+    seen = picked.select("text", "of").mapInArrow(_counts(), "kind int, key long, lang int, n long")
+    # Dealt by kind and key once, for the sums by language, the sums over all, and their join.
+    counts = cut(seen.repartition("kind", "key").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
+    often = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count).select("kind", "key")
+    found = counts.join(often, ["kind", "key"], "left_semi").toArrow()
+    kind, key, lang, n = (found.column(c).to_numpy() for c in ("kind", "key", "lang", "n"))
+    key = key.view(np.uint64)
     tables = {}
     for k in (WORD, *range(1, LONGEST + 1)):
         own = np.flatnonzero(kind == k)
-        own = own[np.argsort(key[own])]
-        many = length[own]
-        starts = np.concatenate(([0], np.cumsum(many)))
-        entry = np.repeat(begin[own] - starts[:-1], many) + np.arange(int(many.sum()))
-        size = np.bincount(lang[entry], weights=n[entry], minlength=len(langs))
-        tables[k] = (key[own], starts, lang[entry], np.log(2.0 * n[entry] + 1), np.log(0.5 / (size + 0.5 * (len(own) + 1))))
+        own = own[np.lexsort((lang[own], key[own]))]
+        keys, starts = np.unique(key[own], return_index=True)
+        size = np.bincount(lang[own], weights=n[own], minlength=len(langs))
+        tables[k] = (keys, np.append(starts, len(own)), lang[own].astype(np.int64), np.log(2.0 * n[own] + 1), np.log(0.5 / (size + 0.5 * (len(keys) + 1))))
     return LanguageModel(langs, tables)
 
 

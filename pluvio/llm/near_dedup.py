@@ -126,12 +126,13 @@ def _led(large: DataFrame, source: DataFrame, least: int, percent: int) -> DataF
     which were not reached; all candidates are then confirmed on the full sets, in one pass over
     their texts. What is connected then needs no comparison any more; all other pairs still do.
     """
-    nodes = cut(large.select("path", "doc_id", "tree", F.lit(False).alias("reached")))
+    nodes = cut(large.select("path", "doc_id", "tree"))
     held = cut(large.select("doc_id", "n_shingles", "tokens").dropDuplicates(["doc_id"]))
-    found = []
+    found, reached = [], []
     for tree in sorted(r["tree"] for r in nodes.select("tree").distinct().collect()):  # at most TREES
         own_tree = nodes.where(F.col("tree") == tree)
-        lead = own_tree.where("not reached").groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") > LEAF).select("path", "leader")
+        free = own_tree.join(dealt_anew(functools.reduce(DataFrame.unionByName, reached)), "doc_id", "left_anti") if reached else own_tree
+        lead = free.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") > LEAF).select("path", "leader")
         pairs = cut(dealt_anew(own_tree).join(dealt_anew(cut(lead)), "path").where("doc_id <> leader").select("leader", "doc_id"))
         if pairs.isEmpty():
             continue
@@ -140,8 +141,7 @@ def _led(large: DataFrame, source: DataFrame, least: int, percent: int) -> DataF
         beside = F.broadcast(leaders) if leaders.count() <= BROADCAST_LEADERS else dealt_anew(leaders)
         near = cut(pairs.join(held, "doc_id").join(beside, "leader").mapInArrow(_near_leader(least, percent), "leader long, doc_id long, sure boolean"))
         found.append(near.select("leader", "doc_id"))
-        own = near.where("sure").select("doc_id").unionByName(leaders.select(F.col("leader").alias("doc_id"))).distinct().withColumn("hit", F.lit(True))
-        nodes = cut(nodes.join(dealt_anew(own), "doc_id", "left").select("path", "doc_id", "tree", (F.col("reached") | F.col("hit").isNotNull()).alias("reached")))
+        reached.append(cut(near.where("sure").select("doc_id").unionByName(leaders.select(F.col("leader").alias("doc_id"))).distinct()))
     near = cut(functools.reduce(DataFrame.unionByName, found).distinct())
     salts = cut(near.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("salts")))
     texts = _only(source, salts.select(F.col("leader").alias("doc_id"))).select(F.col("doc_id").alias("leader"), F.col("text").alias("l_text"))

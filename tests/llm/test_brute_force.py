@@ -445,11 +445,11 @@ def test_near_with_hot_groups(spark, monkeypatch):
     texts += [base[: rng.randint(90, 120)] + [f"y{k}"] for k in range(25)] + [[f"o{k}w{i}" for i in range(50)] for k in range(10)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
     want = {i: c for i, (_, c, _) in brute_near([(i, " ".join(t)) for i, t in enumerate(texts)]).items()}
-    for leaf, most, rest in ((2500, 3_000_000, 2500), (8, 900, 2500), (8, 3_000_000, 5)):
+    for leaf, most, rest, led in ((2500, 3_000_000, 2500, 10_000), (8, 900, 2500, 60), (8, 3_000_000, 5, 10_000)):
         monkeypatch.setattr(near_dedup, "LEAF", leaf)
         monkeypatch.setattr(near_dedup, "MOST_SHINGLES", most)
         monkeypatch.setattr(near_dedup, "REST", rest)
-        monkeypatch.setattr(near_dedup, "LED_FROM", 3 * leaf)
+        monkeypatch.setattr(near_dedup, "LED_FROM", led)
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == want
 
 

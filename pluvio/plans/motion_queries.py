@@ -89,6 +89,16 @@ def best_ncc(s: Scene) -> DataFrame:
     return best.select("frame_time", "dx", "dy", near(F.col("score"), 5).alias("score"))
 
 
+_NEAR = "select cast(x as int) as dx, cast(y as int) as dy from range(-3, 4) a(x), range(-3, 4) b(y)"
+
+
+@query(f"{_shifted(_NEAR)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
+def ncc_shift_all(s: Scene) -> DataFrame:
+    """The score of each of the 49 shifts of up to three cells either way."""
+    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in range(-3, 4) for y in range(-3, 4)])
+    return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
+
+
 @query()
 def pair_motion(s: Scene) -> DataFrame:
     """Motion between each two consecutive frames around one point, by the array kernel."""
@@ -167,6 +177,12 @@ def motion_field(s: Scene) -> DataFrame:
     return A.with_motion(rows, _anchors(s), lat, lon).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
 
 
+@query(_FIELD)
+def motion_field_whole(s: Scene) -> DataFrame:
+    """The same under the name it had while motion_field was a part of it."""
+    return motion_field(s)
+
+
 #: One motion for all: 40 km/h toward 70 degrees.
 _BACK = S.dest("p.lat", "p.lon", "250e0", "(40e0 * t / 60e0)")
 

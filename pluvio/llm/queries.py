@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.llm.alignment import align
 from pluvio.llm.chat import format_turns, read_back
 from pluvio.llm.decontaminate import judge_documents
 from pluvio.llm.exact_dedup import exact_dedup
+from pluvio.llm.filter_audit import audit_filters
 from pluvio.llm.language_id import fit_language_model, identify_language
 from pluvio.llm.mixing import mix_sources
 from pluvio.llm.near_dedup import near_dedup
 from pluvio.llm.pii import BASE, find_pii
 from pluvio.llm.quality import fit_quality_model, sample_labels, score_quality
-from pluvio.llm.runtime import table
+from pluvio.llm.runtime import shared_folder, table
 from pluvio.llm.sharding import assign_shards
 from pluvio.llm.substring_dedup import substring_dedup
+from pluvio.llm.token_files import read_digests, write_tokens
+
+def _tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file; executors have it there too."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _fold(n: int) -> Column:
@@ -84,7 +94,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The tokenizer drops white space, lower-cases character by character and looks at nothing across a space.
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=2, by_word=True)
+    return read_digests(spark, path)
+
+
 SQL = {
+    "op12_filter_audit": """
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, min(doc_id) over (partition by text) as least from t),
+l as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+f as (select part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, false)] as bad,
+  coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic from w left join l on l.doc_id = w.doc_id),
+g as (select part, bad, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from f group by all),
+i as (select unnest(range(1, 6)) as x),
+o as (select [a.x, b.x, c.x, d.x, e.x] as o from i a, i b, i c, i d, i e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select o, cast(x as int) as step, o[x] as own, o[1:x - 1] as before from o, i),
+r as (select part, o, step, own, bad[own] as fails, len(list_filter(before, lambda k: bad[k])) > 0 as gone, len(list_filter(bad, lambda k: k)) as n_bad, n, n_good, n_toxic from g, s),
+a as (select part, o, step, own, coalesce(sum(n) filter (not fails and not gone), 0) as kept, coalesce(sum(n) filter (fails and not gone), 0) as removed, coalesce(sum(n) filter (fails and gone), 0) as redundant,
+  coalesce(sum(n) filter (fails and n_bad = 1), 0) as unique_fails, coalesce(sum(n_good) filter (fails and not gone), 0) as good_lost, coalesce(sum(n_toxic) filter (fails and not gone), 0) as toxic_lost from r group by all)
+select part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') as filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from a""",
     "op2_exact_dedup": """
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm, length(coalesce(text, '')) as n_points from documents)
 select doc_id, first_value(doc_id) over (partition by norm order by n_points desc, doc_id rows between unbounded preceding and unbounded following) as keep_id,
@@ -105,7 +145,7 @@ from e group by conv_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op5_pii, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_substring_dedup, op4_minhash_near_dedup, op5_pii, op6_mix_sources, op7_sharding, op8_decontaminate, op9_chat_format, op10_language_id, op11_cross_tokenizer, op12_filter_audit, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

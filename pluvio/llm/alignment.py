@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm.runtime import cut
+from pluvio.llm.token_files import Numbered, gathered
 
 #: Labels of a byte: no token ends behind it, one of A does, one of B does, both do.
 NONE, A_END, B_END, BOTH = b".ab+"
 SPAN = re.compile(rb"[.ab]*\+")
 #: Where a text may be cut: at a space behind something else, which is no mark of B either, and before a mark of ASCII, a letter or a digit.
 CUT = re.compile(r"(?<=[^ ▁]) (?=[!-~]|[^\W_])")
-#: Words and distinct words of a block at most, and code points that are cut at once.
-BLOCK_WORDS, BLOCK_KINDS, AT_ONCE = 1_500_000, 400_000, 1 << 20
+#: Stretches of a block at about which it ends, distinct ones that a worker remembers, and code points that are cut at once.
+BLOCK_WORDS, MOST_KINDS, AT_ONCE = 1_500_000, 600_000, 1 << 20
 MARK = "▁"
 
 
@@ -61,13 +62,7 @@ class Pair:
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for texts that begin with a space; B adds it itself."""
-        found = self.a.encode_batch_fast(words, add_special_tokens=False)
-        return [e.ids for e in found], self.b.encode([w[1:] for w in words], num_threads=1)
-
-
-@lru_cache(maxsize=2)
-def _pair(a_path: str, b_path: str) -> Pair:
-    return Pair(a_path, b_path)
+        return [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)], self.b.encode([w[1:] for w in words], num_threads=1)
 
 
 class Aligned:
@@ -110,53 +105,76 @@ class Aligned:
         self.n_links = np.diff(np.concatenate(([0], np.searchsorted(at, text_end))))
 
 
-class _Block:
-    """Documents as words of a list of distinct ones, each aligned once."""
+class _Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.zeros(1024, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.zeros(max(len(self.held), len(more)), dtype=self.held.dtype)))
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Kinds:
+    """Every distinct stretch of text that this worker has met, aligned once."""
 
     def __init__(self, pair: Pair) -> None:
-        self.pair, self.at = pair, {}
-        self.parts: list[Aligned] = []
+        self.pair, self.at, self.groups = pair, Numbered(), []
+        self.ok = _Growing(bool)
+        self.counts = {name: _Growing(np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
+        self.ends, self.link = _Growing(np.int64), _Growing(np.int64)
+        self.ends.add(np.zeros(1, dtype=np.int64))
+
+    def learn(self) -> None:
+        """Aligns what has been numbered since."""
+        if new := self.at.taken():
+            found = Aligned(self.pair, new)
+            self.ok.add(found.ok)
+            for name, held in self.counts.items():
+                held.add(getattr(found, name))
+            self.ends.add(self.link.n + np.cumsum(found.n_links))
+            self.link.add((found.a_id << 32) | found.b_id)
+            self.groups += found.groups
+
+
+class _Block:
+    """Documents as stretches by number."""
+
+    def __init__(self) -> None:
         self.doc_id: list = []
         self.words: list[np.ndarray] = []
         self.hashes: list[str] = []
         self.n = 0
-        self.ok = self.n_a = self.groups = None
-
-    def add(self, doc_ids: list, texts: list[str]) -> None:
-        own, kinds = [], set()
-        for text in texts:
-            own.append(_cut(" " + text) if text and self.pair.cuts else [" " + text] if text else [])
-            kinds.update(own[-1])
-        new = list(kinds.difference(self.at))
-        if new:
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            found = Aligned(self.pair, new)
-            self.parts.append(found)
-            self.ok = found.ok if self.ok is None else np.concatenate((self.ok, found.ok))
-            self.groups = (self.groups or []) + found.groups
-        for words in own:
-            at = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
-            if len(at) and not self.ok[at].all():
-                at = at[:0]
-            self.hashes.append(hashlib.sha256(";".join(map(self.groups.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
-            # The order of words does not matter from here on.
-            self.words.append(np.sort(at))
+
+    def add(self, kinds: Kinds, doc_ids: list, texts: list[str]) -> None:
+        number = kinds.at.__getitem__
+        own = [np.fromiter(map(number, _cut(" " + text) if kinds.pair.cuts else [" " + text]), np.int32) if text else np.zeros(0, np.int32) for text in texts]
+        kinds.learn()
+        ok, groups = kinds.ok.all(), kinds.groups.__getitem__
+        for at in own:
+            at = at if len(at) and ok[at].all() else at[:0]
+            self.hashes.append(hashlib.sha256(";".join(map(groups, at.tolist())).encode()).hexdigest() if len(at) else "")
+            self.words.append(at)
             self.n += len(at)
         self.doc_id += doc_ids
 
-    def row(self, number: int) -> pa.RecordBatch:
-        whole = lambda name: np.concatenate([getattr(p, name) for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+    def row(self, kinds: Kinds, number: int) -> pa.RecordBatch:
         per_doc = np.array([len(w) for w in self.words], dtype=np.int64)
-        words = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
         ends = np.concatenate(([0], np.cumsum(per_doc)))
-        summed = lambda name: np.diff(np.concatenate(([0], np.cumsum(whole(name)[words])))[ends])
-        often = np.bincount(words, minlength=len(self.at))
-        links = whole("n_links")
-        kind, which = np.unique((whole("a_id") << 32) | whole("b_id"), return_inverse=True)
-        count = np.bincount(which, weights=np.repeat(often, links).astype(np.float64), minlength=len(kind)).astype(np.int64)
+        own, words, often = np.unique(np.concatenate(self.words), return_inverse=True, return_counts=True)
+        summed = lambda name: np.diff(np.concatenate(([0], np.cumsum(kinds.counts[name].all()[own][words])))[ends])
+        link, links = gathered(kinds.link.all(), kinds.ends.all(), own)
+        pair, which = np.unique(link, return_inverse=True)
+        count = np.bincount(which, weights=np.repeat(often, links).astype(np.float64), minlength=len(pair)).astype(np.int64)
         row = {
-            "block": number, "doc_id": self.doc_id, **{c: summed(c) for c in ("n_a", "n_b", "n_groups", "n_links")}, "groups_sha256": self.hashes,
-            "doc_ends": ends.tobytes(), "words": words.tobytes(), "links": links.astype(np.int32).tobytes(), "pairs": which.astype(np.int32).tobytes(), "pair": kind, "times": count,
+            "block": number, "doc_id": self.doc_id, **{c: summed(c) for c in kinds.counts}, "groups_sha256": self.hashes,
+            "doc_ends": ends.tobytes(), "words": words.astype(np.int32).tobytes(), "links": links.astype(np.int32).tobytes(), "pairs": which.astype(np.int32).tobytes(), "pair": pair, "times": count,
         }
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), ROW.types, strict=True)], schema=ROW)
 
@@ -173,25 +191,32 @@ def _cut(text: str) -> list[str]:
     return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _known(a_path: str, b_path: str) -> list[Kinds]:
+    """What a worker keeps from task to task, to be replaced when it has grown too large."""
+    return [Kinds(Pair(a_path, b_path))]
+
+
 def _blocks(a_path: str, b_path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, number = _pair(a_path, b_path), TaskContext.get().partitionId() << 32
-        block = _Block(pair)
+        known, number, block = _known(a_path, b_path), TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 some = batch.slice(k, 128)
-                texts, size = pc.fill_null(some.column("text"), "").to_pylist(), 0
-                start = 0
+                texts, size, start = pc.fill_null(some.column("text"), "").to_pylist(), 0, 0
                 for j, text in enumerate(texts):
                     size += len(text)
-                    if size >= AT_ONCE or j == len(texts) - 1:
-                        block.add(some.column("doc_id").slice(start, j + 1 - start).to_pylist(), texts[start : j + 1])
-                        start, size = j + 1, 0
-                    if block.n >= BLOCK_WORDS or len(block.at) >= BLOCK_KINDS:
-                        yield block.row(number)
-                        block, number = _Block(pair), number + 1
+                    if size < AT_ONCE and j < len(texts) - 1:
+                        continue
+                    block.add(known[0], some.column("doc_id").slice(start, j + 1 - start).to_pylist(), texts[start : j + 1])
+                    start, size, full = j + 1, 0, len(known[0].at) >= MOST_KINDS
+                    if block.n >= BLOCK_WORDS or full:
+                        yield block.row(known[0], number)
+                        block, number = _Block(), number + 1
+                    if full:
+                        known[0] = Kinds(known[0].pair)
         if block.doc_id:
-            yield block.row(number)
+            yield block.row(known[0], number)
 
     return run
 
@@ -231,9 +256,9 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     ids counts as often as links of all documents hold it.
 
     Texts are cut at spaces that neither tokenizer's tokens reach over (``CUT``; the whole text
-    where B's vocabulary has pieces that do), and each distinct stretch of a block of documents is
-    encoded and aligned once; a block is a row of at most about ``BLOCK_WORDS`` stretches, or one
-    document. The corpus's counts go to the blocks, not to the documents: a block asks for each pair once.
+    where B's vocabulary has pieces that do), and each distinct stretch is encoded and aligned once by a worker, which
+    remembers about ``MOST_KINDS`` of them. A block is a row of documents of about ``BLOCK_WORDS``
+    stretches, or one longer document. The corpus's counts go to the blocks, not to the documents: a block asks for each pair once.
 
     Null and empty texts, and those whose joined bytes of A's or B's tokens are not a space and the
     text, have zeros and no groups. Repeated rows give repeated results, null ids stay null, an

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pluvio.llm.runtime import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = r"[#$%&*|]"
 FILTERS = "ABCDE"
@@ -78,7 +80,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Returns ``part, filter_order, step, kept, removed, redundant, unique_fails, good_lost,
     toxic_lost, shapley``.
     """
-    left = survivors(failure_counts(docs, labels))
+    left = cut(survivors(failure_counts(docs, labels)))  # 32 rows a part
     steps = []
     for order in permutations(range(len(FILTERS))):
         word, before = "".join(FILTERS[i] for i in order), 0

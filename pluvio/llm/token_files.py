@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,9 +20,9 @@ from pyspark.sql.window import Window
 #: Ids under one grammar at most; texts are encoded so many code points at a time.
 GRAMMAR_IDS, AT_ONCE = 1 << 20, 1 << 20
 #: A pair that stands less often gets no rule.
-LEAST_PAIRS = 8
-#: Words whose ids an encoder remembers.
-MOST_WORDS = 500_000
+LEAST_PAIRS = 16
+#: Words whose ids an encoder remembers, and words that it encodes in one call.
+MOST_WORDS, JOINED = 1_000_000, 50
 GRAMMAR = "struct<n:long,terminals:long,width:int,rules:binary,lengths:binary,sequence:binary>"
 #: One row of the files: whole documents in order. ``first`` counts the ids of the same part before it.
 SHARD = f"part int, shard int, first long, n_ids long, doc_id array<long>, n_tokens array<long>, grammars array<{GRAMMAR}>"
@@ -31,12 +32,12 @@ SHARD = f"part int, shard int, first long, n_ids long, doc_id array<long>, n_tok
 
 
 def _chosen(pair: np.ndarray, least: int, room: int) -> tuple[np.ndarray, int]:
-    """The pairs that get rules in this round, the most frequent first: those at least a quarter as frequent as the first; and how often that is."""
+    """The pairs that get rules in this round, the most frequent first: those at least a sixteenth as frequent as the first; and how often that is."""
     ordered = np.sort(pair)
     edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
     count = np.diff(edge)
     top = int(count.max())
-    of = np.flatnonzero(count >= max(least, top // 4))
+    of = np.flatnonzero(count >= max(least, top // 16))
     of = of[np.argsort(-count[of], kind="stable")][:room]
     return ordered[edge[of]], top
 
@@ -46,7 +47,7 @@ def re_pair(ids: np.ndarray, terminals: int, least: int = LEAST_PAIRS) -> tuple[
 
     Round by round frequent pairs of neighbours become nonterminals, numbered from ``terminals`` on;
     rule k is the pair behind ``terminals + k``, and ``lengths[k]`` the number of ids it expands to.
-    A round takes every pair that stands at least a quarter as often as the most frequent one, so
+    A round takes every pair that stands at least a sixteenth as often as the most frequent one, so
     that there are a few rounds instead of one a rule; of overlapping pairs of one round the left
     one is replaced. Symbols stay below 2^16 where the terminals do, so that they are held in two
     bytes; the rounds end there, or where no pair stands ``least`` times.
@@ -133,55 +134,101 @@ def _unpacked(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 # The encoder.
 
 
+class Numbered(dict):
+    """Words by number; one that is not known yet gets the next, and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+def gathered(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``ids[ends[k]:ends[k + 1]]`` of each k in ``at``, one after the other, and their sizes."""
+    start = ends[at]
+    size = ends[at + 1] - start
+    upto = np.cumsum(size)
+    return ids[np.arange(upto[-1] if len(at) else 0) + np.repeat(start - upto + size, size)], size
+
+
 class Encoder:
     """Ids of texts by a tokenizer's file, without special tokens added.
 
     With ``by_word`` the tokenizer must drop white space and look at nothing across a space; then
-    each distinct word between spaces is encoded once and remembered, up to ``MOST_WORDS`` of them,
-    which gives the ids of the whole text for a fraction of the work.
+    each distinct word between spaces is encoded once and remembered, about ``MOST_WORDS`` of them,
+    which gives the ids of the whole text for a fraction of the work. ``parts`` may say, as a
+    pattern, what the tokenizer makes of a word of ASCII letters, digits and marks, which it must
+    lower-case, before it looks for tokens: it then encodes each distinct part once.
     """
 
-    def __init__(self, path: str, by_word: bool = False) -> None:
+    def __init__(self, path: str, by_word: bool = False, parts: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer, self.by_word, self.parts = Tokenizer.from_file(path), by_word, parts
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and " " not in t.content]
+        self.mark = special[0] if special else None
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at, self.part = Numbered(), Numbered()
         self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.part_ids, self.part_ends = self.ids, self.ends
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_plain``, several words to a text: a special token between two words parts them before anything else is done to them, and its id shows where."""
+        if self.mark is None or any(self.mark[0] in w for w in words):
+            return self._plain(words)
+        text, number = self.mark
+        found = self.tokenizer.encode_batch_fast([text.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(chain(e.ids, (number,)) for e in found), np.uint32)
+        at = np.flatnonzero(ids == number)
+        if len(at) != len(words):
+            return self._plain(words)
+        return np.delete(ids, at), np.diff(np.concatenate(([-1], at))) - 1
+
+    def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_joined``, of the parts of words of plain ASCII, each part encoded once; other words whole."""
+        if self.parts is None:
+            return self._joined(words)
+        find, number = re.compile(self.parts).findall, self.part.__getitem__
+        own = [[number(x) for x in find(w.lower())] if w.isascii() and "<|" not in w else [number(w)] for w in words]
+        if new := self.part.taken():
+            ids, size = self._joined(new)
+            self.part_ids, self.part_ends = np.concatenate((self.part_ids, ids)), np.concatenate((self.part_ends, self.part_ends[-1] + np.cumsum(size)))
+        count = np.fromiter(map(len, own), np.int64, len(own))
+        at = np.fromiter(chain.from_iterable(own), np.int64, int(count.sum()))
+        ids, size = gathered(self.part_ids, self.part_ends, at)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
         if not self.by_word:
             return self._plain(texts)
-        words: list[str] = []
-        per_text = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            own = text.split(" ")
-            per_text[k] = len(own)
-            words += own
-        new = list(set(words).difference(self.at))
-        if len(self.at) + len(new) > MOST_WORDS and self.at:
+        if len(self.at) > MOST_WORDS:
             self.forget()
-            new = list(set(words))
-        if new:
-            ids, size = self._plain(new)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        words = [text.split(" ") for text in texts]
+        per_text = np.fromiter(map(len, words), np.int64, len(texts))
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        if new := self.at.taken():
+            ids, size = self._split(new)
             self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)
-        bounds = np.concatenate(([0], np.cumsum(per_text)))
-        return self.ids[place], np.diff(upto[bounds])
+        ids, size = gathered(self.ids, self.ends, at)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per_text)))])
 
     def stretches(self, text: str) -> Iterator[str]:
         """A long text in stretches that can be encoded one by one: cut at spaces, where those part what is encoded."""
@@ -197,8 +244,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, by_word: bool) -> Encoder:
-    return Encoder(path, by_word)
+def _encoder(path: str, by_word: bool, parts: str | None) -> Encoder:
+    return Encoder(path, by_word, parts)
 
 
 # The files.
@@ -265,10 +312,11 @@ def _groups(texts: list[str], most: int = AT_ONCE) -> Iterator[range]:
         yield range(start, len(texts))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, parts: str | None = None) -> None:
     """Ids of every text of ``docs`` (``doc_id, text``), each with ``end_id`` behind it, as files under ``path``.
 
-    ``tokenizer`` is the path of a tokenizer's file, the same on every executor. Documents are dealt
+    ``tokenizer`` is the path of a tokenizer's file, the same on every executor; for ``by_word`` and
+    ``parts`` see ``Encoder``. Documents are dealt
     by ranges of ``doc_id`` and stand in ascending order in the files; rows of one id in the order
     of a hash of their text, and, so that no id fills one part, rows alike in both may stand in
     several parts. The files are Parquet, one row a shard (``SHARD``): the ids and lengths of its
@@ -280,7 +328,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, by_word)
+        encoder = _encoder(tokenizer, by_word, parts)
         out = _Writer(TaskContext.get().partitionId(), max(encoder.n_ids, end_id + 1))
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:

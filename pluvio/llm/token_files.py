@@ -63,21 +63,20 @@ def re_pair(ids: np.ndarray, terminals: int, least: int = LEAST_PAIRS) -> tuple[
         new, top = _chosen(pair, least, limit - len(size))
         if top < least or not len(new):
             break
-        order = np.argsort(new)
-        ranked = new[order]
-        # Few pairs are chosen: a table of hashed pairs tells most others apart at once.
+        # A table of hashed pairs tells at once which rule a pair may have; of two chosen pairs with one hash the rarer waits for a later round.
         bucket = lambda x: ((x * kind(0x9E3779B1)) >> kind(44 if wide else 14)).astype(np.int64) & ((1 << 18) - 1)
-        maybe = np.zeros(1 << 18, dtype=bool)
-        maybe[bucket(ranked)] = True
-        at = np.flatnonzero(maybe[bucket(pair)])
-        found = np.searchsorted(ranked, pair[at])
-        good = ranked[np.minimum(found, len(ranked) - 1)] == pair[at]
-        at, found = at[good], found[good]
+        table = np.full(1 << 18, -1, dtype=np.int32)
+        table[bucket(new[::-1])] = np.arange(len(new) - 1, -1, -1, dtype=np.int32)
+        may = table[bucket(pair)]
+        at = np.flatnonzero(may >= 0)
+        rule = may[at]
+        good = new[rule] == pair[at]
+        at, rule = at[good], rule[good]
         # Of a run of overlapping pairs every second one is taken, from the left.
         fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         taken = (np.arange(len(at)) - start) % 2 == 0
-        at, rule = at[taken], order[found[taken]]
+        at, rule = at[taken], rule[taken]
         used = np.bincount(rule, minlength=len(new))
         keep = used >= 2
         number = np.cumsum(keep) - 1 + len(size)
@@ -177,12 +176,14 @@ class Encoder:
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and " " not in t.content]
         self.mark = special[0] if special else None
+        self.forget_parts()
         self.forget()
 
     def forget(self) -> None:
-        self.at, self.part = Numbered(), Numbered()
-        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-        self.part_ids, self.part_ends = self.ids, self.ends
+        self.at, self.ids, self.ends = Numbered(), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def forget_parts(self) -> None:
+        self.part, self.part_ids, self.part_ends = Numbered(), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -202,17 +203,30 @@ class Encoder:
         return np.delete(ids, at), np.diff(np.concatenate(([-1], at))) - 1
 
     def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_joined``, of the parts of words of plain ASCII, each part encoded once; other words whole."""
+        """As ``_joined``, of the parts of words of plain ASCII, each part encoded once; other words whole. Words stand in lines while they are split."""
         if self.parts is None:
             return self._joined(words)
-        find, number = re.compile(self.parts).findall, self.part.__getitem__
-        own = [[number(x) for x in find(w.lower())] if w.isascii() and "<|" not in w else [number(w)] for w in words]
+        if len(self.part) > MOST_WORDS:
+            self.forget_parts()
+        plain = np.fromiter((w.isascii() and "<|" not in w and "\n" not in w for w in words), bool, len(words))
+        whole = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
+        lines = "\n".join([w for w, p in zip(words, plain.tolist(), strict=True) if p])
+        found = re.findall(f"(?:{self.parts})|\n", lines.lower()) if plain.any() else []
+        number = self.part.__getitem__
+        at, odd = np.fromiter(map(number, found), np.int64, len(found)), np.fromiter(map(number, whole), np.int64, len(whole))
+        # A line's end is a part like others here, of which a tokenizer that drops white space makes nothing.
+        line = number("\n")
+        ends = np.flatnonzero(at == line)
+        count = np.ones(len(words), dtype=np.int64)
+        count[plain] = np.diff(np.concatenate(([-1], ends, [len(at)])))[: plain.sum()] if plain.any() else 0
+        # Back in the words' order, an end with the word before it.
+        order = np.empty(int(count.sum()), dtype=np.int64)
+        of_plain = np.repeat(plain, count)
+        order[of_plain], order[~of_plain] = np.concatenate((at, [line]))[: of_plain.sum()], odd
         if new := self.part.taken():
             ids, size = self._joined(new)
             self.part_ids, self.part_ends = np.concatenate((self.part_ids, ids)), np.concatenate((self.part_ends, self.part_ends[-1] + np.cumsum(size)))
-        count = np.fromiter(map(len, own), np.int64, len(own))
-        at = np.fromiter(chain.from_iterable(own), np.int64, int(count.sum()))
-        ids, size = gathered(self.part_ids, self.part_ends, at)
+        ids, size = gathered(self.part_ids, self.part_ends, order)
         return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

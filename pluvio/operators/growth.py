@@ -68,3 +68,12 @@ def grown(timeline: DataFrame, slope: Column) -> DataFrame:
     rate = F.greatest(F.lit(0.0), geo.half_up(F.col("rate") + extra, 1))
     same = F.col("unknown") | (F.col("rate") <= 0) | (extra == 0)
     return timeline.withColumns({"level": F.when(same, F.col("level")).otherwise(level_of_rate(rate)), "rate": F.when(same, F.col("rate")).otherwise(rate)})
+
+
+#: Days of convective weather that must be on record before the slope of growth counts.
+CONVECTIVE_DAYS = 3
+
+
+def gate_passes(logged_days: Column, required: int = CONVECTIVE_DAYS) -> Column:
+    """Whether growth may change timelines: enough convective days are on record."""
+    return logged_days >= required

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,26 +36,31 @@ def smooth(grid: DataFrame, r: int = 3) -> DataFrame:
     return spread.groupBy("frame_time", "ix", "iy").agg(F.sum("v").alias("v")).withColumn("v", F.col("v") / (side("ix") * side("iy")))
 
 
-def correlations(grid: DataFrame, times: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
-    """``prev_time, frame_time, dx, dy, score``: Pearson's r of each frame with the one before under each shift, over cells of which one at least is wet, times the part of the grid that overlaps; -1 if fewer than ten cells count or nothing varies.
+def correlations(grid: DataFrame, times: DataFrame, most: int) -> DataFrame:
+    """``prev_time, frame_time, dx, dy, score``: Pearson's r of each frame (cells above zero: ``frame_time, ix, iy, v``) with the one before under every shift of up to ``most`` cells either way, over cells of which one at least is wet, times the part of the grid that overlaps; -1 if fewer than ten cells count or nothing varies.
 
-    A dry cell adds nothing to any sum, so that the sums come from the wet cells of either side and
-    their equi-join; the cells that count are those of both less those shared.
+    A frame is one row with its cells, of which the grid bounds the number; a pair of frames is
+    correlated under all shifts at once (``all_scores``).
     """
-    n = FIELD_CELLS
-    shift = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in shifts])).alias("s")
-    a = grid.withColumnRenamed("frame_time", "prev_time").join(times, "prev_time").select("prev_time", "frame_time", "ix", "iy", "v", shift).select("prev_time", "frame_time", "s.*", (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), F.col("v").alias("a"))
-    a = a.where(f"ix between 0 and {n - 1} and iy between 0 and {n - 1}")
-    b = grid.join(times, "frame_time").select("prev_time", "frame_time", "ix", "iy", F.col("v").alias("b"), shift).select("prev_time", "frame_time", "s.*", "ix", "iy", "b")
-    b = b.where(f"ix - dx between 0 and {n - 1} and iy - dy between 0 and {n - 1}")
-    keys = ["prev_time", "frame_time", "dx", "dy"]
-    zero = F.lit(0.0)
-    both = a.withColumn("b", zero).unionByName(b.withColumn("a", zero)).groupBy(*keys, "ix", "iy").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a")).alias("saa"), F.sum(F.col("b") * F.col("b")).alias("sbb"), F.sum(F.col("a") * F.col("b")).alias("sab"))
-    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
-    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va * vb)
-    part = (n - F.abs("dx")) * (n - F.abs("dy")) / float(n * n)
-    return sums.select(*keys, F.when((F.col("n") < 10) | (va <= 1e-6) | (vb <= 1e-6), -1.0).otherwise(r * part).alias("score"))
+    frames = grid.groupBy("frame_time").agg(F.collect_list("ix").alias("ix"), F.collect_list("iy").alias("iy"), F.collect_list("v").alias("v"))
+    before = frames.select(F.col("frame_time").alias("prev_time"), F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("v").alias("pv"))
+    pairs = times.select("prev_time", "frame_time").join(before, "prev_time", "left").join(frames, "frame_time", "left").where("px is not null or ix is not null")
+    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c)
+    pairs = pairs.select("prev_time", "frame_time", *[empty(c, "int") for c in ("px", "py", "ix", "iy")], empty("pv", "double"), empty("v", "double"))
+    dy, dx = (x.ravel() for x in np.mgrid[-most : most + 1, -most : most + 1])
+
+    def drawn(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros((FIELD_CELLS, FIELD_CELLS))
+        out[np.asarray(y, dtype=int), np.asarray(x, dtype=int)] = v
+        return out
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                scores = all_scores(drawn(row.px, row.py, row.pv), drawn(row.ix, row.iy, row.v), most)
+                yield pd.DataFrame({"prev_time": row.prev_time, "frame_time": row.frame_time, "dx": dx, "dy": dy, "score": scores.ravel()})
+
+    return pairs.mapInPandas(run, "prev_time long, frame_time long, dx int, dy int, score double")
 
 
 # As numpy, for one group of samples: a pair or a short series of frames on one small grid.
@@ -80,31 +85,44 @@ def _boxed(grid: np.ndarray, r: int) -> np.ndarray:
     return box / np.outer(high - low, high - low)
 
 
-def _score(a: np.ndarray, b: np.ndarray, dx: int, dy: int) -> float:
-    n = len(a)
-    if abs(dx) >= n or abs(dy) >= n:
-        return -1.0
-    p = a[max(0, -dy) : n - max(0, dy), max(0, -dx) : n - max(0, dx)]
-    q = b[max(0, dy) : n - max(0, -dy), max(0, dx) : n - max(0, -dx)]
-    wet = (p > 0) | (q > 0)
-    p, q = p[wet], q[wet]
-    if len(p) < 10:
-        return -1.0
-    p, q = p - p.mean(), q - q.mean()
-    va, vb = (p * p).sum(), (q * q).sum()
-    return -1.0 if va <= 1e-6 or vb <= 1e-6 else float((p * q).sum() / math.sqrt(va * vb)) * (n - abs(dx)) * (n - abs(dy)) / n**2
-
+def all_scores(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``[dy + most, dx + most]``: the score of ``a`` moved by each shift against ``b``.
 
-def _peak(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, int, int] | None:
-    """The best shift: every second one is tried first where there are many, then those around the best."""
+    Every sum over the cells that count is a correlation of two of seven fields (values, squares
+    and wetness of either grid, and the grid itself), so that it comes for all shifts from one
+    product of their transforms. A dry cell adds nothing to the sums of values; the cells that count
+    are those wet in either grid less those wet in both.
+    """
+    n, size = len(a), 1
+    while size < n + most + 1:
+        size *= 2
+    at = np.arange(-most, most + 1)
+    spectrum = lambda x: np.fft.rfft2(x, (size, size))
+    fields = {"a": a, "aa": a * a, "wa": (a > 0).astype(float), "b": b, "bb": b * b, "wb": (b > 0).astype(float), "one": np.ones_like(a)}
+    f = {k: spectrum(x) for k, x in fields.items()}
+    sums = lambda p, q: np.fft.irfft2(np.conj(f[p]) * f[q], (size, size))[np.ix_(at % size, at % size)]
+    both = np.rint(sums("wa", "wb"))
+    count = np.rint(sums("wa", "one")) + np.rint(sums("one", "wb")) - both
+    cells = np.maximum(count, 1)
+    sa, sb = sums("a", "one"), sums("one", "b")
+    va, vb = sums("aa", "one") - sa * sa / cells, sums("one", "bb") - sb * sb / cells
+    part = np.outer(n - np.abs(at), n - np.abs(at)) / n**2
+    ok = (count >= 10) & (va > 1e-6) & (vb > 1e-6) & (part > 0) & (np.abs(at) < n)[:, None] & (np.abs(at) < n)[None, :]
+    r = (sums("a", "b") - sa * sb / cells) / np.sqrt(np.where(ok, va * vb, 1.0))
+    return np.where(ok, r * part, -1.0)
+
+
+def _peak(scores: np.ndarray, most: int) -> tuple[float, int, int] | None:
+    """The best shift of ``all_scores``: every second one is looked at first where there are many, then those around the best."""
     step, best = (2 if most > 6 else 1), None
+    middle = len(scores) // 2
 
     def look(shifts: list[tuple[int, int]]) -> None:
         nonlocal best
         for dy, dx in shifts:
-            s = _score(a, b, dx, dy)
-            if s >= NCC_MIN and (best is None or s > best[0]):
-                best = (s, dx, dy)
+            s = scores[middle + dy, middle + dx]
+            if s >= NCC_MIN and (best is None or s > best[0] + 1e-9):
+                best = (float(s), dx, dy)
 
     look([(dy, dx) for dy in range(-most, most + 1, step) for dx in range(-most, most + 1, step)])
     if best and step > 1:
@@ -124,18 +142,29 @@ def _turn(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return (math.degrees(math.atan2(math.sin(d - b) * math.cos(c), math.cos(a) * math.sin(c) - math.sin(a) * math.cos(c) * math.cos(d - b))) + 360) % 360
 
 
+def half_cells(km: float) -> int:
+    """Half the side of the grid, in cells."""
+    return max(8, int(GRID_HALF_KM / km + 0.5))
+
+
+def reach_km(km: float) -> float:
+    """How far from its centre the grid may reach: half the diagonal, and somewhat more, as it is square in degrees."""
+    return 1.5 * half_cells(km) * km
+
+
 def pair_motion(prev: pd.DataFrame, now: pd.DataFrame, lat: float, lon: float, hours: float, km: float) -> tuple[float, float, float, float] | None:
     """Speed, bearing, distance and score between two frames, or None."""
     if hours <= 0:
         return None
-    half = max(8, int(GRID_HALF_KM / km + 0.5))
+    half = half_cells(km)
     a, b = _raster(prev, lat, lon, km, half), _raster(now, lat, lon, km, half)
     if (a > 0).sum() < 4 or (b > 0).sum() < 4:
         return None
     r = 3 if km >= NCC_CELL_KM else max(1, int(9 / km + 0.5))
     a, b = _boxed(a, r), _boxed(b, r)
     most = max(1, min(MAX_SHIFT_CELLS, 2 * half // 3, math.ceil(min(MAX_SPEED * hours, MAX_SHIFT_KM) / km)))
-    peak = _peak(a, b, most)
+    scores = all_scores(a, b, most + 1)  # a shift more on each side, for the parabola
+    peak = _peak(scores, most)
     if peak is None:
         return None
     score, dx, dy = peak
@@ -147,8 +176,9 @@ def pair_motion(prev: pd.DataFrame, now: pd.DataFrame, lat: float, lon: float, h
         bend = low - 2 * score + high
         return 0.0 if min(low, high) < NCC_MIN or bend >= 0 else max(-0.5, min(0.5, 0.5 * (low - high) / bend))
 
-    x = dx + between(_score(a, b, dx - 1, dy), _score(a, b, dx + 1, dy))
-    y = dy + between(_score(a, b, dx, dy - 1), _score(a, b, dx, dy + 1))
+    of = lambda x, y: float(scores[most + 1 + y, most + 1 + x])
+    x = dx + between(of(dx - 1, dy), of(dx + 1, dy))
+    y = dy + between(of(dx, dy - 1), of(dx, dy + 1))
     to = lat + y * km / 111, lon + x * km / (111 * max(math.cos(math.radians(lat)), 0.25))
     moved = _distance(lat, lon, *to)
     return None if moved / hours > MAX_SPEED else (moved / hours, _turn(lat, lon, *to), moved, score)

@@ -5,15 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` in the session's checkpoint folder, ``spark.checkpoint.dir``: what follows plans from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that is unset and the session is local, as in tests, a temporary folder takes its place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +21,10 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="pluvio-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder: what follows plans from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -22,8 +22,6 @@ from pluvio.operators import warnings as W
 from pluvio.operators.spatial import range_join
 from pluvio.operators.stages import written
 
-#: Reach of the regional correlation around its centre: the half diagonal of the grid.
-REGION_KM = 90.0
 POINT = "struct<t:int,level:int,rate:double,unknown:boolean>"
 
 
@@ -40,14 +38,14 @@ class Echo:
     trails: DataFrame
 
 
-def echo(samples: DataFrame, scans: DataFrame, hops: int = 6) -> Echo:
+def echo(samples: DataFrame, scans: DataFrame) -> Echo:
     """``samples`` (frame_time, lat, lon, level, rate, cell_km) of all frames; ``scans`` (scan_time, frame_time)."""
     samples = written(samples.where("level >= 1"))
     scans = written(scans)
     members = written(M.masses(written(M.numbered(samples))))
     summary = written(M.summary(members))
     matched = written(T.matches(members, summary, T.frame_pairs(samples)))
-    return Echo(samples, scans, written(T.ends_of(scans, samples)), members, summary, matched, written(T.trails(summary, matched, scans, hops)))
+    return Echo(samples, scans, written(T.ends_of(scans, samples)), members, summary, matched, written(T.trails(summary, matched, scans)))
 
 
 def cell_km(e: Echo) -> DataFrame:
@@ -64,7 +62,9 @@ def regional_motion(e: Echo, pins: DataFrame) -> DataFrame:
     centre = P.correlation_centre(last, pins).select(F.col("frame_time").alias("last_time"), "pin_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     centre = centre.join(e.ends.select("scan_time", "last_time"), "last_time").drop("last_time")
     points = e.samples.join(e.scans, "frame_time").select("scan_time", "frame_time", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "level")
-    near = range_join(centre, points, REGION_KM, ("c_lat", "c_lon"), on=("scan_time",)).join(cell_km(e), "scan_time")
+    cells = written(cell_km(e))
+    widest = cells.agg(F.max("motion_km")).first()[0] or NCC_CELL_KM  # one number
+    near = range_join(centre, points, N.reach_km(widest), ("c_lat", "c_lon"), on=("scan_time",)).join(cells, "scan_time")
     near = near.select("scan_time", "pin_id", "frame_time", F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), "level", "c_lat", "c_lon", F.col("motion_km").alias("own_km"))
     return N.motions(near, ["scan_time", "pin_id"], F.col("own_km"))
 
@@ -120,6 +120,11 @@ def track_union(drawn: DataFrame, own: DataFrame) -> DataFrame:
     return each.select("scan_time", "pin_id", "trail_id", F.lit(False).alias("pinned")).unionByName(extra.select("scan_time", "pin_id", "trail_id", F.lit(True).alias("pinned")))
 
 
+def tracks_on_map(drawn: DataFrame, toggles: DataFrame) -> DataFrame:
+    """``drawn`` arrows of the scans whose map shows them: ``toggles`` has ``scan_time, shown``; without a row, or where it is null, none are shown."""
+    return drawn.join(toggles.where("shown").select("scan_time").distinct(), "scan_time", "left_semi")
+
+
 def _approach(e: Echo, moving: DataFrame, pins: DataFrame) -> DataFrame:
     """Each moving mass within 100 km of each pin: its distance, whether it comes or goes, and how near it will pass."""
     points = e.members.join(e.ends, F.col("frame_time") == F.col("last_time")).select("scan_time", F.col("mass_id").alias("trail_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
@@ -158,15 +163,17 @@ def _lightning(e: Echo, scene: DataFrame, strikes: DataFrame | None) -> DataFram
 
 
 def _warned(scans: DataFrame, pins: DataFrame, warnings: DataFrame | None, now: Column) -> DataFrame:
-    """Of each pin's storm warnings at the time of each scan: whether one is active, whether another is not, the highest degree of the active ones (1 at least), and the first body."""
+    """Of each pin's storm warnings at the time of each scan: whether one is active, whether another is not, the highest degree of the active ones (1 at least), and the body of the first in the feed (``ordinal``; without it, of the least id)."""
     if warnings is None or "terc" not in pins.columns:
         kinds = "scan_time long, pin_id long, active boolean, upcoming boolean, degree int, body string"
         return scans.sparkSession.createDataFrame([], kinds)
-    own = warnings.where("storm").withColumn("code", F.explode("teryt")).dropDuplicates(["id", "code"])
+    place = F.col("ordinal") if "ordinal" in warnings.columns else F.lit(0)
+    own = warnings.where("storm").withColumn("__place", place).withColumn("code", F.explode(F.array_distinct("teryt")))
+    own = P.first_by(own, ["id", "code"], F.col("__place"))
     rows = pins.select("pin_id", "terc").join(own, F.col("terc") == F.col("code")).crossJoin(scans.select("scan_time").distinct())  # few are of one county; the answer is by scan
     on = W.is_active(F.col("starts"), F.col("ends"), now)
-    rows = rows.select("scan_time", "pin_id", "id", "degree", "body", on.alias("on"))
-    first = lambda cond: F.min_by(F.when(cond, F.col("body")), F.when(cond, F.col("id")))
+    rows = rows.select("scan_time", "pin_id", "id", "degree", "body", on.alias("on"), F.struct("__place", "id").alias("place"))
+    first = lambda cond: F.min_by(F.when(cond, F.col("body")), F.when(cond, F.col("place")))
     out = rows.groupBy("scan_time", "pin_id").agg(F.bool_or("on").alias("active"), F.bool_or(~F.col("on")).alias("upcoming"), F.max(F.when(F.col("on"), F.greatest(F.col("degree"), F.lit(1)))).cast("int").alias("degree"), F.coalesce(first(F.col("on")), first(~F.col("on"))).alias("body"))
     return out
 
@@ -189,7 +196,8 @@ def threats(e: Echo, pins: DataFrame, warnings: DataFrame | None = None, strikes
     anchors = moving.select(F.col("scan_time").alias("frame_time"), "lat", "lon", u.alias("u"), v.alias("v"))
     regional = regional_motion(e, pins).where((F.col("speed") >= MIN_SPEED) & (F.col("confidence") >= REGIONAL_MIN)).select("scan_time", "pin_id", F.col("speed").alias("r_speed"), F.col("bearing").alias("r_bearing"))
     key = ["scan_time", "pin_id"]
-    scene = around.join(primary(e, moving, pins), key, "left").join(regional, key, "left").join(moving.groupBy("scan_time").agg(F.count("*").alias("n_anchors")), "scan_time", "left")
+    field = cell_km(e).select("scan_time", F.col("cell_km").alias("field_km"))
+    scene = around.join(primary(e, moving, pins), key, "left").join(regional, key, "left").join(field, "scan_time").join(moving.groupBy("scan_time").agg(F.count("*").alias("n_anchors")), "scan_time", "left")
     bu, bv = geo.to_uv(F.coalesce("r_bearing", "bearing"), F.coalesce("r_speed", "speed"))
     scene = scene.withColumns({"pin_lat": F.col("lat"), "pin_lon": F.col("lon"), "background": F.when(F.coalesce("r_speed", "speed").isNotNull(), F.struct(bu.alias("u"), bv.alias("v")))})
     scene = written(scene.withColumn("moving", F.col("n_anchors").isNotNull() | F.col("background").isNotNull()).drop("lat", "lon"))

@@ -10,6 +10,7 @@ from pluvio.functions import geo
 from pluvio.functions.const import GATE_SECONDS, MATCH_KM, MAX_SPEED, MIN_SPEED
 from pluvio.operators.masses import overlap
 from pluvio.operators.pins import first_by
+from pluvio.operators.stages import written
 
 
 #: What a trail is known by: the scan, and the mass of the scan's newest frame.
@@ -56,22 +57,29 @@ def matches(members: DataFrame, found: DataFrame, times: DataFrame) -> DataFrame
     return best.select("frame_time", "mass_id", "prev_time", "prev_id", "d", "dt", "score")
 
 
-def trails(found: DataFrame, matched: DataFrame, scans: DataFrame, hops: int = 6) -> DataFrame:
+def trails(found: DataFrame, matched: DataFrame, scans: DataFrame) -> DataFrame:
     """The trail of each mass of each scan's newest frame: ``scan_time, trail_id, frame_time, mass_id, lat, lon, n, max_level, mean_level``.
 
-    Masses and matches are those of frames, so that scans which share frames share them. Each hop is
-    a join with the matches; a trail ends where there is none, where a hop is faster than 95 km/h,
-    or with the scan's first frame.
+    Masses and matches are those of frames, so that scans which share frames share them. A trail
+    ends where there is no match, where a hop is faster than 95 km/h, or with the scan's first
+    frame, however many frames that is: trails grow by doubling. ``jump`` leads from a mass to what
+    it was 2^k frames before, and in each round every mass on the way so far jumps, which doubles
+    the way; so the joins are as many as the longest scan's frames have binary digits.
     """
-    good = matched.where(F.col("d") / (F.col("dt") / 3600.0) <= MAX_SPEED).select("frame_time", "mass_id", "prev_time", "prev_id")
+    jump = matched.where(F.col("d") / (F.col("dt") / 3600.0) <= MAX_SPEED).select("frame_time", "mass_id", "prev_time", "prev_id")
     ends = ends_of(scans, found)
-    way = found.select(F.col("frame_time").alias("t0"), F.col("mass_id").alias("m0")).join(ends, F.col("t0") == F.col("last_time")).drop("last_time")
-    for k in range(hops):
-        step = good.toDF(f"t{k}", f"m{k}", f"t{k + 1}", f"m{k + 1}")
-        way = way.join(step, [f"t{k}", f"m{k}"], "left")
-    steps = F.explode(F.array(*[F.struct(F.col(f"t{k}").alias("frame_time"), F.col(f"m{k}").alias("mass_id")) for k in range(hops + 1)]))
-    out = way.select("scan_time", "since", F.col("m0").alias("trail_id"), steps.alias("s")).select("scan_time", "trail_id", "since", "s.*").where("mass_id is not null and frame_time >= since").drop("since")
-    return out.join(found, ["frame_time", "mass_id"])
+    way = found.select("frame_time", "mass_id", F.col("mass_id").alias("trail_id")).join(ends, F.col("frame_time") == F.col("last_time")).select("scan_time", "since", "trail_id", "frame_time", "mass_id")
+    longest = scans.groupBy("scan_time").count().agg(F.max("count")).first()[0] or 0  # one number
+    reach = 1
+    while reach < longest:
+        step = way.join(jump, ["frame_time", "mass_id"]).where("prev_time >= since").select("scan_time", "since", "trail_id", F.col("prev_time").alias("frame_time"), F.col("prev_id").alias("mass_id"))
+        way, reach = way.unionByName(step), reach * 2
+        if reach < longest:
+            # Read twice from here on.
+            way = written(way)
+            further = jump.toDF("prev_time", "prev_id", "then_time", "then_id")
+            jump = written(jump.join(further, ["prev_time", "prev_id"]).select("frame_time", "mass_id", F.col("then_time").alias("prev_time"), F.col("then_id").alias("prev_id")))
+    return way.drop("since").join(found, ["frame_time", "mass_id"])
 
 
 def circular_mean(degrees: Column, weight: Column) -> Column:

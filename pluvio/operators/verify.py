@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pluvio.functions.const import LEADS, OVER_KM
+from pluvio.functions.const import LEADS, MAX_CELLS, OVER_KM
 from pluvio.operators.alert_rules import eta_to_level
 from pluvio.operators.spatial import range_join
 
@@ -158,3 +158,42 @@ def report(h: Hindcast) -> DataFrame:
         h.calibration.where("n > 0").select((F.lit(6000) + F.col("low")).alias("place"), F.format_string("chance %d-%d  n=%d  mean %.0f  observed %.0f%%", F.col("low"), F.col("high"), F.col("n"), F.col("mean"), F.col("observed") * 100).alias("line")),
     ]
     return functools.reduce(DataFrame.unionByName, lines).select(F.col("place").cast("int"), "line")
+
+
+def cell_km_of_count(n: Column) -> Column:
+    """The size of cells that a frame of ``n`` cells of 3 km is held in: doubled, at most to 24 km, until no more than 9,000 are left."""
+    fits = lambda f: F.ceil(n / float(f * f)) <= MAX_CELLS
+    return F.when(n <= MAX_CELLS, 3.0).when(fits(2), 6.0).when(fits(4), 12.0).otherwise(24.0)
+
+
+def run_facts(samples: DataFrame, downloaded_at: Column | None = None) -> DataFrame:
+    """One row about the frames of a run: ``date, radar_from, radar_to, frames, latest_age_sec, cell_kms, least, most``; the age is null without the time at which the last frame was fetched (seconds)."""
+    frames = samples.groupBy("frame_time").agg(F.count("*").alias("n"))
+    iso = lambda t: F.date_format(F.to_utc_timestamp(F.timestamp_seconds(t), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    of = frames.agg(F.min("frame_time").alias("a"), F.max("frame_time").alias("b"), F.count("*").alias("frames"), F.sort_array(F.collect_set(cell_km_of_count(F.col("n")))).alias("cell_kms"), F.min("n").alias("least"), F.max("n").alias("most"))
+    age = F.lit(None).cast("long") if downloaded_at is None else F.floor(downloaded_at - F.col("b") + 0.5).cast("long")
+    return of.select(F.substring(iso(F.col("b")), 1, 10).alias("date"), iso(F.col("a")).alias("radar_from"), iso(F.col("b")).alias("radar_to"), "frames", age.alias("latest_age_sec"), "cell_kms", "least", "most")
+
+
+def summary(h: Hindcast, facts: DataFrame, run_at: Column) -> DataFrame:
+    """A hindcast as one document, ``summary`` (JSON): the run's frames (``run_facts``), motion, the skill of nowcast and persistence by class and lead, alerts and chances. Empty scores are 0, a bias without hits is null."""
+    rates = ("hit", "miss", "fa", "cn", "pod", "far", "csi")
+    skill_of = F.struct(*rates, (F.col("hit") + F.col("miss") + F.col("fa") + F.col("cn")).alias("n"), (F.col("hit") + F.col("miss")).alias("obs"))
+    bias = F.when(F.col("n_bias").isNotNull(), F.struct(F.col("n_bias").alias("n"), "p10", "p50", "p90"))
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    keyed = lambda df, key, value, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("key"), value.alias("value"))), by_key)).alias(name))
+
+    def by_lead(df: DataFrame, name: str) -> DataFrame:
+        leads = df.groupBy("thr").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("lead").cast("string").alias("key"), skill_of.alias("value"))), by_key)).alias("leads"))
+        return keyed(leads, F.col("thr").cast("string"), F.col("leads"), name)
+
+    research = keyed(h.alerts.where("config = 'research'"), F.col("thr").cast("string"), F.struct(skill_of.alias("skill"), bias.alias("etaBiasMin")), "by_threshold")
+    shipped = h.alerts.where("config = 'shipped'").agg(F.first(F.struct(F.lit(SHIPPED[0]).alias("leadMin"), F.lit(SHIPPED_LEVEL).alias("minLevel"), F.lit(SHIPPED[1]).alias("minChancePct"), skill_of.alias("skill"), bias.alias("etaBiasMin"))).alias("shipped"))
+    bucket = F.struct("low", F.concat_ws("-", "low", "high").alias("bucket"), F.col("low").alias("lo"), F.col("high").alias("hi"), "n", F.coalesce("mean", F.lit(0.0)).alias("meanChancePct"), F.coalesce("observed", F.lit(0.0)).alias("observedRate"))
+    chances = h.calibration.agg(F.transform(F.sort_array(F.collect_list(bucket)), lambda b: b.dropFields("low")).alias("szansa"))
+    motion = h.mix.select(F.struct(F.col("n_all").alias("allCases"), F.col("n_echo").alias("echoCases"), F.col("advected").alias("advectedPct"), F.col("persist").alias("persistPct"), F.col("crude").alias("crudeEtaPct")).alias("motion"))
+    row = functools.reduce(DataFrame.crossJoin, [facts, motion, by_lead(h.nowcast, "nowcast"), by_lead(h.persistence, "persist"), research, shipped, chances])  # one row each
+    radar = F.struct(F.col("radar_from").alias("from"), F.col("radar_to").alias("to"), "frames", F.col("latest_age_sec").alias("latestAgeSec"))
+    alerts = F.struct(F.struct(F.lit(RESEARCH[0]).alias("leadMin"), F.lit(RESEARCH[1]).alias("minChancePct"), F.col("by_threshold").alias("byThreshold")).alias("research"), "shipped")
+    document = F.struct("date", F.date_format(F.to_utc_timestamp(run_at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("runAt"), radar.alias("radar"), F.col("cell_kms").alias("cellKm"), F.struct(F.col("least").alias("min"), F.col("most").alias("max")).alias("sampleCount"), "motion", "nowcast", "persist", alerts.alias("alerts"), "szansa")
+    return row.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("summary"))

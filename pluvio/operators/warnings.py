@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.operators.cover import counties_of
 from pluvio.operators.pins import first_by
 from pluvio.operators.spatial import range_join
 
@@ -47,21 +48,27 @@ def degrees_by_county(warnings: DataFrame) -> DataFrame:
 
 
 def in_polygon(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """The county of each point (``pin_id, lat, lon``).
+    """``pin_id, code``: the county of each point (``pin_id, lat, lon``) that lies in one.
 
     ``edges`` has a row for each edge of each ring: ``code, ring`` (0 is the outer one), the edge's
-    ends ``x1, y1, x2, y2`` and the county's box. A point lies in a county if its ray crosses the
-    outer ring an odd number of times and every other ring an even number; of several counties the
-    one of the smallest box counts. Boxes are joined by the one-degree cells that they touch.
+    ends ``x1, y1, x2, y2`` and the county's box, and ``part`` where a county has several polygons.
+    A point lies in a polygon if its ray crosses the outer ring an odd number of times and every
+    other ring an even number; of several counties the one of the smallest box counts. Points and
+    polygons meet by the cells that cover these (``cover``).
     """
-    span = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
-    boxes = edges.select("code", "min_x", "min_y", "max_x", "max_y").distinct().withColumn("cx", span("min_x", "max_x")).withColumn("cy", span("min_y", "max_y"))
-    cells = points.withColumns({"cx": F.floor("lon").cast("int"), "cy": F.floor("lat").cast("int")})
-    near = cells.join(boxes, ["cx", "cy"]).where("lon between min_x and max_x and lat between min_y and max_y").select("pin_id", "lat", "lon", "code")
-    crossing = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < F.try_divide((F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1"))
-    rings = near.join(edges, "code").groupBy("pin_id", "code", "ring", ((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))).alias("area")).agg((F.count_if(crossing) % 2).alias("odd"))
-    held = rings.groupBy("pin_id", "code", "area").agg(F.bool_and(F.when(F.col("ring") == 0, F.col("odd") == 1).otherwise(F.col("odd") == 0)).alias("inside")).where("inside")
-    return first_by(held, ["pin_id"], F.col("area"), F.col("code")).select("pin_id", "code")
+    return counties_of(points, edges)
+
+
+def county_label(name: Column) -> Column:
+    """A county's name with what it is before it, once."""
+    return F.when(F.startswith(name, F.lit("powiat ")), name).otherwise(F.concat(F.lit("powiat "), name))
+
+
+def lanes(pins: DataFrame, warnings: DataFrame, now: Column) -> DataFrame:
+    """``pin_id, id, lane``: for each pin (``pin_id, terc, county``) the line about the first live storm warning of its county, by ``ordinal``, the place in the feed. A pin without one has no row."""
+    live = warnings.where(F.col("storm") & is_live(F.col("ends"), now)).select("id", "ordinal", "event", F.explode(F.array_distinct("teryt")).alias("terc"))
+    first = first_by(pins.join(live, "terc"), ["pin_id"], F.col("ordinal"), F.col("id"))
+    return first.select("pin_id", "id", F.concat(F.lit("Ostrzeżenie IMGW: "), short_event(F.col("event")), F.lit(" · "), county_label(F.col("county"))).alias("lane"))
 
 
 def nearest_city(points: DataFrame, cities: DataFrame, km: float = 30.0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvio.plans import alert_queries, decision_queries, geo_queries, grid_queries, mass_queries, motion_queries, source_queries  # noqa: F401  they register themselves
+from pluvio.plans import alert_queries, decision_queries, detail_queries, geo_queries, grid_queries, mass_queries, motion_queries, source_queries, stream_queries  # noqa: F401  they register themselves
 from pluvio.plans.fixtures import Scene
 from pluvio.plans.registry import QUERIES, SQL
 

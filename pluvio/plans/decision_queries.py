@@ -221,10 +221,12 @@ def warning_degrees(s: Scene) -> DataFrame:
     return W.degrees_by_county(_warnings(s).where(F.col("storm") & W.is_live(F.col("ends"), F.expr(NOW))))
 
 
-@query(f"with {WARN} select id, 'Ostrzeżenie IMGW: burze · powiat 0205' as lane from (select id, event from w where storm and (code_a = '0205' or code_b = '0205') and {NOW} <= ends order by id limit 1) q")
+@query(f"""with {WARN}, p as (select pin_id, lpad(cast(pin_id + 200 as varchar), 4, '0') as terc, label from ({PIN_SQL}) q), l as (select pin_id, terc, label, id, event, row_number() over (partition by pin_id order by id) as rn from p join w on storm and (code_a = terc or code_b = terc) and {NOW} <= ends)
+select pin_id, id, 'Ostrzeżenie IMGW: ' || case when contains(lower(event), 'burz') then 'burze' when contains(lower(event), 'grad') then 'grad' when contains(lower(event), 'deszcz') then 'deszcz' else lower(event) end || ' · powiat ' || lower(label) as lane from l where rn = 1""")
 def warning_lane(s: Scene) -> DataFrame:
-    rows = _warnings(s).where(F.col("storm") & F.array_contains("teryt", "0205") & W.is_live(F.col("ends"), F.expr(NOW))).orderBy("id").limit(1)
-    return rows.select("id", F.concat(F.lit("Ostrzeżenie IMGW: "), W.short_event(F.col("event")), F.lit(" · powiat 0205")).alias("lane"))
+    """The line about the first live storm warning of each pin's county; ids are in the feed's order."""
+    pins = s.pins().select("pin_id", F.lpad((F.col("pin_id") + 200).cast("string"), 4, "0").alias("terc"), F.lower("label").alias("county"))
+    return W.lanes(pins, _warnings(s).withColumn("ordinal", F.col("id")), F.expr(NOW))
 
 
 _WORD = "(case {d} when 0 then 'dziś' when 1 then 'jutro' end)"

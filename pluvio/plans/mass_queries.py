@@ -195,6 +195,18 @@ def mass_trail(s: Scene) -> DataFrame:
     return _trails(s).select("trail_id", "frame_time", "mass_id")
 
 
+_LONG = TRAIL.replace(samples_sql(peaked=True), samples_sql(frames=24, peaked=True)).replace(" and t.hop < 6", "")
+
+
+@query(f"{_LONG} select trail_id, frame_time, mass_id from trail")
+def mass_trail_24(s: Scene) -> DataFrame:
+    """Trails through a scan of 24 frames, as far back as they go."""
+    members = written(M.masses(written(M.numbered(samples(s, frames=24, peaked=True)))))
+    found = written(M.summary(members))
+    matched = written(T.matches(members, found, T.frame_pairs(members)))
+    return T.trails(found, matched, T.one_scan(members)).select("trail_id", "frame_time", "mass_id")
+
+
 @query(f"{TRAIL} select trail_id, frame_time, n, max_level, {_rs('mean_level')} from trail")
 def trail_stats(s: Scene) -> DataFrame:
     return _trails(s).select("trail_id", "frame_time", "n", "max_level", *_r("mean_level"))

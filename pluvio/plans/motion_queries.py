@@ -63,17 +63,13 @@ def box_smooth(s: Scene) -> DataFrame:
     return N.smooth(_grid(s)).withColumn("v", near(F.col("v"), 6))
 
 
-_ALL = "select cast(x as int) as dx, cast(y as int) as dy from range(-3, 4) a(x), range(-3, 4) b(y)"
-
-
 _EVERY = 10
 _ALL = f"select cast(x as int) as dx, cast(y as int) as dy from range(-{_EVERY}, {_EVERY + 1}) a(x), range(-{_EVERY}, {_EVERY + 1}) b(y)"
 
 
 def _scores(s: Scene) -> DataFrame:
     """Of two frames 5 minutes apart no echo comes farther than 8 km, three cells of 3 km; ten leave no shift in doubt."""
-    reach = range(-_EVERY, _EVERY + 1)
-    return N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in reach for y in reach])
+    return N.correlations(N.smooth(_grid(s)), _times(s), _EVERY)
 
 
 @query(f"{_shifted(_ALL)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
@@ -95,7 +91,7 @@ _NEAR = "select cast(x as int) as dx, cast(y as int) as dy from range(-3, 4) a(x
 @query(f"{_shifted(_NEAR)} select frame_time, dx, dy, {near_sql('score', 6)} as score from r")
 def ncc_shift_all(s: Scene) -> DataFrame:
     """The score of each of the 49 shifts of up to three cells either way."""
-    scores = N.correlations(N.smooth(_grid(s)), _times(s), [(x, y) for x in range(-3, 4) for y in range(-3, 4)])
+    scores = N.correlations(N.smooth(_grid(s)), _times(s), 3)
     return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
 
 
@@ -137,14 +133,14 @@ def motion_cell(s: Scene) -> DataFrame:
     return TH.cell_km(_echo(s)).select("cell_km", "motion_km")
 
 
-ANCHORS = f"a as (select pin_id as k, lat, lon, (20e0 + 10 * pin_id) * sin(radians(40e0 * pin_id)) as u, (20e0 + 10 * pin_id) * cos(radians(40e0 * pin_id)) as v from ({PIN_SQL}) q where pin_id < 8)"
+ANCHORS = f"a as (select pin_id as k, lat, lon, (20e0 + 10 * pin_id) * sin(radians(40e0 * pin_id)) as u, (20e0 + 10 * pin_id) * cos(radians(40e0 * pin_id)) as v from ({PIN_SQL}) q)"
 
 
 def _anchors(s: Scene) -> DataFrame:
-    """The anchors of the scan, those of eight pins; it is frame 0."""
+    """The anchors of the scan, one at every pin; it is frame 0."""
     k = F.col("pin_id")
     u, v = geo.to_uv(40.0 * k, 20.0 + 10 * k)
-    return s.pins().where("pin_id < 8").select(F.lit(0).alias("frame_time"), "lat", "lon", u.alias("u"), v.alias("v"))
+    return s.pins().select(F.lit(0).alias("frame_time"), "lat", "lon", u.alias("u"), v.alias("v"))
 
 
 def _beside(s: Scene) -> DataFrame:
@@ -152,9 +148,11 @@ def _beside(s: Scene) -> DataFrame:
     return s.pins().select(F.lit(0).alias("frame_time"), "pin_id", (F.col("lat") + 0.2).alias("pin_lat"), (F.col("lon") + 0.2).alias("pin_lon"))
 
 
-def _idw(point: str, lat: str, lon: str) -> str:
+def _idw(point: str, lat: str, lon: str, x: str = "x") -> str:
+    """Means of the anchors within 80 km, which lie in the cell of a point, 1 by 1.5 degrees, or beside it."""
     d = S.km(lat, lon, "a.lat", "a.lon")
-    return f"select {point}, sum(u / ({d} * {d} + 1)) / sum(1 / ({d} * {d} + 1)) as u, sum(v / ({d} * {d} + 1)) / sum(1 / ({d} * {d} + 1)) as v from x join a on {d} <= 80 group by {point}"
+    beside = "(select a.*, cast(floor(lat) as int) + i.d as cy, cast(floor(lon / 1.5e0) as int) + j.d as cx from a, (values (-1), (0), (1)) i(d), (values (-1), (0), (1)) j(d))"
+    return f"select {point}, sum(u / ({d} * {d} + 1)) / sum(1 / ({d} * {d} + 1)) as u, sum(v / ({d} * {d} + 1)) / sum(1 / ({d} * {d} + 1)) as v from {x} join {beside} a on a.cy = cast(floor({lat}) as int) and a.cx = cast(floor({lon} / 1.5e0) as int) where {d} <= 80 group by {point}"
 
 
 @query(f"with {ANCHORS}, x as (select pin_id, lat + 0.2e0 as plat, lon + 0.2e0 as plon from ({PIN_SQL}) p), m as ({_idw('pin_id', 'x.plat', 'x.plon')}) select pin_id, {near_sql('u', 6)} as u, {near_sql('v', 6)} as v from x left join m using (pin_id)")
@@ -174,7 +172,7 @@ def motion_field(s: Scene) -> DataFrame:
     cells = F.sequence(F.lit(0), F.lit(39))
     rows = rows.withColumn("ix", F.explode(cells)).withColumn("iy", F.explode(cells))
     lat, lon = F.col("pin_lat") + (F.col("iy") - 20) * geo.lat_degrees(3.0), F.col("pin_lon") + (F.col("ix") - 20) * geo.lon_degrees(3.0, "pin_lat")
-    return A.with_motion(rows, _anchors(s), lat, lon).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
+    return A.with_motion(A.with_anchors(rows, _anchors(s)), lat, lon).select("pin_id", "ix", "iy", near(F.col("m.u"), 5).alias("u"), near(F.col("m.v"), 5).alias("v"))
 
 
 @query(_FIELD)
@@ -229,6 +227,65 @@ def _reduced(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("pin_id").agg(F.max("level").alias("max_level"), F.min(F.when(wet, F.col("t"))).alias("first_wet"), F.bool_or("unknown").alias("left_coverage"))
 
 
+# A field of anchors on the scan's cells.
+
+
+def _carried(lat: str, lon: str, t: str, back: int) -> tuple[str, str]:
+    """A place moved by (mu, mv), or against it."""
+    return S.dest(lat, lon, f"((degrees(atan2(mu, mv)) + {360 + back}e0) % 360e0)", f"(sqrt(mu * mu + mv * mv) * {t} / 60e0)")
+
+
+def _in_field(name: str, source: str, keys: str, lat: str, lon: str, km: float) -> str:
+    """CTE ``name``: the rows of ``source`` with mu, mv, the motion of their place on the grid of ``km`` around the pin (lat, lon); (5, 7) where no anchor is near."""
+    wide = f"({km}e0 / (111 * greatest(cos(radians(lat)), 0.25e0)))"
+    return f"""{name}_c as (select *, floor(({lon} - lon) / {wide} + 0.5e0) + 20 as gx, floor(({lat} - lat) / ({km} / 111e0) + 0.5e0) + 20 as gy from {source}),
+{name}_m as (select *, case when gx between 0 and 39 and gy between 0 and 39 then lat + (gy - 20) * ({km} / 111e0) else {lat} end as plat, case when gx between 0 and 39 and gy between 0 and 39 then lon + (gx - 20) * {wide} else {lon} end as plon from {name}_c),
+{name}_i as ({_idw(keys, 'x.plat', 'x.plon', f'{name}_m x')}),
+{name} as materialized (select {name}_m.*, coalesce(u, 5) as mu, coalesce(v, 7) as mv from {name}_m left join {name}_i using ({keys}))"""
+
+
+_TURN = _carried("lat", "lon", "t", 180)
+_GONE = _carried("s_lat", "s_lon", "t", 0)
+
+
+def _field_timeline_sql(km: float) -> str:
+    steps, held = [], "dep0"
+    for k in range(3):
+        steps.append(_in_field(f"f{k}", held, "pin_id, t", "at_lat", "at_lon", km))
+        steps.append(f"dep{k + 1} as (select pin_id, lat, lon, t, case when t = 0 then lat else {_TURN[0]} end as at_lat, case when t = 0 then lon else {_TURN[1]} end as at_lon from f{k})")
+        held = f"dep{k + 1}"
+    return f"""with {samples_sql()}, {ANCHORS}, p as ({PIN_SQL}), g as ({S.georef()}), t as (select cast(unnest(range(0, 91, 5)) as int) as t), last as (select *, row_number() over (order by lat, lon) as sid from samples where frame_time = (select max(frame_time) from samples)),
+dep0 as (select pin_id, p.lat, p.lon, t, p.lat as at_lat, p.lon as at_lon from p, t), {", ".join(steps)},
+re as (select dep3.*, 6 + least(0.15e0 * (case when t = 0 then 0 else {S.km('lat', 'lon', 'at_lat', 'at_lon')} end), 6) as reach, ({_CB[0]} - gl) / gw as cc, (gt - {_CB[1]}) / gh as rr from dep3, g),
+near as (select pin_id, p.lat, p.lon, sid, s.lat as s_lat, s.lon as s_lon, s.rate from p join last s on {S.km('s.lat', 's.lon', 'p.lat', 'p.lon')} <= 108), {_in_field('sm', 'near', 'pin_id, sid', 's_lat', 's_lon', km)},
+gone as (select sm.pin_id, t.t, sm.rate, sm.lat, sm.lon, case when t = 0 then s_lat else {_GONE[0]} end as g_lat, case when t = 0 then s_lon else {_GONE[1]} end as g_lon from sm, t),
+arr as (select re.pin_id, re.t, avg(gone.rate) as r from gone join re using (pin_id, t) where {S.km('g_lat', 'g_lon', 're.lat', 're.lon')} <= reach group by re.pin_id, re.t),
+tl as (select pin_id, t, coalesce(r, 0) as r, (r is null or t = 0) and not (cc >= 0 and cc < 800 and rr >= 0 and rr < 800) as unknown from re left join arr using (pin_id, t))
+select pin_id, t, case when unknown then 0 else {S.level('r')} end as level, case when unknown then 0 else {S.half_up('r', 1)} end as rate, unknown from tl"""
+
+
+def _field_timeline(s: Scene, km: float) -> DataFrame:
+    """Timelines through the field of an anchor at every pin, on cells of ``km``."""
+    last = written(P.newest(samples(s)))
+    frame = last.agg(F.max("frame_time").alias("frame_time"))  # one row
+    background = F.struct(F.lit(5.0).alias("u"), F.lit(7.0).alias("v"))
+    pins = _uniform(s).withColumns({"background": background, "field_km": F.lit(km)}).crossJoin(F.broadcast(frame))
+    anchors = _anchors(s).drop("frame_time").crossJoin(F.broadcast(frame))
+    return A.timeline(last, pins, anchors).drop("frame_time")
+
+
+@query(_field_timeline_sql(6.0))
+def pin_timeline_field(s: Scene) -> DataFrame:
+    """Through a field on cells of 6 km, those of a scan that was coarsened once."""
+    return _field_timeline(s, 6.0)
+
+
+@query(_field_timeline_sql(3.0))
+def pin_timeline_field_fine(s: Scene) -> DataFrame:
+    """Through the same field on cells of 3 km."""
+    return _field_timeline(s, 3.0)
+
+
 _SLOPE = "((pin_id % 5 - 2) / 50e0)"
 _GROW = f"(case when t <= 0 then 0 when t <= 18 then {_SLOPE} * t else {_SLOPE} * 18 * exp(-(t - 18) / 30e0) end)"
 _GREW = f"greatest(0, {S.half_up(f'rate + {_GROW}', 1)})"
@@ -256,7 +313,7 @@ def threat(s: Scene) -> DataFrame:
     """What each pin has to expect of the newest scan, with warnings and lightning; its timeline as JSON."""
     e = _echo(s)
     now = e.ends.select(F.col("scan_time").alias("now"))  # one row
-    strikes = s.strikes().where("strike_id % 7 = 0").crossJoin(F.broadcast(now.withColumnRenamed("now", "scan_time")))
+    strikes = s.strikes().crossJoin(F.broadcast(now.withColumnRenamed("now", "scan_time")))
     found = TH.threats(e, _places(s), _official(s, now), strikes)
     return found.withColumn("timeline", F.to_json("timeline")).drop("now_lat", "now_lon")
 
@@ -272,7 +329,7 @@ def _hindcast(s: Scene) -> V.Hindcast:
     rows = written(samples(s, frames=24, peaked=True).withColumn("ncc_cell_km", F.when(F.col("cell_km") <= 3, 2.0)))
     scored = V.scored_frames(rows)
     scans = T.rolling_scans(rows).join(scored.withColumnRenamed("frame_time", "scan_time"), "scan_time", "left_semi")
-    found = written(TH.threats(TH.echo(rows, scans, hops=3), s.pins()))
+    found = written(TH.threats(TH.echo(rows, scans), s.pins()))
     return V.hindcast(found, written(V.observed_at_leads(rows, s.pins())))
 
 

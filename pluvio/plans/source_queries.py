@@ -73,16 +73,31 @@ def history_degraded(s: Scene) -> DataFrame:
 
 
 @query(f"""with {samples_sql()}, {WARN}, k as ({STRIKES.format(events='events')}) select (select max(frame_time) from samples) as radar_time, (select count(*) from samples where frame_time = (select max(frame_time) from samples)) as n_samples,
-false as radar_unavailable, (select count(*) from w where storm and {NOW} <= ends) as n_warnings, false as warnings_unavailable, cast(0 as bigint) as n_strikes, true as lightning_unavailable""")
+false as radar_unavailable, (select count(*) from w where storm and {NOW} <= ends) as n_warnings, false as warnings_unavailable, (select count(*) from k) as n_strikes, false as lightning_unavailable""")
 def snapshot_assemble(s: Scene) -> DataFrame:
-    """One row from three sources, each of which may fail alone: here the folder of lightning is not there."""
+    """One row from three sources, each of which may fail alone."""
+    return _snapshot(s, s.strikes())
+
+
+@query(f"""with {samples_sql()}, {WARN}, k as ({STRIKES.format(events='events')}) select (select max(frame_time) from samples) as radar_time, (select count(*) from samples where frame_time = (select max(frame_time) from samples)) as n_samples,
+false as radar_unavailable, (select count(*) from w where storm and {NOW} <= ends) as n_warnings, false as warnings_unavailable, cast(0 as bigint) as n_strikes, true as lightning_unavailable""")
+def snapshot_degraded(s: Scene) -> DataFrame:
+    """The same where the strikes can be read up to one that cannot."""
+    strikes = s.strikes()
+    last = F.broadcast(strikes.agg(F.max("strike_id").alias("last")))  # one row
+    lat = F.when(F.col("strike_id") == F.col("last"), F.raise_error(F.lit("a strike is cut off")).cast("double")).otherwise(F.col("lat"))
+    broken = strikes.crossJoin(last).withColumn("lat", lat).where("lat > 0")
+    return _snapshot(s, broken)
+
+
+def _snapshot(s: Scene, strikes: DataFrame) -> DataFrame:
     def radar_() -> DataFrame:
         frames = samples(s).groupBy("frame_time").agg(F.count("*").alias("n"))
         return frames.agg(F.max("frame_time").alias("radar_time"), F.max_by("n", "frame_time").alias("n_samples"))
 
     radar = feeds.attempt(radar_)
     live = feeds.attempt(lambda: _warnings(s).where(F.col("storm") & W.is_live(F.col("ends"), F.expr(NOW))).agg(F.count("*").alias("n_warnings")))
-    lightning = feeds.attempt(lambda: s.table("lightning").agg(F.count("*").alias("n_strikes")))
+    lightning = feeds.attempt(lambda: strikes.agg(F.count("*").alias("n_strikes")))
     one = s.spark.range(1).select(F.lit(None).cast("long").alias("radar_time"), F.lit(0).cast("long").alias("n_samples"), F.lit(0).cast("long").alias("n_warnings"), F.lit(0).cast("long").alias("n_strikes"))
     parts = [(found if found is not None else one.select(*names), found is None, flag) for found, names, flag in ((radar, ("radar_time", "n_samples"), "radar_unavailable"), (live, ("n_warnings",), "warnings_unavailable"), (lightning, ("n_strikes",), "lightning_unavailable"))]
     row = parts[0][0].crossJoin(parts[1][0]).crossJoin(parts[2][0])  # one row each

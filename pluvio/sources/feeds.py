@@ -13,6 +13,7 @@ from pluvio.functions import geo
 from pluvio.functions.classify import colours_to_dbz, rate_of_dbz
 from pluvio.functions.const import AEQD_LAT, AEQD_LON
 from pluvio.operators.grid import in_bbox
+from pluvio.operators.stages import written
 from pluvio.operators.warnings import storm_related, warsaw
 
 log = logging.getLogger(__name__)
@@ -173,14 +174,26 @@ def search_key(query: Column) -> Column:
 
 
 def attempt(read: Callable[[], DataFrame]) -> DataFrame | None:
-    """What a source returns, or None if it fails, so that the others stand without it."""
+    """What a source returns, or None if it fails, so that the others stand without it. All of it is read and written here, so that a source which fails late fails here too; what is asked for should be small."""
     try:
-        found = read()
-        found.isEmpty()
+        return written(read())
     except (PySparkException, OSError) as error:
         log.warning("a source failed: %s", str(error).splitlines()[0])
         return None
-    return found
+
+
+def first_that_works(*sources: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of the first source that can be read whole; if none can, the error of the first, which is the preferred one, is raised."""
+    preferred = None
+    for read in sources:
+        try:
+            return written(read())
+        except (PySparkException, OSError) as error:
+            log.warning("a source failed: %s", str(error).splitlines()[0])
+            preferred = preferred or error
+    if preferred is None:
+        raise ValueError("there is no source")
+    raise preferred
 
 
 def trusted(threats: DataFrame, snapshots: DataFrame, key: str = "scan_id") -> DataFrame:

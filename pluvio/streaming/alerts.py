@@ -124,7 +124,7 @@ TAKEN = {"label": "string", "coming_from": "string", "toward": "string", "speed_
 FIRED = "pin_id long, at timestamp, kind string, episode double, eta double, level int, chance int, hit boolean, far boolean, radar_time double, " + ", ".join(f"{c} {t}" for c, t in TAKEN.items())
 
 
-def _complete(threats: DataFrame, settings: Settings) -> DataFrame:
+def _complete(threats: DataFrame, settings: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
     """``threats`` with what may be absent: words, timeline, the radar's time (that of the look), and settings, which a pin may have of its own."""
     have = set(threats.columns)
     absent = {c: F.lit(None).cast(t) for c, t in TAKEN.items()} | {"timeline": F.lit(None).cast("array<struct<t:int,level:int,rate:double,unknown:boolean>>"), "timeline_advected": F.lit(False), "event_id": F.lit(0), "cell_level": F.col("level")}
@@ -133,7 +133,7 @@ def _complete(threats: DataFrame, settings: Settings) -> DataFrame:
     rows = rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in asdict(settings).items()})
     if "radar_time" not in have:
         rows = rows.withColumn("radar_time", F.unix_micros("ts") / 1e6)
-    return rows.select("pin_id", "ts", "event_id", "radar_time", "eta", "nearest_km", "pin_level", "cell_level", "will_hit", "approaching", "receding", "chance", "timeline", "timeline_advected", *TAKEN, *asdict(settings))
+    return rows.select("pin_id", "ts", "event_id", "radar_time", "eta", "nearest_km", "pin_level", "cell_level", "will_hit", "approaching", "receding", "chance", "timeline", "timeline_advected", *TAKEN, *asdict(settings), *keep)
 
 
 def _look_at(row: dict[str, Any], pin: Any, memory: Memory) -> tuple[tuple | None, Memory]:

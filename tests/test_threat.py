@@ -322,7 +322,7 @@ def test_hindcast_of_a_cell_that_comes(spark):
     pins = spark.createDataFrame([(1, "Dom", *CITY), (2, "far", 54.0, 15.0)], "pin_id long, label string, lat double, lon double")
     scans = T.rolling_scans(rows).join(V.scored_frames(rows).withColumnRenamed("frame_time", "scan_time"), "scan_time", "left_semi")
     assert scans.count() == 4  # one scan of four frames
-    h = V.hindcast(written(TH.threats(TH.echo(rows, scans, hops=3), pins)), written(V.observed_at_leads(rows, pins)))
+    h = V.hindcast(written(TH.threats(TH.echo(rows, scans), pins)), written(V.observed_at_leads(rows, pins)))
     alerts = {(r["config"], r["thr"]): r for r in h.alerts.collect()}
     assert alerts["research", 1]["hit"] == 1 and alerts["shipped", 2]["hit"] == 1 and alerts["shipped", 2]["miss"] == alerts["shipped", 2]["fa"] == 0
     now = {(r["thr"], r["lead"]): r for r in h.nowcast.collect()}

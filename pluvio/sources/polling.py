@@ -43,14 +43,14 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def listing(path: str, stamp: str = STAMP) -> list[Entry]:
-    """The files of frames under a folder, by frame. Hidden files, files that are being written (``_temporary``), and those without a stamp are none; a folder that is not there yet has none."""
+    """The Parquet files under a folder, by frame; one without a stamp in its name is known by the time it was last changed. Hidden files and those that are being written (``_temporary``) are none; a folder that is not there yet has none."""
     store, root = _store(path)
     found = []
     for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
         name = info.path[len(root) :].lstrip("/")
         at = re.search(stamp, name)
-        if info.type == fs.FileType.File and at and not any(p.startswith(("_", ".")) for p in name.split("/")):
-            found.append(Entry(int(at[1]), name))
+        if info.type == fs.FileType.File and name.endswith(".parquet") and not any(p.startswith(("_", ".")) for p in name.split("/")):
+            found.append(Entry(int(at[1]) if at else int((info.mtime_ns or 0) // 10**9), name))
     return sorted(found, key=lambda e: (e.stamp, e.name))
 
 

@@ -155,32 +155,49 @@ class LanguageModel:
         return np.where(n_words > 0, best, -1), np.where(n_words > 0, share, 0.0)
 
 
-def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, most_texts: int = 100_000, least_count: int = 2, most_languages: int = 100_000, id_col: str = "doc_id") -> LanguageModel:
+#: A word or n-gram that was seen so often is known in any case.
+COMMON = 1000
+
+
+def fit_language_model(labelled: DataFrame, texts_per_language: int = 1000, most_texts: int = 100_000, least_count: int = 2, most_languages: int = 100_000, most_counts: int = 20_000_000, id_col: str = "doc_id") -> LanguageModel:
     """Counts words and letter n-grams of ``labelled`` (id, text, lang), on Spark.
 
     ``texts_per_language`` and ``most_texts`` bound the sample: texts are taken by the hash of their
     id, with the chance that gives about as many of each language, the lesser of the first and an
-    even part of the second; languages with fewer are taken whole. The model, which goes to every
-    task, is bounded by it and holds what was seen alone. Every language is learned; more than
-    ``most_languages`` values raise an error, for such a column names no languages. Words and
-    n-grams seen fewer than ``least_count`` times are unknown. Rows without text or language are
+    even part of the second; languages with fewer are taken whole, and of each language at least the
+    text whose id has the least hash, however small its part. The model, which goes to every task,
+    holds what was seen alone. Every language is learned; more than ``most_languages`` values raise
+    an error, for such a column names no languages. Words and n-grams seen fewer than
+    ``least_count`` times are unknown, and where more than ``most_counts`` counts of a word or n-gram
+    in a language are left, as of very long texts, those seen more often than that alone are known. Rows without text or language are
     ignored; a tie between languages goes to the first by name.
     """
     rows = labelled.select(F.col(id_col).alias("id"), "text", "lang").dropna(subset=["text", "lang"])
-    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(most_languages + 1).collect())
+    of_id = F.xxhash64("id")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(of_id).alias("least"))
+    sizes = sorted((r["lang"], r["n"], r["least"]) for r in found.limit(most_languages + 1).collect())
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    langs = [x for x, _ in sizes]
+    langs = [x for x, _, _ in sizes]
     nothing = np.zeros(0, np.int64)
     if not langs:
         return LanguageModel([], {n: (np.zeros(0, np.uint64), np.zeros(1, np.int64), nothing, np.zeros(0), np.zeros(0)) for n in (WORD, *range(1, LONGEST + 1))})
     part = min(texts_per_language, most_texts / len(langs))
-    numbers = labelled.sparkSession.createDataFrame([(x, i, min(1.0, part / n)) for i, (x, n) in enumerate(sizes)], "lang string, of int, chance double")
-    picked = rows.join(F.broadcast(numbers), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("chance") * 1_000_000)
+    numbers = labelled.sparkSession.createDataFrame([(x, i, min(1.0, part / n), least) for i, (x, n, least) in enumerate(sizes)], "lang string, of int, chance double, least long")
+    picked = rows.join(F.broadcast(numbers), "lang").where((F.pmod(of_id, F.lit(1_000_000)) < F.col("chance") * 1_000_000) | (of_id == F.col("least")))
     seen = picked.select("text", "of").mapInArrow(_counts(), "kind int, key long, lang int, n long")
     # Dealt by kind and key once, for the sums by language, the sums over all, and their join.
     counts = cut(seen.repartition("kind", "key").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
-    often = counts.groupBy("kind", "key").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count).select("kind", "key")
+    totals = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.count("*").alias("held")).where(F.col("total") >= least_count)
+    # How many counts are left from each total on: the first that leaves few enough is the least.
+    steps = totals.groupBy(F.least("total", F.lit(COMMON)).alias("total")).agg(F.sum("held").alias("held")).collect()  # COMMON rows
+    left, least = 0, COMMON
+    for r in sorted(steps, reverse=True):
+        left += r["held"]
+        if left > most_counts:
+            break
+        least = r["total"]
+    often = totals.where(F.col("total") >= least).select("kind", "key")
     found = counts.join(often, ["kind", "key"], "left_semi").toArrow()
     kind, key, lang, n = (found.column(c).to_numpy() for c in ("kind", "key", "lang", "n"))
     key = key.view(np.uint64)

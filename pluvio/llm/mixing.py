@@ -14,6 +14,8 @@ BROADCAST_SOURCES = 100_000
 STEPS, JOBS = 5, 6
 #: Blocks of a source that one task orders.
 BLOCKS = 4096
+#: Rows of one id that stay together, and ways by which the rows of an id go to the join that tells how many there are.
+SHARED, WAYS = 256, 64
 
 
 def n_words(text: Column) -> Column:
@@ -72,12 +74,13 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     source's size.
 
     A null source is a source; a text without words, or null, has no tokens and enters as often as
-    its source makes full passes, once at least. Rows of one id are dealt to one block; repeated
-    rows count each. An empty table gives no rows; other columns are ignored.
+    its source makes full passes, once at least. Rows of one id are dealt to one block, or, where
+    they are more than ``SHARED``, as those without id may be, to as many as so many ids would be;
+    repeated rows count each. An empty table gives no rows; other columns are ignored.
 
     Returns ``doc_id, source, n_tokens, weight, copies``.
     """
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("n_tokens")))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
     sources = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total, n_sources = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     budget = int(total if budget is None else budget)
@@ -91,7 +94,11 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, dealt - F.col("passes") * F.col("tokens")).otherwise(0)).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)))
     if n_sources <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    # Ids of very many rows, or none, are spread over blocks as so many ids; they are told by a join in which they are spread too.
+    often = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where(F.col("times") > SHARED).select(F.col("doc_id").alias("id_"), F.ceil(F.col("times") / SHARED).alias("spread"), F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way_"))
+    rows = rows.withColumn("way", F.pmod("row", F.lit(WAYS)))
+    rows = rows.join(often, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("way") == F.col("way_")), "left").withColumn("salt", F.coalesce(F.pmod("row", "spread"), F.lit(0))).drop("id_", "way_", "way", "spread", "row")
+    key = F.when(F.col("salt") > 0, F.xxhash64(F.lit(seed), "doc_id", "salt")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(key, F.col("blocks")))
     sums = placed.groupBy("of", "block").agg(F.sum("n_tokens").alias("size"))
     # A permutation in two levels: groups of blocks, in their order, and blocks within a group.

@@ -99,15 +99,22 @@ def fit_quality_model(labelled: DataFrame, most_rows: int = 12_000, most_feature
     hashed to ``BITS`` bits. Each is scaled by the log ratio of its class shares, smoothed by
     ``alpha``; vectors have length one. The hinge loss with L2 regularisation is minimised by dual
     coordinate descent, ``epochs`` passes in seeded order, the classes weighed evenly. The sample
-    that reaches the driver has at most ``most_rows`` rows and ``most_features`` features in all:
-    ids are taken in the order of their hash, with all their rows, as long as both bounds hold;
-    callers draw ids by the same order first (``sample_labels``), so that few texts are read in
-    vain. Rows without id or label are ignored. A single class, or no row, gives a model that scores that class, or 0.5.
+    that reaches the driver has at most ``most_rows`` rows and ``most_features`` features in all.
+    Rows of one id, label and features count once, and an id with very many others gives a hundredth
+    of the rows and a fiftieth of the features at most, so that no id crowds out the rest; then ids
+    are taken in the order of their hash as long as both bounds hold, and those above the bound of
+    features by themselves are passed over. Callers draw ids by the same order first
+    (``sample_labels``), so that few texts are read in vain. Rows without id or label are ignored. A single class, or no row, gives a model that scores that class, or 0.5.
     """
     found = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = cut(found.mapInArrow(per_piece(_labelled), f"doc_id {dict(labelled.dtypes)['doc_id']}, label int, features array<int>"))
+    rows = found.mapInArrow(per_piece(_labelled), f"doc_id {dict(labelled.dtypes)['doc_id']}, label int, features array<int>")
+    same = F.xxhash64("features")
+    rows = rows.where("doc_id is not null").groupBy("doc_id", "label", same.alias("h")).agg(F.first("features").alias("features"))
+    own = Window.partitionBy("doc_id").orderBy("h", "label")
+    rows = rows.withColumns({"place": F.row_number().over(own), "upto": F.sum(F.size("features")).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = cut(rows.where((F.col("place") <= max(1, most_rows // 100)) & ((F.col("place") == 1) | (F.col("upto") <= most_features // 50))).drop("h", "place", "upto"))
     each = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("features")).alias("size"))
-    each = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    each = each.where(F.col("size") <= most_features).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # most_rows rows
     taken = each.withColumns({"n": F.sum("n").over(so_far), "size": F.sum("size").over(so_far)}).where((F.col("n") <= most_rows) & (F.col("size") <= most_features))
     got = rows.join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id", "label", "features").select("label", "features").toArrow()

@@ -72,6 +72,17 @@ def brute_languages(labelled, texts):
     return out
 
 
+def test_every_language_is_learned_from_a_text_at_least(spark):
+    """42 languages and a sample of as many texts; and counts that are bounded."""
+    rows = [(k * 100 + i, f"wort{k}x wort{k}y lang{k}z", f"l{k:02d}") for k in range(42) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(docs, most_texts=42, least_count=1)
+    assert len(model.langs) == 42 and set(model.tables[WORD][2].tolist()) == set(range(42))
+    held = lambda m: sum(len(t[2]) for t in m.tables.values())
+    whole, bounded = fit_language_model(docs), fit_language_model(docs, most_counts=1300)
+    assert 0 < held(bounded) <= 1300 < held(whole) and identify_language(docs, bounded).count() == len(rows)
+
+
 def test_language_equals_dictionaries(spark):
     rng = random.Random(3)
     tongues = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)] for x, letters in (("aa", "abcdeé"), ("bb", "defgh"), ("cc", "日本語中文字"), ("dd", "abcxyz"))}
@@ -140,9 +151,34 @@ def test_quality_bounds_its_sample(spark):
         assert {0 <= r["score"] <= 1 for r in score_quality(docs, model).collect()} == {True}
 
 
+def test_no_id_crowds_out_the_others(spark):
+    """400 rows that are told apart at a glance, and an id with more rows than the sample holds, which stands first of all."""
+    first = spark.range(1000).orderBy(F.xxhash64("id")).first()["id"]
+    rows = [(i, "good calm words of the river " * 3 if i % 2 else "BUY NOW!!! $$$ cheap ### " * 3, i % 2) for i in range(1000, 1400)]
+    for hot in ([(first, "one row again and again", 1)] * 12_001, [(first, f"row {k} of very many others", k % 2) for k in range(12_001)]):
+        model = fit_quality_model(spark.createDataFrame(rows + hot, "doc_id long, text string, label int"))
+        got = {r["doc_id"]: r["score"] for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string, label int"), model).collect()}
+        assert all(got[i] > 0.9 if label else got[i] < 0.1 for i, _, label in rows)
+
+
 # Mixing
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """A third of the rows without id, and one id of very many rows: no block holds them all, and every row is dealt."""
+    rows = [(None, "a b c d", "web")] * 4000 + [(7, "e f g", "web")] * 3000 + [(100 + k, "h i j k l", "web" if k % 2 else "book") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixed = mixing.mix_sources(docs, budget=20_000, entropy=None, most_repeats=None, block_tokens=500).collect()
+    assert len(mixed) == len(rows)
+    by = defaultdict(list)
+    for r in mixed:
+        by[r["doc_id"] if r["doc_id"] in (None, 7) else 0].append(r["copies"])
+    # Of ids whose rows stood in one block all would enter or none; half of the tokens enter.
+    for key in (None, 7, 0):
+        assert set(by[key]) == {0, 1} and 0.3 < sum(by[key]) / len(by[key]) < 0.7
+    assert abs(sum(r["copies"] * r["n_tokens"] for r in mixed) - 20_000) < 1_200
+
+
 def brute_exponent(tokens, budget, entropy, repeats, greatest):
     total = sum(tokens)
     shares = [t / total for t in tokens]
@@ -509,11 +545,12 @@ def test_each_stage_decides_as_its_operator(spark):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     docs = stages["decontamination"](spark, docs, SMALL).cache()
     left = {r["doc_id"] for r in docs.collect()}
-    assert left < set(before)
+    gone = {d for d, _ in brute_contaminated([(i, t) for i, t in before.items() if len(t) < 4000], [x for x in items if len(x[1]) < 1500])}
+    assert left <= set(before) and not gone & left and gone
     shares = lambda t: any(" ".join(x.lower().split()[:12]) in " ".join(t.lower().split()) for _, x in items)
     assert not any(shares(before[i]) for i in left)
 
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs, entropy=corpus_pipeline.ENTROPY, most_repeats=corpus_pipeline.MOST_REPEATS, greatest=corpus_pipeline.GREATEST).collect()}
     docs = stages["mixing"](spark, docs, SMALL).cache()
     assert Counter(r["doc_id"] for r in docs.select("doc_id").collect()) == Counter({i: n for i, n in copies.items() if n})
     placed = stages["sharding"](spark, docs, SMALL).collect()

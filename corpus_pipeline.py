@@ -23,6 +23,12 @@ LEAST_OVER_EVEN = 1.2
 #: Sets of five-word shingles are near-duplicates from this similarity on.
 NEAR_PERCENT = 80
 
+#: Sources are sharpened or flattened to this part of the greatest entropy, by at most so many repeats of a source and this exponent.
+ENTROPY, MOST_REPEATS, GREATEST = 0.99, 4.0, 8.0
+
+#: Bytes of a shard at most, and shards at least where the table is small.
+SHARD_BYTES, LEAST_SHARDS = 64 << 20, 64
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones among them teach; texts without letters go."""
@@ -45,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as it enters the mix, as repeated rows; rows of one id enter as the first of them does."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    copies = mix_sources(docs, entropy=ENTROPY, most_repeats=MOST_REPEATS, greatest=GREATEST).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
     copies = copies.where("copies > 0").withColumnRenamed("doc_id", "of")
     mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of")))
     return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
@@ -53,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents with the shard that each belongs to."""
-    return assign_shards(docs)
+    return assign_shards(docs, SHARD_BYTES, least_shards=LEAST_SHARDS)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

@@ -131,9 +131,9 @@ class Kinds:
         self.ends, self.link = _Growing(np.int64), _Growing(np.int64)
         self.ends.add(np.zeros(1, dtype=np.int64))
 
-    def learn(self) -> None:
-        """Aligns what has been numbered since."""
-        if new := self.at.taken():
+    def learn(self, new: list[str]) -> None:
+        """Aligns what has been numbered as new."""
+        if new:
             found = Aligned(self.pair, new)
             self.ok.add(found.ok)
             for name, held in self.counts.items():
@@ -153,9 +153,10 @@ class _Block:
         self.n = 0
 
     def add(self, kinds: Kinds, doc_ids: list, texts: list[str]) -> None:
-        number = kinds.at.__getitem__
-        own = [np.fromiter(map(number, _cut(" " + text) if kinds.pair.cuts else [" " + text]), np.int32) if text else np.zeros(0, np.int32) for text in texts]
-        kinds.learn()
+        words = [(_cut(" " + text) if kinds.pair.cuts else [" " + text]) if text else [] for text in texts]
+        number, new = kinds.at.numbers(pa.array(list(chain.from_iterable(words)), pa.large_string()))
+        own = np.split(number.astype(np.int32), np.cumsum([len(w) for w in words])[:-1])
+        kinds.learn(new)
         ok, groups = kinds.ok.all(), kinds.groups.__getitem__
         for at in own:
             at = at if len(at) and ok[at].all() else at[:0]

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ids under one grammar at most; texts are encoded so many code points at a time.
-GRAMMAR_IDS, AT_ONCE = 1 << 20, 1 << 20
+#: Ids under one grammar at most; texts are encoded so many bytes at a time, a longer one in stretches of so many code points.
+GRAMMAR_IDS, AT_ONCE = 1 << 20, 1 << 22
 #: A pair that stands less often gets no rule.
 LEAST_PAIRS = 16
 #: Words whose ids an encoder remembers, and words that it encodes in one call.
@@ -94,10 +94,8 @@ def re_pair(ids: np.ndarray, terminals: int, least: int = LEAST_PAIRS) -> tuple[
     return table.astype(held), size[terminals:].astype(np.uint32), seq.astype(held)
 
 
-def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that a sequence of symbols derives, all nonterminals of a level at once."""
-    seq = sequence.astype(np.int64)
-    size = np.concatenate((np.ones(terminals, dtype=np.int64), lengths.astype(np.int64)))
+def _levels(seq: np.ndarray, rules: np.ndarray, size: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids that symbols derive, all nonterminals of a level at once."""
     ends = np.cumsum(size[seq])
     out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
     at = ends - size[seq]
@@ -111,6 +109,19 @@ def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, termina
     return out
 
 
+def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids that a sequence of symbols derives: each rule that it names is expanded once, then copied wherever it stands."""
+    named = np.unique(sequence[sequence >= terminals]).astype(np.int64)
+    size = np.concatenate((np.ones(terminals, dtype=np.int64), lengths.astype(np.int64)))
+    # What stands for each symbol: itself, or its rule's ids, behind those of the terminals.
+    start = np.arange(len(size), dtype=np.int64)
+    start[named] = terminals + np.cumsum(size[named]) - size[named]
+    ids = np.concatenate((np.arange(terminals, dtype=np.uint32), _levels(named, rules, size, terminals)))
+    per = size[sequence]
+    upto = np.cumsum(per)
+    return ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[sequence] - upto + per, per)]
+
+
 def expand_part(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int, start: int, n: int) -> np.ndarray:
     """``n`` ids from ``start`` on, by the lengths alone: only symbols that reach into the part are expanded."""
     size = np.concatenate((np.ones(terminals, dtype=np.int64), lengths.astype(np.int64)))
@@ -134,20 +145,18 @@ def _unpacked(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 class Numbered(dict):
-    """Words by number; one that is not known yet gets the next, and is noted as new."""
+    """Texts by number, in the order in which they were first met."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The numbers of texts, and those of them that are new, each once."""
+        coded = texts.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        known = np.array(list(map(self.get, own)), dtype=np.float64)  # None becomes NaN
+        fresh = np.flatnonzero(np.isnan(known))
+        new, n = [own[i] for i in fresh.tolist()], len(self)
+        known[fresh] = np.arange(n, n + len(new))
+        self.update(zip(new, range(n, n + len(new)), strict=True))
+        return known.astype(np.int64)[coded.indices.to_numpy()], new
 
 
 def gathered(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,37 +220,35 @@ class Encoder:
         plain = np.fromiter((w.isascii() and "<|" not in w and "\n" not in w for w in words), bool, len(words))
         whole = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
         lines = "\n".join([w for w, p in zip(words, plain.tolist(), strict=True) if p])
-        found = re.findall(f"(?:{self.parts})|\n", lines.lower()) if plain.any() else []
-        number = self.part.__getitem__
-        at, odd = np.fromiter(map(number, found), np.int64, len(found)), np.fromiter(map(number, whole), np.int64, len(whole))
-        # A line's end is a part like others here, of which a tokenizer that drops white space makes nothing.
-        line = number("\n")
-        ends = np.flatnonzero(at == line)
+        # Each line ends with a part like others here, of which a tokenizer that drops white space makes nothing.
+        found = re.findall(f"(?:{self.parts})|\n", lines.lower() + "\n") if plain.any() else []
+        number, new = self.part.numbers(pa.array(["\n", *found, *whole]))
+        if new:
+            ids, size = self._joined(new)
+            self.part_ids, self.part_ends = np.concatenate((self.part_ids, ids)), np.concatenate((self.part_ends, self.part_ends[-1] + np.cumsum(size)))
+        line, at, odd = number[0], number[1 : len(found) + 1], number[len(found) + 1 :]
         count = np.ones(len(words), dtype=np.int64)
-        count[plain] = np.diff(np.concatenate(([-1], ends, [len(at)])))[: plain.sum()] if plain.any() else 0
+        count[plain] = np.diff(np.concatenate(([-1], np.flatnonzero(at == line))))
         # Back in the words' order, an end with the word before it.
         order = np.empty(int(count.sum()), dtype=np.int64)
         of_plain = np.repeat(plain, count)
-        order[of_plain], order[~of_plain] = np.concatenate((at, [line]))[: of_plain.sum()], odd
-        if new := self.part.taken():
-            ids, size = self._joined(new)
-            self.part_ids, self.part_ends = np.concatenate((self.part_ids, ids)), np.concatenate((self.part_ends, self.part_ends[-1] + np.cumsum(size)))
+        order[of_plain], order[~of_plain] = at, odd
         ids, size = gathered(self.part_ids, self.part_ends, order)
         return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
         if not self.by_word:
-            return self._plain(texts)
+            return self._plain(texts.to_pylist())
         if len(self.at) > MOST_WORDS:
             self.forget()
-        words = [text.split(" ") for text in texts]
-        per_text = np.fromiter(map(len, words), np.int64, len(texts))
-        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        if new := self.at.taken():
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        per_text = lists.value_lengths().to_numpy()
+        number, new = self.at.numbers(lists.flatten())
+        if new:
             ids, size = self._split(new)
             self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
-        ids, size = gathered(self.ids, self.ends, at)
+        ids, size = gathered(self.ids, self.ends, number)
         return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per_text)))])
 
     def stretches(self, text: str) -> Iterator[str]:
@@ -314,16 +321,14 @@ _BLOCK = pa.struct([("n", pa.int64()), ("terminals", pa.int64()), ("width", pa.i
 ROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("grammars", pa.list_(_BLOCK))])
 
 
-def _groups(texts: list[str], most: int = AT_ONCE) -> Iterator[range]:
-    """Consecutive texts of about ``most`` code points in all; a longer one stands alone."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > most:
-            yield range(start, k)
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield range(start, len(texts))
+def _groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of about ``most`` bytes in all, as bounds; a longer one stands alone."""
+    upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + most, side="right")) - 1)
+        yield start, stop
+        start = stop
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, parts: str | None = None) -> None:
@@ -346,25 +351,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
         out = _Writer(TaskContext.get().partitionId(), max(encoder.n_ids, end_id + 1))
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for some in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                texts, own = pc.fill_null(some.column("text"), "").to_pylist(), ids[: some.num_rows]
-                ids = ids[some.num_rows :]
-                for group in _groups(texts):
-                    if len(group) == 1:
-                        k, n = group[0], 0
-                        for stretch in encoder.stretches(texts[k]):
-                            found, _ = encoder.encode([stretch])
-                            out.add(found)
-                            n += len(found)
+            texts, ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id").to_pylist()
+            for i, j in _groups(texts, AT_ONCE):
+                if j == i + 1:
+                    n = 0
+                    for stretch in encoder.stretches(texts[i].as_py()):
+                        found, _ = encoder.encode(pa.array([stretch]))
+                        out.add(found)
+                        n += len(found)
+                    out.add(end)
+                    yield from out.end(ids[i], n + 1)
+                else:
+                    found, size = encoder.encode(texts.slice(i, j - i))
+                    upto = np.concatenate(([0], np.cumsum(size)))
+                    for k in range(i, j):
+                        out.add(found[upto[k - i] : upto[k - i + 1]])
                         out.add(end)
-                        yield from out.end(own[k], n + 1)
-                    else:
-                        found, size = encoder.encode([texts[k] for k in group])
-                        upto = np.concatenate(([0], np.cumsum(size)))
-                        for j, k in enumerate(group):
-                            out.add(np.concatenate((found[upto[j] : upto[j + 1]], end)))
-                            yield from out.end(own[k], int(size[j]) + 1)
+                        yield from out.end(ids[k], int(size[k - i]) + 1)
         yield from out.row()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))

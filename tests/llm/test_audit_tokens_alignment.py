@@ -180,7 +180,7 @@ def test_words_and_parts_lose_nothing():
     for parts in (PARTS, None):
         encoder = token_files.Encoder(W_FILE, True, parts)
         for k in range(0, len(texts), 500):
-            ids, size = encoder.encode(texts[k : k + 500])
+            ids, size = encoder.encode(token_files.pa.array(texts[k : k + 500]))
             assert size.tolist() == [len(w) for w in whole[k : k + 500]] and ids.tolist() == [i for w in whole[k : k + 500] for i in w]
 
 
@@ -190,7 +190,7 @@ def test_long_texts_are_cut_where_nothing_is_lost(monkeypatch):
     for text in ("word " * 100, "a" * 300, "x" * 80 + " " + "y" * 90, "", " " * 200, "one two " + "z" * 200 + " three"):
         parts = list(encoder.stretches(text))
         assert "".join(parts) == text
-        assert encoder.encode(parts)[0].tolist() == Tokenizer.from_file(W_FILE).encode(text, add_special_tokens=False).ids
+        assert encoder.encode(token_files.pa.array(parts))[0].tolist() == Tokenizer.from_file(W_FILE).encode(text, add_special_tokens=False).ids
 
 
 # The alignment

@@ -95,11 +95,11 @@ def unproject(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(r < 1e-9, AEQD_LAT).otherwise(lat), F.when(r < 1e-9, AEQD_LON).otherwise(lon)
 
 
-def georeference(n: int = RASTER) -> tuple[Column, Column, Column, Column]:
+def georeference(n: Value = RASTER) -> tuple[Column, Column, Column, Column]:
     """Pixel width, pixel height, and the upper left corner of a raster of n by n pixels between the composite's corners, in metres."""
     left, top = project(UL_LAT, UL_LON)
     right, bottom = project(LR_LAT, LR_LON)
-    return (right - left) / float(n), (top - bottom) / float(n), left, top
+    return (right - left) / col(n), (top - bottom) / col(n), left, top
 
 
 def pixel_centre(column: Column, row: Column, n: int = RASTER) -> tuple[Column, Column]:

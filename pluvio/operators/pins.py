@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pluvio.functions import geo
 from pluvio.functions.classify import level_of_rate, rate_of_sample
-from pluvio.functions.const import HORIZON_MIN, LAT_MAX, LAT_MIN, LOCAL_KM, LON_MAX, LON_MIN, OVER_KM, TIMELINE_STEP, TRACK_KM
+from pluvio.functions.const import HORIZON_MIN, LOCAL_KM, OVER_KM, TIMELINE_STEP, TRACK_KM
 from pluvio.operators.spatial import range_join
 
 
@@ -46,10 +46,11 @@ def observed(samples: DataFrame, pins: DataFrame) -> DataFrame:
     return every.join(wet, ["pin_id", "frame_time"], "left").fillna(0, ["obs"])
 
 
-def lattice(spark: SparkSession, lat: float, lon: float) -> DataFrame:
-    """168 pins, 0.45 by 0.7 degrees apart."""
-    at = F.col("id")
-    return spark.range(12 * 14).select(at.cast("int").alias("pin_id"), geo.half_up(lat + F.floor(at / 14) * 0.45, 2).alias("lat"), geo.half_up(lon + at % 14 * 0.7, 2).alias("lon"))
+def lattice(origins: DataFrame) -> DataFrame:
+    """168 pins from each origin (``origin, lat, lon``) to the north and east, 0.45 by 0.7 degrees apart: ``origin, pin_id, lat, lon``."""
+    at = F.col("pin_id")
+    rows = origins.select("origin", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.explode(F.sequence(F.lit(0), F.lit(12 * 14 - 1))).alias("pin_id"))
+    return rows.select("origin", "pin_id", geo.half_up(F.col("o_lat") + F.floor(at / 14) * 0.45, 2).alias("lat"), geo.half_up(F.col("o_lon") + at % 14 * 0.7, 2).alias("lon"))
 
 
 def correlation_centre(samples: DataFrame, pins: DataFrame) -> DataFrame:
@@ -72,12 +73,13 @@ def persistence(samples: DataFrame, pins: DataFrame) -> DataFrame:
     return found.select("pin_id", steps.alias("t"), level_of_rate(F.col("r")).alias("level"), geo.half_up(F.col("r"), 1).alias("rate"), "unknown")
 
 
-def tiles(spark: SparkSession, zoom: int, most: int = 24) -> DataFrame:
-    """Map tiles that cover the radar's box, by column and row."""
+def tiles(boxes: DataFrame, zoom: int, most: int = 24) -> DataFrame:
+    """``box, x, y``: the map tiles that cover each box (``box, min_lat, max_lat, min_lon, max_lon``), by column and row, ``most`` at most."""
     corner = lambda lat, lon: tuple(F.floor(v) for v in geo.tile(lon, lat, zoom))
-    (x0, y0), (x1, y1) = corner(LAT_MAX, LON_MIN), corner(LAT_MIN, LON_MAX)
-    grid = spark.range(1).select(F.explode(F.sequence(x0, x1)).alias("x"), y0.alias("y0"), y1.alias("y1")).select("x", F.explode(F.sequence("y0", "y1")).alias("y"))
-    return grid.orderBy("x", "y").limit(most)
+    (x0, y0), (x1, y1) = corner("max_lat", "min_lon"), corner("min_lat", "max_lon")
+    grid = boxes.select("box", F.explode(F.sequence(x0, x1)).alias("x"), y0.alias("y0"), y1.alias("y1")).select("box", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    order = Window.partitionBy("box").orderBy("x", "y")
+    return grid.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:

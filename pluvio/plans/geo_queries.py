@@ -124,13 +124,15 @@ def uv_roundtrip(s: Scene) -> DataFrame:
     return parts.select("event_id", geo.half_up(F.col("u"), 6).alias("u"), geo.half_up(F.col("v"), 6).alias("v"), geo.half_up(F.pmod(geo.half_up(turn, 6), F.lit(360.0)), 5).alias("bearing"), geo.half_up(speed, 6).alias("speed"))
 
 
-@query(" union all ".join(f"select {n} as n, {S.half_up('gw', 3)} as width, {S.half_up('gh', 3)} as height, {S.half_up('gl', 3)} as x0, {S.half_up('gt', 3)} as y0 from ({S.georef(n)}) g{n}" for n in (400, 800, 900)))
-def sri_georef(s: Scene) -> DataFrame:
-    def row(n: int) -> F.Column:
-        names = ("width", "height", "x0", "y0")
-        return F.struct(F.lit(n).alias("n"), *[geo.half_up(c, 3).alias(k) for c, k in zip(geo.georeference(n), names, strict=True)])
+_SIZES = "(select distinct p_size * 16 as n from part) r"
+
 
-    return s.spark.range(1).select(F.inline(F.array(*map(row, (400, 800, 900)))))
+@query(f"select n, {S.half_up('gw', 3)} as width, {S.half_up('gh', 3)} as height, {S.half_up('gl', 3)} as x0, {S.half_up('gt', 3)} as y0 from ({S.georef('n').replace('select ', 'select n, ', 1)} from {_SIZES}) g")
+def sri_georef(s: Scene) -> DataFrame:
+    """Where the pixels of rasters of each size lie."""
+    sizes = s.table("part").select((F.col("p_size") * 16).alias("n")).distinct()
+    names = ("width", "height", "x0", "y0")
+    return sizes.select("n", *[geo.half_up(c, 3).alias(k) for c, k in zip(geo.georeference(F.col("n")), names, strict=True)])
 
 
 _C = S.unproject("gl + (c + 0.5e0) * gw", "gt - (r + 0.5e0) * gh")
@@ -156,15 +158,19 @@ def _corner(right: str, down: str) -> str:
     return f"{S.half_up(lat, 6)} as lat, {S.half_up(lon, 6)} as lon"
 
 
-@query(f"with g as ({S.georef()}) " + " union all ".join(f"select '{k}' as corner, {_corner(r, d)} from g" for k, r, d in (("tl", "0", "0"), ("tr", "800", "0"), ("br", "800", "800"), ("bl", "0", "800"))))
+@query(f"with g as ({S.georef()}) " + " union all ".join(f"select n, '{k}' as corner, {_corner(r, d)} from g, {_SIZES}" for k, r, d in (("tl", "0", "0"), ("tr", "n", "0"), ("br", "n", "n"), ("bl", "0", "n"))))
 def overlay_corners(s: Scene) -> DataFrame:
+    """The corners of overlays of so many of the raster's pixels, from its upper left one."""
     width, height, left, top = geo.georeference()
+    n = F.col("n")
 
-    def row(name: str, right: int, down: int) -> F.Column:
+    def row(name: str, right: F.Column, down: F.Column) -> F.Column:
         lat, lon = geo.unproject(left + right * width, top - down * height)
         return F.struct(F.lit(name).alias("corner"), geo.half_up(lat, 6).alias("lat"), geo.half_up(lon, 6).alias("lon"))
 
-    return s.spark.range(1).select(F.inline(F.array(row("tl", 0, 0), row("tr", 800, 0), row("br", 800, 800), row("bl", 0, 800))))
+    none = F.lit(0)
+    corners = F.array(row("tl", none, none), row("tr", n, none), row("br", n, n), row("bl", none, n))
+    return s.table("part").select((F.col("p_size") * 16).alias("n")).distinct().select("n", F.inline(corners))
 
 
 @query(f"""with q as (select event_id, 156543.03392e0 * cos(radians(48 + event_id % 8)) / pow(2, 3 + event_id % 16) as m from events),

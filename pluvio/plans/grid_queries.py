@@ -99,9 +99,10 @@ def obs_level(s: Scene) -> DataFrame:
     return pins.observed(samples(s, peaked=True), s.pins())
 
 
-@query(f"select cast(i * 14 + j as int) as pin_id, {S.half_up('49.3e0 + i * 0.45e0', 2)} as lat, {S.half_up('14.3e0 + j * 0.7e0', 2)} as lon from range(12) a(i), range(14) b(j)")
+@query(f"select p.pin_id as origin, cast(i * 14 + j as int) as pin_id, {S.half_up('p.lat + i * 0.45e0', 2)} as lat, {S.half_up('p.lon + j * 0.7e0', 2)} as lon from ({PIN_SQL}) p, range(12) a(i), range(14) b(j)")
 def pin_lattice(s: Scene) -> DataFrame:
-    return pins.lattice(s.spark, 49.3, 14.3)
+    """The lattice of pins from each of the pins on."""
+    return pins.lattice(s.pins().select(F.col("pin_id").alias("origin"), "lat", "lon"))
 
 
 _IN = S.turn("plat", "plon", "slat", "slon")
@@ -136,11 +137,16 @@ def _row(lat: str) -> str:
     return f"cast(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * 128e0) as bigint)"
 
 
-@query(f"""with c as (select unnest(range(cast(floor((13.8e0 + 180) / 360 * 128) as bigint), cast(floor((24.6e0 + 180) / 360 * 128) as bigint) + 1)) as x),
-r as (select unnest(range({_row('55.15e0')}, {_row('48.8e0')} + 1)) as y) select x, y from c, r order by x, y limit 24""")
+_COLUMN = "cast(floor(({lon} + 180) / 360 * 128) as bigint)"
+
+
+@query(f"""with b as (select pin_id as box, lat - 1.9e0 as a, lat + 1.9e0 as b, lon - 2.4e0 as c, lon + 2.4e0 as d from ({PIN_SQL}) p),
+x as (select box, a, b, unnest(range({_COLUMN.format(lon='c')}, {_COLUMN.format(lon='d')} + 1)) as x from b), y as (select box, x, unnest(range({_row('b')}, {_row('a')} + 1)) as y from x)
+select box, x, y from (select *, row_number() over (partition by box order by x, y) as n from y) q where n <= 5""")
 def tile_cover(s: Scene) -> DataFrame:
-    """Tiles at zoom 7 that cover the radar's box, 24 at most."""
-    return pins.tiles(s.spark, 7).select("x", "y")
+    """Tiles at zoom 7 that cover a box around each pin, five at most."""
+    around = {"min_lat": F.col("lat") - 1.9, "max_lat": F.col("lat") + 1.9, "min_lon": F.col("lon") - 2.4, "max_lon": F.col("lon") + 2.4}
+    return pins.tiles(s.pins().select(F.col("pin_id").alias("box"), *[c.alias(n) for n, c in around.items()]), 7, 5)
 
 
 @query(f"with {samples_sql(peaked=True)}, f as (select frame_time, count(*) as n, max(level) as m, max(cell_km) as km from samples group by all), l as (select *, lag(frame_time) over (order by frame_time) as prev_time, row_number() over (order by frame_time desc) as rn from f) select frame_time as latest_time, prev_time, n as echo_count, m as max_level, km as cell_km, case when km <= 3 then 2 end as ncc_cell_km from l where rn = 1")

@@ -153,10 +153,15 @@ def alert_replay(s: Scene) -> DataFrame:
     return alerts.replay(rows.withColumns({"lead_min": F.when(F.col("pin_id") % 3 == 0, 45), "min_level": F.when(F.col("pin_id") % 3 == 0, 1)}).withColumnRenamed("level", "cell_level"))
 
 
-@query()
+@query("""with recursive c as (select user_id as client, ts, row_number() over (partition by user_id order by ts) as n from events),
+w as (select client, n, ts, true as allowed, [ts] as recent from c where n = 1
+ union all select c.client, c.n, c.ts, len(list_filter(recent, lambda t: c.ts - t < interval 2 hours)) < 2,
+  case when len(list_filter(recent, lambda t: c.ts - t < interval 2 hours)) < 2 then list_append(list_filter(recent, lambda t: c.ts - t < interval 2 hours), c.ts) else list_filter(recent, lambda t: c.ts - t < interval 2 hours) end from w join c on c.client = w.client and c.n = w.n + 1)
+select client, ts, allowed from w""")
 def rate_limit(s: Scene) -> DataFrame:
     """Calls of each client: two allowed in any two hours."""
-    return alerts.rate_limited(s.table("events").select(F.col("user_id").alias("client"), "ts"), 2, 7200)
+    found = alerts.rate_limited(s.table("events").select(F.col("user_id").alias("client"), "ts"), 2, 7200)
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _pairs(s: Scene) -> DataFrame:

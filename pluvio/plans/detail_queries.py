@@ -73,3 +73,18 @@ def map_tracks(s: Scene) -> DataFrame:
     moves = s.moves().withColumns({"bearing": F.lit(0.0), "speed": F.lit(10.0)})
     scans = moves.select("scan_time").distinct().where("scan_time % 3 > 0").select("scan_time", (F.col("scan_time") % 3 == 1).alias("shown"))
     return TH.tracks_on_map(TH.tracks(moves), scans).select("scan_time", "trail_id", "place")
+
+
+_LEVELS = (("wet", 1), ("strong", 2), ("core", 3))
+
+
+@query(f"with {samples_sql()} select frame_time, {', '.join(f'count(*) filter (level >= {n}) as {name}' for name, n in _LEVELS)} from samples group by frame_time")
+def class_filters(s: Scene) -> DataFrame:
+    """Samples of each frame that are wet, that motion looks at, and that may be cores."""
+    return samples(s).groupBy("frame_time").agg(*[F.count_if(F.col("level") >= n).alias(name) for name, n in _LEVELS])
+
+
+@query(f"with {samples_sql(frames=24, peaked=True)}, f as (select frame_time, row_number() over (order by frame_time) as n, max(frame_time) over () as last from (select distinct frame_time from samples) q) select frame_time from f where n >= 4 and frame_time + 3600 <= last")
+def scorable_frames(s: Scene) -> DataFrame:
+    """The frames that a hindcast can score: three before, an hour after."""
+    return V.scored_frames(samples(s, frames=24, peaked=True))

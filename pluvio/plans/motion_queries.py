@@ -95,14 +95,33 @@ def ncc_shift_all(s: Scene) -> DataFrame:
     return scores.select("frame_time", "dx", "dy", near(F.col("score"), 6).alias("score"))
 
 
-@query()
+def _between(low: str, high: str) -> str:
+    """Where the parabola through the best score and its neighbours is highest."""
+    bend = f"({low} - 2 * score + {high})"
+    return f"(case when least({low}, {high}) < 0.4e0 or {bend} >= 0 then 0 else greatest(-0.5e0, least(0.5e0, 0.5e0 * ({low} - {high}) / {bend})) end)"
+
+
+_FOUR = "select cast(x as int) as dx, cast(y as int) as dy from range(-4, 5) a(x), range(-4, 5) b(y)"
+_MOVED = S.km(f"{LAT}e0", f"{LON}e0", "to_lat", "to_lon")
+_WAYS = S.turn(f"{LAT}e0", f"{LON}e0", "to_lat", "to_lon")
+#: In five minutes no echo comes farther than three cells. The pair counts twice, as neighbours and as ends.
+_PAIR = f"""{_shifted(_FOUR)}, wet as (select frame_time from grid where v > 0 group by frame_time having count(*) >= 4), ok as (select * from r where prev_time in (select frame_time from wet) and frame_time in (select frame_time from wet)),
+best as (select * from (select *, row_number() over (partition by frame_time order by {near_sql('score', 9)} desc, dy, dx) as rn from ok where score >= 0.4e0 and abs(dx) <= 3 and abs(dy) <= 3) q where rn = 1 and (dx <> 0 or dy <> 0)),
+n as (select b.*, w.score as sw, e.score as se, s.score as ss, o.score as sn from best b join r w on w.frame_time = b.frame_time and w.dx = b.dx - 1 and w.dy = b.dy join r e on e.frame_time = b.frame_time and e.dx = b.dx + 1 and e.dy = b.dy
+ join r s on s.frame_time = b.frame_time and s.dx = b.dx and s.dy = b.dy - 1 join r o on o.frame_time = b.frame_time and o.dx = b.dx and o.dy = b.dy + 1),
+m as (select frame_time as pair, prev_time, score, {LAT}e0 + (dy + {_between('ss', 'sn')}) * 3 / 111e0 as to_lat, {LON}e0 + (dx + {_between('sw', 'se')}) * 3 / (111 * greatest(cos(radians({LAT}e0)), 0.25e0)) as to_lon from n)
+select * from (select pair, {near_sql(f'{_MOVED} / ((pair - prev_time) / 3600e0)', 5)} as speed, {near_sql(_WAYS, 5)} as bearing, cast(floor(least(95e0, 40 + 40 * score + 16 + 5) + 0.5e0) as int) as confidence from m) q where speed between 1 and 95"""
+
+
+@query(_PAIR)
 def pair_motion(s: Scene) -> DataFrame:
     """Motion between each two consecutive frames around one point, by the array kernel."""
     rows = samples(s, peaked=True).select("frame_time", "lat", "lon", "level", F.lit(LAT).alias("c_lat"), F.lit(LON).alias("c_lon"))
     times = _times(s)
     later = rows.join(times, "frame_time").withColumn("pair", F.col("frame_time")).drop("prev_time")
     earlier = rows.join(times.select(F.col("prev_time").alias("frame_time"), F.col("frame_time").alias("pair")), "frame_time")
-    return N.motions(later.unionByName(earlier), ["pair"])
+    found = N.motions(later.unionByName(earlier), ["pair"])
+    return found.select("pair", near(F.col("speed"), 5).alias("speed"), near(F.col("bearing"), 5).alias("bearing"), "confidence")
 
 
 def _echo(s: Scene) -> TH.Echo:

@@ -103,10 +103,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The tokenizer drops white space, lower-cases character by character and looks at nothing across a space; its pattern, for ASCII:
-    parts = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+    # The tokenizer drops white space and looks at nothing across it; fixed values of its pattern:
+    contractions = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=2, by_word=True, parts=parts)
+    write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=2, by_word=True, contractions=contractions)
     return read_digests(spark, path)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql.window import Window
 GRAMMAR_IDS, AT_ONCE = 1 << 20, 1 << 22
 #: A pair that stands less often gets no rule.
 LEAST_PAIRS = 16
-#: Words whose ids an encoder remembers, and words that it encodes in one call.
-MOST_WORDS, JOINED = 1_000_000, 50
+#: Words whose ids an encoder remembers.
+MOST_WORDS = 1_000_000
 GRAMMAR = "struct<n:long,terminals:long,width:int,rules:binary,lengths:binary,sequence:binary>"
 #: One row of the files: whole documents in order. ``first`` counts the ids of the same part before it.
 SHARD = f"part int, shard int, first long, n_ids long, doc_id array<long>, n_tokens array<long>, grammars array<{GRAMMAR}>"
@@ -167,86 +169,115 @@ def gathered(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return ids[np.arange(upto[-1] if len(at) else 0) + np.repeat(start - upto + size, size)], size
 
 
+class Splitter:
+    """What a tokenizer makes of plain words before it looks for tokens, learned from the tokenizer itself, character by character.
+
+    The tokenizer must lower-case, and cut a word into ``contractions``, runs of letters, single
+    numbers, and runs of all else, whatever stands around the word. A word is plain if its
+    characters are, which are those up to ``LAST`` that become one character and are not dropped.
+    """
+
+    LAST = 0x4FF
+
+    def __init__(self, tokenizer: Any, path: str, contractions: tuple[str, ...]) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        pieces = lambda x: len(tokenizer.pre_tokenizer.pre_tokenize_str(x))
+        self.lower, kinds = {}, {"letter": "", "number": "", "other": ""}
+        for c in map(chr, range(self.LAST + 1)):
+            small = tokenizer.normalizer.normalize_str(c)
+            # Marks may join what is before them, or change places.
+            if unicodedata.category(c).startswith("M") or len(small) != 1 or small.isspace() or pieces(f"a{small}a") not in (1, 3):
+                continue
+            self.lower[ord(c)] = small
+            if small == c:
+                kinds["letter" if pieces(f"a{c}a") == 1 else "other" if pieces(f"!{c}!") == 1 else "number"] += re.escape(c)
+        self.lower = {c: x for c, x in self.lower.items() if ord(x) in self.lower}
+        plain = "".join(re.escape(chr(c)) for c in self.lower if chr(c) != "\n")
+        self.plain = re.compile(f"[{plain}]*").fullmatch
+        self.find = re.compile("|".join([*map(re.escape, contractions), f"[{kinds['letter']}]+", f"[{kinds['number']}]", f"[{kinds['other']}]+", "\n"])).findall
+        # The same vocabulary and merges, for parts that need no more than being told apart.
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        suffix = tokenizer.model.end_of_word_suffix
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain words and how many each has; None if the vocabulary does not tell where a part ends."""
+        found = self.find("\n".join(words).translate(self.lower) + "\n")
+        line = pc.equal(pa.array(found, pa.string()), "\n").to_numpy(zero_copy_only=False)
+        parts = [x for x in found if x != "\n"]
+        joined = [" ".join(parts[k : k + 1000]) for k in range(0, len(parts), 1000)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.lean.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        end = self.ends[ids]
+        if int(end.sum()) != len(parts):
+            return None
+        of_part = (np.cumsum(line) - line)[~line]
+        return ids, np.bincount(of_part[np.cumsum(end) - end], minlength=len(words))
+
+
 class Encoder:
     """Ids of texts by a tokenizer's file, without special tokens added.
 
-    With ``by_word`` the tokenizer must drop white space and look at nothing across a space; then
-    each distinct word between spaces is encoded once and remembered, about ``MOST_WORDS`` of them,
-    which gives the ids of the whole text for a fraction of the work. ``parts`` may say, as a
-    pattern, what the tokenizer makes of a word of ASCII letters, digits and marks, which it must
-    lower-case, before it looks for tokens: it then encodes each distinct part once.
+    With ``by_word`` the tokenizer must treat all white space alike and drop it, and look at nothing
+    across it; then each distinct word between spaces is encoded once and remembered, about
+    ``MOST_WORDS`` of them, which gives the ids of the whole text for a fraction of the work. With
+    ``contractions`` words are first split as by ``Splitter``, where they are plain.
     """
 
-    def __init__(self, path: str, by_word: bool = False, parts: str | None = None) -> None:
+    def __init__(self, path: str, by_word: bool = False, contractions: tuple[str, ...] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.parts = Tokenizer.from_file(path), by_word, parts
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and " " not in t.content]
-        self.mark = special[0] if special else None
-        self.forget_parts()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = Splitter(self.tokenizer, path, contractions) if contractions is not None else None
         self.forget()
 
     def forget(self) -> None:
         self.at, self.ids, self.ends = Numbered(), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def forget_parts(self) -> None:
-        self.part, self.part_ids, self.part_ends = Numbered(), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_plain``, several words to a text: a special token between two words parts them before anything else is done to them, and its id shows where."""
-        if self.mark is None or any(self.mark[0] in w for w in words):
-            return self._plain(words)
-        text, number = self.mark
-        found = self.tokenizer.encode_batch_fast([text.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(chain(e.ids, (number,)) for e in found), np.uint32)
-        at = np.flatnonzero(ids == number)
-        if len(at) != len(words):
-            return self._plain(words)
-        return np.delete(ids, at), np.diff(np.concatenate(([-1], at))) - 1
-
-    def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_joined``, of the parts of words of plain ASCII, each part encoded once; other words whole. Words stand in lines while they are split."""
-        if self.parts is None:
-            return self._joined(words)
-        if len(self.part) > MOST_WORDS:
-            self.forget_parts()
-        plain = np.fromiter((w.isascii() and "<|" not in w and "\n" not in w for w in words), bool, len(words))
-        whole = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
-        lines = "\n".join([w for w, p in zip(words, plain.tolist(), strict=True) if p])
-        # Each line ends with a part like others here, of which a tokenizer that drops white space makes nothing.
-        found = re.findall(f"(?:{self.parts})|\n", lines.lower() + "\n") if plain.any() else []
-        number, new = self.part.numbers(pa.array(["\n", *found, *whole]))
-        if new:
-            ids, size = self._joined(new)
-            self.part_ids, self.part_ends = np.concatenate((self.part_ids, ids)), np.concatenate((self.part_ends, self.part_ends[-1] + np.cumsum(size)))
-        line, at, odd = number[0], number[1 : len(found) + 1], number[len(found) + 1 :]
-        count = np.ones(len(words), dtype=np.int64)
-        count[plain] = np.diff(np.concatenate(([-1], np.flatnonzero(at == line))))
-        # Back in the words' order, an end with the word before it.
-        order = np.empty(int(count.sum()), dtype=np.int64)
-        of_plain = np.repeat(plain, count)
-        order[of_plain], order[~of_plain] = at, odd
-        ids, size = gathered(self.part_ids, self.part_ends, order)
-        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))])
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``, with plain words split first."""
+        if self.split is None:
+            return self._whole(words)
+        plain = np.array([self.split.plain(w) is not None for w in words], dtype=bool)
+        if any(x in "\n".join(words) for x in self.special):
+            plain &= ~np.array([any(x in w for x in self.special) for w in words], dtype=bool)
+        chosen = plain.tolist()
+        first = self.split.encode([w for w, p in zip(words, chosen, strict=True) if p])
+        if first is None:
+            return self._whole(words)
+        second = self._whole([w for w, p in zip(words, chosen, strict=True) if not p])
+        # Back in the words' order.
+        size, start = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
+        for on, (ids, own), base in ((plain, first, 0), (~plain, second, len(first[0]))):
+            size[on] = own
+            start[on] = base + np.cumsum(own) - own
+        upto = np.cumsum(size)
+        ids = np.concatenate((first[0], second[0]))
+        return ids[np.arange(upto[-1] if len(words) else 0) + np.repeat(start - upto + size, size)], size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
         if not self.by_word:
-            return self._plain(texts.to_pylist())
+            return self._whole(texts.to_pylist())
         if len(self.at) > MOST_WORDS:
             self.forget()
-        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         per_text = lists.value_lengths().to_numpy()
         number, new = self.at.numbers(lists.flatten())
         if new:
-            ids, size = self._split(new)
+            ids, size = self._words(new)
             self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
         ids, size = gathered(self.ids, self.ends, number)
         return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per_text)))])
@@ -265,8 +296,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, by_word: bool, parts: str | None) -> Encoder:
-    return Encoder(path, by_word, parts)
+def _encoder(path: str, by_word: bool, contractions: tuple[str, ...] | None) -> Encoder:
+    return Encoder(path, by_word, contractions)
 
 
 # The files.
@@ -331,11 +362,11 @@ def _groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, parts: str | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, contractions: tuple[str, ...] | None = None) -> None:
     """Ids of every text of ``docs`` (``doc_id, text``), each with ``end_id`` behind it, as files under ``path``.
 
     ``tokenizer`` is the path of a tokenizer's file, the same on every executor; for ``by_word`` and
-    ``parts`` see ``Encoder``. Documents are dealt
+    ``contractions`` see ``Encoder``. Documents are dealt
     by ranges of ``doc_id`` and stand in ascending order in the files; rows of one id in the order
     of a hash of their text, and, so that no id fills one part, rows alike in both may stand in
     several parts. The files are Parquet, one row a shard (``SHARD``): the ids and lengths of its
@@ -347,7 +378,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, by_word, parts)
+        encoder = _encoder(tokenizer, by_word, contractions)
         out = _Writer(TaskContext.get().partitionId(), max(encoder.n_ids, end_id + 1))
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:

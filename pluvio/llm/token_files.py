@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ids under one grammar at most; texts are encoded so many bytes at a time, a longer one in stretches of so many code points.
-GRAMMAR_IDS, AT_ONCE = 1 << 20, 1 << 22
+GRAMMAR_IDS, BYTES, AT_ONCE = 1 << 20, 1 << 23, 1 << 22
 #: A pair that stands less often gets no rule.
 LEAST_PAIRS = 16
 #: Words whose ids an encoder remembers.
@@ -383,7 +383,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts, ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id").to_pylist()
-            for i, j in _groups(texts, AT_ONCE):
+            for i, j in _groups(texts, BYTES):
                 if j == i + 1:
                     n = 0
                     for stretch in encoder.stretches(texts[i].as_py()):
@@ -394,11 +394,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
                     yield from out.end(ids[i], n + 1)
                 else:
                     found, size = encoder.encode(texts.slice(i, j - i))
-                    upto = np.concatenate(([0], np.cumsum(size)))
-                    for k in range(i, j):
-                        out.add(found[upto[k - i] : upto[k - i + 1]])
-                        out.add(end)
-                        yield from out.end(ids[k], int(size[k - i]) + 1)
+                    upto = np.cumsum(size)
+                    ended, stops = np.insert(found, upto, end_id), (upto + np.arange(1, j - i + 1)).tolist()
+                    for k, start, stop in zip(range(i, j), [0, *stops[:-1]], stops, strict=True):
+                        out.add(ended[start:stop])
+                        yield from out.end(ids[k], stop - start)
         yield from out.row()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm.runtime import cut
-from pluvio.llm.token_files import Numbered, gathered
+from pluvio.llm.token_files import gathered
 
 #: Labels of a byte: no token ends behind it, one of A does, one of B does, both do.
 NONE, A_END, B_END, BOTH = b".ab+"
@@ -121,18 +121,32 @@ class _Growing:
         return self.held[: self.n]
 
 
+class _Numbered(dict):
+    """Stretches by number; one that is not known yet gets the next, and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Kinds:
     """Every distinct stretch of text that this worker has met, aligned once."""
 
     def __init__(self, pair: Pair) -> None:
-        self.pair, self.at, self.groups = pair, Numbered(), []
+        self.pair, self.at, self.groups = pair, _Numbered(), []
         self.ok = _Growing(bool)
         self.counts = {name: _Growing(np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
         self.ends, self.link = _Growing(np.int64), _Growing(np.int64)
         self.ends.add(np.zeros(1, dtype=np.int64))
 
-    def learn(self, new: list[str]) -> None:
-        """Aligns what has been numbered as new."""
+    def learn(self) -> None:
+        """Aligns what has been numbered since."""
+        new, self.at.new = self.at.new, []
         if new:
             found = Aligned(self.pair, new)
             self.ok.add(found.ok)
@@ -153,10 +167,9 @@ class _Block:
         self.n = 0
 
     def add(self, kinds: Kinds, doc_ids: list, texts: list[str]) -> None:
-        words = [(_cut(" " + text) if kinds.pair.cuts else [" " + text]) if text else [] for text in texts]
-        number, new = kinds.at.numbers(pa.array(list(chain.from_iterable(words)), pa.large_string()))
-        own = np.split(number.astype(np.int32), np.cumsum([len(w) for w in words])[:-1])
-        kinds.learn(new)
+        number = kinds.at.__getitem__
+        own = [np.fromiter(map(number, _cut(" " + text) if kinds.pair.cuts else [" " + text]), np.int32) if text else np.zeros(0, np.int32) for text in texts]
+        kinds.learn()
         ok, groups = kinds.ok.all(), kinds.groups.__getitem__
         for at in own:
             at = at if len(at) and ok[at].all() else at[:0]

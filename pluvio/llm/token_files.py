@@ -204,19 +204,29 @@ class Splitter:
         suffix = tokenizer.model.end_of_word_suffix
         for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at, self.ids, self.bounds = Numbered(), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of plain words and how many each has; None if the vocabulary does not tell where a part ends."""
-        found = self.find("\n".join(words).translate(self.lower) + "\n")
-        line = pc.equal(pa.array(found, pa.string()), "\n").to_numpy(zero_copy_only=False)
-        parts = [x for x in found if x != "\n"]
-        joined = [" ".join(parts[k : k + 1000]) for k in range(0, len(parts), 1000)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.lean.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
-        end = self.ends[ids]
-        if int(end.sum()) != len(parts):
-            return None
-        of_part = (np.cumsum(line) - line)[~line]
-        return ids, np.bincount(of_part[np.cumsum(end) - end], minlength=len(words))
+        """Ids of plain words and how many each has, each distinct part encoded once; None if the vocabulary does not tell where a part ends."""
+        if len(self.at) > MOST_WORDS:
+            self.forget()
+        found = pa.array(self.find("\n".join(words).translate(self.lower) + "\n"), pa.large_string())
+        line = pc.equal(found, "\n")
+        number, new = self.at.numbers(found.filter(pc.invert(line)))
+        if new:
+            joined = [" ".join(new[k : k + 1000]) for k in range(0, len(new), 1000)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.lean.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(new):
+                self.forget()
+                return None
+            self.ids, self.bounds = np.concatenate((self.ids, ids)), np.concatenate((self.bounds, self.bounds[-1] + stops))
+        ids, size = gathered(self.ids, self.bounds, number)
+        line = line.to_numpy(zero_copy_only=False)
+        return ids, np.bincount((np.cumsum(line) - line)[~line], weights=size, minlength=len(words)).astype(np.int64)
 
 
 class Encoder:

@@ -24,7 +24,7 @@ GRAMMAR_IDS, BYTES, AT_ONCE = 1 << 20, 1 << 23, 1 << 22
 #: A pair that stands less often gets no rule.
 LEAST_PAIRS = 16
 #: Words whose ids an encoder remembers.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 800_000
 GRAMMAR = "struct<n:long,terminals:long,width:int,rules:binary,lengths:binary,sequence:binary>"
 #: One row of the files: whole documents in order. ``first`` counts the ids of the same part before it.
 SHARD = f"part int, shard int, first long, n_ids long, doc_id array<long>, n_tokens array<long>, grammars array<{GRAMMAR}>"
@@ -179,8 +179,8 @@ class Splitter:
 
     LAST = 0x4FF
 
-    def __init__(self, tokenizer: Any, path: str, contractions: tuple[str, ...]) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, tokenizer: Any, contractions: tuple[str, ...]) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         pieces = lambda x: len(tokenizer.pre_tokenizer.pre_tokenize_str(x))
         self.lower, kinds = {}, {"letter": "", "number": "", "other": ""}
@@ -197,8 +197,7 @@ class Splitter:
         self.plain = re.compile(f"[{plain}]*").fullmatch
         self.find = re.compile("|".join([*map(re.escape, contractions), f"[{kinds['letter']}]+", f"[{kinds['number']}]", f"[{kinds['other']}]+", "\n"])).findall
         # The same vocabulary and merges, for parts that need no more than being told apart.
-        self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer = normalizers.Sequence([])
+        self.lean = Tokenizer(tokenizer.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         suffix = tokenizer.model.end_of_word_suffix
@@ -245,7 +244,7 @@ class Encoder:
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = Splitter(self.tokenizer, path, contractions) if contractions is not None else None
+        self.split = Splitter(self.tokenizer, contractions) if contractions is not None else None
         self.forget()
 
     def forget(self) -> None:

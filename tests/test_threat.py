@@ -284,17 +284,18 @@ def test_hail_at_the_pin(spark):
     assert "gradu" in TH.threats(TH.echo(hail, T.one_scan(hail)), pins).first()["expect"]
 
 
-def test_the_timeline_against_plain_loops(spark):
-    """Every sample carried by the motion of its place, for a field of two anchors; step by step."""
+@pytest.mark.parametrize("cell", [3.0, 6.0, 12.0])
+def test_the_timeline_against_plain_loops(spark, cell):
+    """Every sample carried by the motion of its place, for a field of two anchors on cells of some size; step by step."""
     rng = np.random.default_rng(5)
     cells = [(50 + rng.normal() * 0.3, 20.6 + rng.normal() * 0.3, int(rng.integers(1, 5))) for _ in range(120)]
     anchors = [(50.2, 20.3, 30.0, 10.0), (49.8, 20.9, 20.0, -15.0)]
     rows = scene(spark, (0, cells))
     field = spark.createDataFrame([(0, *a) for a in anchors], "frame_time long, lat double, lon double, u double, v double")
-    pin = spark.createDataFrame([(0, 1, *CITY, (25.0, 0.0), True)], "frame_time long, pin_id long, pin_lat double, pin_lon double, background struct<u:double,v:double>, moving boolean")
+    pin = spark.createDataFrame([(0, 1, *CITY, (25.0, 0.0), True)], "frame_time long, pin_id long, pin_lat double, pin_lon double, background struct<u:double,v:double>, moving boolean").withColumn("field_km", F.lit(cell))
 
     def motion(lat, lon):
-        lat_step, lon_step = 3 / 111, 3 / (111 * math.cos(math.radians(CITY[0])))
+        lat_step, lon_step = cell / 111, cell / (111 * math.cos(math.radians(CITY[0])))
         ix, iy = math.floor((lon - CITY[1]) / lon_step + 0.5) + 20, math.floor((lat - CITY[0]) / lat_step + 0.5) + 20
         if 0 <= ix < 40 and 0 <= iy < 40:
             lat, lon = CITY[0] + (iy - 20) * lat_step, CITY[1] + (ix - 20) * lon_step
@@ -315,6 +316,29 @@ def test_the_timeline_against_plain_loops(spark):
         assert got[t] == pytest.approx(math.floor((sum(own) / len(own) if own else 0) * 10 + 0.5) / 10), t
 
 
+def test_threats_look_at_the_field_of_their_own_cells(spark):
+    """A scan on wide cells has its field on them: where two masses part, the timeline is that of plain ``timeline`` at the scan's size, and another than at 3 km."""
+    frames = two_motions()
+    pins = spark.createDataFrame([(1, "Dom", *CITY)], "pin_id long, label string, lat double, lon double")
+    lines = {}
+    for cell in (3.0, 12.0):
+        rows = scene(spark, *frames).withColumn("cell_km", F.lit(cell)).withColumn("ncc_cell_km", F.lit(2.0))
+        e = TH.echo(rows, T.one_scan(rows))
+        assert TH.cell_km(e).first()["cell_km"] == cell
+        moving = TH.moving_masses(e)
+        u, v = A.geo.to_uv(F.col("bearing"), F.col("speed"))
+        anchors = moving.select(F.col("scan_time").alias("frame_time"), "lat", "lon", u.alias("u"), v.alias("v"))
+        found = TH.threats(e, pins).first()
+        regional = TH.regional_motion(e, pins).first()
+        ru, rv = (regional["speed"] * f(math.radians(regional["bearing"])) for f in (math.sin, math.cos)) if regional else (None, None)
+        own = rows.where(F.col("frame_time") == 1800)
+        pin = spark.createDataFrame([(1800, 1, *CITY, (ru, rv) if regional else None, True, cell)], "frame_time long, pin_id long, pin_lat double, pin_lon double, background struct<u:double,v:double>, moving boolean, field_km double")
+        want = {r["t"]: (r["level"], r["rate"], r["unknown"]) for r in A.timeline(own, pin, anchors).collect()}
+        assert anchors.count() >= 1 and {p["t"]: (p["level"], p["rate"], p["unknown"]) for p in found["timeline"]} == want
+        lines[cell] = want
+    assert len(lines) == 2
+
+
 def test_hindcast_of_a_cell_that_comes(spark):
     """A cell that marches to the pin and stays: alerts fire and are right, and so is the nowcast."""
     lons = [20.1, 20.25, 20.4, 20.55, 20.7, 20.85, 21.0, 21.0, 21.0, 21.0]

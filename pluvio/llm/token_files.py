@@ -24,7 +24,7 @@ GRAMMAR_IDS, BYTES, AT_ONCE = 1 << 20, 1 << 23, 1 << 22
 #: A pair that stands less often gets no rule.
 LEAST_PAIRS = 16
 #: Words whose ids an encoder remembers.
-MOST_WORDS = 800_000
+MOST_WORDS = 1_000_000
 GRAMMAR = "struct<n:long,terminals:long,width:int,rules:binary,lengths:binary,sequence:binary>"
 #: One row of the files: whole documents in order. ``first`` counts the ids of the same part before it.
 SHARD = f"part int, shard int, first long, n_ids long, doc_id array<long>, n_tokens array<long>, grammars array<{GRAMMAR}>"
@@ -112,13 +112,11 @@ def _levels(seq: np.ndarray, rules: np.ndarray, size: np.ndarray, terminals: int
 
 
 def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that a sequence of symbols derives: each rule that it names is expanded once, then copied wherever it stands."""
-    named = np.unique(sequence[sequence >= terminals]).astype(np.int64)
+    """The ids that a sequence of symbols derives: each rule is expanded once, then copied wherever it stands."""
     size = np.concatenate((np.ones(terminals, dtype=np.int64), lengths.astype(np.int64)))
     # What stands for each symbol: itself, or its rule's ids, behind those of the terminals.
-    start = np.arange(len(size), dtype=np.int64)
-    start[named] = terminals + np.cumsum(size[named]) - size[named]
-    ids = np.concatenate((np.arange(terminals, dtype=np.uint32), _levels(named, rules, size, terminals)))
+    start = np.cumsum(size) - size
+    ids = np.concatenate((np.arange(terminals, dtype=np.uint32), _levels(np.arange(terminals, len(size)), rules, size, terminals)))
     per = size[sequence]
     upto = np.cumsum(per)
     return ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[sequence] - upto + per, per)]

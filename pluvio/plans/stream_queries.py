@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pluvio.functions import geo, sql
 from pluvio.functions.const import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, NEAREST_COLOUR, TOWARD_PL
 from pluvio.operators import cover
-from pluvio.operators.stages import shared_folder
+from pluvio.operators.stages import shared_folder, written
 from pluvio.plans import sqltext as S
 from pluvio.plans.alert_queries import _lines
 from pluvio.plans.decision_queries import _SQ, _points, _squares
@@ -77,7 +77,7 @@ def episode_replay(s: Scene) -> DataFrame:
 def alert_delivery(s: Scene) -> DataFrame:
     """The events of the replay as they were delivered: two batches, the second with some of the first's, and delivered twice; quiet from 22 to 6."""
     path = f"{shared_folder(s.spark)}/delivered-{uuid.uuid4().hex}"
-    events, deliver = alerts.replay(_lines(s).withColumnRenamed("level", "cell_level")), delivery.sink(path, 22, 6)
+    events, deliver = written(alerts.replay(_lines(s).withColumnRenamed("level", "cell_level"))), delivery.sink(path, 22, 6)  # read by each delivery
     deliver(events.where("pin_id % 2 = 0"), 0)
     for _ in range(2):
         deliver(events.where("pin_id % 2 = 1 or pin_id % 3 = 0"), 1)

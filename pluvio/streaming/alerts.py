@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, fields, replace
+from functools import reduce
+from operator import add
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.operators import alert_rules as R
@@ -99,24 +102,30 @@ def step(threat: dict[str, Any], settings: Settings, memory: Memory, now: float)
     if radar is None or now - radar > STALE_MIN * 60:
         return None, memory, "stale"
     seen = look(threat, settings, memory.stage, max(0.0, (now - radar) / 60))
+    kind, episode, after, why = fold(seen, memory, settings.all_clear, now)
     told = {"eta": seen.wall, "level": seen.level, "chance": threat["chance"], "hit": memory.hit, "far": seen.far}
+    return ({**told, "kind": kind, "episode": episode} if kind else None), after, why
+
+
+def fold(seen: Look, memory: Memory, all_clear: bool, now: float) -> tuple[str | None, float | None, Memory, str]:
+    """What a look makes of an episode: the kind of the event to fire, if any, the episode it is of, the memory after it, and why."""
     if seen.over or seen.coming:
         episode = now if memory.stage == "idle" else memory.episode
         kind = TOLD.get((memory.stage, seen.over))
         after = replace(memory, episode=episode, stage=kind or memory.stage, qualified_at=now, clear_since=None, hit=memory.hit or kind == "now")
-        return ({**told, "kind": kind, "episode": episode} if kind else None), after, "fired" if kind else "told"
+        return kind, episode, after, "fired" if kind else "told"
     if memory.qualified_at is not None and now - memory.qualified_at > TTL_MIN * 60:
         memory = Memory()
     if memory.stage == "idle":
-        return None, memory, "idle"
+        return None, None, memory, "idle"
     decayed = memory.hit and seen.dry
     if (seen.in_play and not memory.hit) or not (seen.far or decayed):
-        return None, replace(memory, clear_since=None), "held"
+        return None, None, replace(memory, clear_since=None), "held"
     since = now if memory.clear_since is None else memory.clear_since
     wait = DEBOUNCE_MIN if seen.far else DECAY_MIN
     if memory.clear_since is None or now - since < wait * 60:
-        return None, replace(memory, clear_since=since), "clearing"
-    return ({**told, "kind": "allclear", "episode": memory.episode} if settings.all_clear else None), Memory(), "clear"
+        return None, None, replace(memory, clear_since=since), "clearing"
+    return ("allclear" if all_clear else None), memory.episode, Memory(), "clear"
 
 
 #: What an event takes over from the threat for its words.
@@ -156,26 +165,88 @@ def worded(events: DataFrame) -> DataFrame:
     )
 
 
+#: What a threat means, each as one bit of ``seen``: that it counts at all, and what ``Look`` has, of which ``later`` is ``coming`` while an episode runs.
+COUNTS, IS_OVER, IS_COMING, IS_LATER, IN_PLAY, IS_FAR, IS_DRY, TELLS_CLEAR = (1 << n for n in range(8))
+
+
+def fresh() -> Column:
+    """Whether a threat counts: alerts are on, and its radar is not old."""
+    radar = F.col("radar_time").cast("double")
+    return F.coalesce(F.col("enabled") & ~F.isnan(radar) & (F.unix_micros("ts") / 1e6 - radar <= STALE_MIN * 60), F.lit(False))
+
+
+def looked(rows: DataFrame) -> DataFrame:
+    """``rows`` (of ``_complete``) with ``now``, ``seen`` (the bits above), and ``far`` and what an event tells: ``eta, level, chance``. As ``look``, by Spark for all rows at once, so that no timeline goes to Python."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    least, pin, lead = F.col("min_level"), F.col("pin_level"), F.col("lead_min")
+    rows = rows.withColumns({"now": F.unix_micros("ts") / 1e6, "radar_time": real("radar_time"), "speed_kmh": real("speed_kmh"), "__eta": real("eta"), "__near": real("nearest_km"), "__line": F.when(no(F.col("timeline_advected")) & (F.size("timeline") > 0), F.col("timeline"))})
+    line = F.col("__line")
+    hit = F.filter(line, lambda p: (p["level"] >= least) & ~no(p["unknown"]))
+    own = F.when(no(F.col("will_hit")) & (F.col("cell_level") >= least), F.col("__eta"))
+    reached = F.when(line.isNull(), own).when(F.size(hit) > 0, F.get(hit, F.lit(0))["t"].cast("double")).when(F.exists(line, lambda p: no(p["unknown"])), own)
+    rows = rows.withColumns({"__reach": reached, "__age": F.greatest(F.lit(0.0), (F.col("now") - F.col("radar_time")) / 60)})
+    reach, near, quiet = F.col("__reach"), F.col("__near"), no(F.col("receding"))
+    peak = F.array_max(F.transform(F.filter(line, lambda p: (p["t"] >= reach) & (p["t"] <= reach + 30)), lambda p: p["level"]))
+    wall = F.when(reach.isNotNull(), F.greatest(F.lit(0).cast("long"), F.floor(reach - F.col("__age") + 0.5)))
+    over = no((F.col("__eta") == 0) & (near <= OVER_KM) & (pin >= least))
+    rows = rows.withColumns({"__over": over, "__wall": wall, "__peak": F.coalesce(peak, F.lit(0)), "far": near.isNull() | no(near > CLEAR_KM) | no(quiet & (near > OVER_KM))})
+    over, wall = F.col("__over"), F.col("__wall")
+    due = ~over & ~quiet & no((reach > 0) & (F.col("chance") >= F.col("min_chance")))
+    bits = {
+        COUNTS: fresh(), IS_OVER: over, IS_COMING: due & no(wall <= lead), IS_LATER: due & no(wall <= lead + HYSTERESIS_MIN),
+        IN_PLAY: no(reach <= lead + HOLD_MIN) | no(F.col("approaching")), IS_FAR: F.col("far"), IS_DRY: no(pin < least), TELLS_CLEAR: no(F.col("all_clear")),
+    }
+    seen = reduce(add, [F.when(c, n).otherwise(0) for n, c in bits.items()])
+    told = {"eta": F.when(over, 0).otherwise(wall).cast("double"), "level": F.when(over, pin).otherwise(F.greatest("cell_level", pin, "__peak")).cast("int"), "chance": F.col("chance").cast("int")}
+    return rows.withColumns({"seen": seen, **told}).drop("__eta", "__near", "__line", "__reach", "__age", "__over", "__wall", "__peak")
+
+
+def folded(seen: int, memory: Memory, now: float) -> tuple[str | None, float | None, Memory]:
+    """``fold`` of the bits of ``looked``; what an idle pin has no use for is passed over."""
+    idle = memory.stage == "idle"
+    if not seen & COUNTS or (idle and not seen & (IS_OVER | IS_COMING)):
+        return None, None, memory
+    on = lambda bit: bool(seen & bit)
+    own = Look(on(IS_OVER), on(IS_COMING if idle else IS_LATER), None, None, 0, on(IN_PLAY), on(IS_FAR), on(IS_DRY))
+    return fold(own, memory, on(TELLS_CLEAR), now)[:3]
+
+
+#: What the replay deals to the pins of each row.
+DEALT = ("ts", "event_id", "now", "seen", "eta", "level", "chance", "far", "radar_time", *TAKEN)
+
+
+def told(batch: pa.RecordBatch, fired: list[tuple[int, str, float | None, bool]]) -> pa.RecordBatch:
+    """The rows of a batch that fire (place, kind, episode, hit) as ``FIRED``."""
+    at, kinds, episodes, hits = zip(*fired, strict=True) if fired else ((), (), (), ())
+    rows = batch.take(pa.array(at, pa.int64()))
+    more = {"at": rows.column("ts"), "kind": pa.array(kinds, pa.string()), "episode": pa.array(episodes, pa.float64()), "hit": pa.array(hits, pa.bool_())}
+    return pa.RecordBatch.from_arrays([more[c] if c in more else rows.column(c) for c in NAMES], NAMES)
+
+
 def replay(threats: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008  it is frozen
     """Events of each pin's threats (``pin_id, ts, ...``) in the order of time, with their words.
 
-    Rows are dealt by pin, sorted, and stream through ``step`` with one memory at a time, so that a
-    pin may have any number of rows. Columns named as a setting hold each pin's own.
+    Spark looks at every row (``looked``); what counts is dealt by pin, sorted, and streams through
+    ``fold`` with one memory at a time, so that a pin may have any number of rows. Columns named as
+    a setting hold each pin's own.
     """
 
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pin, memory = None, Memory()
-        for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                if row["pin_id"] != pin:
-                    pin, memory = row["pin_id"], Memory()
-                event, memory = _look_at(row, pin, memory)
-                out += [event] if event else []
-            yield pd.DataFrame(out, columns=NAMES)
-
-    dealt = _complete(threats, settings).repartition("pin_id").sortWithinPartitions("pin_id", "ts", "event_id")
-    return worded(dealt.mapInPandas(run, FIRED))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pin, memory = object(), Memory()
+        for batch in batches:
+            fired = []
+            for n, (own, now, seen) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pin_id", "now", "seen")), strict=True)):
+                if own != pin:
+                    pin, memory = own, Memory()
+                hit = memory.hit
+                kind, episode, memory = folded(seen, memory, now)
+                if kind:
+                    fired.append((n, kind, episode, hit))
+            yield told(batch, fired)
+
+    dealt = looked(_complete(threats, settings).where(fresh())).select(F.col("pin_id").cast("long").alias("pin_id"), *DEALT).repartition("pin_id").sortWithinPartitions("pin_id", "ts", "event_id")
+    return worded(dealt.mapInArrow(run, FIRED))
 
 
 def stream(threats: DataFrame, settings: Settings = Settings(), late: str = "1 hour", forget_hours: float = 24.0) -> DataFrame:  # noqa: B008  it is frozen

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pluvio.plans import stream_queries as SQ
 from pluvio.plans.fixtures import Scene
 from pluvio.sources import polling
-from pluvio.streaming import delivery, episodes
+from pluvio.streaming import alerts, delivery, episodes
 from pluvio.streaming.strikes import strikes_by_cell
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -226,3 +227,50 @@ def test_a_stream_delivers_each_event_once(spark, tmp_path):
     run.awaitTermination()
     got = shown(spark, path)
     assert len(got) == len(set(got)) and {(p, e) for p, e, _ in got} == {(r["pin_id"], r["event_id"]) for r in rows.collect()}
+
+
+# Looks at all rows by Spark
+
+
+def test_delivery_takes_one_run_of_the_replay(spark, monkeypatch):
+    rows, replay = spark.sparkContext.accumulator(0), alerts.replay
+
+    def counted(threats):
+        def count(parts):
+            for part in parts:
+                rows.add(part.num_rows)
+                yield part
+
+        found = replay(threats)
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(alerts, "replay", counted)
+    told = SQ.alert_delivery(Scene(spark, f"{DATA}/sf0.001")).select("pin_id", "event_id").distinct().count()
+    assert 0 < told <= rows.value == replay(SQ._lines(Scene(spark, f"{DATA}/sf0.001")).withColumnRenamed("level", "cell_level")).count()
+
+
+def test_spark_looks_at_a_threat_as_the_step_does(spark):
+    odd = random.Random(5)
+    some = lambda *of: odd.choice(of)
+    names = ["pin_id", "ts", "event_id", "radar_time", "eta", "nearest_km", "pin_level", "cell_level", "will_hit", "approaching", "receding", "chance", "timeline", "timeline_advected", "enabled", "lead_min", "min_level", "min_chance", "all_clear"]
+    kinds = "pin_id long, ts double, event_id long, radar_time double, eta double, nearest_km double, pin_level int, cell_level int, will_hit boolean, approaching boolean, receding boolean, chance int, timeline array<struct<t:int,level:int,rate:double,unknown:boolean>>, timeline_advected boolean, enabled boolean, lead_min int, min_level int, min_chance int, all_clear boolean"
+    now, rows = 1_704_067_200.25, []
+    for n in range(1500):
+        now += some(20, 61.5, 180, 400, 3000)
+        line = some(None, [], [(t, odd.randrange(5), 1.0, odd.random() < 0.1) for t in range(0, 91, 15)])
+        rows.append((
+            7, now, n, some(now, now - 90, now - 1800, now - 1801, None, math.nan), some(None, math.nan, 0.0, 5.0, 20.0, 45.0), some(None, math.nan, 3.0, 8.0, 15.0, 30.0), odd.randrange(4), odd.randrange(5), some(True, False, None), some(True, False, False), some(True, False, False, None), some(30, 49, 50, 90), line, some(True, False, None),
+            odd.random() < 0.95, some(30, 45), some(1, 2, 3), 50, odd.random() < 0.9,
+        ))
+    memory, want = alerts.Memory(), []
+    for row in (dict(zip(names, r, strict=True)) for r in rows):
+        line = row["timeline"] and [dict(zip(("t", "level", "rate", "unknown"), p, strict=True)) for p in row["timeline"]]
+        event, memory, _ = alerts.step({**row, "timeline": line}, alerts.Settings(*(row[c] for c in ("enabled", "lead_min", "min_level", "min_chance", "all_clear"))), memory, row["ts"])
+        want += [(row["ts"], event["kind"], None if event["eta"] is None else int(event["eta"]), event["level"], event["chance"])] if event else []
+    threats = spark.createDataFrame(rows, kinds).withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    seconds = F.unix_micros("at") / 1e6
+    for zone in ("UTC", "Europe/Warsaw"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [tuple(r) for r in alerts.replay(threats).select(seconds, "kind", "eta", "level", "chance").orderBy("at").collect()]
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == want and len(want) > 40 and {k for _, k, *_ in want} == {"incoming", "now", "allclear"}

@@ -240,10 +240,22 @@ def sample_arrives(s: Scene) -> DataFrame:
 @query("""with o as (select event_id, epoch(ts) as at from events where event_type = 'view'), p as (select event_id as path_id, epoch(ts) as at from events where event_type = 'click'),
 r as (select o.event_id, p.path_id, row_number() over (partition by o.event_id order by p.at, p.path_id) as rn from o join p on abs(p.at - o.at) < 360) select event_id, path_id from r where rn = 1""")
 def asof_overlay(s: Scene) -> DataFrame:
-    """For each overlay the first tile frame less than six minutes away. Both sides meet in slots of six minutes, so that no pair farther apart is formed."""
+    """For each overlay the first tile frame less than six minutes away.
+
+    That is the first one later than six minutes before the overlay. Both sides lie in slots of six
+    minutes by these times, each slot also with the first frame of the next two, and a window from
+    the latest backwards has for each overlay the frame that follows it. Each row goes there once,
+    however many overlays and frames are close.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = s.table("events").withColumn("at", at).withColumn("slot", F.floor(F.col("at") / 360))
-    left = rows.where("event_type = 'view'").select("event_id", F.col("at").alias("own"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    right = rows.where("event_type = 'click'").select(F.col("event_id").alias("path_id"), "at", "slot")
-    near = left.join(right, "slot").where(F.abs(F.col("at") - F.col("own")) < 360)
-    return near.groupBy("event_id").agg(F.min(F.struct("at", "path_id"))["path_id"].alias("path_id"))
+    rows = s.table("events").select("event_id", "event_type", at.alias("at")).where("at is not null")
+    slot = F.floor(F.col("at") / 360).alias("slot")
+    frame = F.struct("at", F.col("event_id").isNull().alias("none"), F.col("event_id").alias("path_id")).alias("frame")
+    frames = rows.where("event_type = 'click'").select(slot, frame)
+    later = frames.groupBy("slot").agg(F.min("frame").alias("frame")).select(F.explode(F.array(F.col("slot") - 1, F.col("slot") - 2)).alias("slot"), "frame")
+    known = frames.unionByName(later).select("slot", F.col("frame.at").alias("at"), "frame")
+    overlays = rows.where("event_type = 'view'").select("event_id", F.col("at").alias("own"), (F.col("at") - 360).alias("at")).withColumn("slot", slot)
+    both = overlays.unionByName(known, allowMissingColumns=True)
+    back = Window.partitionBy("slot").orderBy(F.desc("at"), F.col("frame").isNotNull(), F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("next", F.last("frame", ignorenulls=True).over(back)).where("own is not null and next.at - own < 360")
+    return near.groupBy("event_id").agg(F.min("next")["path_id"].alias("path_id"))

@@ -26,10 +26,11 @@ def aggregate(hits: DataFrame, most: int = MAX_CELLS, frame: str = "frame_time")
     factor under which it has at most ``most`` cells, or the last.
     """
     cell = lambda x, low, size, f: F.floor((F.col(x) - low) / (size * f))
-    # The cell of the finest grid comes first: hits of one cell meet before they are spread over the factors.
-    bins = F.array(*[F.struct(F.lit(f).alias("factor"), cell("lat", LAT_MIN, CELL_LAT, f).alias("i"), cell("lon", LON_MIN, CELL_LON, f).alias("j")) for f in FACTORS])
-    fine = hits.groupBy(frame, bins.alias("bins")).agg(F.max("rate").alias("rate"))
-    cells = fine.select(frame, "rate", F.inline("bins")).groupBy(frame, "factor", "i", "j").agg(F.max("rate").alias("rate"))
+    # The cells of a hit come first, as plain numbers: hits of the same ones meet before they are spread over the factors.
+    own = {f"{n}{f}": cell(x, low, size, f) for f in FACTORS for n, x, low, size in (("i", "lat", LAT_MIN, CELL_LAT), ("j", "lon", LON_MIN, CELL_LON))}
+    fine = hits.select(frame, "rate", *[c.alias(n) for n, c in own.items()]).groupBy(frame, *own).agg(F.max("rate").alias("rate"))
+    bins = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"i{f}").alias("i"), F.col(f"j{f}").alias("j")) for f in FACTORS])
+    cells = fine.select(frame, "rate", F.inline(bins)).groupBy(frame, "factor", "i", "j").agg(F.max("rate").alias("rate"))
     counts = cells.groupBy(frame, "factor").agg(F.count("*").alias("n"))
     chosen = counts.groupBy(frame).agg(F.coalesce(F.min(F.when(F.col("n") <= most, F.col("factor"))), F.lit(FACTORS[-1])).alias("factor"))
     found = cells.join(chosen, [frame, "factor"])

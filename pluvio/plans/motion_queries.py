@@ -125,9 +125,9 @@ def pair_motion(s: Scene) -> DataFrame:
 
 
 def _echo(s: Scene) -> TH.Echo:
-    """The scene as one scan of seven frames; its cells are fine enough for motion on cells of 2 km."""
+    """The scene as one scan of seven frames; its cells are fine enough for motion on cells of 2 km. The samples are those that the masses are of."""
     def make() -> TH.Echo:
-        rows = written(samples(s, peaked=True).withColumn("ncc_cell_km", F.when(F.col("cell_km") <= 3, 2.0)))
+        rows = MQ._samples(s).drop("sample_id").withColumn("ncc_cell_km", F.when(F.col("cell_km") <= 3, 2.0))
         scans = written(T.one_scan(rows))
         return TH.Echo(rows, scans, written(T.ends_of(scans, rows)), MQ._members(s), MQ._summary(s), MQ._matched(s), MQ._trails(s))
 

@@ -18,6 +18,7 @@ from pluvio.operators.spatial import range_join
 from pluvio.operators.stages import written
 from pluvio.plans import catalog
 from pluvio.plans import mass_queries as MQ
+from pluvio.plans import motion_queries as MOQ
 from pluvio.plans.fixtures import Scene
 from pluvio.plans.grid_queries import samples
 
@@ -379,3 +380,33 @@ def test_range_join_refuses_what_it_cannot_join(spark):
     with pytest.raises(Exception, match="latitude"):
         range_join(rows, right, 10.0).collect()
     assert range_join(rows, right, 10.0, top=75.0).count() == 2
+
+
+def test_the_hits_of_a_scan_are_not_binned_again(spark):
+    """The masses and the motion of a scan are of the same samples."""
+    s, read = Scene(spark, SMALL), spark.sparkContext.accumulator(0)
+    hits = s.hits
+
+    def counted(*args, **more):
+        found = hits(*args, **more)
+
+        def count(parts):
+            for part in parts:
+                read.add(part.num_rows)
+                yield part
+
+        return found.mapInArrow(count, found.schema)
+
+    s.hits = counted
+    MQ._trails(s)
+    once = read.value
+    assert MOQ._echo(s).samples.count() > 0 and once > 0
+    assert read.value == once
+
+
+def test_hits_meet_by_plain_numbers(spark):
+    """The hits are grouped by their cells of each factor as they are, not by arrays of them."""
+    found = samples(Scene(spark, SMALL), peaked=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "Aggregate [" in line][-1]
+    assert all(f"{n}{f}#" in first for n in "ij" for f in (1, 2, 4, 8)) and "array" not in first
